@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relayscope.llm import exact_dedup
+from relayscope.llm import exact_dedup, minhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_exact_dedup,)}
+    return {f.__name__: f for f in (op1_minhash, op7_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
