@@ -9,9 +9,10 @@ Jaccard similarity of their shingle sets.
 Equal sets are one class from the start. Within a bucket of a band not all pairs
 are compared: first each member with the bucket's smallest, and then, only in
 buckets that still hold several components, ever larger blocks of the members
-outside the main component with the members of other components. When the rounds
-end, every pair of a bucket that is not in one component has been compared, so
-the components are those of all pairs.
+outside the main component with the members of other components. A pair is left
+out where the shingles that its texts share with any text at all are too few for
+a link. When the rounds end, every other pair of a bucket that is not in one
+component has been compared, so the components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
     An empty table gives an empty result; other columns are not read.
 
     first_block: so many members outside the main component does a bucket
-    compare in the second round; each later round takes 16 times as many.
+    compare in the third round; each later round takes 16 times as many.
     """
     spark = documents.sparkSession
     bands = bands_for(percent / 100)
@@ -155,7 +156,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
         "classes",
     )
     spread = classes.select("id", "n_shingles", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("band", "pivot")
+    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
     buckets = written(spread.join(shared, "band"), "buckets")
     involved = buckets.select("id").distinct()
     sets = written(
@@ -173,40 +174,50 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
     def close(one: str, two: str):
         return F.least(one, two) * 100 >= F.greatest(one, two) * percent
 
-    # An id on both sides of the join below has one size, and so the pivot's size is looked up there.
+    # First round: all members with the bucket's smallest.
     sizes = classes.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pivot_size"))
     stars = buckets.where("id <> pivot").select("pivot", "id", "n_shingles").distinct().join(sizes, "pivot")
     edges = links(stars.where(close("n_shingles", "pivot_size")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    block = first_block
-    while True:
-        components = written(connected_components(edges), "components")
-        released(spark)
-        placed = buckets.join(components, "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("c"), F.col("pivot") == F.col("id"))
-        placed = placed.toDF("band", "id", "n_shingles", "c", "is_pivot")
-        mixed_bands = placed.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(F.when(F.col("is_pivot"), F.col("c"))).alias("main")).where("c1 <> c2").select("band", "main")
-        open_rows = written(placed.join(mixed_bands, "band"), "open")
-        # The pivot has met all members; what is outside its component can still have links among itself or with its members.
-        outside = open_rows.where("c <> main")
-        counts = outside.groupBy("band").agg(F.count("*").alias("outside"))
-        ranked_rows = outside.select("band", "id", F.col("c").alias("pc"), F.col("n_shingles").alias("ps"))
-        chosen = first_of(ranked_rows, block)
+    components = written(connected_components(edges), "components")
+    # What a class shares with any other here bounds every similarity that it can have.
+    several = split_buckets(buckets.where("n > 2"), components)
+    alone = (
+        sets.join(several.select("id").distinct(), "id", "left_semi")
+        .mapInArrow(exploded, "id long, shingle long")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("alone"))
+    )
+    able = several.select("band", "id", "n_shingles").join(alone, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    able = written(able.where(F.col("common") * 100 >= F.col("n_shingles") * percent), "able")
+    order = Window.partitionBy("band").orderBy(F.col("common") / F.col("n_shingles") * -1, "id")
+    block, largest = 1, 1
+    while largest:
+        # Later rounds: a block of the members outside the component of the one that shares most, with all other components.
+        open_rows = written(split_buckets(able, components), "open")
+        first = open_rows.groupBy("band").agg(F.max_by("c", F.struct(F.col("common") / F.col("n_shingles"), -F.col("id"))).alias("main"))
+        outside = open_rows.join(first, "band").where(F.lit(True) if block == 1 else F.col("c") != F.col("main"))
+        chosen = outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= block)
+        chosen = chosen.select("band", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n_shingles").alias("ps"), F.col("common").alias("pm"))
+        most = F.least("common", "pm")
         pairs = (
-            chosen.select("band", F.col("id").alias("p"), "pc", "ps")
-            .join(open_rows.where("not is_pivot"), "band")
-            .where((F.col("pc") != F.col("c")) & close("n_shingles", "ps"))
+            chosen.join(open_rows, "band")
+            .where((F.col("pc") != F.col("c")) & (most * 100 >= (F.col("n_shingles") + F.col("ps") - most) * percent))
             .select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
             .distinct()
         )
-        largest = counts.agg(F.max("outside")).first()[0] or 0
+        largest = outside.groupBy("band").count().agg(F.max("count")).first()[0] or 0
         if largest:
-            edges = written(edges.union(links(pairs)), "links")
+            found = edges.select("a", "b").union(links(pairs).select("a", "b"))
+            components = written(connected_components(found), "components")
+            edges = found
         dropped(open_rows)
         released(spark)
-        if largest <= block:
+        if block > 1 and largest <= block:
             break
-        block *= 16
-    if largest:
-        components = written(connected_components(edges), "components")
+        block = block * 16 if block > 1 else first_block
     named = classes.join(components, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (
         sketches.select("doc_id", "n_shingles", "d1", "d2")
@@ -220,7 +231,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
     )
 
 
-def first_of(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` rows with the smallest ids of each band, each task's surplus dropped before rows meet."""
-    order = Window.partitionBy("band").orderBy("id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+def split_buckets(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold several components, with their component c."""
+    placed = rows.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    split = placed.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
+    return placed.join(split, "band")
+
+
+def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        ids, sets = batch.column("id").to_numpy(), batch.column("shingles")
+        for i in range(batch.num_rows):
+            shingles = np.frombuffer(sets[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), ids[i])), pa.array(shingles)], names=["id", "shingle"])

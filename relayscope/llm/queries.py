@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayscope.llm import chat, exact_dedup, minhash, packing, topk, toxicity
+from relayscope.llm import chat, exact_dedup, minhash, packing, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +38,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_chat_formatting, op6_exact_topk, op7_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_chat_formatting, op6_exact_topk, op7_exact_dedup, op9_suffix_array_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
