@@ -93,7 +93,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """least, one, two, start, length of the runs of positions in one block; starts: of its texts, and its end."""
+    """least, one, two, start, size of the runs of positions in one block; starts: of its texts, and its end."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none.astype(U), none.astype(U), none.astype(U), none, none
@@ -121,7 +121,12 @@ def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     tail = LENGTH - LONG
     one = paired(paired(long[a], long[a + tail]), size.astype(U))
     two = paired(paired(long[b + tail], long[b]), one ^ long[a])
-    return least[a], one, two, a, size
+    # A name that occurs twice in its run can repeat a string within it; such a run has its size negated.
+    reach = LENGTH - SHORT
+    inside = np.arange(RUN + reach)
+    at = np.minimum(a[:, None] + inside, len(short) - 1)
+    twice = ((short[at] == least[a][:, None]) & (inside < (size + reach)[:, None])).sum(1) > 1
+    return least[a], one, two, a, np.where(twice, -size, size)
 
 
 def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,16 +181,16 @@ def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Company: a different run of the same least name opens the first one too.
         group = np.cumsum(new_least)
         company = np.bincount(group, new_run & ~new_least, minlength=group[-1] + 1) > 0
-        is_open = new_run & company[group]
+        is_open = new_run & (company[group] | (n < 0))
         if held is not None and company[0]:
             yield spans(*(np.array([x]) for x in held), np.array([True]))
             held = None
         pick = is_open | ~new_run
         if pick.any():
-            yield spans(doc[pick], at[pick], n[pick], is_open[pick])
+            yield spans(doc[pick], at[pick], np.abs(n[pick]), is_open[pick])
         if group[-1] > 0:
             k = int(np.flatnonzero(new_least)[-1])
-            held = None if company[group[-1]] else (doc[k], at[k], n[k])
+            held = None if is_open[k] else (doc[k], at[k], n[k])
 
 
 def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +314,6 @@ def judge_all(judge, keys: int, columns: int):
         for batch in (*rest, *batches) if rest else ():
             doc, at = (batch.column(c).to_numpy() for c in (keys, keys + 1))
             n = batch.column(keys + 2).to_numpy() if columns > keys + 2 else np.ones(len(doc))
-            yield spans(doc, at, n, np.zeros(len(doc), bool))
+            yield spans(doc, at, np.abs(n), np.zeros(len(doc), bool))
 
     return judged
