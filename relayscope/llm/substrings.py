@@ -2,21 +2,24 @@
 
 Positions get names for the 8, 16, 32 and 64 bytes that start there; a name of
 twice the length comes from the pair of names at a position and at its offset.
-Two positions begin the same string of LENGTH bytes if and only if the pairs of
+Longer strings are named by the pair at their start and end, which overlap. Two
+positions begin the same string of LENGTH bytes if and only if the pairs of
 their 64-byte names at 0 and at LENGTH - 64 agree.
 
 Spark sorts positions by name in two rounds, and a position whose name turns out
 unique goes no further:
 
-1. A position can only repeat if the least 32-byte name in its string repeats.
-   Neighbouring positions mostly share that least name, so a run of them is one
-   row: sorted by the least name and then by the name of the whole run. A run
-   whose least name no other run has is unique. Runs that are equal as a whole
-   repeat the earliest of them. What stays open are runs that share their least
-   name with a different run: the edges of repeats.
+1. The least 32-byte name within a string says where its core lies: the 66 or 67
+   bytes after or around the least name, depending on the half of the string
+   that it is in. Equal strings have equal cores, and neighbouring positions
+   mostly share theirs, so that a run of them is one row, sorted by the core's
+   name and then by the whole run's. A run whose core no other run has is
+   unique. Runs that are equal as a whole repeat the earliest of them. What
+   stays open are runs that share their core with a different run: the edges of
+   repeats.
 2. The open runs' positions are sorted by their own LENGTH-byte names.
 
-All comparisons are of whole corpora; names are 128 bits at the end of both rounds.
+All comparisons are of whole corpora; what is compared has 128 bits of names.
 """
 
 from __future__ import annotations
@@ -33,11 +36,14 @@ from relayscope.llm.shared import released, written
 from relayscope.llm.words import utf8
 
 LENGTH, SHORT, LONG = 100, 32, 64
-#: Positions of a run at most; a run is named by its two ends, which overlap.
-RUN = 64
+#: Places of the least name in a string, and those of its first half.
+PLACES = LENGTH - SHORT + 1
+HALF = (PLACES + 1) // 2
 BLOCK = 1 << 18
+#: Rows that are compared before they leave a task.
+ROWS = 200_000
 U = np.uint64
-RUNS = "least long, one long, two long, doc long, at long, n int"
+RUNS = "core long, whole long, doc long, at long, n int"
 SPANS = "doc long, at long, n int, open boolean"
 
 
@@ -92,41 +98,67 @@ def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         row = last
 
 
+def string_names(long: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the LENGTH bytes from each place."""
+    return paired(long[at], long[at + LENGTH - LONG])
+
+
+def core_names(long: np.ndarray, least: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Of the bytes that all strings have whose least name is at ``least``: late in them, or not."""
+    start = np.where(late, least - HALF, least)
+    size = np.where(late, HALF + SHORT, LENGTH - HALF + 1)
+    return paired(paired(long[start], long[start + size - LONG]), late.astype(U))
+
+
 def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """least, one, two, start, size of the runs of positions in one block; starts: of its texts, and its end."""
+    """core, whole, start, size of the runs of positions in one block; starts: of its texts, and its end."""
     none = np.zeros(0, np.int64)
+    nothing = none.astype(U), none.astype(U), none, none
     if len(data) < LENGTH:
-        return none.astype(U), none.astype(U), none.astype(U), none, none
+        return nothing
     short, long = names(data)
-    least = sliding_least(short, LENGTH - SHORT + 1)
-    whole = np.zeros(len(data) + 1, np.int32)
+    least = sliding_least(short, PLACES)
+    edge = np.zeros(len(data) + 1, np.int32)
     sizes = np.diff(starts)
     fits = sizes >= LENGTH
-    np.add.at(whole, starts[:-1][fits], 1)
-    np.add.at(whole, starts[:-1][fits] + sizes[fits] - LENGTH + 1, -1)
-    places = np.flatnonzero(np.cumsum(whole[:-1]))
+    np.add.at(edge, starts[:-1][fits], 1)
+    np.add.at(edge, starts[:-1][fits] + sizes[fits] - LENGTH + 1, -1)
+    places = np.flatnonzero(np.cumsum(edge[:-1]))
     if not len(places):
-        return none.astype(U), none.astype(U), none.astype(U), none, none
+        return nothing
     fresh = np.ones(len(places), bool)
     fresh[1:] = (np.diff(places) > 1) | (least[places[1:]] != least[places[:-1]])
     first = np.flatnonzero(fresh)
     size = np.diff(np.r_[first, len(places)])
-    more = (size - 1) // RUN
-    if more.any():
-        owner = np.repeat(np.arange(len(first)), more + 1)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-        first, size = first[owner] + step * RUN, np.minimum(RUN, size[owner] - step * RUN)
     a = places[first]
-    b = a + size - 1
-    tail = LENGTH - LONG
-    one = paired(paired(long[a], long[a + tail]), size.astype(U))
-    two = paired(paired(long[b + tail], long[b]), one ^ long[a])
-    # A name that occurs twice in its run can repeat a string within it; such a run has its size negated.
-    reach = LENGTH - SHORT
-    inside = np.arange(RUN + reach)
-    at = np.minimum(a[:, None] + inside, len(short) - 1)
-    twice = ((short[at] == least[a][:, None]) & (inside < (size + reach)[:, None])).sum(1) > 1
-    return least[a], one, two, a, np.where(twice, -size, size)
+    inside = np.arange(2 * PLACES)
+    hits = short[np.minimum(a[:, None] + inside, len(short) - 1)] == least[a][:, None]
+    hits &= inside < (size + PLACES - 1)[:, None]
+    once = (hits.sum(1) == 1) & (size <= PLACES)
+    # A run with one least name has up to two cores.
+    at, n = a[once], size[once]
+    x = at + hits[once].argmax(1)
+    cut = np.clip(x - HALF + 1, at, at + n)
+    parts = []
+    for late, start, count in ((True, at, cut - at), (False, cut, at + n - cut)):
+        some = count > 0
+        p, m = start[some], count[some]
+        q = p + m - 1
+        whole = paired(string_names(long, p), paired(string_names(long, q), m.astype(U)))
+        parts.append((core_names(long, x[some], np.full(len(p), late)), whole, p, m))
+    # Where a least name occurs again, each position is a run; with two in one string, the string is its own core.
+    many = a[~once]
+    if len(many):
+        m = size[~once]
+        p = np.repeat(many - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        for i in range(0, len(p), BLOCK // 16):
+            at = p[i : i + BLOCK // 16]
+            hits = short[at[:, None] + np.arange(PLACES)] == least[at][:, None]
+            x = at + hits.argmax(1)
+            own = string_names(long, at)
+            core = np.where(hits.sum(1) == 1, core_names(long, x, x - at >= HALF), paired(own, U(2) + np.zeros(1, U)))
+            parts.append((core, paired(own, paired(own, np.ones(1, U))), at, np.ones(len(at), np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,22 +170,27 @@ def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> t
     return order, first
 
 
+def first_of_their_names(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of two names, document, place and more; of those with equal names, later ones carry nulls."""
+    one, two, doc, at, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, first = earliest((one, two), doc, at)
+    keys = [pa.array(x[order].view(np.int64), mask=~first) for x in (one, two)]
+    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x[order]) for x in (doc, at, *more))], names=names)
+
+
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs; of those that are equal within a batch, later ones carry nulls: they repeat for sure."""
+    """All runs; of those that are equal and near in the input, later ones carry nulls: they repeat for sure."""
     for batch in batches:
-        docs = batch.column(0).to_numpy()
-        parts = []
+        docs, parts = batch.column(0).to_numpy(), []
         for data, rows, starts, before in blocks(batch.column(1)):
-            least, one, two, a, size = runs_of(data, starts)
+            core, whole, a, size = runs_of(data, starts)
             text = np.searchsorted(starts[1:], a, side="right")
-            parts.append((least, one, two, docs[rows[text]], a - starts[text] + before[text], size))
+            parts.append((core, whole, docs[rows[text]], a - starts[text] + before[text], size.astype(np.int32)))
+            if sum(len(x[0]) for x in parts) > ROWS:
+                yield from first_of_their_names(parts, ["core", "whole", "doc", "at", "n"])
+                parts = []
         if parts:
-            least, one, two, doc, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, first = earliest((one, two), doc, at)
-            for i in range(0, len(order), 100_000):
-                k, repeat = order[i : i + 100_000], ~first[i : i + 100_000]
-                keys = [pa.array(x[k].view(np.int64), mask=repeat) for x in (least, one, two)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(doc[k]), pa.array(at[k]), pa.array(size[k].astype(np.int32))], names=["least", "one", "two", "doc", "at", "n"])
+            yield from first_of_their_names(parts, ["core", "whole", "doc", "at", "n"])
 
 
 def spans(doc: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
@@ -163,33 +200,33 @@ def spans(doc: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: np.ndarray) -
 def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted runs: those that repeat an earlier equal run, and the open ones.
 
-    One row is carried from batch to batch, however many runs share a name.
+    One row is carried from batch to batch, however many runs share a core.
     """
-    held = None  # the first run of the latest least name, not known yet to have company
+    held = None  # the first run of the latest core, not known yet to have company
     last = None
     for batch in batches:
-        least, one, two, doc, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
-        if not len(least):
+        core, whole, doc, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        if not len(core):
             continue
-        new_least, new_run = np.ones(len(least), bool), np.ones(len(least), bool)
-        new_least[1:] = least[1:] != least[:-1]
-        new_run[1:] = new_least[1:] | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new_core, new_run = np.ones(len(core), bool), np.ones(len(core), bool)
+        new_core[1:] = core[1:] != core[:-1]
+        new_run[1:] = new_core[1:] | (whole[1:] != whole[:-1])
         if last is not None:
-            new_least[0] = least[0] != last[0]
-            new_run[0] = new_least[0] or (one[0], two[0]) != last[1:]
-        last = (least[-1], one[-1], two[-1])
-        # Company: a different run of the same least name opens the first one too.
-        group = np.cumsum(new_least)
-        company = np.bincount(group, new_run & ~new_least, minlength=group[-1] + 1) > 0
-        is_open = new_run & (company[group] | (n < 0))
+            new_core[0] = core[0] != last[0]
+            new_run[0] = new_core[0] or whole[0] != last[1]
+        last = (core[-1], whole[-1])
+        # Company: a different run of the same core opens the first one too.
+        group = np.cumsum(new_core)
+        company = np.bincount(group, new_run & ~new_core, minlength=group[-1] + 1) > 0
+        is_open = new_run & company[group]
         if held is not None and company[0]:
             yield spans(*(np.array([x]) for x in held), np.array([True]))
             held = None
         pick = is_open | ~new_run
         if pick.any():
-            yield spans(doc[pick], at[pick], np.abs(n[pick]), is_open[pick])
+            yield spans(doc[pick], at[pick], n[pick], is_open[pick])
         if group[-1] > 0:
-            k = int(np.flatnonzero(new_least)[-1])
+            k = int(np.flatnonzero(new_core)[-1])
             held = None if is_open[k] else (doc[k], at[k], n[k])
 
 
@@ -208,13 +245,11 @@ def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if len(here):
                     _, long = names(text[lo : lo + BLOCK + LENGTH])
                     parts.append((long[here - lo], long[here - lo + LENGTH - LONG], np.full(len(here), docs[i]), here))
+            if sum(len(x[0]) for x in parts) > ROWS:
+                yield from first_of_their_names(parts, ["one", "two", "doc", "at"])
+                parts = []
         if parts:
-            one, two, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, first = earliest((one, two), doc, at)
-            for i in range(0, len(order), 100_000):
-                k, repeat = order[i : i + 100_000], ~first[i : i + 100_000]
-                keys = [pa.array(x[k].view(np.int64), mask=repeat) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(doc[k]), pa.array(at[k])], names=["one", "two", "doc", "at"])
+            yield from first_of_their_names(parts, ["one", "two", "doc", "at"])
 
 
 def judge_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +309,18 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     least = F.lit(-(2**63)).cast("long")
     texts = documents.select(F.coalesce("doc_id", least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     # A null key means that the row is decided; such rows are dealt out evenly.
-    deal = F.coalesce("least", F.xxhash64("doc", "at"))
+    deal = F.coalesce("core", F.xxhash64("doc", "at"))
     runs = texts.select("doc", "text").mapInArrow(find_runs, RUNS)
     runs = runs.withColumn("deal", deal).repartition("deal").drop("deal")
-    decided = "case when least is null then true else false end"
-    ordered = runs.sortWithinPartitions(F.expr(decided), "least", "one", "two", "doc", "at")
-    judged = written(ordered.mapInArrow(judge_all(judge_runs, 3, 6), SPANS), "runs")
+    ordered = runs.sortWithinPartitions(F.col("core").isNull(), "core", "whole", "doc", "at")
+    judged = written(ordered.mapInArrow(judge_all(judge_runs, 2), SPANS), "runs")
     released(spark)
     open_runs = judged.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     positions = texts.select("doc", "text").join(open_runs, "doc").mapInArrow(find_positions, "one long, two long, doc long, at long")
     deal = F.coalesce("one", F.xxhash64("doc", "at"))
     positions = positions.withColumn("deal", deal).repartition("deal").drop("deal")
-    ordered = positions.sortWithinPartitions(F.expr("case when one is null then true else false end"), "one", "two", "doc", "at")
-    again = written(ordered.mapInArrow(judge_all(judge_positions, 2, 4), SPANS), "positions")
+    ordered = positions.sortWithinPartitions(F.col("one").isNull(), "one", "two", "doc", "at")
+    again = written(ordered.mapInArrow(judge_all(judge_positions, 2), SPANS), "positions")
     released(spark)
     gone = judged.where("not open").select("doc", "at", "n").union(again.select("doc", "at", "n"))
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
@@ -295,7 +329,7 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     )
 
 
-def judge_all(judge, keys: int, columns: int):
+def judge_all(judge, keys: int):
     """``judge`` for the rows with keys, which come first; rows without are repeats."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +347,7 @@ def judge_all(judge, keys: int, columns: int):
         yield from judge(with_keys())
         for batch in (*rest, *batches) if rest else ():
             doc, at = (batch.column(c).to_numpy() for c in (keys, keys + 1))
-            n = batch.column(keys + 2).to_numpy() if columns > keys + 2 else np.ones(len(doc))
-            yield spans(doc, at, np.abs(n), np.zeros(len(doc), bool))
+            n = batch.column(keys + 2).to_numpy() if batch.num_columns > keys + 2 else np.ones(len(doc))
+            yield spans(doc, at, n, np.zeros(len(doc), bool))
 
     return judged
