@@ -43,7 +43,7 @@ BLOCK = 1 << 18
 #: Rows that are compared before they leave a task.
 ROWS = 200_000
 U = np.uint64
-RUNS = "core long, whole long, doc long, at long, n int"
+NAMED = "one long, two long, doc long, at long, n int"
 SPANS = "doc long, at long, n int, open boolean"
 
 
@@ -170,27 +170,38 @@ def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> t
     return order, first
 
 
-def first_of_their_names(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of two names, document, place and more; of those with equal names, later ones carry nulls."""
-    one, two, doc, at, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+def first_of_their_names(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of two names, document, place and size: the first of each pair of names.
+
+    The others repeat for sure: they come without names, neighbours as one.
+    """
+    one, two, doc, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, first = earliest((one, two), doc, at)
-    keys = [pa.array(x[order].view(np.int64), mask=~first) for x in (one, two)]
-    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x[order]) for x in (doc, at, *more))], names=names)
+    keep, rest = order[first], order[~first]
+    rest = rest[np.lexsort((at[rest], doc[rest]))]
+    start = np.ones(len(rest), bool)
+    start[1:] = (doc[rest][1:] != doc[rest][:-1]) | (at[rest][1:] != (at + n)[rest][:-1])
+    head = np.flatnonzero(start)
+    sizes = np.add.reduceat(n[rest], head) if len(head) else n[:0]
+    rest = rest[head]
+    keys = [pa.array(np.r_[x[keep], x[rest]].view(np.int64), mask=np.arange(len(keep) + len(rest)) >= len(keep)) for x in (one, two)]
+    more = [pa.array(np.r_[x[keep], x[rest]]) for x in (doc, at)]
+    yield pa.RecordBatch.from_arrays([*keys, *more, pa.array(np.r_[n[keep], sizes].astype(np.int32))], names=["one", "two", "doc", "at", "n"])
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs; of those that are equal and near in the input, later ones carry nulls: they repeat for sure."""
+    """All runs, with a core's name and their own; see ``first_of_their_names``."""
     for batch in batches:
         docs, parts = batch.column(0).to_numpy(), []
         for data, rows, starts, before in blocks(batch.column(1)):
             core, whole, a, size = runs_of(data, starts)
             text = np.searchsorted(starts[1:], a, side="right")
-            parts.append((core, whole, docs[rows[text]], a - starts[text] + before[text], size.astype(np.int32)))
+            parts.append((core, whole, docs[rows[text]], a - starts[text] + before[text], size))
             if sum(len(x[0]) for x in parts) > ROWS:
-                yield from first_of_their_names(parts, ["core", "whole", "doc", "at", "n"])
+                yield from first_of_their_names(parts)
                 parts = []
         if parts:
-            yield from first_of_their_names(parts, ["core", "whole", "doc", "at", "n"])
+            yield from first_of_their_names(parts)
 
 
 def spans(doc: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
@@ -231,7 +242,7 @@ def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The positions of open runs by their names; later ones of a batch carry nulls, as runs do."""
+    """The positions of open runs by their names; as ``find_runs`` does with runs."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         docs, parts = batch.column("doc").to_numpy(), []
@@ -244,12 +255,12 @@ def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 here = place[(place >= lo) & (place < lo + BLOCK)]
                 if len(here):
                     _, long = names(text[lo : lo + BLOCK + LENGTH])
-                    parts.append((long[here - lo], long[here - lo + LENGTH - LONG], np.full(len(here), docs[i]), here))
+                    parts.append((long[here - lo], long[here - lo + LENGTH - LONG], np.full(len(here), docs[i]), here, np.ones(len(here), np.int64)))
             if sum(len(x[0]) for x in parts) > ROWS:
-                yield from first_of_their_names(parts, ["one", "two", "doc", "at"])
+                yield from first_of_their_names(parts)
                 parts = []
         if parts:
-            yield from first_of_their_names(parts, ["one", "two", "doc", "at"])
+            yield from first_of_their_names(parts)
 
 
 def judge_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,19 +319,18 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     least = F.lit(-(2**63)).cast("long")
     texts = documents.select(F.coalesce("doc_id", least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    # A null key means that the row is decided; such rows are dealt out evenly.
-    deal = F.coalesce("core", F.xxhash64("doc", "at"))
-    runs = texts.select("doc", "text").mapInArrow(find_runs, RUNS)
+    # A row without names is decided; such rows are dealt out evenly.
+    deal = F.coalesce("one", F.xxhash64("doc", "at"))
+    runs = texts.select("doc", "text").mapInArrow(find_runs, NAMED)
     runs = runs.withColumn("deal", deal).repartition("deal").drop("deal")
-    ordered = runs.sortWithinPartitions(F.col("core").isNull(), "core", "whole", "doc", "at")
-    judged = written(ordered.mapInArrow(judge_all(judge_runs, 2), SPANS), "runs")
+    ordered = runs.sortWithinPartitions(F.col("one").isNull(), "one", "two", "doc", "at")
+    judged = written(ordered.mapInArrow(judge_all(judge_runs), SPANS), "runs")
     released(spark)
     open_runs = judged.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    positions = texts.select("doc", "text").join(open_runs, "doc").mapInArrow(find_positions, "one long, two long, doc long, at long")
-    deal = F.coalesce("one", F.xxhash64("doc", "at"))
+    positions = texts.select("doc", "text").join(open_runs, "doc").mapInArrow(find_positions, NAMED)
     positions = positions.withColumn("deal", deal).repartition("deal").drop("deal")
     ordered = positions.sortWithinPartitions(F.col("one").isNull(), "one", "two", "doc", "at")
-    again = written(ordered.mapInArrow(judge_all(judge_positions, 2), SPANS), "positions")
+    again = written(ordered.mapInArrow(judge_all(judge_positions), SPANS), "positions")
     released(spark)
     gone = judged.where("not open").select("doc", "at", "n").union(again.select("doc", "at", "n"))
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
@@ -329,8 +339,8 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     )
 
 
-def judge_all(judge, keys: int):
-    """``judge`` for the rows with keys, which come first; rows without are repeats."""
+def judge_all(judge):
+    """``judge`` for the rows with names, which come first; rows without are repeats."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = []
@@ -346,8 +356,7 @@ def judge_all(judge, keys: int):
 
         yield from judge(with_keys())
         for batch in (*rest, *batches) if rest else ():
-            doc, at = (batch.column(c).to_numpy() for c in (keys, keys + 1))
-            n = batch.column(keys + 2).to_numpy() if batch.num_columns > keys + 2 else np.ones(len(doc))
+            doc, at, n = (batch.column(c).to_numpy() for c in (2, 3, 4))
             yield spans(doc, at, n, np.zeros(len(doc), bool))
 
     return judged
