@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayscope.llm import chat, exact_dedup, minhash, packing, substrings, topk, toxicity
+from relayscope.llm import chat, exact_dedup, minhash, mixing, packing, pii, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="a key that the caller keeps")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -38,6 +42,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Of the tokens, by the labels' quality.
+SHARES = {0: 0.09, 1: 0.91}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
@@ -47,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_chat_formatting, op6_exact_topk, op7_exact_dedup, op9_suffix_array_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_toxicity, op4_chat_formatting, op6_exact_topk, op7_exact_dedup, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
