@@ -25,24 +25,34 @@ from pyspark.sql import functions as F
 from relayscope.llm.shared import written
 
 
-def occurrences(text: Column, what: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
-
-
-def features(text: Column) -> list[Column]:
-    """What the classifier sees of a text: lengths and shares, all in compiled expressions."""
-    size = F.greatest(F.length(text), F.lit(1))
-    lines = F.split(text, "\n")
-    words = occurrences(text, " ") + 1
-    share = lambda n: F.log1p(n * 100 / size)
-    return [
-        F.log1p(F.length(text).cast("double")),
-        F.log(size / words),
-        F.size(F.array_distinct(lines)) / F.size(lines),
-        F.log(size / F.size(lines)),
-        (F.octet_length(text) - F.length(text)) / size,
-        *(share(occurrences(text, c)) for c in (".", "|", "#", "$", "%", "&", "*", "!", "\n")),
+# Characters whose shares the classifier sees.
+CHARACTERS = (".", "|", "#", "$", "%", "&", "*", "!", "\n")
+FEATURES = 5 + len(CHARACTERS)
+
+
+def with_features(documents: DataFrame) -> DataFrame:
+    """``documents`` with mix_tokens and mix_x, what the classifier sees of a text: lengths and shares."""
+
+    def count(what: str) -> Column:
+        return F.col("mix_size") - F.length(F.replace("mix_text", F.lit(what), F.lit("")))
+
+    out = documents.withColumn("mix_text", F.coalesce("text", F.lit("")))
+    out = out.withColumns({"mix_size": F.length("mix_text"), "mix_lines": F.split("mix_text", "\n")})
+    out = out.withColumns({"mix_least": F.greatest("mix_size", F.lit(1)), "mix_blanks": count(" "), "mix_breaks": F.size("mix_lines")})
+    x = [
+        F.log1p(F.col("mix_size").cast("double")),
+        F.log(F.col("mix_least") / (F.col("mix_blanks") + 1)),
+        F.size(F.array_distinct("mix_lines")) / F.col("mix_breaks"),
+        F.log(F.col("mix_least") / F.col("mix_breaks")),
+        (F.octet_length("mix_text") - F.col("mix_size")) / F.col("mix_least"),
+        *(F.log1p(count(c) * 100 / F.col("mix_least")) for c in CHARACTERS),
     ]
+    tokens = F.when(F.col("mix_size") == 0, 0).otherwise(F.col("mix_blanks") + F.col("mix_breaks")).cast("long")
+    return out.withColumns({"mix_tokens": tokens, "mix_x": F.array(*x)}).drop("mix_text", "mix_size", "mix_lines", "mix_least", "mix_blanks", "mix_breaks")
+
+
+def numbers(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 @dataclass(frozen=True)
@@ -62,10 +72,10 @@ class Mixture:
             return F.array(F.lit(0.0))
         scores = []
         for prior, means, variances in zip(self.priors, self.means, self.variances, strict=True):
-            score = F.lit(math.log(prior))
-            for i, (mean, var) in enumerate(zip(means, variances, strict=True)):
-                score = score - (x[i] - mean) * (x[i] - mean) / (2 * var) - 0.5 * math.log(2 * math.pi * var)
-            scores.append(score)
+            squares = F.zip_with(x, numbers(means), lambda a, m: (a - m) * (a - m))
+            parts = F.zip_with(squares, numbers([1 / (2 * v) for v in variances]), lambda a, w: a * w)
+            constant = math.log(prior) - sum(math.log(2 * math.pi * v) for v in variances) / 2
+            scores.append(F.lit(constant) - F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
         return F.array(*scores)
 
     def posteriors(self, scores: Column) -> Column:
@@ -85,9 +95,7 @@ class Mixture:
 
     def applied(self, documents: DataFrame) -> DataFrame:
         """``documents`` with mix_tokens, mix_posteriors and mix_rate, from the texts alone."""
-        text = F.coalesce("text", F.lit(""))
-        tokens = F.when(text == "", 0).otherwise(occurrences(text, " ") + occurrences(text, "\n") + 1).cast("long")
-        with_x = documents.withColumns({"mix_tokens": tokens, "mix_x": F.array(*features(text))})
+        with_x = with_features(documents)
         with_p = with_x.withColumn("mix_s", self.scores(F.col("mix_x"))).withColumn("mix_posteriors", self.posteriors(F.col("mix_s")))
         return with_p.withColumn("mix_rate", self.rate(F.col("mix_posteriors"))).drop("mix_x", "mix_s")
 
@@ -95,15 +103,15 @@ class Mixture:
 def learned(rows: DataFrame, labels: DataFrame, label: str) -> Mixture:
     """The classifier: moments of the features x in the rows (doc_id, x) of each domain."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("domain"))
-    n = len(features(F.lit("")))
-    moments = [f(F.col("x")[i]).alias(f"{name}{i}") for i in range(n) for name, f in (("m", F.avg), ("v", F.var_pop))]
+    n, x = FEATURES, F.col("x")
+    moments = [m for i in range(n) for m in (F.avg(x[i]).alias(f"m{i}"), F.avg(x[i] * x[i]).alias(f"s{i}"))]
     found = rows.join(marked, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).orderBy("domain").collect()
     total, floor = sum(r["n"] for r in found), 1e-3  # the floor of a variance, where a feature is constant
     return Mixture(
         [r["domain"] for r in found],
         [r["n"] / total for r in found],
         [[r[f"m{i}"] for i in range(n)] for r in found],
-        [[max(r[f"v{i}"], floor) for i in range(n)] for r in found],
+        [[max(r[f"s{i}"] - r[f"m{i}"] ** 2, floor) for i in range(n)] for r in found],
     )
 
 
@@ -124,10 +132,10 @@ def fitted(
     tokens of the mixture; if None, the least for which no domain shrinks. Rates
     are at least ``least_rate``.
     """
-    seen = written(documents.select("doc_id", F.array(*features(F.coalesce("text", F.lit("")))).alias("x")), "features")
+    seen = written(with_features(documents.select("doc_id", "text")).select("doc_id", F.col("mix_tokens").alias("tokens"), F.col("mix_x").alias("x")), "features")
     mixture = replace(learned(seen, labels, label), least_rate=least_rate)
-    rows = mixture.applied(documents.select("text")).select("mix_tokens", "mix_posteriors")
-    rows = written(rows, "posteriors").select(F.col("mix_tokens").alias("tokens"), F.col("mix_posteriors").alias("p"))
+    scored = seen.select("tokens", mixture.scores(F.col("x")).alias("s"))
+    rows = written(scored.select("tokens", mixture.posteriors(F.col("s")).alias("p")), "posteriors")
     k = range(max(1, len(mixture.domains)))
 
     def totals(rate: Column) -> list[float]:
