@@ -1,11 +1,70 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet to the shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relayscope.llm import exact_dedup, minhash, mixing, packing, toxicity
+from relayscope.llm.shared import written
+
+#: Of the mixture's tokens, by the labels' quality.
+SHARES = {0: 0.1, 1: 0.9}
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null is one) isn't among the doc_ids to drop."""
+    gone = decisions.select(F.col("doc_id").alias("pipeline_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("pipeline_gone")), "left_anti")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier predicts to be toxic."""
+    return kept(docs, toxicity.toxicity_scores(docs, labels(spark, sf_dir)).where("predicted = 1"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
+    return kept(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts (shingles of five words, similarity 0.8), the row with the smallest doc_id stays."""
+    return kept(docs, minhash.near_duplicates(docs).where("not kept"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents until each quality has its share; with a least rate of 1 none goes."""
+    return mixing.resampled(docs, mixing.fitted(docs, labels(spark, sf_dir), SHARES, least_rate=1.0))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: Training, hashing and tokenising have no form in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
