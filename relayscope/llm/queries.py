@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayscope.llm import chat, exact_dedup, minhash, mixing, packing, pii, substrings, topk, toxicity
+from relayscope.llm import chat, exact_dedup, lines, minhash, mixing, packing, pii, substrings, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.rendered(chat.folded(events)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -59,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_toxicity, op4_chat_formatting, op6_exact_topk, op7_exact_dedup, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_toxicity, op4_chat_formatting, op5_line_dedup, op6_exact_topk, op7_exact_dedup, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
