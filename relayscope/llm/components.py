@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayscope.llm.shared import dropped, released, written
+from relayscope.llm.shared import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,10 +15,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is a few groupings with a combine on the map side, so a vertex with
     very many neighbours is no task of its own.
     """
-    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = state(now)
+    while before[0]:
         # Large star: every larger neighbour of a vertex goes to the vertex's least neighbour, itself included.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -29,11 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pairs = large.join(least, "a")
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         after = written(small.where("a <> b").distinct(), "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        last, before = before, state(after)
         dropped(now)
-        released(spark)
-        if state == before:
+        now = after
+        if last == before:
             break
-        now, before = after, state
-    ends = after.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return ends.union(after.select(F.col("b"), F.col("b"))).distinct()
+    ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return ends.union(now.select(F.col("b"), F.col("b"))).distinct()

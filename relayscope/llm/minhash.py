@@ -10,8 +10,8 @@ Equal sets are one class from the start. Within a bucket of a band not all pairs
 are compared: first each member with the bucket's smallest, and then, only in
 buckets that still hold several components, ever larger blocks of the members
 outside the main component with the members of other components. A pair is left
-out where the shingles that its texts share with any text at all are too few for
-a link. When the rounds end, every other pair of a bucket that is not in one
+out where bit marks of both sets, or the shingles that a text shares with any
+text at all, show that they are too few for a link. When the rounds end, every other pair of a bucket that is not in one
 component has been compared, so the components are those of all pairs.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayscope.llm.components import connected_components
@@ -31,6 +31,8 @@ from relayscope.llm.words import mixed, shingle_sets, word_hashes
 V = np.uint32
 #: Rows of a band; with so few, a pair at the threshold is all but sure to share a band.
 ROWS = 4
+#: Bits of the marks that bound what two sets share.
+MARKS = 2048
 #: The chance that a pair at the threshold shares no band is below this.
 MISSED = 1e-7
 
@@ -128,7 +130,7 @@ def linker(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return linked
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, first_block: int = 16) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, growth: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``documents``.
 
     ASCII letters are lower-cased; words are runs without ASCII white space; a
@@ -140,8 +142,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
     share one fate; a row with a null doc_id is linked with nothing, and kept.
     An empty table gives an empty result; other columns are not read.
 
-    first_block: so many members outside the main component does a bucket
-    compare in the third round; each later round takes 16 times as many.
+    growth: so many members outside the main component does a bucket compare in
+    the third round; each later round takes so many times as many.
     """
     spark = documents.sparkSession
     bands = bands_for(percent / 100)
@@ -191,33 +193,37 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, f
         .agg(F.count("*").alias("alone"))
     )
     able = several.select("band", "id", "n_shingles").join(alone, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    able = written(able.where(F.col("common") * 100 >= F.col("n_shingles") * percent), "able")
-    order = Window.partitionBy("band").orderBy(F.col("common") / F.col("n_shingles") * -1, "id")
-    block, largest = 1, 1
-    while largest:
+    able = able.where(F.col("common") * 100 >= F.col("n_shingles") * percent).withColumn("rest", 1 - F.col("common") / F.col("n_shingles"))
+    marks = sets.mapInArrow(marked, "id long, marks array<long>")
+    able = written(able.join(marks, "id"), "able")
+    order = Window.partitionBy("band").orderBy("rest", "id")
+    most = shared_at_most(F.col("n_shingles"), F.col("marks"), F.col("ps"), F.col("pk"))
+    block = 1
+    while True:
         # Later rounds: a block of the members outside the component of the one that shares most, with all other components.
         open_rows = written(split_buckets(able, components), "open")
-        first = open_rows.groupBy("band").agg(F.max_by("c", F.struct(F.col("common") / F.col("n_shingles"), -F.col("id"))).alias("main"))
-        outside = open_rows.join(first, "band").where(F.lit(True) if block == 1 else F.col("c") != F.col("main"))
+        first = open_rows.groupBy("band").agg(F.min_by("c", F.struct("rest", "id")).alias("main"))
+        outside = open_rows.join(first, "band").where(F.lit(block == 1) | (F.col("c") != F.col("main")))
+        largest = outside.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+        if not largest:
+            break
         chosen = outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= block)
-        chosen = chosen.select("band", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n_shingles").alias("ps"), F.col("common").alias("pm"))
-        most = F.least("common", "pm")
+        chosen = chosen.select("band", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n_shingles").alias("ps"), F.col("marks").alias("pk"))
         pairs = (
             chosen.join(open_rows, "band")
             .where((F.col("pc") != F.col("c")) & (most * 100 >= (F.col("n_shingles") + F.col("ps") - most) * percent))
             .select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
             .distinct()
         )
-        largest = outside.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-        if largest:
-            found = edges.select("a", "b").union(links(pairs).select("a", "b"))
-            components = written(connected_components(found), "components")
-            edges = found
+        more = links(pairs)
+        if not more.isEmpty():
+            edges = edges.select("a", "b").union(more.select("a", "b"))
+            components = written(connected_components(edges), "components")
         dropped(open_rows)
         released(spark)
         if block > 1 and largest <= block:
             break
-        block = block * 16 if block > 1 else first_block
+        block *= growth
     named = classes.join(components, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component"))
     return (
         sketches.select("doc_id", "n_shingles", "d1", "d2")
@@ -238,6 +244,26 @@ def split_buckets(rows: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(split, "band")
 
 
+def shared_at_most(n: Column, marks: Column, m: Column, others: Column) -> Column:
+    """A bound of what two sets of n and m shingles share: a mark that only one has is a shingle that only it has."""
+    one, two = F.lit(0), F.lit(0)
+    for k in range(MARKS // 64):
+        one = one + F.bit_count(marks[k].bitwiseAND(F.bitwise_not(others[k])))
+        two = two + F.bit_count(others[k].bitwiseAND(F.bitwise_not(marks[k])))
+    return F.least(n - one, m - two)
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MARKS bits for each set, those at its shingles modulo MARKS."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, MARKS), np.uint8)
+        for i, x in enumerate(batch.column("shingles")):
+            out[i, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(MARKS)).astype(np.int64)] = 1
+        words = np.packbits(out, axis=1, bitorder="little").view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "marks"])
+
+
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each set."""
     for batch in batches:
