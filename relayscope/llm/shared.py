@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,10 @@ def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
     It does so once the driver has collected the objects that stand for them,
-    which a driver with a quiet heap may not do for half an hour.
+    which a driver with a quiet heap may not do for half an hour. The last step
+    is held until its end has been told to all listeners, hence the waits.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)
+        gc.collect()
+        spark._jvm.System.gc()
