@@ -1 +1,18 @@
-"""plans of relayscope."""
+"""Named queries over the given tables, each with SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+MODULES = ("facts",)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for m in MODULES for k, v in import_module(f"relayscope.plans.{m}").QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in import_module(f"relayscope.plans.{m}").ORACLES.items()}
