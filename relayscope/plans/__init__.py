@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("facts", "text")
+MODULES = ("facts", "text", "retrieval")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
