@@ -238,7 +238,7 @@ def profile_vector(s, d):
 
 
 @query(
-    f"""WITH {MEM}, {PROFILE}, halves AS (SELECT user_id, list_transform(range(1, 65), lambda i: ({Q}[i] + mean[i] / sqrt(list_inner_product(mean, mean))) / 2) AS v FROM profile)
+    f"""WITH {MEM}, {PROFILE}, halves AS (SELECT user_id, list_transform(range(1, 65), lambda i: (q[i] + mean[i] / sqrt(list_inner_product(mean, mean))) / 2) AS v FROM profile, (SELECT embedding AS q FROM embeddings WHERE vec_id = {PROBE}))
     SELECT user_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS vector FROM halves"""
 )
 def blended_query(s, d):
@@ -440,9 +440,9 @@ def explain_diff(s, d):
     return metrics.explained(rows.select("qid", "item"), rows.select("qid", F.col("gold").alias("item")))
 
 
-@query("SELECT event_id, round((event_id * 5.0::DOUBLE + user_id * 25.0::DOUBLE + (event_id % 7) * 0.5::DOUBLE) / 1000000::DOUBLE, 6) AS cost FROM events")
+@query("SELECT event_id, round((event_id * 5.0::DOUBLE + user_id * 25.0::DOUBLE + (event_id % 7) * 1.0::DOUBLE) / 1000000::DOUBLE, 6) AS cost FROM events")
 def turn_cost(s, d):
-    rows = read(s, d, "events").select("event_id", F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"), (F.col("event_id") % 7).alias("cache_read"), F.lit(None).cast("long").alias("cache_write"))
+    rows = read(s, d, "events").select("event_id", F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"), (F.col("event_id") % 7 * 2).alias("cache_read"), F.lit(None).cast("long").alias("cache_write"))
     return rows.select("event_id", turns.cost().alias("cost"))
 
 
