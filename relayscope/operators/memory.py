@@ -132,7 +132,8 @@ def superseded(memories: DataFrame, old_id, now: datetime) -> DataFrame:
 
 def clamped(value: Column) -> Column:
     """A confidence between 0 and 1; 0.5 for what is no number."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value.try_cast("double"))), F.lit(0.5))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
 
 
 def admissible(statement: Column, confidence: Column) -> Column:

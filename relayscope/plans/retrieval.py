@@ -291,7 +291,7 @@ def value():
     return F.get(F.array(*map(F.lit, ("0.7", "1.5", "-2", "x", "0.2"))), (F.col("event_id") % 5).cast("int"))
 
 
-@query(f"SELECT event_id, coalesce(least(1.0, greatest(0.0, try_cast({VALUE} AS DOUBLE))), 0.5)::DOUBLE AS confidence FROM events")
+@query(f"SELECT event_id, CASE WHEN try_cast({VALUE} AS DOUBLE) IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, try_cast({VALUE} AS DOUBLE))) END::DOUBLE AS confidence FROM events")
 def clamp(s, d):
     return read(s, d, "events").select("event_id", memory.clamped(value()).alias("confidence"))
 
