@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayscope.llm.shared import dropped, written
 
 
+#: Edges that one task works through in about a second.
+SMALL = 200_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component of each end of ``edges`` (columns a and b): the smallest id that it reaches.
 
@@ -19,18 +23,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def state(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def both_ways(rows: DataFrame, one: Column, two: Column) -> DataFrame:
+        return rows.select(F.explode(F.array(one, two)).alias("e")).select("e.a", "e.b").where("a <> b")
+
+    def edge(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
     before = state(now)
     while before[0]:
+        # A table this small is one partition; no step below then moves a row.
+        edges = now.coalesce(1) if before[0] <= SMALL else now
         # Large star: every larger neighbour of a vertex goes to the vertex's least neighbour, itself included.
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both_ways(edges, edge("a", "b"), edge("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a vertex's smaller neighbours and itself go to the least of them.
-        large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a")
-        small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = written(small.where("a <> b").distinct(), "edges")
+        after = written(both_ways(large.join(least, "a"), edge("b", "m"), edge("a", "m")).distinct(), "edges")
         last, before = before, state(after)
         dropped(now)
         now = after

@@ -101,7 +101,7 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             for lo, hi, words, counts in word_hashes(texts, NOT_ALPHANUMERIC):
                 found, sizes = hashed_features(words, counts)
                 sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[found], minlength=len(sizes))
-                score = 1 / (1 + np.exp(-np.clip(sums + bias, -700, 700)))
+                score = 1 / (1 + np.exp(-np.clip(sums + bias, -700, 700))) if np.isfinite(bias) else np.zeros(len(sums))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(score)], names=["doc_id", "score"])
 
     return scored
