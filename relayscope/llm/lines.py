@@ -30,8 +30,17 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
+def segments(line: Column, length: Column, edits: int) -> Column:
+    """Names of the line's segments, with its length."""
+    out = []
+    for i in range(edits + 1):
+        start, size = segment(length, i, edits)
+        out.append(F.xxhash64(F.lit(i), length, F.substr(line, start, size)))
+    return F.array(*out)
+
+
 def probes(line: Column, length: Column, edits: int) -> Column:
-    """(key, own): names of segments of the line, and of its substrings where a shorter line's segment may be."""
+    """Names of the line's substrings where a line up to ``edits`` shorter may have a segment; null where none fits."""
     out = []
     for less in range(edits + 1):
         shorter = length - less
@@ -39,11 +48,9 @@ def probes(line: Column, length: Column, edits: int) -> Column:
             start, size = segment(shorter, i, edits)
             # At most i edits before the segment, and at most edits - i after it.
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                own = less == 0 and shift == 0
                 inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                key = F.xxhash64(F.lit(i), shorter, F.substr(line, start + shift, size))
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append(F.when(inside, F.xxhash64(F.lit(i), shorter, F.substr(line, start + shift, size))))
+    return F.array(*out)
 
 
 def letter_counts(line: Column) -> Column:
@@ -105,10 +112,10 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
     """a, b (ids, a < b) of the pairs of ``lines`` (id, line, n: characters) within ``edits`` edits."""
-    named = lines.withColumn("letters", letter_counts(F.col("line")))
-    rows = named.select("id", "letters", "n", F.explode(probes(F.col("line"), F.col("n"), edits)).alias("x")).select("id", "letters", "n", "x.key", "x.own")
-    index = rows.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("al"), F.col("n").alias("an"))
-    probing = rows.select("key", F.col("id").alias("b"), F.col("letters").alias("bl"), F.col("n").alias("bn"), "own")
+    named = written(lines.withColumn("letters", letter_counts(F.col("line"))), "letters")
+    line, n = F.col("line"), F.col("n")
+    index = named.select(F.col("id").alias("a"), F.col("letters").alias("al"), F.col("n").alias("an"), F.explode(segments(line, n, edits)).alias("key"))
+    probing = named.select(F.col("id").alias("b"), F.col("letters").alias("bl"), F.col("n").alias("bn"), F.explode(probes(line, n, edits)).alias("key")).where("key is not null")
     near = (F.col("a") != F.col("b")) & (letters_apart(F.col("al"), F.col("bl")) <= 2 * edits) & (F.abs(F.col("an") - F.col("bn")) <= edits)
     # Lines of one length find each other from both sides.
     near = near & ((F.col("an") != F.col("bn")) | (F.col("a") < F.col("b")))
