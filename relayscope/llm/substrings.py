@@ -43,8 +43,8 @@ BLOCK = 1 << 18
 #: Rows that are compared before they leave a task.
 ROWS = 200_000
 U = np.uint64
-NAMED = "one long, two long, doc long, at long, n int"
-SPANS = "doc long, at long, n int, open boolean"
+NAMED = "one long, two long, doc long, text_key long, at long, n int"
+SPANS = "doc long, text_key long, at long, n int, open boolean"
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,42 +161,46 @@ def runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by keys, document and place, and which of the ordered rows are the first of their keys."""
-    order = np.lexsort((at, doc, *reversed(keys)))
-    first = np.ones(len(order), bool)
-    if len(order) > 1:
-        first[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    return order, first
+def differ(*columns: np.ndarray) -> np.ndarray:
+    """Which rows aren't the same as the row before; the first one differs."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
 def first_of_their_names(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows of two names, document, place and size: the first of each pair of names.
+    """Rows of two names, document, its text's key, place and size: the first of each pair of names.
 
-    The others repeat for sure: they come without names, neighbours as one.
+    The others repeat for sure: they come without names, neighbours as one. A
+    row that is there twice (equal rows of the table are one document) counts once.
     """
-    one, two, doc, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, first = earliest((one, two), doc, at)
-    keep, rest = order[first], order[~first]
-    rest = rest[np.lexsort((at[rest], doc[rest]))]
-    start = np.ones(len(rest), bool)
-    start[1:] = (doc[rest][1:] != doc[rest][:-1]) | (at[rest][1:] != (at + n)[rest][:-1])
+    rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort(rows[4::-1])
+    rows = [x[order] for x in rows]
+    once = differ(*rows[:5])
+    one, two, doc, key, at, n = (x[once] for x in rows)
+    first = differ(one, two)
+    keep, rest = np.flatnonzero(first), np.flatnonzero(~first)
+    rest = rest[np.lexsort((at[rest], key[rest], doc[rest]))]
+    start = differ(doc[rest], key[rest])
+    start[1:] |= at[rest][1:] != (at + n)[rest][:-1]
     head = np.flatnonzero(start)
     sizes = np.add.reduceat(n[rest], head) if len(head) else n[:0]
     rest = rest[head]
     keys = [pa.array(np.r_[x[keep], x[rest]].view(np.int64), mask=np.arange(len(keep) + len(rest)) >= len(keep)) for x in (one, two)]
-    more = [pa.array(np.r_[x[keep], x[rest]]) for x in (doc, at)]
-    yield pa.RecordBatch.from_arrays([*keys, *more, pa.array(np.r_[n[keep], sizes].astype(np.int32))], names=["one", "two", "doc", "at", "n"])
+    more = [pa.array(np.r_[x[keep], x[rest]]) for x in (doc, key, at)]
+    yield pa.RecordBatch.from_arrays([*keys, *more, pa.array(np.r_[n[keep], sizes].astype(np.int32))], names=["one", "two", "doc", "text_key", "at", "n"])
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs, with a core's name and their own; see ``first_of_their_names``."""
     for batch in batches:
-        docs, parts = batch.column(0).to_numpy(), []
-        for data, rows, starts, before in blocks(batch.column(1)):
+        docs, keys, parts = batch.column("doc").to_numpy(), batch.column("text_key").to_numpy(), []
+        for data, rows, starts, before in blocks(batch.column("text")):
             core, whole, a, size = runs_of(data, starts)
             text = np.searchsorted(starts[1:], a, side="right")
-            parts.append((core, whole, docs[rows[text]], a - starts[text] + before[text], size))
+            parts.append((core, whole, docs[rows[text]], keys[rows[text]], a - starts[text] + before[text], size))
             if sum(len(x[0]) for x in parts) > ROWS:
                 yield from first_of_their_names(parts)
                 parts = []
@@ -204,8 +208,22 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from first_of_their_names(parts)
 
 
-def spans(doc: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(is_open)], names=["doc", "at", "n", "open"])
+def spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(doc), pa.array(key), pa.array(at), pa.array(n.astype(np.int32)), pa.array(is_open)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "text_key", "at", "n", "open"])
+
+
+def rows_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, without rows that equal the row before them but for the size."""
+    last = None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+        if len(rows[0]):
+            once = differ(*rows[:5])
+            once[0] = tuple(c[0] for c in rows[:5]) != last
+            last = tuple(c[-1] for c in rows[:5])
+            if once.any():
+                yield [c[once] for c in rows]
 
 
 def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +233,7 @@ def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     held = None  # the first run of the latest core, not known yet to have company
     last = None
-    for batch in batches:
-        core, whole, doc, at, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
-        if not len(core):
-            continue
+    for core, whole, doc, key, at, n in rows_once(batches):
         new_core, new_run = np.ones(len(core), bool), np.ones(len(core), bool)
         new_core[1:] = core[1:] != core[:-1]
         new_run[1:] = new_core[1:] | (whole[1:] != whole[:-1])
@@ -235,17 +250,17 @@ def judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
         pick = is_open | ~new_run
         if pick.any():
-            yield spans(doc[pick], at[pick], n[pick], is_open[pick])
+            yield spans(doc[pick], key[pick], at[pick], n[pick], is_open[pick])
         if group[-1] > 0:
             k = int(np.flatnonzero(new_core)[-1])
-            held = None if is_open[k] else (doc[k], at[k], n[k])
+            held = None if is_open[k] else (doc[k], key[k], at[k], n[k])
 
 
 def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The positions of open runs by their names; as ``find_runs`` does with runs."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        docs, parts = batch.column("doc").to_numpy(), []
+        docs, keys, parts = batch.column("doc").to_numpy(), batch.column("text_key").to_numpy(), []
         runs = batch.column("runs").to_pylist()
         for i in range(batch.num_rows):
             at, n = np.array([r["at"] for r in runs[i]]), np.array([r["n"] for r in runs[i]])
@@ -255,7 +270,7 @@ def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 here = place[(place >= lo) & (place < lo + BLOCK)]
                 if len(here):
                     _, long = names(text[lo : lo + BLOCK + LENGTH])
-                    parts.append((long[here - lo], long[here - lo + LENGTH - LONG], np.full(len(here), docs[i]), here, np.ones(len(here), np.int64)))
+                    parts.append((long[here - lo], long[here - lo + LENGTH - LONG], np.full(len(here), docs[i]), np.full(len(here), keys[i]), here, np.ones(len(here), np.int64)))
             if sum(len(x[0]) for x in parts) > ROWS:
                 yield from first_of_their_names(parts)
                 parts = []
@@ -266,14 +281,11 @@ def find_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def judge_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted positions, those that aren't the first of their name."""
     last = None
-    for batch in batches:
-        one, two, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-        if len(one):
-            again = np.zeros(len(one), bool)
-            again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            again[0] = (one[0], two[0]) == last
-            last = (one[-1], two[-1])
-            yield spans(doc[again], at[again], np.ones(again.sum()), np.zeros(again.sum(), bool))
+    for one, two, doc, key, at, _ in rows_once(batches):
+        again = ~differ(one, two)
+        again[0] = (one[0], two[0]) == last
+        last = (one[-1], two[-1])
+        yield spans(doc[again], key[again], at[again], np.ones(again.sum()), np.zeros(again.sum(), bool))
 
 
 def removed(text: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
@@ -311,30 +323,35 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     Matches don't cross documents, overlaps count, and strings are judged on the
     input. spans: the removed runs of bytes, [start, stop). Null counts as an
     empty text; a null doc_id comes before all others. Rows that repeat a doc_id
-    and its text are one document; rows of one doc_id with different texts are
-    judged as one document too, and what is removed at a place of one goes at
-    that place of all. An empty table gives an empty result; other columns are
+    and its text are one document and share its result; rows of one doc_id (or
+    of none) with different texts are documents of their own, in the order of 63
+    hashed bits of the text, by which they are told apart. An empty table gives an empty result; other columns are
     not read.
     """
     spark = documents.sparkSession
-    least = F.lit(-(2**63)).cast("long")
-    texts = documents.select(F.coalesce("doc_id", least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    lowest, highest = F.lit(-(2**63)).cast("long"), F.lit(2**63 - 1).cast("long")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # The sign tells a null doc_id from the lowest one.
+    hashed = F.xxhash64("text")
+    key = F.when(F.col("doc_id").isNull(), hashed.bitwiseOR(lowest)).otherwise(hashed.bitwiseAND(highest))
+    texts = texts.select(F.coalesce("doc_id", lowest).alias("doc"), key.alias("text_key"), "text", "doc_id")
+    document = ["doc", "text_key"]
     # A row without names is decided; such rows are dealt out evenly.
-    deal = F.coalesce("one", F.xxhash64("doc", "at"))
-    runs = texts.select("doc", "text").mapInArrow(find_runs, NAMED)
+    deal = F.coalesce("one", F.xxhash64(*document, "at"))
+    order = [F.col("one").isNull(), "one", "two", *document, "at"]
+    runs = texts.select(*document, "text").mapInArrow(find_runs, NAMED)
     runs = runs.withColumn("deal", deal).repartition("deal").drop("deal")
-    ordered = runs.sortWithinPartitions(F.col("one").isNull(), "one", "two", "doc", "at")
-    judged = written(ordered.mapInArrow(judge_all(judge_runs), SPANS), "runs")
+    judged = written(runs.sortWithinPartitions(*order).mapInArrow(judge_all(judge_runs), SPANS), "runs")
     released(spark)
-    open_runs = judged.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    positions = texts.select("doc", "text").join(open_runs, "doc").mapInArrow(find_positions, NAMED)
+    open_runs = judged.where("open").groupBy(*document).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    positions = texts.select(*document, "text").join(open_runs, document).mapInArrow(find_positions, NAMED)
     positions = positions.withColumn("deal", deal).repartition("deal").drop("deal")
-    ordered = positions.sortWithinPartitions(F.col("one").isNull(), "one", "two", "doc", "at")
-    again = written(ordered.mapInArrow(judge_all(judge_positions), SPANS), "positions")
+    again = written(positions.sortWithinPartitions(*order).mapInArrow(judge_all(judge_positions), SPANS), "positions")
     released(spark)
-    gone = judged.where("not open").select("doc", "at", "n").union(again.select("doc", "at", "n"))
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return texts.join(gone, "doc", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<at:bigint,n:int>>")).alias("runs")).mapInArrow(
+    gone = judged.where("not open").select(*document, "at", "n").union(again.select(*document, "at", "n"))
+    # A set: each of many equal rows may have told of the same repeats within it.
+    gone = gone.groupBy(*document).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    return texts.join(gone, document, "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<at:bigint,n:int>>")).alias("runs")).mapInArrow(
         cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
     )
 
@@ -356,7 +373,7 @@ def judge_all(judge):
 
         yield from judge(with_keys())
         for batch in (*rest, *batches) if rest else ():
-            doc, at, n = (batch.column(c).to_numpy() for c in (2, 3, 4))
-            yield spans(doc, at, n, np.zeros(len(doc), bool))
+            doc, key, at, n = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
+            yield spans(doc, key, at, n, np.zeros(len(doc), bool))
 
     return judged

@@ -173,6 +173,26 @@ def test_repeated_substrings(spark, none, monkeypatch):
     assert substrings.repeated_substrings(none).collect() == []
 
 
+def test_repeated_substrings_of_rows_that_share_a_doc_id(spark):
+    """Rows with a doc_id in common, or without one, lose only what another document has before them."""
+    here = random.Random(17)
+    made = lambda n: " ".join("".join(here.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    same, twice, shared, own, nulls = made(40), made(30), made(40), [made(50) for _ in range(3)], [made(60) for _ in range(3)]
+    inner = twice + "|" + twice
+    rows = [(12, same), (12, same), (13, inner), (13, inner), (None, nulls[0]), (None, nulls[0]), (None, nulls[1] + nulls[0]), (None, nulls[2]), (-(2**63), nulls[2])]
+    rows += [(14, own[0] + shared), (14, own[1] + shared), (14, "short"), (15, own[2]), (15, own[2] + made(200) + own[2])]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substrings.repeated_substrings(frame(spark, rows)).collect()]
+    lost = lambda i, t: sorted(x for a, b, x in got if a == i and b == len(t))
+    assert sorted((i is not None, i or 0, b) for i, b, _ in got) == sorted((i is not None, i or 0, len(t)) for i, t in rows)
+    assert lost(12, same) == [0, 0] and lost(13, inner) == [len(twice)] * 2 and lost(14, "short") == [0]
+    # A clean row without doc_id stays whole; of equal texts the null comes before the lowest doc_id.
+    assert [x for i, t, x in got if i is None and t == len(nulls[2])].count(0) >= 1 and lost(-(2**63), nulls[2]) == [len(nulls[2])]
+    # Of two texts of one doc_id with a passage in common, one loses it and the other nothing.
+    assert lost(14, own[0] + shared) == [0, len(shared)]
+    assert sum(x for i, _, x in got if i is None) in (2 * len(nulls[0]), len(nulls[0]))
+    assert sum(x for i, _, x in got if i == 15) == 2 * len(own[2])
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 1000)
     import pyarrow as pa
