@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared folder and reads it again as the next one's docs.
+
+A row is known by its doc_id and its text's digest: a doc_id may be null or
+belong to several texts, and what is decided of one of them holds for no other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.llm import exact_dedup, minhash, mixing, packing, toxicity
@@ -20,25 +23,54 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null is one) isn't among the doc_ids to drop."""
-    gone = decisions.select(F.col("doc_id").alias("pipeline_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("pipeline_gone")), "left_anti")
+#: The column with a text's digest.
+DIGEST = "pipeline_text_sha256"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with DIGEST; null counts as an empty text."""
+    return docs.withColumn(DIGEST, F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def same_row(keys: DataFrame, digest: str, *more: str) -> tuple[DataFrame, Column]:
+    """The keys under names of their own, and the condition that a keyed row has one of them (null is a doc_id)."""
+    named = keys.select(F.col("doc_id").alias("pipeline_id"), F.col(digest).alias("pipeline_digest"), *more)
+    return named, F.col("doc_id").eqNullSafe(F.col("pipeline_id")) & (F.col(DIGEST) == F.col("pipeline_digest"))
+
+
+def kept(docs: DataFrame, gone: DataFrame, digest: str = DIGEST) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text aren't those of a row of ``gone``."""
+    keys, same = same_row(gone.select("doc_id", digest).distinct(), digest)
+    return keyed(docs).join(keys, same, "left_anti").drop(DIGEST)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier predicts to be toxic."""
-    return kept(docs, toxicity.toxicity_scores(docs, labels(spark, sf_dir)).where("predicted = 1"))
+    return kept(docs, toxicity.toxicity_scores(keyed(docs), labels(spark, sf_dir), carried=(DIGEST,)).where("predicted = 1"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return kept(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    """Of equal texts, the row with the largest doc_id stays, and one if several have it."""
+    copies = written(exact_dedup.exact_duplicates(docs).where("group_size > 1").select("doc_id", "text_sha256", "kept"), "copies")
+    again = copies.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
+    out = kept(docs, copies.where("not kept").select("doc_id", "text_sha256").union(again), "text_sha256")
+    if again.isEmpty():
+        return out
+    keys, same = same_row(again, "text_sha256")
+    return out.union(keyed(docs).join(keys, same, "left_semi").dropDuplicates(["doc_id", DIGEST]).drop(DIGEST))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts (shingles of five words, similarity 0.8), the row with the smallest doc_id stays."""
-    return kept(docs, minhash.near_duplicates(docs).where("not kept"))
+    """Of linked texts (shingles of five words, similarity 0.8), the row with the smallest doc_id stays; null is the smallest.
+
+    The operator knows rows by doc_id, so each pair of doc_id and text gets a number in their order.
+    """
+    keys = keyed(docs).select("doc_id", DIGEST).distinct().repartitionByRange("doc_id", DIGEST).sortWithinPartitions("doc_id", DIGEST)
+    numbers = written(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    named, same = same_row(numbers, DIGEST, "number")
+    numbered = written(keyed(docs).join(named, same).select(F.col("number").alias("doc_id"), "text"), "numbered")
+    gone = minhash.near_duplicates(numbered).where("not kept").select(F.col("doc_id").alias("number")).distinct()
+    return kept(docs, numbers.join(gone, "number", "left_semi"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

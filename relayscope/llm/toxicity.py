@@ -91,24 +91,25 @@ def shard_trainer(how: Settings) -> Callable[[pa.Table], pa.Table]:
     return train
 
 
-def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scorer(model, carried: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, values, bias = model.value
         w = np.zeros(1 << BITS)
         w[features] = values
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts, *more = batch.columns
             for lo, hi, words, counts in word_hashes(texts, NOT_ALPHANUMERIC):
                 found, sizes = hashed_features(words, counts)
                 sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[found], minlength=len(sizes))
                 score = 1 / (1 + np.exp(-np.clip(sums + bias, -700, 700))) if np.isfinite(bias) else np.zeros(len(sums))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(score)], names=["doc_id", "score"])
+                columns = [ids.slice(lo, hi - lo), pa.array(score), *(c.slice(lo, hi - lo) for c in more)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", *carried])
 
     return scored
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, how: Settings | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``documents``.
+def toxicity_scores(documents: DataFrame, labels: DataFrame, how: Settings | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns ``carried`` (strings) of each row of ``documents``.
 
     Learns from the documents that ``labels.toxic`` marks 0 or 1, but for those
     held out: crc32 of doc_id as text, modulo 5, is 0. A doc_id that is labelled
@@ -140,5 +141,5 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, how: Settings | Non
     learned = int(rest.n.sum())
     bias = rest.w.sum() / learned if learned else -np.inf
     sent = spark.sparkContext.broadcast((used.feature.to_numpy(), used.w.to_numpy() / max(learned, 1), bias))
-    scores = documents.select("doc_id", "text").mapInArrow(scorer(sent), "doc_id long, score double")
-    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scores = documents.select("doc_id", "text", *carried).mapInArrow(scorer(sent, carried), ", ".join(["doc_id long, score double", *(f"{c} string" for c in carried)]))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carried)

@@ -45,3 +45,27 @@ def test_each_stage_decides_on_its_predecessors_rows(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(seen["mixing"])
     full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert full.where("n > 2048").isEmpty()
+
+
+def test_rows_that_share_a_doc_id_or_have_none_are_decided_apart(spark, tmp_path):
+    clean, base = [(i, prose(40)) for i in range(300)], prose(60)
+    toxic = [(1000 + i, prose(20) + " toadface " + prose(20)) for i in range(60)]
+    rude, fine, shared = prose(15) + " toadface " + prose(15), [prose(40) for _ in range(4)], prose(40)
+    odd = [(None, rude), (None, fine[0]), (2000, rude), (2000, fine[1])]  # toxic and clean
+    odd += [(None, shared), (3000, shared), (3001, fine[2]), (3001, fine[2]), (None, fine[3]), (None, fine[3])]  # copies
+    odd += [(4000, base), (None, base + " tail"), (4001, base + " end"), (4001, prose(30))]  # near copies
+    rows = [(i, t, "en", "src0", len(t)) for i, t in clean + toxic + odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = [(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, mine = [], set(odd)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        seen.append(sorted((x for x in rows if x in mine), key=str))
+    left = lambda gone: sorted((x for x in odd if x not in gone), key=str)
+    assert seen[0] == left([(None, rude), (2000, rude)])
+    once = [x for x in left([(None, rude), (2000, rude), (None, shared)]) if x[1] not in fine[2:]] + [(3001, fine[2]), (None, fine[3])]
+    assert seen[1] == sorted(once, key=str)
+    # Null is the smallest doc_id: its near copies go, the other text of 4001 stays.
+    assert seen[2] == sorted((x for x in once if x[1] not in (base, base + " end")), key=str)
