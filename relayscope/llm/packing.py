@@ -12,6 +12,7 @@ length by Spark, and the number says which sequence and offset a piece gets.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,13 +33,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 @lru_cache(maxsize=1)
-def encoder(ranks: str):
-    """The byte-level BPE of a rank file; its ids are those of the ``tokenizers`` file of the same vocabulary."""
+def encoder(ranks: str, vocabulary: str):
+    """The byte-level BPE of a rank file; its ids are those of the ``tokenizers`` file of the same vocabulary.
+
+    That file's added tokens are tokens wherever a text spells them, special ones too.
+    """
     import tiktoken
 
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"]]:
+        raise ValueError(f"added tokens that depend on what is around them: {odd}")
+    special = {t["content"]: t["id"] for t in added}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -47,9 +56,9 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def piece_maker(ranks: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def piece_maker(ranks: str, vocabulary: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(ranks).encode_ordinary, TaskContext.get().partitionId()
+        coding, part = encoder(ranks, vocabulary), TaskContext.get().partitionId()
         seen = [0] * (most + 1)
         for batch in batches:
             out: list[tuple] = []
@@ -57,7 +66,7 @@ def piece_maker(ranks: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], I
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 if (pieces := known.get(text)) is None:
-                    ids = np.array([*encode(text), SEPARATOR], "<u4")
+                    ids = np.array([*coding.encode(text, allowed_special="all"), SEPARATOR], "<u4")
                     pieces = known[text] = [(a, b - a, zlib.crc32(ids[a:b])) for a, b in cut(len(ids), most)]
                 for k, (start, length, crc) in enumerate(pieces):
                     out.append((doc, k, start, length, crc, part, seen[length]))
@@ -139,17 +148,19 @@ def placer(table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Calla
     return placed
 
 
-def packed(documents: DataFrame, ranks: str | None = None, most: int = SEQUENCE) -> DataFrame:
+def packed(documents: DataFrame, ranks: str | None = None, most: int = SEQUENCE, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of ``documents``.
 
     A document is the ids of its whole text and then SEPARATOR; null counts as
     an empty text, which is the separator alone. Documents over ``most`` tokens
     are cut, the first piece taking what is over. Every row is a document of its
     own, repeated rows and null doc_ids too. An empty table gives an empty
-    result; other columns are not read. ranks: the rank file of the vocabulary.
+    result; other columns are not read. ranks: the rank file of the vocabulary;
+    vocabulary: its ``tokenizers`` file, for the added tokens.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = written(documents.select("doc_id", "text").mapInArrow(piece_maker(ranks, most), PIECES), "pieces")
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    pieces = written(documents.select("doc_id", "text").mapInArrow(piece_maker(ranks, vocabulary, most), PIECES), "pieces")
     # The number of a piece among all of its length: its place in its part, after the parts before.
     parts = pieces.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

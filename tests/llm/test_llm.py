@@ -233,6 +233,21 @@ def test_packing(odd, none):
     assert packing.packed(none).collect() == []
 
 
+def test_packing_of_texts_that_spell_an_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"{end} hi", f"hi  {end}  there", f"a{end}{end}b \n{end}", end, f"<|endoftext|{end}|>", f"É{end}é\t {end} "]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert tokenizer.token_to_id(end) in ids
+        want[i] = (0, len(ids), zlib.crc32(ids))
+    assert by_id(packing.packed(frame(spark, list(enumerate(texts)))), "start", "length", "ids_crc32") == want
+
+
 def test_two_pieces_replace_the_shortest():
     # Greedy takes 6 and then 3; 2 + 2 fill the sequence of 10 that 6 + 3 leaves open.
     kinds = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
