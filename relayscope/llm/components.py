@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from relayscope.llm.shared import dropped, written
 
 
-#: Edges that one task works through in about a second.
-SMALL = 200_000
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component of each end of ``edges`` (columns a and b): the smallest id that it reaches.
 
@@ -19,9 +15,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is a few groupings with a combine on the map side, so a vertex with
     very many neighbours is no task of its own.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    def state(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def both_ways(rows: DataFrame, one: Column, two: Column) -> DataFrame:
         return rows.select(F.explode(F.array(one, two)).alias("e")).select("e.a", "e.b").where("a <> b")
@@ -29,20 +22,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def edge(a: str, b: str) -> Column:
         return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
-    before = state(now)
+    def kept(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The distinct edges, from the larger end to the smaller, and what tells them from other sets of edges."""
+        table = written(rows.distinct(), "edges")
+        return table, tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now, before = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while before[0]:
-        # A table this small is one partition; no step below then moves a row.
-        edges = now.coalesce(1) if before[0] <= SMALL else now
         # Large star: every larger neighbour of a vertex goes to the vertex's least neighbour, itself included.
-        both = both_ways(edges, edge("a", "b"), edge("b", "a"))
+        both = both_ways(now, edge("a", "b"), edge("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: a vertex's smaller neighbours and itself go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = written(both_ways(large.join(least, "a"), edge("b", "m"), edge("a", "m")).distinct(), "edges")
-        last, before = before, state(after)
+        after, state = kept(both_ways(large.join(least, "a"), edge("b", "m"), edge("a", "m")))
         dropped(now)
-        now = after
+        now, last, before = after, before, state
         if last == before:
             break
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -7,12 +7,12 @@ Signatures are cut into bands; texts that agree on a band are compared by exact
 Jaccard similarity of their shingle sets.
 
 Equal sets are one class from the start. Within a bucket of a band not all pairs
-are compared: first each member with the bucket's smallest, and then, only in
-buckets that still hold several components, ever larger blocks of the members
-outside the main component with the members of other components. A pair is left
-out where bit marks of both sets, or the shingles that a text shares with any
-text at all, show that they are too few for a link. When the rounds end, every other pair of a bucket that is not in one
-component has been compared, so the components are those of all pairs.
+are compared: first each member with the bucket's smallest. What then lies in
+buckets of several components is compared by an exact prefix join: with the
+shingles in one order, rarest first, two sets that are similar enough have a
+first shingle in common whose places in both leave enough behind them. Only
+pairs of different components that meet in such a shingle are compared in full,
+so that after it every other pair of a bucket is in one component or no link.
 """
 
 from __future__ import annotations
@@ -21,18 +21,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relayscope.llm.components import connected_components
-from relayscope.llm.shared import dropped, released, written
+from relayscope.llm.shared import row_keys, written
 from relayscope.llm.words import mixed, shingle_sets, word_hashes
 
 V = np.uint32
 #: Rows of a band; with so few, a pair at the threshold is all but sure to share a band.
 ROWS = 4
-#: Bits of the marks that bound what two sets share.
-MARKS = 2048
 #: The chance that a pair at the threshold shares no band is below this.
 MISSED = 1e-7
 
@@ -84,7 +82,7 @@ def set_digests(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 def sketcher(size: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            docs, text_keys, texts = batch.columns
             for lo, hi, words, counts in word_hashes(texts):
                 sets, sizes = shingle_sets(words, counts, size)
                 one, two = set_digests(sets, sizes)
@@ -92,8 +90,8 @@ def sketcher(size: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 ends = np.cumsum(np.where(sizes > 0, bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    [docs.slice(lo, hi - lo), text_keys.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
+                    names=["doc", "text_key", "n_shingles", "d1", "d2", "bands"],
                 )
 
     return sketched
@@ -107,7 +105,7 @@ def set_maker(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 sets, sizes = shingle_sets(words, counts, size)
                 at = np.r_[0, np.cumsum(sizes) * 8].astype(np.int64)
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(sets.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), column.cast(pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), column.cast(pa.binary())], names=["vertex", "shingles"])
 
     return made
 
@@ -130,144 +128,110 @@ def linker(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return linked
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, growth: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``documents``.
+def near_groups(documents: DataFrame, shingle: int, percent: int, with_nulls: bool) -> DataFrame:
+    """doc, text_key, n_shingles, first_doc, first_key of each row of ``documents``; see ``row_keys``.
 
-    ASCII letters are lower-cased; words are runs without ASCII white space; a
-    document's set holds its distinct shingles of ``shingle`` words, or its
-    whole sequence if that is shorter. Documents are linked from a Jaccard
-    similarity of ``percent`` / 100; component_id is the smallest doc_id that
-    links reach, and the document with that doc_id is kept. Null or wordless
-    texts have no shingles, no links, and are kept. Rows that repeat a doc_id
-    share one fate; a row with a null doc_id is linked with nothing, and kept.
-    An empty table gives an empty result; other columns are not read.
-
-    growth: so many members outside the main component does a bucket compare in
-    the third round; each later round takes so many times as many.
+    first_doc and first_key: the smallest row that links reach, itself included.
+    Rows are known by their doc_id and text, so that a doc_id may have several
+    texts. with_nulls: rows with a null doc_id, the smallest of all, take part;
+    else they are linked with nothing. Nor are texts without words.
     """
-    spark = documents.sparkSession
-    bands = bands_for(percent / 100)
-    texts = documents.select("doc_id", "text")
-    sketches = written(
-        texts.mapInArrow(sketcher(shingle, bands), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"),
-        "sketches",
-    )
-    sound = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = written(
-        sound.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("id"), F.col("m.bands").alias("bands")),
-        "classes",
-    )
-    spread = classes.select("id", "n_shingles", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
+    bands, row = bands_for(percent / 100), ["doc", "text_key"]
+    texts = row_keys(documents).select(*row, "text")
+    sketches = written(texts.mapInArrow(sketcher(shingle, bands), "doc long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
+    sound = sketches.where("n_shingles > 0") if with_nulls else sketches.where("n_shingles > 0 and text_key >= 0")
+    of_set = ["d1", "d2", "n_shingles"]
+    least = sound.groupBy(*of_set).agg(F.min(F.struct(*row, "bands")).alias("m"))
+    classes = written(least.select(*of_set, F.col("m.doc").alias("doc"), F.col("m.text_key").alias("text_key"), F.col("m.bands").alias("bands"), F.monotonically_increasing_id().alias("vertex")), "classes")
+    spread = classes.select("vertex", "n_shingles", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("vertex", "n_shingles")).alias("pivot")).where("members > 1")
     buckets = written(spread.join(shared, "band"), "buckets")
-    involved = buckets.select("id").distinct()
-    sets = written(
-        texts.join(involved, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(set_maker(shingle), "id long, shingles binary"),
-        "sets",
-    )
-    released(spark)
+    involved = classes.join(buckets.select("vertex").distinct(), "vertex", "left_semi").select(*row, "vertex")
+    sets = written(texts.join(involved, row).dropDuplicates(row).select("vertex", "text").mapInArrow(set_maker(shingle), "vertex long, shingles binary"), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b").join(
-            sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a"
+        """Of distinct pairs (a, b), those that are similar enough."""
+        full = pairs.join(sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("two")), "b").join(
+            sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("one")), "a"
         )
         return written(full.select("a", "b", "one", "two").mapInArrow(linker(percent), "a long, b long"), "links")
 
-    def close(one: str, two: str):
-        return F.least(one, two) * 100 >= F.greatest(one, two) * percent
-
-    # First round: all members with the bucket's smallest.
-    sizes = classes.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pivot_size"))
-    stars = buckets.where("id <> pivot").select("pivot", "id", "n_shingles").distinct().join(sizes, "pivot")
-    edges = links(stars.where(close("n_shingles", "pivot_size")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    n, pivot_n = F.col("n_shingles"), F.col("pivot.n_shingles")
+    stars = buckets.where((F.col("vertex") != F.col("pivot.vertex")) & (F.least(n, pivot_n) * 100 >= F.greatest(n, pivot_n) * percent))
+    edges = links(stars.select(F.col("pivot.vertex").alias("a"), F.col("vertex").alias("b")).distinct())
     components = written(connected_components(edges), "components")
-    # What a class shares with any other here bounds every similarity that it can have.
-    several = split_buckets(buckets.where("n > 2"), components)
-    alone = (
-        sets.join(several.select("id").distinct(), "id", "left_semi")
-        .mapInArrow(exploded, "id long, shingle long")
-        .groupBy("shingle")
-        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        .where("n = 1")
-        .groupBy("id")
-        .agg(F.count("*").alias("alone"))
-    )
-    able = several.select("band", "id", "n_shingles").join(alone, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    able = able.where(F.col("common") * 100 >= F.col("n_shingles") * percent).withColumn("rest", 1 - F.col("common") / F.col("n_shingles"))
-    marks = sets.mapInArrow(marked, "id long, marks array<long>")
-    able = written(able.join(marks, "id"), "able")
-    order = Window.partitionBy("band").orderBy("rest", "id")
-    most = shared_at_most(F.col("n_shingles"), F.col("marks"), F.col("ps"), F.col("pk"))
-    block = 1
-    while True:
-        # Later rounds: a block of the members outside the component of the one that shares most, with all other components.
-        open_rows = written(split_buckets(able, components), "open")
-        first = open_rows.groupBy("band").agg(F.min_by("c", F.struct("rest", "id")).alias("main"))
-        outside = open_rows.join(first, "band").where(F.lit(block == 1) | (F.col("c") != F.col("main")))
-        largest = outside.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-        if not largest:
-            break
-        chosen = outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= block)
-        chosen = chosen.select("band", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n_shingles").alias("ps"), F.col("marks").alias("pk"))
-        pairs = (
-            chosen.join(open_rows, "band")
-            .where((F.col("pc") != F.col("c")) & (most * 100 >= (F.col("n_shingles") + F.col("ps") - most) * percent))
-            .select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-            .distinct()
-        )
-        more = links(pairs)
-        if not more.isEmpty():
-            edges = edges.select("a", "b").union(more.select("a", "b"))
-            components = written(connected_components(edges), "components")
-        dropped(open_rows)
-        released(spark)
-        if block > 1 and largest <= block:
-            break
-        block *= growth
-    named = classes.join(components, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    return (
-        sketches.select("doc_id", "n_shingles", "d1", "d2")
-        .join(named, ["d1", "d2", "n_shingles"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-            (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"),
-        )
+    more = links(candidates(buckets.where("members > 2"), components, sets, percent))
+    if not more.isEmpty():
+        components = connected_components(edges.union(more))
+    # The smallest row of a component, by way of the classes.
+    placed = classes.select(*of_set, *row, "vertex").join(components.withColumnRenamed("id", "vertex"), "vertex", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "vertex"))
+    firsts = placed.groupBy("component").agg(F.min(F.struct(*row)).alias("first"))
+    named = placed.join(firsts, "component").select(*of_set, "first")
+    rows = sketches.select(*row, *of_set).join(named, of_set, "left")
+    alone = F.col("first").isNull() if with_nulls else F.col("first").isNull() | (F.col("text_key") < 0)
+    first = F.when(alone, F.struct(*row)).otherwise(F.col("first"))
+    return rows.select(*row, "n_shingles", first["doc"].alias("first_doc"), first["text_key"].alias("first_key"))
+
+
+def candidates(buckets: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components, in buckets (band, vertex) of several, that may still be links."""
+    parts = components.groupBy("component").agg(F.count("*").alias("part"))
+    placed = buckets.select("band", "vertex", "n_shingles").join(components.withColumnRenamed("id", "vertex"), "vertex", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "vertex"))
+    several = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+    members = placed.join(several, "band", "left_semi").select("vertex", "n_shingles", "component").distinct()
+    members = written(members.join(parts, "component", "left").withColumn("part", F.coalesce("part", F.lit(1))), "members")
+    each = sets.join(members.select("vertex"), "vertex", "left_semi").mapInArrow(exploded, "vertex long, shingle long")
+    common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    # What no other set has comes first in the order, as it is rarest.
+    order = each.join(common, "shingle").groupBy("vertex").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))
+    alone = F.col("n_shingles") - F.size("order")
+    within = F.floor(F.col("n_shingles") * (100 - percent) / 100).cast("int") + 1 - alone
+    prefixes = order.join(members, "vertex").select(
+        "vertex", "n_shingles", "component", "part", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(within, F.lit(0)).cast("int"))).alias("at", "s")
     )
-
-
-def split_buckets(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of those buckets that hold several components, with their component c."""
-    placed = rows.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    split = placed.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band")
-    return placed.join(split, "band")
-
-
-def shared_at_most(n: Column, marks: Column, m: Column, others: Column) -> Column:
-    """A bound of what two sets of n and m shingles share: a mark that only one has is a shingle that only it has."""
-    one, two = F.lit(0), F.lit(0)
-    for k in range(MARKS // 64):
-        one = one + F.bit_count(marks[k].bitwiseAND(F.bitwise_not(others[k])))
-        two = two + F.bit_count(others[k].bitwiseAND(F.bitwise_not(marks[k])))
-    return F.least(n - one, m - two)
-
-
-def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MARKS bits for each set, those at its shingles modulo MARKS."""
-    for batch in batches:
-        out = np.zeros((batch.num_rows, MARKS), np.uint8)
-        for i, x in enumerate(batch.column("shingles")):
-            out[i, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(MARKS)).astype(np.int64)] = 1
-        words = np.packbits(out, axis=1, bitorder="little").view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "marks"])
+    prefixes = prefixes.select("vertex", "n_shingles", "component", "part", F.col("s.shingle").alias("shingle"), (F.col("n_shingles") - F.col("alone") - F.col("at")).alias("behind"))
+    prefixes = written(prefixes, "prefixes")
+    # Of a shingle's sets, those outside its largest component meet all the others.
+    largest = prefixes.groupBy("shingle").agg(F.max(F.struct("part", "component")).alias("main"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+    outside = prefixes.join(largest.select("shingle", F.col("main.component").alias("main")), "shingle").where("component <> main")
+    outside = outside.select("shingle", "main", F.col("vertex").alias("p"), F.col("n_shingles").alias("np"), F.col("component").alias("cp"), F.col("behind").alias("bp"))
+    once = (F.col("component") == F.col("main")) | (F.col("vertex") < F.col("p"))
+    enough = F.least("behind", "bp") * (100 + percent) >= (F.col("n_shingles") + F.col("np")) * percent
+    pairs = prefixes.join(outside, "shingle").where((F.col("component") != F.col("cp")) & once & enough)
+    return pairs.select(F.least("vertex", "p").alias("a"), F.greatest("vertex", "p").alias("b")).distinct()
 
 
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each set."""
     for batch in batches:
-        ids, sets = batch.column("id").to_numpy(), batch.column("shingles")
+        vertices, sets = batch.column("vertex").to_numpy(), batch.column("shingles")
         for i in range(batch.num_rows):
             shingles = np.frombuffer(sets[i].as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), ids[i])), pa.array(shingles)], names=["id", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), vertices[i])), pa.array(shingles)], names=["vertex", "shingle"])
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``documents``.
+
+    ASCII letters are lower-cased; words are runs without ASCII white space; a
+    document's set holds its distinct shingles of ``shingle`` words, or its
+    whole sequence if that is shorter. Documents are linked from a Jaccard
+    similarity of ``percent`` / 100; component_id is the smallest doc_id that
+    links reach, and the document with that doc_id is kept. Null or wordless
+    texts have no shingles, no links, and are kept. Rows of one doc_id with
+    different texts are documents of their own, each with its own links; equal
+    rows share one fate. A row with a null doc_id is linked with nothing, and
+    kept. An empty table gives an empty result; other columns are not read.
+    """
+    groups = near_groups(documents, shingle, percent, with_nulls=False)
+    no_id = F.col("text_key") < 0
+    doc_id, first = F.when(~no_id, F.col("doc")), F.when(~no_id, F.col("first_doc"))
+    return groups.select(doc_id.alias("doc_id"), "n_shingles", first.alias("component_id"), (no_id | (F.col("doc") == F.col("first_doc"))).alias("kept"))
+
+
+def rows_to_drop(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc, text_key (see ``row_keys``) of the rows that ``near_duplicates`` would drop, each once; here null doc_ids, the smallest, take part, and of each group one row stays."""
+    groups = near_groups(documents, shingle, percent, with_nulls=True)
+    return groups.where("doc <> first_doc or text_key <> first_key").select("doc", "text_key").distinct()

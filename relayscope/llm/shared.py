@@ -11,7 +11,27 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+
+
+def row_key() -> tuple[Column, Column]:
+    """doc, text_key: what tells a row with doc_id and text from all that differ from it.
+
+    text_key has 63 hashed bits of the text, and its sign tells a null doc_id
+    from the lowest one. A null text counts as empty.
+    """
+    hashed, lowest = F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(LOWEST).cast("long")
+    key = F.when(F.col("doc_id").isNull(), hashed.bitwiseOR(lowest)).otherwise(hashed.bitwiseAND(F.lit(HIGHEST).cast("long")))
+    return F.coalesce("doc_id", lowest), key
+
+
+def row_keys(documents: DataFrame) -> DataFrame:
+    """doc, text_key, doc_id, text of ``documents``; a null text counts as empty."""
+    doc, key = row_key()
+    return documents.select(doc.alias("doc"), key.alias("text_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayscope.llm.shared import released, written
+from relayscope.llm.shared import released, row_keys, written
 from relayscope.llm.words import utf8
 
 LENGTH, SHORT, LONG = 100, 32, 64
@@ -329,12 +329,7 @@ def repeated_substrings(documents: DataFrame) -> DataFrame:
     not read.
     """
     spark = documents.sparkSession
-    lowest, highest = F.lit(-(2**63)).cast("long"), F.lit(2**63 - 1).cast("long")
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The sign tells a null doc_id from the lowest one.
-    hashed = F.xxhash64("text")
-    key = F.when(F.col("doc_id").isNull(), hashed.bitwiseOR(lowest)).otherwise(hashed.bitwiseAND(highest))
-    texts = texts.select(F.coalesce("doc_id", lowest).alias("doc"), key.alias("text_key"), "text", "doc_id")
+    texts = row_keys(documents)
     document = ["doc", "text_key"]
     # A row without names is decided; such rows are dealt out evenly.
     deal = F.coalesce("one", F.xxhash64(*document, "at"))

@@ -96,7 +96,29 @@ def test_near_duplicates(spark):
             words[rng.randrange(len(words))] = rng.choice(WORDS)
         rows.append((i, " ".join(words)))
     for n, percent in ((3, 85), (5, 80)):
-        assert by_id(minhash.near_duplicates(frame(spark, rows), n, percent, growth=2), "n_shingles", "component_id") == near_by_force(rows, n, percent)
+        assert by_id(minhash.near_duplicates(frame(spark, rows), n, percent), "n_shingles", "component_id") == near_by_force(rows, n, percent)
+
+
+def test_near_duplicates_of_several_texts_of_one_doc_id(spark):
+    one, two = prose(60), prose(60)
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " x"), (5, "alone " + prose(9)), (5, "alone " + prose(8))]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (5, 5, True)]
+    rows = [(None, one), (1, one + " x"), (None, two), (None, two + " x"), (4, two + " x"), (4, prose(30))]
+    left = sorted((r["doc"], r["text_key"]) for r in minhash.rows_to_drop(frame(spark, rows), 3, 85).collect())
+    assert len(left) == 3 and {i for i, _ in left} == {1, 4, -(2**63)}
+
+
+def test_near_duplicates_within_a_chained_family(spark):
+    """A bucket of many sets of which few are links of the smallest one."""
+    words = prose(80).split()
+    rows = []
+    for i in range(60):
+        at = rng.randrange(len(words) - 6)
+        words = words[:at] + [rng.choice(WORDS) for _ in range(rng.choice([1, 2]))] + words[at + rng.choice([0, 1, 2]) :]
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    assert by_id(minhash.near_duplicates(frame(spark, rows), 3, 85), "n_shingles", "component_id") == near_by_force(rows, 3, 85)
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
