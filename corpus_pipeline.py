@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.llm import exact_dedup, minhash, mixing, packing, toxicity
-from relayscope.llm.shared import written
+from relayscope.llm.shared import row_key, written
 
 #: Of the mixture's tokens, by the labels' quality.
 SHARES = {0: 0.1, 1: 0.9}
@@ -61,16 +61,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts (shingles of five words, similarity 0.8), the row with the smallest doc_id stays; null is the smallest.
-
-    The operator knows rows by doc_id, so each pair of doc_id and text gets a number in their order.
-    """
-    keys = keyed(docs).select("doc_id", DIGEST).distinct().repartitionByRange("doc_id", DIGEST).sortWithinPartitions("doc_id", DIGEST)
-    numbers = written(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
-    named, same = same_row(numbers, DIGEST, "number")
-    numbered = written(keyed(docs).join(named, same).select(F.col("number").alias("doc_id"), "text"), "numbered")
-    gone = minhash.near_duplicates(numbered).where("not kept").select(F.col("doc_id").alias("number")).distinct()
-    return kept(docs, numbers.join(gone, "number", "left_semi"))
+    """Of linked texts (shingles of five words, similarity 0.8), the row with the smallest doc_id stays; null is the smallest."""
+    gone = minhash.rows_to_drop(docs).select(F.col("doc").alias("pipeline_id"), F.col("text_key").alias("pipeline_key"))
+    doc, key = row_key()
+    return docs.join(gone, (doc == F.col("pipeline_id")) & (key == F.col("pipeline_key")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
