@@ -7,7 +7,7 @@ Signatures are cut into bands; texts that agree on a band are compared by exact
 Jaccard similarity of their shingle sets.
 
 Equal sets are one class from the start. Within a bucket of a band not all pairs
-are compared: first each member with the bucket's smallest. What then lies in
+are compared: first each member with the one that has most company. What then lies in
 buckets of several components is compared by an exact prefix join: with the
 shingles in one order, rarest first, two sets that are similar enough have a
 first shingle in common whose places in both leave enough behind them. Only
@@ -31,6 +31,10 @@ from relayscope.llm.words import mixed, shingle_sets, word_hashes
 V = np.uint32
 #: Rows of a band; with so few, a pair at the threshold is all but sure to share a band.
 ROWS = 4
+#: Bits of the marks that bound what only one of two sets has.
+MARKS = 2048
+#: Sets of a block.
+SETS = 256
 #: The chance that a pair at the threshold shares no band is below this.
 MISSED = 1e-7
 
@@ -144,7 +148,7 @@ def near_groups(documents: DataFrame, shingle: int, percent: int, with_nulls: bo
     least = sound.groupBy(*of_set).agg(F.min(F.struct(*row, "bands")).alias("m"))
     classes = written(least.select(*of_set, F.col("m.doc").alias("doc"), F.col("m.text_key").alias("text_key"), F.col("m.bands").alias("bands"), F.monotonically_increasing_id().alias("vertex")), "classes")
     spread = classes.select("vertex", "n_shingles", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("vertex", "n_shingles")).alias("pivot")).where("members > 1")
+    shared = spread.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = written(spread.join(shared, "band"), "buckets")
     involved = classes.join(buckets.select("vertex").distinct(), "vertex", "left_semi").select(*row, "vertex")
     sets = written(texts.join(involved, row).dropDuplicates(row).select("vertex", "text").mapInArrow(set_maker(shingle), "vertex long, shingles binary"), "sets")
@@ -157,7 +161,10 @@ def near_groups(documents: DataFrame, shingle: int, percent: int, with_nulls: bo
         return written(full.select("a", "b", "one", "two").mapInArrow(linker(percent), "a long, b long"), "links")
 
     n, pivot_n = F.col("n_shingles"), F.col("pivot.n_shingles")
-    stars = buckets.where((F.col("vertex") != F.col("pivot.vertex")) & (F.least(n, pivot_n) * 100 >= F.greatest(n, pivot_n) * percent))
+    # A bucket's pivot is the member with most company in all of its buckets.
+    company = buckets.groupBy("vertex").agg(F.sum("members").alias("company"))
+    pivots = buckets.join(company, "vertex").groupBy("band").agg(F.max(F.struct("company", "vertex", "n_shingles")).alias("pivot"))
+    stars = buckets.join(pivots, "band").where((F.col("vertex") != F.col("pivot.vertex")) & (F.least(n, pivot_n) * 100 >= F.greatest(n, pivot_n) * percent))
     edges = links(stars.select(F.col("pivot.vertex").alias("a"), F.col("vertex").alias("b")).distinct())
     components = written(connected_components(edges), "components")
     more = links(candidates(buckets.where("members > 2"), components, sets, percent))
@@ -181,26 +188,71 @@ def candidates(buckets: DataFrame, components: DataFrame, sets: DataFrame, perce
     placed = placed.withColumn("component", F.coalesce("component", "vertex"))
     several = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
     members = placed.join(several, "band", "left_semi").select("vertex", "n_shingles", "component").distinct()
-    members = written(members.join(parts, "component", "left").withColumn("part", F.coalesce("part", F.lit(1))), "members")
+    members = members.join(parts, "component", "left").withColumn("part", F.coalesce("part", F.lit(1)))
+    members = written(members.join(sets.mapInArrow(marked, "vertex long, marks binary"), "vertex"), "members")
     each = sets.join(members.select("vertex"), "vertex", "left_semi").mapInArrow(exploded, "vertex long, shingle long")
     common = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
     # What no other set has comes first in the order, as it is rarest.
     order = each.join(common, "shingle").groupBy("vertex").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("order"))
     alone = F.col("n_shingles") - F.size("order")
     within = F.floor(F.col("n_shingles") * (100 - percent) / 100).cast("int") + 1 - alone
-    prefixes = order.join(members, "vertex").select(
+    prefixes = order.join(members.drop("marks"), "vertex").select(
         "vertex", "n_shingles", "component", "part", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(within, F.lit(0)).cast("int"))).alias("at", "s")
     )
     prefixes = prefixes.select("vertex", "n_shingles", "component", "part", F.col("s.shingle").alias("shingle"), (F.col("n_shingles") - F.col("alone") - F.col("at")).alias("behind"))
     prefixes = written(prefixes, "prefixes")
-    # Of a shingle's sets, those outside its largest component meet all the others.
-    largest = prefixes.groupBy("shingle").agg(F.max(F.struct("part", "component")).alias("main"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    outside = prefixes.join(largest.select("shingle", F.col("main.component").alias("main")), "shingle").where("component <> main")
-    outside = outside.select("shingle", "main", F.col("vertex").alias("p"), F.col("n_shingles").alias("np"), F.col("component").alias("cp"), F.col("behind").alias("bp"))
-    once = (F.col("component") == F.col("main")) | (F.col("vertex") < F.col("p"))
-    enough = F.least("behind", "bp") * (100 + percent) >= (F.col("n_shingles") + F.col("np")) * percent
-    pairs = prefixes.join(outside, "shingle").where((F.col("component") != F.col("cp")) & once & enough)
-    return pairs.select(F.least("vertex", "p").alias("a"), F.greatest("vertex", "p").alias("b")).distinct()
+    # Of a shingle's sets, those outside its largest component meet all the others, in blocks.
+    largest = prefixes.groupBy("shingle").agg(
+        F.max(F.struct("part", "component")).alias("main"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.ceil(F.count("*") / SETS).alias("blocks")
+    )
+    there = prefixes.join(largest.where("c1 <> c2").select("shingle", F.col("main.component").alias("main"), "blocks"), "shingle").join(members.select("vertex", "marks"), "vertex")
+    there = written(there.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks"))).drop("part", "alone"), "there")
+    one = F.struct("vertex", "n_shingles", "component", "behind", "marks")
+    blocks = there.groupBy("shingle", "main", "block").agg(F.collect_list(one).alias("sets"))
+    outside = there.where("component <> main").groupBy("shingle", "block").agg(F.collect_list(one).alias("outside")).select("shingle", "outside")
+    return blocks.select("shingle", "main", "sets").join(outside, "shingle").select("main", "sets", "outside").mapInArrow(comparer(percent), "a long, b long").distinct()
+
+
+def comparer(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of two blocks of sets that have a shingle in common: the pairs of different components that may be links."""
+
+    def columns(block: pa.StructScalar) -> list[np.ndarray]:
+        rows = block.values
+        numbers = [rows.field(c).to_numpy() for c in ("vertex", "n_shingles", "component", "behind")]
+        return [*numbers, np.frombuffer(b"".join(rows.field("marks").to_pylist()), np.uint64).reshape(len(rows), -1)]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for main, sets, outside in zip(*(batch.column(c) for c in ("main", "sets", "outside")), strict=True):
+                v, n, c, behind, marks = columns(sets)
+                p, np_, cp, bp, pm = columns(outside)
+                both = n + np_[:, None]
+                # The shingles before the first common one are in one of the sets only.
+                go = (c != cp[:, None]) & ((c == main.as_py()) | (v < p[:, None])) & ((both - behind - bp[:, None]) * (100 + percent) <= both * (100 - percent))
+                go &= np.minimum(behind, bp[:, None]) * (100 + percent) >= both * percent
+                x, y = np.nonzero(go)
+                for i in range(0, len(x), 1 << 14):
+                    xs, ys = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                    # So is the shingle of a mark that only one has.
+                    apart = np.bitwise_count(pm[xs] ^ marks[ys]).sum(1, dtype=np.int64)
+                    near = apart * (100 + percent) <= both[xs, ys] * (100 - percent)
+                    out.append(np.stack((p[xs[near]], v[ys[near]])))
+            ends = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            ends = np.unique(np.sort(ends, axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
+
+    return compared
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MARKS bits for each set, those at its shingles modulo MARKS."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, MARKS), np.uint8)
+        for i, x in enumerate(batch.column("shingles")):
+            out[i, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(MARKS)).astype(np.int64)] = 1
+        words = np.packbits(out, axis=1, bitorder="little")
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array([w.tobytes() for w in words], pa.binary())], names=["vertex", "marks"])
 
 
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

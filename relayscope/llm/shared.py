@@ -6,9 +6,7 @@ our own is set only where that is unset (tests, a laptop).
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,15 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: With it Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; it goes when the driver's JVM ends.
 
     Cuts the lineage in a way that lost executors don't undo. A table that an
-    operator no longer needs can go earlier, with ``dropped``.
+    operator no longer needs can go earlier, with ``dropped``. The shuffle files
+    of the write go with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relayscope/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,16 +75,3 @@ def dropped(*tables: DataFrame) -> None:
         spark = table.sparkSession
         place = spark._jvm.org.apache.hadoop.fs.Path(table._relayscope_path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now.
-
-    It does so once the driver has collected the objects that stand for them,
-    which a driver with a quiet heap may not do for half an hour. The last step
-    is held until its end has been told to all listeners, hence the waits.
-    """
-    for _ in range(2):
-        time.sleep(0.3)
-        gc.collect()
-        spark._jvm.System.gc()
