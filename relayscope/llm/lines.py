@@ -1,10 +1,16 @@
 """Near-duplicate lines by a segment-partition edit join, by DataFrame functions alone.
 
-A line is cut into EDITS + 1 segments. A line within EDITS edits of it has one of
-the segments unchanged, at one of a few places that the lengths of both lines
-allow; so the index holds each line's segments with the line's length, and each
-line probes it with substrings of its own for the lengths from its own down to
-EDITS less. What meets is verified with a banded bit-parallel edit distance.
+Of two lines, the shorter one's length says how many edits they may be apart:
+one for each CHARS_AN_EDIT characters, up to EDITS. A line that may have e edits
+is cut into e + 1 segments. A line within e edits of it has one of the segments
+unchanged, at one of a few places that the lengths of both lines allow; so the
+index holds each line's segments with the line's length, and each line probes it
+with substrings of its own for the lengths from its own down to e less.
+
+Most keys have one line and are dropped in semi-joins of keys and ids, before
+anything else of a line moves. Lines that meet get counts of their letters, of
+which two edits change few, and only pairs near in those are put together and
+verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -13,50 +19,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayscope.llm.components import connected_components
-from relayscope.llm.shared import released, written
+from relayscope.llm.shared import dropped, row_keys, written
 
-EDITS = 2
-#: Shorter lines are near to none.
-LEAST_CHARS = 20
+EDITS, CHARS_AN_EDIT = 2, 10
 # Frequent letters, whose numbers tell most lines apart before they are compared.
-LETTERS = "eaintrso"
+LETTERS = ("eaintrso", "hldcumpg")
+#: White space around a line; one that has nothing else is blank.
+BLANKS = " \t\r\f\v"
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 1, length) of segment i from 0: the last ones are longer by one where they must."""
-    base, more = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, F.lit(edits + 1))
-    short = edits + 1 - more
-    start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-    return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
+def allowed(length: Column, edits: int) -> Column:
+    """The edits that a line may be apart from one that is no shorter."""
+    return F.least(F.lit(edits), F.floor(length / CHARS_AN_EDIT)).cast("int")
 
 
-def segments(line: Column, length: Column, edits: int) -> Column:
-    """Names of the line's segments, with its length."""
+def probes(edits: int) -> list[tuple[int, int, int, int]]:
+    """(e, less, i, shift): substrings that a line has at segment i, moved by shift, of a line that is ``less`` shorter and may have e edits."""
     out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        out.append(F.xxhash64(F.lit(i), length, F.substr(line, start, size)))
-    return F.array(*out)
+    for e in range(edits + 1):
+        for less in range(e + 1):
+            for i in range(e + 1):
+                # At most i edits before the segment, and at most e - i after it.
+                out += [(e, less, i, shift) for shift in range(max(-i, less - (e - i)), min(i, less + (e - i)) + 1)]
+    return out
 
 
-def probes(line: Column, length: Column, edits: int) -> Column:
-    """Names of the line's substrings where a line up to ``edits`` shorter may have a segment; null where none fits."""
-    out = []
-    for less in range(edits + 1):
-        shorter = length - less
-        for i in range(edits + 1):
-            start, size = segment(shorter, i, edits)
-            # At most i edits before the segment, and at most edits - i after it.
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                out.append(F.when(inside, F.xxhash64(F.lit(i), shorter, F.substr(line, start + shift, size))))
-    return F.array(*out)
-
-
-def letter_counts(line: Column) -> Column:
-    """The numbers of LETTERS in a line, up to 255, a byte each."""
+def keys(lines: DataFrame, edits: int, segments_only: bool) -> DataFrame:
+    """key, id: of all probes of ``lines`` (id, line, n), or of the lines' own segments."""
+    every = [p for p in probes(edits) if not segments_only or p[1] == p[3] == 0]
+    longest = [p for p in every if p[0] == edits]
+
+    def constant(some: list[tuple[int, int, int, int]]) -> Column:
+        return F.array(*(F.struct(*(F.lit(x).alias(name) for name, x in zip(("e", "less", "i", "shift"), p, strict=True))) for p in some))
+
+    n, shorter, parts = F.col("n"), F.col("n") - F.col("less"), F.col("e") + 1
+    which = F.when(n >= edits * CHARS_AN_EDIT + edits, constant(longest)).otherwise(constant(every))
+    rows = lines.select("id", "line", "n", F.explode(which).alias("p")).select("id", "line", "n", "p.*")
+    # The last segments are longer by one where they must.
+    base = F.floor(shorter / parts).cast("int")
+    short = parts - (shorter - base * parts)
+    start = base * F.col("i") + F.greatest(F.col("i") - short, F.lit(0)) + 1 + F.col("shift")
+    size = base + F.when(F.col("i") >= short, 1).otherwise(0)
+    rows = rows.where((F.col("e") == allowed(shorter, edits)) & (start >= 1) & (start + size - 1 <= n))
+    return rows.select(F.xxhash64("i", shorter, F.substr("line", start, size)).alias("key"), "id")
+
+
+def letter_counts(line: Column, letters: str) -> Column:
+    """The numbers of ``letters`` in a line, up to 255, a byte each."""
     out = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
+    for k, letter in enumerate(letters):
         n = F.least(F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(255)).cast("long")
         out = out.bitwiseOR(F.shiftleft(n, 8 * k))
     return out
@@ -65,7 +76,7 @@ def letter_counts(line: Column) -> Column:
 def letters_apart(a: Column, b: Column) -> Column:
     """By how much the letters' numbers differ: at most two for each edit."""
     byte = lambda x, k: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))
-    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(len(LETTERS))), F.lit(0))
+    return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(8)), F.lit(0))
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -81,7 +92,6 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     bits = F.array(*(F.lit(1 << k).cast("long") for k in range(width)))
     blank = F.lit(None).cast("string")
     places = F.concat(F.array_repeat(blank, edits + 1), F.split(b, ""), F.array_repeat(blank, width))
-    turn = F.length(b) - edits
     no = F.lit(0).cast("long")
 
     def state(vp: Column, vn: Column, d: Column, i: Column, row: Column) -> Column:
@@ -90,12 +100,12 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     def inverse(x: Column) -> Column:
         return F.bitwise_not(x).bitwiseAND(F.lit(full).cast("long"))
 
-    def next_state(s: Column, c: Column) -> Column:
-        window = F.slice(places, s["i"] + 1, F.lit(width))
+    def next_state(s: Column, c: Column, text: Column) -> Column:
+        window = F.slice(text["places"], s["i"] + 1, F.lit(width))
         same = F.aggregate(F.zip_with(window, bits, lambda w, bit: F.when(w == c, bit).otherwise(no)), no, lambda x, y: x.bitwiseOR(y))
-        return F.aggregate(F.array(same), s, lambda s, x: moved(s, x))
+        return F.aggregate(F.array(same), s, lambda s, x: moved(s, x, text["turn"]))
 
-    def moved(s: Column, x: Column) -> Column:
+    def moved(s: Column, x: Column, turn: Column) -> Column:
         vp, vn = s["vp"], s["vn"]
         d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full).cast("long"))
         hp, hn = vn.bitwiseOR(inverse(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
@@ -107,61 +117,80 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         return state(hn.bitwiseOR(inverse(down.bitwiseOR(hp))), down.bitwiseAND(hp), d, s["i"] + 1, row)
 
     start = state(F.lit(full & ~((1 << (width - edits - 1)) - 1)), no, F.lit(edits), F.lit(0), F.lit(1 << (width - 2)))
-    return F.aggregate(F.split(a, ""), start, next_state)["d"]
-
-
-def line_links(lines: DataFrame, edits: int) -> DataFrame:
-    """a, b (ids, a < b) of the pairs of ``lines`` (id, line, n: characters) within ``edits`` edits."""
-    named = written(lines.withColumn("letters", letter_counts(F.col("line"))), "letters")
-    line, n = F.col("line"), F.col("n")
-    index = named.select(F.col("id").alias("a"), F.col("letters").alias("al"), F.col("n").alias("an"), F.explode(segments(line, n, edits)).alias("key"))
-    probing = named.select(F.col("id").alias("b"), F.col("letters").alias("bl"), F.col("n").alias("bn"), F.explode(probes(line, n, edits)).alias("key")).where("key is not null")
-    near = (F.col("a") != F.col("b")) & (letters_apart(F.col("al"), F.col("bl")) <= 2 * edits) & (F.abs(F.col("an") - F.col("bn")) <= edits)
+    # Within the lambda the characters are values; written out, they would be split again for each step.
+    texts = F.array(F.struct(F.split(a, "").alias("a"), places.alias("places"), (F.length(b) - edits).alias("turn")))
+    return F.get(F.transform(texts, lambda t: F.aggregate(t["a"], start, lambda s, c: next_state(s, c, t))["d"]), F.lit(0))
+
+
+def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """a, b (ids, a < b) of the pairs of ``lines`` (id, line, n: characters; distinct lines) that are as near as their lengths allow."""
+    index, probing = keys(lines, edits, True), keys(lines, edits, False)
+    other = lambda rows: rows.select(F.col("key").alias("k"), F.col("id").alias("other"))
+    meets = (F.col("key") == F.col("k")) & (F.col("id") != F.col("other"))
+    met = index.join(other(probing), meets, "left_semi").withColumn("own", F.lit(True))
+    met = met.union(probing.join(other(index), meets, "left_semi").withColumn("own", F.lit(False)))
+    met = written(met, "met")
+    named = lines.join(met.select("id").distinct(), "id", "left_semi")
+    named = written(named.select("id", "line", "n", *(letter_counts(F.col("line"), x).alias(f"l{k}") for k, x in enumerate(LETTERS))), "named")
+    sides = met.join(named.select("id", "n", "l0", "l1"), "id")
+    a = sides.where("own").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "l0", "l1")))
+    b = sides.where("not own").select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1")))
+    far = letters_apart(F.col("a_l0"), F.col("b_l0")) + letters_apart(F.col("a_l1"), F.col("b_l1"))
     # Lines of one length find each other from both sides.
-    near = near & ((F.col("an") != F.col("bn")) | (F.col("a") < F.col("b")))
-    pairs = index.join(probing, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    whole = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
-    return whole.where(banded_distance(F.col("one"), F.col("two"), edits) <= edits).select("a", "b")
-
-
-def near_duplicate_lines(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, n_links and text of each row of ``documents``.
-
-    Lines end at \\n. Lines of at least ``least_chars`` characters are equal, or
-    linked within ``edits`` edits; of lines that equality and links connect, the
-    one that comes first (smallest doc_id, then place) stays and the others go.
+    once = (F.col("a_n") != F.col("b_n")) | (F.col("a_id") < F.col("b_id"))
+    near = (F.col("a_id") != F.col("b_id")) & once & (far <= 2 * allowed(F.least("a_n", "b_n"), edits))
+    pairs = a.join(b, "key").where(near).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    whole = pairs.join(named.select(F.col("id").alias("a"), F.col("line").alias("one"), F.col("n").alias("an")), "a")
+    whole = whole.join(named.select(F.col("id").alias("b"), F.col("line").alias("two"), F.col("n").alias("bn")), "b")
+    return whole.where(banded_distance(F.col("one"), F.col("two"), edits) <= allowed(F.least("an", "bn"), edits)).select("a", "b")
+
+
+def near_duplicate_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+    """doc_id, n_lines, n_dropped, n_links, classes and text of each row of ``documents``.
+
+    Lines end at \\n; blank ones stay and take no part. Lines are equal, or
+    linked within as many edits as the shorter one allows: one for each
+    CHARS_AN_EDIT characters, up to ``edits``, so that lines under CHARS_AN_EDIT
+    characters have to be equal. Of lines that equality and links connect, the one
+    that comes first (smallest doc_id, then place) stays and the others go.
     n_links: of a document's lines, the links that their texts have to different
-    texts. text: the lines that stay. Shorter lines stay and have no links; a
-    null text counts as empty, one empty line. Rows that repeat a doc_id are read
-    as one document's: a place's line goes from all of them once it goes from
-    one. A null doc_id comes before all others. An empty table gives an empty
-    result; other columns are not read.
+    texts. classes: for each line, a number that connected lines share; null for
+    blank ones. text: the lines that stay. A null text counts as empty, one blank
+    line. Rows of one doc_id with different texts are documents of their own, in
+    the order of 63 hashed bits of their texts; equal rows share one result. A
+    null doc_id comes before all others. An empty table gives an empty result;
+    other columns are not read.
     """
-    spark = documents.sparkSession
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"))
-    each = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.length("line") >= least_chars)
-    # A line's first place is its id.
-    lines = each.groupBy("line").agg(F.min(F.struct("doc", "place")).alias("id"))
-    lines = written(lines.select("id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h")), "lines")
-    released(spark)
-    short = lines.select(F.col("h").alias("id"), "line", "n")
-    links = written(line_links(short, edits), "links")
-    released(spark)
-    ids = lines.select("h", "id")
-    named = links.join(ids.select(F.col("h").alias("a"), F.col("id").alias("one")), "a").join(ids.select(F.col("h").alias("b"), F.col("id").alias("two")), "b")
-    components = written(connected_components(named.select(F.col("one").alias("a"), F.col("two").alias("b"))), "components")
-    degrees = links.select(F.col("a").alias("h")).union(links.select("b")).groupBy("h").agg(F.count("*").alias("links"))
-    classes = lines.select("h", "id").join(components, "id", "left").select("h", "id", F.coalesce("component", "id").alias("first")).join(degrees, "h", "left")
-    # All places of the lines that repeat or have links; the rest needs no decision.
-    places = each.select("doc", "place", F.xxhash64("line").alias("h"))
-    decided = places.join(classes, "h").select("doc", "place", F.coalesce("links", F.lit(0)).alias("links"), (F.struct("doc", "place") != F.col("first")).alias("gone"))
-    by_doc = decided.where("gone or links > 0").groupBy("doc").agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("gone"), F.sum("links").alias("n_links"))
-    joined = texts.join(by_doc, "doc", "left").withColumn("lines", F.split("text", "\n")).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    stays = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    return joined.select(
+    row, name = ["doc", "text_key"], ["h1", "h2"]
+    texts = row_keys(documents)
+    each = texts.select(*row, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    # 128 bits stand for a line where only equality matters.
+    each = each.select(*row, "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = each.groupBy(*name).agg(F.min(F.struct(*row, "place")).alias("first"), F.first("line").alias("line"), F.count("*").alias("times"))
+    lines = written(lines.select(*name, "first", "line", "times", F.length("line").alias("n"), F.monotonically_increasing_id().alias("id")), "lines")
+    links = written(line_links(lines.select("id", "line", "n"), edits), "links")
+    components = written(connected_components(links), "components")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    # Lines that repeat or have links; the others need no decision.
+    light = lines.select(*name, "first", "times", "id").join(components, "id", "left").join(degrees, "id", "left")
+    light = light.where("times > 1 or links > 0").withColumn("component", F.coalesce("component", "id"))
+    firsts = light.groupBy("component").agg(F.min(F.struct("first", "h1")).alias("f")).select("component", "f.first", F.col("f.h1").alias("class"))
+    classes = light.drop("first").join(firsts, "component").select(*name, "first", "class", F.coalesce("links", F.lit(0)).alias("links"))
+    # A set: each of many equal rows tells of the same places.
+    decided = each.select(*row, "place", *name).join(written(classes, "classes"), name)
+    decided = decided.select(*row, F.struct("place", "class", "links", (F.struct(*row, "place") != F.col("first")).alias("gone")).alias("it"))
+    by_row = written(decided.groupBy(*row).agg(F.collect_set("it").alias("its")), "decided")
+    dropped(lines)
+    all_lines = F.split("text", "\n")
+    gone = F.transform(F.filter("its", lambda x: x["gone"]), lambda x: x["place"])
+    marked = texts.join(by_row, row, "left").withColumns({"lines": all_lines, "its": F.coalesce("its", F.array().cast("array<struct<place:int,class:bigint,links:bigint,gone:boolean>>"))})
+    marked = marked.withColumns({"gone": gone, "of_place": F.map_from_entries(F.transform("its", lambda x: F.struct(x["place"], x["class"])))})
+    number = lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", F.coalesce(F.element_at("of_place", i), F.xxhash64(x)))
+    return marked.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.array_join(stays, "\n").alias("text"),
+        F.aggregate("its", F.lit(0).cast("long"), lambda n, x: n + x["links"]).alias("n_links"),
+        F.transform("lines", number).alias("classes"),
+        F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n").alias("text"),
     )

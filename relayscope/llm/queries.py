@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relayscope.llm import chat, exact_dedup, lines, minhash, mixing, packing, pii, substrings, topk, toxicity
@@ -26,12 +26,41 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(extra)
-    # Each row is a whole message: an event of its own, in the order of turns.
+    return chat.digests(chat.rendered(chat.folded(streamed(rows))))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The messages of ``rows`` (conv_id, turn, role, text) as the log of a service that streams and corrects them.
+
+    Each row is a turn. Its text comes in three deltas; every third turn is at
+    first a draft that an edit replaces, and every fourth is answered wrongly,
+    with a turn after it, before it is regenerated. Later events come first.
+    """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    events = rows.select("conv_id", place.alias("seq"), place.alias("turn"), F.lit("message").alias("op"), "role", "text")
-    return chat.digests(chat.rendered(chat.folded(events)))
+    turns = rows.withColumn("place", place).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("part", F.floor(F.length("text") / 3).cast("int") + 1)
+
+    def event(at: int, op: str, text: Column, role: Column | None = None, turn: Column | None = None, when: Column | None = None) -> Column:
+        made = F.struct(
+            (F.col("place") * 20 + at).alias("seq"), (F.col("place") if turn is None else turn).alias("turn"), F.lit(op).alias("op"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text")
+        )
+        return made if when is None else F.when(when, made)
+
+    chunk = lambda k: F.substr("text", F.col("part") * k + 1, F.col("part"))
+    draft, wrong = F.col("place") % 3 == 0, F.col("place") % 4 == 0
+    nothing, role = F.lit(""), F.col("role")
+    log = [
+        event(0, "message", nothing, F.lit("draft"), when=wrong),
+        event(1, "delta", F.lit("a wrong answer, <turn:cut off"), when=wrong),
+        event(2, "message", F.lit("on the wrong answer"), F.lit("user"), F.col("place") + 1, wrong),
+        event(3, "regenerate", nothing, role, when=wrong),
+        event(4, "message", F.when(draft, F.lit("a draft ")).otherwise(nothing), role, when=~wrong),
+        *(event(5 + k, "delta", chunk(k)) for k in range(3)),
+        event(9, "edit", F.col("text"), role, when=draft),
+    ]
+    events = turns.select("conv_id", F.explode(F.reverse(F.filter(F.array(*log), lambda e: e.isNotNull()))).alias("e"))
+    return events.select("conv_id", "e.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

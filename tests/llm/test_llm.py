@@ -361,21 +361,90 @@ def test_collisions_are_drawn_again(spark):
     assert len(rows) == len(cores) == 100 and not cores & {r["canon"] for r in rows}
 
 
+def edit_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def lines_by_force(rows):
+    """(doc_id, text) -> (lines, dropped, links, text that stays); rows differ, and none has the doc_id of another."""
+    split = {i: (t or "").split("\n") for i, t in rows}
+    places = sorted((-1 if i is None else i, k, line, i) for i, ls in split.items() for k, line in enumerate(ls) if line.strip(" \t\r\f\v"))
+    first = {}
+    for i, k, line, _ in places:
+        first.setdefault(line, (i, k))
+    names, parent, links = sorted(first), {x: x for x in first}, dict.fromkeys(first, 0)
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, x in enumerate(names):
+        for y in names[n + 1 :]:
+            may = min(2, min(len(x), len(y)) // 10)
+            if abs(len(x) - len(y)) <= may and edit_distance(x, y) <= may:
+                links[x] += 1
+                links[y] += 1
+                one, two = sorted((top(x), top(y)), key=first.get)
+                parent[two] = one
+    out = {}
+    for i, ls in split.items():
+        real = [bool(x.strip(" \t\r\f\v")) for x in ls]
+        stays = [not r or first[top(x)] == (-1 if i is None else i, k) for k, (x, r) in enumerate(zip(ls, real, strict=True))]
+        out[i] = (len(ls), stays.count(False), sum(links[x] for x, r in zip(ls, real, strict=True) if r), "\n".join(x for x, s in zip(ls, stays, strict=True) if s))
+    return out, {x: top(x) for x in first}
+
+
 def test_lines(spark, none):
-    base = ["the quick brown fox jumps over", "a second line that is long enough", "short"]
-    rows = [(1, "\n".join(base)), (2, base[0] + "!\nsomething else entirely, new\nshort"), (3, base[1][2:] + "\n" + base[0].replace("quick", "black")), (4, None), (5, ""), (None, base[1]), (6, "é" * 25 + "\n" + "é" * 24 + "a")]
-    got = {r["doc_id"]: r for r in lines.near_duplicate_lines(frame(spark, rows)).collect()}
-    assert got[1]["text"] == base[0] + "\nshort" and got[1]["n_dropped"] == 1  # the null doc_id comes first
-    assert got[2]["text"] == "something else entirely, new\nshort" and got[2]["n_links"] == 1
-    assert got[3]["text"] == base[0].replace("quick", "black") and got[3]["n_links"] == 1
-    assert got[4]["n_lines"] == 1 and got[5]["text"] == "" and got[None]["n_dropped"] == 0 and got[6]["n_dropped"] == 1
+    pool = []
+    for _ in range(14):
+        seed = "".join(rng.choice("abcde é") for _ in range(rng.choice([1, 4, 9, 10, 11, 15, 19, 20, 21, 22, 30, 61])))
+        pool.append(seed)
+        for _ in range(6):
+            s = list(seed)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                k = rng.randrange(len(s)) if s else 0
+                s[k : k + rng.choice([0, 1])] = rng.choice(["", "x", "y"])
+            pool.append("".join(s))
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.choice([1, 3, 9])))) for i in range(40)]
+    rows += [(100, None), (101, ""), (None, pool[0] + "\n \t\n" + pool[1]), (102, "\n\n x \n" + BASE + "\n" + BASE + "!"), (103, BASE[1:])]
+    got = lines.near_duplicate_lines(frame(spark, rows)).collect()
+    want, tops = lines_by_force(rows)
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["n_links"], r["text"]) for r in got} == want and len(got) == len(rows)
+    # Lines share a number if they are connected, and only then.
+    numbers: dict[str, set] = {}
+    texts = dict(rows)
+    for r in got:
+        for line, number in zip((texts[r["doc_id"]] or "").split("\n"), r["classes"], strict=True):
+            assert (number is None) == (not line.strip(" \t\r\f\v"))
+            if number is not None:
+                numbers.setdefault(tops[line], set()).add(number)
+    assert all(len(x) == 1 for x in numbers.values()) and len(set.union(*numbers.values())) == len(numbers)
     assert lines.near_duplicate_lines(none).collect() == []
 
 
+def test_very_long_lines(spark):
+    got = {r["doc_id"]: r for r in lines.near_duplicate_lines(frame(spark, [(1, LONG), (2, LONG[:-1] + "\n" + LONG[9:]), (3, LONG)])).collect()}
+    assert got[1]["text"] == LONG and got[2]["text"] == LONG[9:] and got[3]["text"] == "" and [got[i]["n_links"] for i in (1, 2, 3)] == [1, 1, 1]
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    one, two, three = ("".join(rng.choice("fghij") for _ in range(40)) for _ in range(3))
+    rows = [(1, one + "\n" + two), (1, one + "\n" + two), (2, three), (2, two + "?"), (None, three), (None, one[:38])]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in lines.near_duplicate_lines(frame(spark, rows)).collect())
+    assert got == sorted([("1", two), ("1", two), ("2", ""), ("2", ""), ("None", three), ("None", one[:38])])
+
+
 def test_line_links_are_all_found(spark):
     pool = set()
     for _ in range(12):
-        seed = "".join(rng.choice("abcde ") for _ in range(rng.randint(20, 30)))
+        seed = "".join(rng.choice("abcde ") for _ in range(rng.randint(8, 30)))
         for _ in range(12):
             s = list(seed)
             for _ in range(rng.choice([1, 2, 3])):
@@ -383,8 +452,8 @@ def test_line_links_are_all_found(spark):
                 s[k : k + rng.choice([0, 1])] = rng.choice(["", "x", "y"])
             pool.add("".join(s))
     rows = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(sorted(pool))], "id long, line string, n int")
-    got = {tuple(r) for r in lines.line_links(rows, 2).collect()}
-    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.id") < F.col("y.id")).where(F.levenshtein("x.line", "y.line") <= 2)
+    got = {tuple(r) for r in lines.line_links(rows).collect()}
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.id") < F.col("y.id")).where(F.expr("levenshtein(x.line, y.line) <= least(2, least(x.n, y.n) div 10)"))
     assert got == {tuple(r) for r in pairs.select("x.id", "y.id").collect()} and got
 
 
