@@ -7,13 +7,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Identifiers of several words, and the words in them.
-IDENTIFIER = r"\b(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|_[A-Za-z0-9_]+|[A-Za-z]+[a-z0-9]*[A-Z][A-Za-z0-9]*)\b"
-WORD = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+"
+# What an identifier looks like among a text's words, and the parts that its case shows.
+IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]{2,}$"
+PART = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
+#: Between words; Unicode letters count, whatever the engine's word boundary is.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 # The kinds of citations; where two fit, the earlier one counts.
 CITATIONS = {
     "comment": r"^issue:(\d+)#comment-(\d+)$",
@@ -26,21 +28,22 @@ CITATIONS = {
     "release": r"^release:(.+)$",
 }
 SPANS = ("docs", "code", "comment", "body")
-CANDIDATE = r"`[^`\n]+`|(?<![\w/])(?:docs|code|issue|pr|commit|release):[^\s`,;)\]]+"
-TRAILING = r"[.,;:!?)\]}'\"]+$"
+PREFIXES = ("docs", "code", "issue", "pr", "commit", "release")
+#: What ends a sentence or a bracket is no part of a citation in prose.
+CLOSERS = ".,;:!?)]}'\""
 
 
 def identifier_parts(identifier: Column) -> Column:
     """The words of an identifier in lower case, of two letters at least; none if there is only one."""
-    words = F.filter(F.regexp_extract_all(identifier, F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 2)
+    words = F.filter(F.regexp_extract_all(identifier, F.lit(PART), F.lit(0)), lambda w: F.length(w) >= 2)
     return F.when(F.size(words) >= 2, F.transform(words, F.lower)).otherwise(F.array().cast("array<string>"))
 
 
 def decomposed(text: Column) -> Column:
     """The words of all identifiers in a text, and the identifiers that have some, sorted."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda i: F.size(identifier_parts(i)) > 0)
-    parts = F.flatten(F.transform(found, lambda i: F.concat(identifier_parts(i), F.array(F.lower(i)))))
-    return F.array_sort(F.array_distinct(parts))
+    words = F.filter(F.array_distinct(F.split(text, BETWEEN)), lambda w: F.rlike(w, F.lit(IDENTIFIER)))
+    named = F.filter(F.transform(words, lambda i: F.struct(i.alias("name"), identifier_parts(i).alias("parts"))), lambda x: F.size(x["parts"]) > 0)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(named, lambda x: F.concat(x["parts"], F.array(F.lower(x["name"])))))))
 
 
 def lexical_input(text: Column) -> Column:
@@ -66,11 +69,11 @@ def citation(raw: Column) -> Column:
                 out = F.when(kind == k, F.nullif(F.regexp_extract(x["raw"], CITATIONS[k], i), F.lit(""))).otherwise(out)
             return out
 
-        index = F.coalesce(part(("comment", "body"), 2), part(("code",), 4)).cast("long")
+        index = F.coalesce(part(("comment", "body"), 2), part(("code",), 4)).try_cast("long")
         return F.struct(
             kind.alias("kind"),
             part(("docs", "code"), 1).alias("path"),
-            part(("comment", "body", "issue", "pr"), 1).cast("long").alias("number"),
+            part(("comment", "body", "issue", "pr"), 1).try_cast("long").alias("number"),
             F.when(kind.isin("body", "code"), F.coalesce(index, F.lit(0))).otherwise(index).alias("index"),
             F.coalesce(part(("docs",), 2), part(("release", "commit"), 1)).alias("tag"),
             kind.isin(*SPANS).alias("is_span"),
@@ -82,10 +85,15 @@ def citation(raw: Column) -> Column:
 
 
 def citations_in(text: Column) -> Column:
-    """The distinct citations in prose, in the order of their first place."""
-    loose = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    bare = F.transform(loose, lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, "^`|`$", "")), TRAILING, ""))
-    return F.array_distinct(F.filter(bare, lambda c: citation_kind(c).isNotNull()))
+    """The distinct citations in prose, in the order of their first place.
+
+    One may stand between backquotes, blanks and all, or as a word that begins
+    with a kind and a colon; what closes the sentence or bracket around it goes.
+    """
+    # Odd pieces between backquotes are quoted, the even ones are prose.
+    pieces = F.transform(F.split(text, "`"), lambda p, i: F.when((i % 2 == 1) & ~F.contains(p, F.lit("\n")), F.array(p)).otherwise(F.split(p, r"[\s,;)\]]+|(?<=[(\[\"'])")))
+    words = F.transform(F.flatten(pieces), lambda w: F.rtrim(F.trim(w), F.lit(CLOSERS)))
+    return F.array_distinct(F.filter(words, lambda w: F.rlike(w, F.lit(f"^(?:{'|'.join(PREFIXES)}):")) & citation_kind(w).isNotNull()))
 
 
 @F.pandas_udf(StringType())
@@ -111,8 +119,14 @@ def budget(most: int, header: Column, reserve: int = 16, least: int = 64) -> Col
 
 def token_windows(tokens: Column, most: int, overlap: int) -> Column:
     """The token lists of at most ``most``, each starting ``most - overlap`` after the one before, until all are covered."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - overlap - 1, F.lit(0)), F.lit(most - overlap))
-    return F.when(F.size(tokens) > 0, F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(most)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(all_tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(all_tokens) - overlap - 1, F.lit(0)), F.lit(most - overlap))
+        return F.transform(starts, lambda i: F.slice(all_tokens, i + 1, F.lit(most)))
+
+    # Within the lambda the tokens are a value; written out, they would be made again for each window.
+    known = F.filter(F.array(tokens), lambda t: F.size(t) > 0)
+    return F.coalesce(F.get(F.transform(known, cut), F.lit(0)), F.array().cast("array<array<string>>"))
 
 
 def message_text(content: Column) -> Column:
@@ -120,3 +134,36 @@ def message_text(content: Column) -> Column:
     blocks = F.from_json(content, "array<struct<type:string,text:string>>")
     texts = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
     return F.when(F.startswith(F.ltrim(content), F.lit("[")), F.array_join(texts, "\n")).otherwise(content)
+
+
+def blocks_of(content: Column) -> Column:
+    """The blocks of a stored message: those of an array, or the whole as one text."""
+    parsed = F.from_json(content, "array<struct<type:string,text:string>>")
+    return F.when(F.startswith(F.ltrim(content), F.lit("[")), parsed).otherwise(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))))
+
+
+def replayable(content: Column) -> Column:
+    """The blocks that may be sent again as history: texts alone; null where none is left."""
+    texts = F.filter(blocks_of(content), lambda b: b["type"] == "text")
+    return F.when(F.size(texts) > 0, texts)
+
+
+def rendered_transcript(messages: DataFrame, by: str) -> DataFrame:
+    """``by``, transcript: "[id] role: text" of the messages (id, turn, role, content) that aren't blank, an empty line between."""
+    said = messages.withColumn("said", message_text(F.col("content"))).where(F.trim("said") != "")
+    line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.col("said"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line"))))
+    return said.groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("transcript"))
+
+
+def citation_of(kind: str, *parts: Column) -> Column:
+    """The citation of a kind from its parts: docs (path, anchor), code (path, first, last), comment (issue, id), body (issue), or a single reference."""
+    text = [p.cast("string") for p in parts]
+    join = {
+        "docs": lambda path, anchor: F.concat(F.lit("docs:"), path, F.lit("#"), anchor),
+        "code": lambda path, first, last: F.concat(F.lit("code:"), path, F.lit(":L"), first, F.lit("-L"), last),
+        "comment": lambda issue, comment: F.concat(F.lit("issue:"), issue, F.lit("#comment-"), comment),
+        "body": lambda issue: F.concat(F.lit("issue:"), issue, F.lit("#body")),
+        "commit": lambda sha: F.concat(F.lit("commit:"), F.left(sha, F.lit(7))),
+    }
+    return join[kind](*text) if kind in join else F.concat(F.lit(f"{kind}:"), *text)

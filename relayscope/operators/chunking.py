@@ -16,11 +16,12 @@ from relayscope.functions.text import slug
 MOST, OVERLAP, SHORT = 512, 48, 100
 RUN = 5
 Count = Callable[[str], int]
+TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def words(text: str) -> int:
     """The default count of tokens: words and marks."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return sum(1 for _ in TOKEN.finditer(text))
 
 
 def comment_runs(comments: DataFrame, order: Sequence[str], bots: Sequence[str] = ()) -> DataFrame:
@@ -79,11 +80,17 @@ def units(text: str, most: int, count: Count = words) -> Iterator[str]:
             if count(line) <= most:
                 yield from [line] * bool(line.strip())
             else:
-                tokens = line.split()
-                for i in range(0, len(tokens), most - OVERLAP):
-                    yield " ".join(tokens[i : i + most])
-                    if i + most >= len(tokens):
-                        break
+                yield from pieces(line, most)
+
+
+def pieces(line: str, most: int) -> Iterator[str]:
+    """A line without anything to cut at, in pieces of ``most`` words and marks that share OVERLAP; a run of letters longer than that is cut too."""
+    spans = [(at, min(at + MOST, m.end())) for m in TOKEN.finditer(line) for at in range(m.start(), m.end(), MOST)]
+    step = max(1, most - OVERLAP)
+    for i in range(0, len(spans), step):
+        yield line[spans[i][0] : spans[min(i + most, len(spans)) - 1][1]]
+        if i + most >= len(spans):
+            return
 
 
 def merged_sections(markdown: str, count: Count = words) -> list[tuple[list[str], str | None, str]]:
@@ -103,11 +110,12 @@ def merged_sections(markdown: str, count: Count = words) -> list[tuple[list[str]
 
 
 def doc_chunks(path: str, markdown: str, most: int = MOST, count: Count = words) -> Iterator[tuple[str, str, str]]:
-    """(id, breadcrumb, content) of a page; a repeated id gets -2, -3 and so on that no other has."""
+    """(id, breadcrumb, content) of a page, each content under its breadcrumb; a repeated id gets -2, -3 and so on that no other has."""
     taken: set[str] = set()
     for headings, anchor, text in merged_sections(markdown, count):
-        crumb = " > ".join(headings)
-        room = max(64, most - 16 - count(crumb))
+        crumb = " > ".join(headings) or path
+        head = f"# {crumb}\n\n"
+        room = max(64, most - 16 - count(head))
         for content in packed(list(units(text, room, count)), room, OVERLAP, count):
             base = f"docs:{path}#{anchor or slug(headings[-1] if headings else path) or 'top'}"
             name, n = base, 1
@@ -115,7 +123,7 @@ def doc_chunks(path: str, markdown: str, most: int = MOST, count: Count = words)
                 n += 1
                 name = f"{base}-{n}"
             taken.add(name)
-            yield name, crumb, content
+            yield name, crumb, head + content
 
 
 def line_windows(lines: Sequence[str], first: int, most: int, count: Count = words) -> Iterator[tuple[int, int, str]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from relayscope.operators import metrics, retrieval
 
 CLASSES = range(1, 7)
+#: The last class of questions that have an exact answer.
+EXACT = 4
 
 
 def gold_errors(questions: DataFrame, known: DataFrame, pin: Column) -> DataFrame:
@@ -23,17 +27,21 @@ def gold_errors(questions: DataFrame, known: DataFrame, pin: Column) -> DataFram
 
 
 def sweep_point(tools: DataFrame, questions: DataFrame, gold: DataFrame, k: int = retrieval.TOOLS, floor: float = retrieval.FLOOR) -> DataFrame:
-    """recall, jaccard, offered: means over questions of the tools that similarity selects.
+    """recall, jaccard, offered, crowd_out: over questions, of the tools that similarity selects.
 
-    questions: query, q (vector), a benchmark's; gold: query, id. Without gold, recall is 1.
+    tools: id, embedding, synthetic; those lose their place after the choice.
+    crowd_out: the share of places that they took. questions: query, q (vector),
+    a benchmark's; gold: query, id. Without gold, recall is 1.
     """
-    found = retrieval.batch_topk(tools, questions, k, floor).groupBy("query").agg(F.collect_set("id").alias("found"))
+    chosen = retrieval.batch_topk(tools, questions, k, floor).join(tools.select("id", "synthetic"), "id")
+    found = chosen.groupBy("query").agg(F.collect_set(F.when(~F.col("synthetic"), F.col("id"))).alias("found"), F.count("*").alias("places"), F.count_if("synthetic").alias("lost"))
     wanted = gold.groupBy("query").agg(F.collect_set("id").alias("gold"))
     none = F.array().cast(found.schema["found"].dataType)
     rows = questions.select("query").join(found, "query", "left").join(wanted, "query", "left")
-    rows = rows.select(F.coalesce("found", none).alias("f"), F.coalesce("gold", none).alias("g"))
-    recall = F.when(F.size("g") == 0, 1.0).otherwise(metrics.recall_at(F.col("f"), F.col("g"), k))
-    return rows.agg(F.avg(recall).alias("recall"), F.avg(metrics.jaccard(F.col("f"), F.col("g"))).alias("jaccard"), F.avg(F.size("f")).alias("offered"))
+    rows = rows.select(F.coalesce("found", none).alias("f"), F.coalesce("gold", none).alias("g"), "places", "lost")
+    recall = F.when(F.size("g") == 0, 1.0).otherwise(F.size(F.array_intersect("f", "g")) / F.size("g"))
+    crowd = F.coalesce(F.sum("lost") / F.sum("places"), F.lit(0.0))
+    return rows.agg(F.avg(recall).alias("recall"), F.avg(metrics.jaccard(F.col("f"), F.col("g"))).alias("jaccard"), F.avg(F.size("f")).alias("offered"), crowd.alias("crowd_out"))
 
 
 def tool_text(properties: Column) -> Column:
@@ -47,3 +55,99 @@ def consolidation_report(facts: DataFrame, clusters: DataFrame) -> DataFrame:
     rows = facts.join(clusters, "cluster").select("supersedes", "members")
     inside = F.size(F.array_intersect("supersedes", "members"))
     return rows.agg(F.count("*").alias("written"), F.sum(inside).alias("superseded"), F.sum(F.size(F.array_distinct("supersedes")) - inside).alias("refused"))
+
+
+def turn_scores(events: DataFrame, questions: DataFrame, always: tuple[str, ...] = ("memory_search", "memory_write")) -> DataFrame:
+    """qid, class and metrics of agents' turns, from their events alone; a metric that doesn't apply is null.
+
+    events: qid, seq, event, tool, citations (of what a call found), resolved and
+    in_result_set (of a citation), names (of selected tools). questions: qid,
+    class, gold_tools, gold. Tools that are always offered don't count as
+    selected. Exact classes are scored by what the gold tools found, and the
+    union of all that was found is only reported; the others by the passages, in
+    the order in which they came.
+    """
+    of = lambda event: F.col("event") == event
+    seen = events.join(questions.select("qid", "gold_tools"), "qid")
+    asked = F.array_contains("gold_tools", F.col("tool"))
+    listed = lambda when: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("seq", "citations")))), lambda x: x["citations"]))
+    good = F.col("resolved") & F.col("in_result_set")
+    turns = seen.groupBy("qid").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.when(of("tools_selected"), F.col("names"))))).alias("selected"),
+        F.array_distinct(listed(of("structured"))).alias("union"),
+        F.array_distinct(listed(of("structured") & asked)).alias("asked"),
+        F.array_distinct(listed(of("semantic"))).alias("passages"),
+        F.avg(F.when(of("citation"), good.cast("int"))).alias("citation_resolution"),
+        F.max(of("error")).alias("failed"),
+    )
+    rows = questions.join(turns, "qid")
+    scored = F.array_except("selected", F.array(*map(F.lit, always)))
+    exact = F.col("class") <= EXACT
+    return rows.select(
+        "qid",
+        "class",
+        metrics.jaccard(scored, F.col("gold_tools")).alias("tool_jaccard"),
+        (F.array_sort(scored) == F.array_sort(F.array_distinct("gold_tools"))).cast("double").alias("tool_exact"),
+        "citation_resolution",
+        F.when(exact, metrics.set_f1(F.col("asked"), F.col("gold"))).alias("set_f1"),
+        F.when(exact, metrics.set_f1(F.col("union"), F.col("gold"))).alias("set_f1_union"),
+        F.when(~exact, metrics.recall_at(F.col("passages"), F.col("gold"), 5)).alias("recall_at_5"),
+        F.when(~exact, metrics.mrr_at(F.col("passages"), F.col("gold"), 10)).alias("mrr_at_10"),
+        "failed",
+    )
+
+
+def config_hash(config: dict) -> str:
+    """What a run's settings are known by: the first 12 digits of the SHA-256 of their JSON, keys in order."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+
+
+def left_to_run(questions: DataFrame, cache: DataFrame, cache_format: int) -> DataFrame:
+    """The questions that the cache (qid, cache_format, error) has no result for; results of other formats, and failed ones, don't count."""
+    done = cache.where((F.col("cache_format") == cache_format) & F.col("error").isNull()).select("qid").distinct()
+    return questions.join(done, "qid", "left_anti")
+
+
+def cached(results: DataFrame) -> DataFrame:
+    """The results that may be kept: none that failed."""
+    return results.where("error is null")
+
+
+def baseline(current: DataFrame, results: DataFrame) -> DataFrame:
+    """The metrics of a run as a new baseline; a run with errors, or of a single question, makes none and raises."""
+    n, wrong = results.agg(F.count("*"), F.count_if(F.col("error").isNotNull())).first()
+    if wrong or n < 2:
+        raise ValueError(f"no baseline from {n} results with {wrong} errors")
+    return current
+
+
+def suite_errors(sessions: DataFrame, tools: list[str], areas: list[str], each: int = 3) -> DataFrame:
+    """scenario, error for each rule that a suite breaks; sessions: scenario, session, prompt, tool, area (expected, or null).
+
+    A scenario has so many sessions, each with a prompt and a known tool and
+    area; and the sessions after the first don't name the area, or memory would
+    have nothing to show.
+    """
+    size = sessions.groupBy("scenario").agg(F.count("*").alias("n")).where(F.col("n") != each).select("scenario", F.concat(F.lit("sessions: "), F.col("n").cast("string")).alias("error"))
+    blank = sessions.where(F.coalesce(F.trim("prompt"), F.lit("")) == "").select("scenario", F.lit("no prompt"))
+    tool = sessions.where(~F.col("tool").isin(*tools)).select("scenario", F.concat(F.lit("no tool "), "tool"))
+    area = sessions.where(~F.col("area").isin(*areas)).select("scenario", F.concat(F.lit("no area "), "area"))
+    told = sessions.where((F.col("session") > 0) & F.contains(F.lower("prompt"), F.lower("area"))).select("scenario", F.concat(F.lit("names its area in session "), F.col("session").cast("string")))
+    return reduce(DataFrame.union, (size, blank, tool, area, told))
+
+
+def prefixed(texts: Column, model: Column, prefixes: dict[str, tuple[str, str]], is_query: bool) -> Column:
+    """What an embedding model is given: its prefix for queries or for passages, and the text; a model without one gets the text."""
+    table = F.create_map(*(F.lit(x) for k, v in prefixes.items() for x in (k, v[0 if is_query else 1])))
+    return F.concat(F.coalesce(F.try_element_at(table, model), F.lit("")), texts)
+
+
+def prompt_totals(sizes: DataFrame, catalog: Column, search: int = 40) -> DataFrame:
+    """full, native: tokens of a prompt with ``catalog`` tools, from the characters (chars) of the known ones.
+
+    All definitions, or for each a quarter of one as a stub and the search tool
+    of so many characters; counted at 3.5 characters a token, from below.
+    """
+    per_tool = F.floor(F.sum("chars") / F.lit(3.5).cast("double")) / F.count("*")
+    row = sizes.agg(per_tool.alias("per_tool"))
+    return row.select(F.floor(F.col("per_tool") * catalog).alias("full"), F.floor(F.col("per_tool") * 0.25 * catalog + search / 3.5).alias("native"))

@@ -113,17 +113,23 @@ def entity(all_entities: DataFrame, kind: str, ref: str) -> DataFrame:
     return all_entities.where((F.col("kind") == kind) & hit)
 
 
-def rendered(found: DataFrame) -> DataFrame:
-    """n, rendered: the exact count and the first RENDER_LIMIT entities (kind, title, citation), by citation.
+def rendered(found: DataFrame, heading: str, order: Sequence[Column | str], area: str | None = None, globs: Sequence[str] = ()) -> DataFrame:
+    """n, rendered: heading and exact count, the area's globs, and the first RENDER_LIMIT entities (citation, at, author, title) in ``order``.
 
     Only those reach the list; the count comes from a separate aggregate.
     """
-    first = found.orderBy("citation").limit(RENDER_LIMIT)
-    line = F.concat(F.lit("- "), F.col("title"), F.lit(" `"), F.col("citation"), F.lit("`"))
-    listed = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    first = found.orderBy(*order).limit(RENDER_LIMIT).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    day = F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("—"))
+    author = F.coalesce(F.concat(F.lit(" — @"), F.nullif("author", F.lit(""))), F.lit(""))
+    line = F.concat(F.lit("- `"), F.col("citation"), F.lit("` "), day, author, F.lit(" — "), F.col("title"))
+    listed = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     n = F.col("n")
-    more = F.when(n > RENDER_LIMIT, F.concat(F.lit("\n…and "), (n - RENDER_LIMIT).cast("string"), F.lit(" more"))).otherwise("")
-    return found.agg(F.count("*").alias("n")).crossJoin(listed).select("n", F.concat(n.cast("string"), F.lit(" result(s)\n"), F.col("lines"), more).alias("rendered"))
+    head = F.concat(F.lit(f"**{heading}: "), n.cast("string"), F.lit("**\n"))
+    if area is not None:
+        head = F.concat(head, F.lit(f"_area `{area}` resolved to: {', '.join(globs)}_\n"))
+    more = F.when(n > RENDER_LIMIT, F.concat(F.lit("\n- …and "), (n - RENDER_LIMIT).cast("string"), F.lit(" more (not listed)"))).otherwise("")
+    body = F.when(n == 0, F.lit("\n(none)")).otherwise(F.concat(F.lit("\n"), F.col("lines"), more))
+    return found.agg(F.count("*").alias("n")).crossJoin(listed).select("n", F.concat(head, body).alias("rendered"))
 
 
 def corpus_as_of(prs: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a message says when it closes an issue, and where a squashed commit names its pull request.
-CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+#(\d+)"
+CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+#(\d+)"
 SQUASHED = r"\(#(\d+)\)\s*$"
 
 
 def pr_state(merged_at: Column, state: Column) -> Column:
-    return F.when(merged_at.isNotNull(), "merged").when(state == "open", "open").otherwise("closed")
+    return F.when(merged_at.isNotNull(), "merged").when(state == "closed", "closed").otherwise("open")
 
 
 def login(user: Column) -> Column:
@@ -34,11 +34,11 @@ def pr_size(files: DataFrame) -> DataFrame:
 def closing_refs(body: Column) -> Column:
     """The distinct issue numbers that a body says it closes."""
     found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(CLOSING), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: n.cast("long")))
+    return F.array_distinct(F.filter(F.transform(found, lambda n: n.try_cast("long")), lambda n: n.isNotNull()))
 
 
 def commit_pr_number(message: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.split_part(message, F.lit("\n"), F.lit(1)), SQUASHED, 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(F.split_part(message, F.lit("\n"), F.lit(1)), SQUASHED, 1), F.lit("")).try_cast("long")
 
 
 def commit_pr_link(commits: DataFrame, prs: DataFrame) -> DataFrame:
@@ -102,6 +102,63 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, (t.agg(F.lit(name).alias("kind"), F.count("*").alias("n")) for name, t in tables.items()))
 
 
+def commit_rows(commits: DataFrame, prs: DataFrame) -> DataFrame:
+    """sha, author, message, committed_at, pr_number of landed commits (sha, author, commit, files); a pull request that isn't known is no link."""
+    made = commits.select(
+        "sha",
+        commit_author(F.col("author"), F.col("commit.author.name")).alias("author"),
+        F.col("commit.message").alias("message"),
+        F.col("commit.author.date").try_cast("timestamp_ntz").alias("committed_at"),
+        commit_pr_number(F.col("commit.message")).alias("pr_number"),
+    )
+    return commit_pr_link(made, prs)
+
+
+def commit_files(commits: DataFrame) -> DataFrame:
+    """sha, path: each path of a landed commit once."""
+    return commits.select("sha", F.explode("files.filename").alias("path")).where("path is not null").distinct()
+
+
+def detail_rows(prs: DataFrame) -> dict[str, DataFrame]:
+    """pr_files and pr_reviews of landed pull requests (number, files, reviews)."""
+    files = prs.select(F.col("number").alias("pr_number"), F.inline("files")).groupBy("pr_number", F.col("filename").alias("path"))
+    reviews = prs.select(F.col("number").alias("pr_number"), F.explode("reviews").alias("r"))
+    return {
+        "pr_files": files.agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")),
+        "pr_reviews": reviews_clean(reviews.select("pr_number", login(F.col("r.user")).alias("reviewer"), F.col("r.submitted_at").try_cast("timestamp_ntz").alias("submitted_at"), F.col("r.state").alias("state"))),
+    }
+
+
+def milestone(payload: Column) -> Column:
+    return payload["title"]
+
+
+def instant(text: Column) -> Column:
+    """An ISO 8601 time in UTC; null for none or for what is no time."""
+    return F.nullif(text, F.lit("")).try_cast("timestamp").cast("timestamp_ntz")
+
+
+def day_floor(at: Column) -> Column:
+    return F.date_trunc("day", at).cast("timestamp_ntz")
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """run_id, started_at, completed_at, stats: runs as their appended rows (run_id, op, at, stats) tell.
+
+    The row that completes a run is written last, so that a run without one
+    isn't done; stats are the latest that any row has.
+    """
+    at = lambda op: F.min(F.when(F.col("op") == op, F.col("at")))
+    return events.groupBy("run_id").agg(at("start").alias("started_at"), at("complete").alias("completed_at"), F.max_by("stats", F.when(F.col("stats").isNotNull(), F.col("at"))).alias("stats"))
+
+
+def areas_synced(stored: DataFrame, listed: DataFrame) -> DataFrame:
+    """The listed areas (name, globs), which replace all stored ones; raises if two have a name in common."""
+    if twice := [r["name"] for r in listed.groupBy("name").count().where("count > 1").orderBy("name").limit(20).collect()]:
+        raise ValueError(f"areas listed twice: {', '.join(twice)}")
+    return listed.select(*stored.columns)
+
+
 def unique_ids(rows: DataFrame, base: str, order: Sequence[str]) -> Column:
     """A base's first row has it as its id, the next ones with -2, -3 and so on."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))

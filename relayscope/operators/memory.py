@@ -11,16 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayscope.functions.text import estimated_tokens
+from relayscope.operators.lineage import checkpointed
 from relayscope.operators.retrieval import cosine, dot
 
-# Half-lives in days by type, and that of confidence.
-HALF_LIFE = {"episodic": 30.0, "semantic": 180.0, "procedural": 365.0}
+# Half-lives in days by type (what is procedural doesn't grow old), and that of confidence.
+HALF_LIFE = {"semantic": 180.0, "episodic": 30.0, "procedural": None}
 CONFIDENCE_HALF_LIFE = 180.0
 SPLIT = {"semantic": 0.5, "episodic": 0.3, "procedural": 0.2}
 CANDIDATES = {"semantic": 20, "episodic": 20, "procedural": 5}
 CONFIDENCE_FLOOR = 0.3
-PREAMBLE = "What is known from earlier sessions:"
+# Fixed value: what stands before the memories in a prompt.
+PREAMBLE = (
+    "What you already know about this user and their work, from earlier "
+    "sessions. Provenance is shown so you can weigh it: a low-confidence or "
+    "old memory is a lead, not a fact. Never restate a status claim from "
+    "memory without re-verifying it against the tools — memory records what "
+    "was true when it was written, not what is true now."
+)
 LINKAGE, CLUSTER = 0.35, 3
+CREATE, SUPERSEDE, REVERT = "create", "supersede", "revert"
 
 
 def age_days(valid_from: Column, now: Column) -> Column:
@@ -40,12 +49,13 @@ def live(memories: DataFrame, mem_type: str | None = None) -> DataFrame:
 
 
 def ranked(memories: DataFrame, user: Column | int | str, mem_type: str, query: Column, now: Column, k: int, half_life: float | None = None, weighted: bool = False) -> DataFrame:
-    """id, score: similarity, halved with each half-life, and times confidence if weighted; the k best after that."""
-    days = age_days(F.col("valid_from"), now)
-    score = cosine(F.col("embedding"), query) * decay(days, half_life or HALF_LIFE[mem_type])
+    """id, score: similarity, halved with each half-life if there is one, and times confidence if weighted; the k best after that."""
+    score = cosine(F.col("embedding"), query)
+    if half_life is not None:
+        score = score * decay(age_days(F.col("valid_from"), now), half_life)
     score = score * F.col("confidence").cast("double") if weighted else score
     rows = memories.where(F.col("valid_to").isNull() & (F.col("user_id") == user) & (F.col("mem_type") == mem_type))
-    return rows.select("id", "content", "mem_type", "confidence", "valid_from", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return rows.select("id", "content", "mem_type", "confidence", "valid_from", "source_session_id", "source_ids", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def effective_confidence(confidence: Column, valid_from: Column, now: Column) -> Column:
@@ -53,14 +63,17 @@ def effective_confidence(confidence: Column, valid_from: Column, now: Column) ->
 
 
 def rendered(now: Column) -> Column:
-    """A line with where a memory comes from."""
-    day = F.date_format("valid_from", "yyyy-MM-dd")
-    shown = F.format_string("%.2f", effective_confidence(F.col("confidence"), F.col("valid_from"), now))
-    return (
-        F.when(F.col("mem_type") == "semantic", F.concat(F.lit("- "), F.col("content"), F.lit(" (confidence "), shown, F.lit(", "), day, F.lit(")")))
-        .when(F.col("mem_type") == "episodic", F.concat(F.lit("- ["), day, F.lit("] "), F.col("content")))
-        .otherwise(F.concat(F.lit("- rule: "), F.col("content")))
+    """A line with where a memory comes from, and its content."""
+    sure = F.format_string("semantic · conf %.1f", effective_confidence(F.col("confidence"), F.col("valid_from"), now))
+    n = F.size(F.coalesce("source_ids", F.array().cast("array<string>")))
+    sessions = F.when(n == 1, " · from 1 session").when(n > 1, F.format_string(" · from %d sessions", n)).otherwise("")
+    session = F.coalesce(F.concat(F.lit(" · "), F.nullif("source_session_id", F.lit(""))), F.lit(""))
+    origin = (
+        F.when(F.col("mem_type") == "semantic", F.concat(sure, sessions))
+        .when(F.col("mem_type") == "episodic", F.concat(F.lit("episodic · "), F.date_format("valid_from", "yyyy-MM-dd"), session))
+        .otherwise("procedural")
     )
+    return F.concat(F.lit("["), origin, F.lit("] "), F.col("content"))
 
 
 def packed(rows: DataFrame, budget: int, by: list[str], order: list) -> DataFrame:
@@ -72,21 +85,36 @@ def packed(rows: DataFrame, budget: int, by: list[str], order: list) -> DataFram
 def block(memories: DataFrame, user, query: Column, now: Column, budget: int) -> DataFrame:
     """id, mem_type, place, line of the memories for a prompt, in order.
 
-    Each type has its share of the budget. Weak semantic ones go after the
-    candidates are chosen. What then exceeds the whole budget with the preamble
-    goes from the end.
+    Each type has its share of the budget. The semantic ones are ranked by the
+    query blended with the user's profile, times confidence, and weak ones go
+    after the candidates are chosen; procedural ones don't decay. What then
+    exceeds the whole budget with the preamble goes from the end.
     """
+    own = profile_vector(memories.where(F.col("user_id") == user)).select(F.col("profile").alias("own_profile"))
     parts = None
     for place, (kind, share) in enumerate(SPLIT.items()):
-        rows = ranked(memories, user, kind, query, now, CANDIDATES[kind])
-        if kind == "semantic":
+        semantic = kind == "semantic"
+        # A user has one profile or none: at most one row.
+        table = memories.join(own, F.lit(True), "left") if semantic else memories
+        asked = blended(query, F.col("own_profile")) if semantic else query
+        rows = ranked(table, user, kind, asked, now, CANDIDATES[kind], HALF_LIFE[kind], weighted=semantic)
+        if semantic:
             rows = rows.where(effective_confidence(F.col("confidence"), F.col("valid_from"), now) >= CONFIDENCE_FLOOR)
         rows = rows.withColumn("line", rendered(now)).withColumn("cost", estimated_tokens(F.col("line"))).withColumn("place", F.lit(place))
         fitting = packed(rows, int(budget * share), ["mem_type"], [F.desc("score"), "id"])
         parts = fitting if parts is None else parts.union(fitting)
     # At most CANDIDATES rows remain, so the last pass is small.
     size = F.sum(F.length("line") + 1).over(Window.orderBy("place", F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("size", size).where(F.ceil((F.col("size") + len(PREAMBLE)) / F.lit(3.5).cast("double")) <= budget).select("id", "mem_type", "place", "line")
+    whole = parts.withColumn("size", size)
+    return whole.where(F.ceil((F.col("size") + len(PREAMBLE) + 1) / F.lit(3.5).cast("double")) <= budget).select("id", "mem_type", "place", "score", "line")
+
+
+def block_text(lines: DataFrame) -> DataFrame:
+    """text, tokens of the rows of ``block``: the preamble and the lines; nothing for no lines."""
+    each = F.array_sort(F.collect_list(F.struct("place", (-F.col("score")).alias("worse"), "id", "line")))
+    text = F.concat(F.lit(PREAMBLE + "\n\n"), F.array_join(F.transform(each, lambda x: x["line"]), "\n"))
+    whole = lines.agg(F.when(F.count("*") > 0, text).otherwise("").alias("text"))
+    return whole.select("text", estimated_tokens(F.col("text")).alias("tokens"))
 
 
 def profile_vector(memories: DataFrame) -> DataFrame:
@@ -124,10 +152,113 @@ def reverted(memories: DataFrame, memory_id, revision: int, now: datetime) -> Da
     return closed.unionByName(fresh)
 
 
-def superseded(memories: DataFrame, old_id, now: datetime) -> DataFrame:
+def superseded(memories: DataFrame, old_id, now: datetime, by=None) -> DataFrame:
+    """All rows after a live memory is closed in favour of the memory ``by``; an old_id that isn't live raises."""
     if memories.where((F.col("id") == old_id) & F.col("valid_to").isNull()).isEmpty():
         raise LookupError(f"no live memory {old_id!r}")
-    return memories.withColumn("valid_to", F.when((F.col("id") == old_id) & F.col("valid_to").isNull(), F.lit(now)).otherwise(F.col("valid_to")))
+    closing = (F.col("id") == old_id) & F.col("valid_to").isNull()
+    out = memories.withColumn("valid_to", F.when(closing, F.lit(now)).otherwise(F.col("valid_to")))
+    if by is None:
+        return out
+    kind = memories.schema["superseded_by"].dataType if "superseded_by" in memories.columns else memories.schema["id"].dataType
+    before = F.col("superseded_by") if "superseded_by" in memories.columns else F.lit(None).cast(kind)
+    closing = (F.col("id") == old_id) & (F.col("valid_to") == F.lit(now)) & before.isNull()
+    return out.withColumn("superseded_by", F.when(closing, F.lit(by).cast(kind)).otherwise(before))
+
+
+def stored_after(memories: DataFrame, writes: DataFrame) -> DataFrame:
+    """All rows after ``writes`` (the columns of a memory, at, and supersedes: an id or null).
+
+    Each write is a new memory at revision 1, live from ``at``; the live
+    memory that it supersedes is closed then, and named its successor. A write
+    whose supersedes isn't live does nothing; see ``refused``.
+    """
+    good, _ = judged(memories, writes)
+    fresh = good.withColumns({"revision": F.lit(1).cast(memories.schema["revision"].dataType), "valid_from": F.col("at"), "valid_to": F.lit(None).cast(memories.schema["valid_to"].dataType), "superseded_by": F.lit(None).cast(memories.schema["id"].dataType)})
+    closing = good.where("supersedes is not null").groupBy(F.col("supersedes").alias("id")).agg(F.min(F.struct("at", F.col("id").alias("by"))).alias("close"))
+    live_row = F.col("valid_to").isNull() & F.col("close").isNotNull()
+    kept = memories.join(closing, "id", "left").withColumns(
+        {"superseded_by": F.when(live_row, F.col("close.by")).cast(memories.schema["id"].dataType), "valid_to": F.when(live_row, F.col("close.at")).otherwise(F.col("valid_to"))}
+    )
+    columns = [*memories.columns, *(["superseded_by"] if "superseded_by" not in memories.columns else [])]
+    return kept.select(*columns).unionByName(fresh.select(*columns))
+
+
+def judged(memories: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The writes that can be done, and those that supersede what isn't live (or what an earlier write supersedes)."""
+    alive = memories.where("valid_to is null").select(F.col("id").alias("live_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("supersedes").orderBy("at", "id")) == 1
+    marked = writes.withColumn("first", F.col("supersedes").isNull() | first).join(alive, F.col("supersedes") == F.col("live_id"), "left")
+    ok = F.col("supersedes").isNull() | (F.col("live_id").isNotNull() & F.col("first"))
+    return marked.where(ok).drop("first", "live_id"), marked.where(~ok).drop("first", "live_id")
+
+
+def refused(memories: DataFrame, writes: DataFrame) -> DataFrame:
+    """id, error of the writes that ``stored_after`` doesn't do."""
+    return judged(memories, writes)[1].select("id", F.concat(F.lit("no live memory "), F.col("supersedes").cast("string")).alias("error"))
+
+
+def payload() -> Column:
+    """A memory as an audit row has it: JSON without its vector."""
+    return F.to_json(F.struct("id", "revision", "user_id", "mem_type", "content", "confidence", "created_by"))
+
+
+def write_audit(memories: DataFrame, writes: DataFrame) -> DataFrame:
+    """memory_id, revision, op, before, after, actor, at: a row for each memory that the writes create, and one for each that they supersede."""
+    good, _ = judged(memories, writes)
+    good = good.withColumn("revision", F.lit(1).cast(memories.schema["revision"].dataType))
+    made = good.select(F.col("id").alias("memory_id"), "revision", F.lit(CREATE).alias("op"), F.lit(None).cast("string").alias("before"), payload().alias("after"), F.col("created_by").alias("actor"), "at")
+    old = memories.where("valid_to is null").select(F.col("id").alias("old_id"), F.col("revision").alias("old_revision"), payload().alias("before"))
+    closed = good.withColumn("after", payload()).join(old, F.col("supersedes") == F.col("old_id")).select("old_id", "old_revision", F.lit(SUPERSEDE), "before", "after", "created_by", "at")
+    return made.union(closed)
+
+
+def audit_view(audit: DataFrame, memory_id) -> DataFrame:
+    """The audit rows of one memory, the newest first; of one instant, the one of the later operation first."""
+    return audit.where(F.col("memory_id") == memory_id).orderBy(F.desc("at"), F.desc("revision"), F.desc("op"))
+
+
+def recorded(statements: DataFrame) -> DataFrame:
+    """Writes from what an agent asks to remember (id, user_id, session_id, statement, at, embedding, and mem_type, confidence, entities or supersedes, which may be null): episodic and 0.8 if not told otherwise."""
+    return statements.select(
+        "id",
+        "user_id",
+        F.coalesce("mem_type", F.lit("episodic")).alias("mem_type"),
+        F.col("statement").alias("content"),
+        F.coalesce("entities", F.array().cast("array<string>")).alias("entities"),
+        F.coalesce("confidence", F.lit(0.8)).alias("confidence"),
+        F.lit("agent").alias("created_by"),
+        F.col("session_id").alias("source_session_id"),
+        F.array().cast("array<string>").alias("source_ids"),
+        "embedding",
+        "supersedes",
+        "at",
+    )
+
+
+def history(memories: DataFrame, memory_id) -> DataFrame:
+    """The revisions of a memory, the oldest first; an unknown id raises."""
+    rows = memories.where(F.col("id") == memory_id)
+    if rows.isEmpty():
+        raise LookupError(f"no memory {memory_id!r}")
+    return rows.orderBy("revision")
+
+
+def json_view(now: Column) -> Column:
+    """A memory for a client, with its stored and its effective confidence."""
+    shown = F.round(effective_confidence(F.col("confidence"), F.col("valid_from"), now), 3)
+    return F.to_json(F.struct("id", "revision", "mem_type", "content", "entities", F.round(F.col("confidence").cast("double"), 3).alias("confidence"), shown.alias("effective_confidence"), "created_by"))
+
+
+def due_for_extraction(turn: Column, every: int = 10) -> Column:
+    """After every tenth turn that is done; turns count from 0."""
+    return (turn > 0) & ((turn + 1) % every == 0)
+
+
+def extraction_counts(facts: DataFrame) -> DataFrame:
+    """considered, written, discarded of extracted facts (statement, confidence)."""
+    good = F.coalesce(F.count_if(admissible(F.col("statement"), F.col("confidence"))), F.lit(0))
+    return facts.agg(F.count("*").alias("considered"), good.alias("written"), (F.count("*") - good).alias("discarded"))
 
 
 def clamped(value: Column) -> Column:
@@ -162,24 +293,59 @@ def average_linkage(vectors: np.ndarray, most: float = LINKAGE) -> np.ndarray:
 def clusters(memories: DataFrame) -> DataFrame:
     """user_id, cluster (smallest id), members, entities: similar live episodic memories with an entity in common.
 
-    One user's live episodic memories are clustered together; they are bounded by
-    consolidation, which replaces them.
+    Average linkage within a component of memories that are nearer than LINKAGE
+    to one another, pair by pair: it never merges across components, since the
+    mean of two sides is under LINKAGE only if a pair of them is. So a task gets
+    one component, not all that a user has.
     """
+    rows = memories.where("valid_to is null and mem_type = 'episodic'").select("user_id", "id", "embedding", "entities")
+    parts = near_parts(rows)
 
-    def grouped(user: pd.DataFrame) -> pd.DataFrame:
-        user = user.sort_values("id").reset_index(drop=True)
-        label = average_linkage(np.stack(user.embedding.to_numpy()).astype(float))
-        rows = []
+    def grouped(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id").reset_index(drop=True)
+        label = average_linkage(np.stack(own.embedding.to_numpy()).astype(float))
+        out = []
         for c in np.unique(label):
-            own = user[label == c]
-            shared = set.intersection(*(set(e) for e in own.entities)) if len(own) >= CLUSTER else set()
+            some = own[label == c]
+            shared = set.intersection(*(set(e) for e in some.entities)) if len(some) >= CLUSTER else set()
             if shared:
-                rows.append((own.user_id.iloc[0], own.id.min(), sorted(own.id), sorted(shared)))
-        return pd.DataFrame(rows, columns=["user_id", "cluster", "members", "entities"])
+                out.append((some.user_id.iloc[0], some.id.min(), sorted(some.id), sorted(shared)))
+        return pd.DataFrame(out, columns=["user_id", "cluster", "members", "entities"])
 
     kinds = {f.name: f.dataType.simpleString() for f in memories.schema}
     schema = f"user_id {kinds['user_id']}, cluster {kinds['id']}, members array<{kinds['id']}>, entities array<string>"
-    rows = memories.where("valid_to is null and mem_type = 'episodic'").select("user_id", "id", "embedding", "entities")
-    return rows.groupBy("user_id").applyInPandas(grouped, schema)
-
-
+    return rows.join(parts, ["user_id", "id"]).groupBy("user_id", "part").applyInPandas(grouped, schema)
+
+
+def near_parts(rows: DataFrame) -> DataFrame:
+    """user_id, id, part (smallest id that it reaches) of the rows that are nearer than LINKAGE to another of their user."""
+    a = rows.select("user_id", F.col("id").alias("a"), F.col("embedding").alias("x"))
+    b = rows.select("user_id", F.col("id").alias("b"), F.col("embedding").alias("y"))
+    pairs = a.join(b, "user_id").where((F.col("a") < F.col("b")) & (1 - cosine(F.col("x"), F.col("y")) < LINKAGE)).select("user_id", "a", "b")
+    both = checkpointed(pairs.union(pairs.select("user_id", F.col("b"), F.col("a"))).toDF("user_id", "id", "near"))
+    labels = checkpointed(both.groupBy("user_id", "id").agg(F.min("near").alias("near")).select("user_id", "id", F.least("near", "id").alias("part")))
+    while True:
+        # The least label of a memory and its neighbours, and then the label of that label.
+        seen = both.join(labels.select("user_id", F.col("id").alias("near"), F.col("part").alias("low")), ["user_id", "near"]).groupBy("user_id", "id").agg(F.min("low").alias("low"))
+        step = labels.join(seen, ["user_id", "id"]).select("user_id", "id", F.least("part", "low").alias("part"))
+        after = step.join(step.select("user_id", F.col("id").alias("part"), F.col("part").alias("far")), ["user_id", "part"], "left")
+        after = checkpointed(after.select("user_id", "id", F.least("part", F.coalesce("far", "part")).alias("part")))
+        moved = after.join(labels.withColumnRenamed("part", "old"), ["user_id", "id"]).where("part <> old")
+        if moved.isEmpty():
+            return after
+        labels = after
+
+
+def rendered_cluster(members: DataFrame) -> DataFrame:
+    """cluster, text of the members (cluster, id, valid_from, content) of clusters, in order of time: "[id] content"."""
+    line = F.concat(F.lit("["), F.col("id").cast("string"), F.lit("] "), F.col("content"))
+    lines = F.array_sort(F.collect_list(F.struct("valid_from", "id", line.alias("line"))))
+    return members.groupBy("cluster").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def dry_run(memories: DataFrame, found: DataFrame) -> DataFrame:
+    """user_id, live, clusters, clustered, unclustered: what a consolidation of the clusters found would read."""
+    alive = memories.where("valid_to is null and mem_type = 'episodic'").groupBy("user_id").agg(F.count("*").alias("live"))
+    sizes = found.groupBy("user_id").agg(F.count("*").alias("clusters"), F.sum(F.size("members")).alias("clustered"))
+    rows = alive.join(sizes, "user_id", "left").select("user_id", "live", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.coalesce("clustered", F.lit(0)).alias("clustered"))
+    return rows.withColumn("unclustered", F.col("live") - F.col("clustered"))

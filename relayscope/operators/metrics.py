@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.operators.lineage import checkpointed
+
 #: By how much a metric may fall below its baseline; without a tolerance it is only reported.
 TOLERANCES = {"set_f1": 0.02, "recall_at_5": 0.02, "mrr_at_10": 0.02, "tool_jaccard": 0.03, "citation_rate": 0.01}
 
@@ -54,17 +56,24 @@ def means(results: DataFrame, metrics: list[str], by: str | None = None) -> Data
 def latency_percentiles(turns: DataFrame) -> DataFrame:
     """p50, p95 as values of the sorted list, at n // 2 and at 0.95 * (n - 1), without interpolation.
 
-    Counted, so that no list of all values is made: the value at a place is the
-    least that so many values are no greater than.
+    Distinct values are counted and dealt to ranges; the driver adds up the
+    ranges' counts, and only the range that holds a place is looked into.
     """
-    from pyspark.sql import Window
-
-    counts = turns.groupBy("ms").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("ms"))
-    rows = counts.withColumns({"total": total, "upto": upto})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("ms")))
-    return rows.agg(at(F.floor(F.col("total") / 2)).alias("p50"), at(F.floor((F.col("total") - 1) * 0.95)).alias("p95"))
+    counted = turns.where("ms is not null").groupBy("ms").agg(F.count("*").alias("n"))
+    ranges = checkpointed(counted.repartitionByRange("ms").select("ms", "n", F.spark_partition_id().alias("range")))
+    sizes = ranges.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()
+    total = sum(r["n"] for r in sizes)
+
+    def at(place: int) -> DataFrame:
+        before = 0
+        for r in sizes:
+            if place < before + r["n"]:
+                upto = F.sum("n").over(Window.orderBy("ms")) + before
+                return ranges.where(F.col("range") == r["range"]).withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("ms").alias("v"))
+            before += r["n"]
+        return ranges.agg(F.max("ms").alias("v"))
+
+    return at(total // 2).withColumnRenamed("v", "p50").crossJoin(at(int(0.95 * (total - 1))).withColumnRenamed("v", "p95"))
 
 
 def weakest(results: DataFrame, n: int = 5) -> DataFrame:

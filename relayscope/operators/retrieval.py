@@ -72,16 +72,27 @@ def hybrid_search(chunks: DataFrame, query: Column, terms: Sequence[str], k: int
     return fused(dense, sparse_topk(postings(rows), terms)).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Queries that are sent to all tasks at once.
+BLOCK = 4096
+
+
 def batch_topk(candidates: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """query, id, score, rank: the k candidates nearest to each query.
 
-    queries: a table of a stated, bounded size (a benchmark's questions), sent to all tasks.
+    queries: a stated set (query, q); it goes out in blocks of about BLOCK,
+    whose size is what a task holds, so that the set may be of any size.
     """
-    pairs = candidates.join(F.broadcast(queries), F.lit(True)).select("query", "id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    if floor is not None:
-        pairs = pairs.where(F.col("score") >= floor)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = None
+    for number in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number) if blocks > 1 else queries
+        pairs = candidates.join(F.broadcast(block), F.lit(True)).select("query", "id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        if floor is not None:
+            pairs = pairs.where(F.col("score") >= floor)
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def select_tools(tools: DataFrame, query: Column, k: int = TOOLS, floor: float = FLOOR, always: Sequence[str] = ()) -> DataFrame:

@@ -6,29 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class ConflictingChunks(ValueError):
-    pass
+def conflicts(candidates: DataFrame) -> DataFrame:
+    """id of the candidates with different contents, told by their hashes alone."""
+    return hashes(candidates).where("low <> high").select("id")
 
 
-def conflicts(candidates: DataFrame) -> DataFrame:
-    """id, contents of ids with different contents."""
-    return candidates.groupBy("id").agg(F.countDistinct("content").alias("contents")).where("contents > 1")
+def hashes(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("id").agg(F.min("content_sha").alias("low"), F.max("content_sha").alias("high"))
 
 
 def delta(candidates: DataFrame, stored: DataFrame, prune: bool = True) -> DataFrame:
     """id, action: insert, update, skip or delete, by id and hash of the content.
 
-    Equal candidates are one; conflicting ones raise. No candidates change nothing.
+    Equal candidates are one; a conflict makes the job fail when it comes to it.
+    No candidates change nothing.
     """
-    if not conflicts(candidates).isEmpty():
-        raise ConflictingChunks("one id has different contents")
-    new = candidates.groupBy("id").agg(F.first("content_sha").alias("new"))
+    clash = F.raise_error(F.concat(F.lit("one id has different contents: "), F.col("id").cast("string"))).cast("string")
+    new = hashes(candidates).select("id", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(clash).alias("new"))
     both = new.join(stored.select("id", F.col("content_sha").alias("old")), "id", "full_outer")
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") == F.col("new"), "skip").otherwise("update")
     rows = both.select("id", action.alias("action"))
     return rows if prune and not candidates.isEmpty() else rows.where("action <> 'delete'")
 
 
+def pending(candidates: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The candidates to embed: those that are new or changed, each id once."""
+    todo = deltas.where("action in ('insert', 'update')").select("id")
+    return candidates.join(todo, "id", "left_semi").dropDuplicates(["id"])
+
+
 def delta_stats(deltas: DataFrame, candidates: DataFrame) -> DataFrame:
     """key, n: rows of each action, and candidates of each source."""
     return deltas.groupBy(F.concat(F.lit("action:"), "action").alias("key")).agg(F.count("*").alias("n")).union(candidates.groupBy(F.concat(F.lit("source:"), "source")).agg(F.count("*")))

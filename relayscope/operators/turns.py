@@ -9,7 +9,7 @@ from relayscope.functions.text import SPANS
 
 # Dollars for a million tokens.
 PRICES = {"input_tokens": 5.0, "output_tokens": 25.0, "cache_read": 0.5, "cache_write": 6.25}
-MEMORY_TOOLS = ("search_memory", "record_memory")
+MEMORY_TOOLS = ("memory_search", "memory_write")
 
 
 def turn_results(calls: DataFrame) -> DataFrame:

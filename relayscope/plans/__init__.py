@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("facts", "text", "retrieval", "evals")
+MODULES = ("facts", "text", "retrieval", "evals", "service")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,18 +40,21 @@ def gold_validate(s, d):
 
 
 @query(
-    f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id BETWEEN 450 AND 469), found AS (SELECT query, list(id) AS f FROM (SELECT q.vec_id AS query, t.vec_id AS id,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='t.embedding', b='q.embedding')} DESC, t.vec_id) AS rank FROM embeddings t, q WHERE t.vec_id < 450
-    AND {COS.format(a='t.embedding', b='q.embedding')} >= 0.25) WHERE rank <= 5 GROUP BY query), gold AS (SELECT q.vec_id AS query, list(t.vec_id) AS g FROM q JOIN embeddings t ON t.label = q.label AND t.vec_id < 60 GROUP BY 1),
-    both AS (SELECT coalesce(f, []) AS f, coalesce(g, []) AS g FROM q LEFT JOIN found ON vec_id = found.query LEFT JOIN gold ON vec_id = gold.query)
+    f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 100 <> 0), chosen AS (SELECT * FROM (SELECT q.vec_id AS query, t.vec_id AS id, t.vec_id % 4 = 3 AS synthetic,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='t.embedding', b='q.embedding')} DESC, t.vec_id) AS rank FROM t, q WHERE {COS.format(a='t.embedding', b='q.embedding')} >= 0.25) WHERE rank <= 5),
+    found AS (SELECT query, coalesce(list(id) FILTER (NOT synthetic), []) AS f FROM chosen GROUP BY 1), gold AS (SELECT q.vec_id AS query, list(t.vec_id) AS g FROM q JOIN t ON t.label = q.label AND t.vec_id % 4 <> 3 GROUP BY 1),
+    pairs AS (SELECT coalesce(f, []) AS f, coalesce(g, []) AS g FROM q LEFT JOIN found ON vec_id = found.query LEFT JOIN gold ON vec_id = gold.query)
     SELECT round(avg(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_intersect(f, g)) / len(g)::DOUBLE END), 6) AS recall,
-    round(avg(CASE WHEN len(f) + len(g) = 0 THEN 1 ELSE len(list_intersect(f, g)) / len(list_distinct(list_concat(f, g)))::DOUBLE END), 6) AS jaccard, round(avg(len(f)), 6) AS offered FROM both""".replace("both AS", "pairs AS").replace("FROM both", "FROM pairs")
+    round(avg(CASE WHEN len(f) + len(g) = 0 THEN 1 ELSE len(list_intersect(f, g)) / len(list_distinct(list_concat(f, g)))::DOUBLE END), 6) AS jaccard, round(avg(len(f)), 6) AS offered,
+    round(coalesce((SELECT count(*) FILTER (synthetic) / count(*)::DOUBLE FROM chosen), 0), 6) AS crowd_out FROM pairs"""
 )
 def sweep_point(s, d):
+    """Questions are the rows whose id is divisible by 100, against all the others; every fourth tool is synthetic."""
     e = read(s, d, "embeddings")
-    q = e.where("vec_id between 450 and 469").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
-    gold = e.where("vec_id < 60").select(F.col("vec_id").alias("id"), "label").join(q.select("query", "label"), "label").select("query", "id")
-    point = evals.sweep_point(e.where("vec_id < 450").select(F.col("vec_id").alias("id"), "embedding"), q.select("query", "q"), gold)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
+    tools = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 4 == 3).alias("synthetic"), "label")
+    gold = tools.where("not synthetic").select("id", "label").join(q.select("query", "label"), "label").select("query", "id")
+    point = evals.sweep_point(tools, q.select("query", "q"), gold)
     return point.select(*(F.round(c, 6).alias(c) for c in point.columns))
 
 

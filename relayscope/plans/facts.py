@@ -139,15 +139,19 @@ def release_diff(s, d):
 
 
 @query(
-    f"""WITH found AS (SELECT title, 'pr:' || number AS citation FROM pull_requests WHERE state = 'merged' AND merged_at >= {S} AND merged_at < {U}),
-    first AS (SELECT * FROM found ORDER BY citation LIMIT 50), n AS (SELECT count(*) AS n FROM found)
-    SELECT n, n || ' result(s)' || chr(10) || (SELECT string_agg('- ' || title || ' `' || citation || '`', chr(10) ORDER BY citation) FROM first)
-        || CASE WHEN n > 50 THEN chr(10) || '…and ' || (n - 50) || ' more' ELSE '' END AS rendered FROM n""",
+    f"""WITH found AS (SELECT title, author, number, merged_at, 'pr:' || number AS citation FROM pull_requests WHERE state = 'merged' AND merged_at >= {S} AND merged_at < {U} AND EXISTS (SELECT 1 FROM pr_files WHERE pr_number = number AND {COLD})),
+    first AS (SELECT * FROM found ORDER BY merged_at DESC, number DESC LIMIT 50), n AS (SELECT count(*) AS n FROM found)
+    SELECT n, '**Merged pull requests: ' || n || '**' || chr(10) || '_area `cold` resolved to: cold/**, blue/**_' || chr(10) || chr(10)
+        || (SELECT string_agg('- `' || citation || '` ' || strftime(merged_at, '%Y-%m-%d') || ' — @' || author || ' — ' || title, chr(10) ORDER BY merged_at DESC, number DESC) FROM first)
+        || CASE WHEN n > 50 THEN chr(10) || '- …and ' || (n - 50) || ' more (not listed)' ELSE '' END AS rendered FROM n""",
     "pull_requests",
+    "pr_files",
 )
 def render_aggregate(s, d):
-    found = facts.merged_prs(prs(s, d), model.pr_files(s, d), SINCE, UNTIL)
-    return facts.rendered(found.select("title", F.concat(F.lit("pr:"), F.col("number").cast("string")).alias("citation")))
+    globs = facts.area_globs(AREAS, "cold")
+    found = facts.merged_prs(prs(s, d), model.pr_files(s, d), SINCE, UNTIL, globs)
+    rows = found.select("title", "author", "number", F.col("merged_at").alias("at"), F.concat(F.lit("pr:"), F.col("number").cast("string")).alias("citation"))
+    return facts.rendered(rows, "Merged pull requests", [F.desc("at"), F.desc("number")], "cold", globs)
 
 
 @query("SELECT max(greatest(merged_at, closed_at, created_at)) AS as_of FROM pull_requests", "pull_requests")

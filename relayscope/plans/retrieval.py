@@ -129,11 +129,11 @@ def tool_native_defer(s, d):
 
 @query(
     f"""SELECT query, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query, c.id, {COS.format(a='c.embedding', b='q.embedding')} AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='c.embedding', b='q.embedding')} DESC, c.id)::INT AS rank FROM chunks c, embeddings q WHERE q.vec_id BETWEEN 450 AND 469) WHERE rank <= 5""",
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='c.embedding', b='q.embedding')} DESC, c.id)::INT AS rank FROM chunks c, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5""",
     "chunks",
 )
 def batch_topk(s, d):
-    questions = read(s, d, "embeddings").where("vec_id between 450 and 469").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    questions = read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return rounded(retrieval.batch_topk(chunks(s, d), questions, 5).select("query", "id", "score", "rank"), "score")
 
 
@@ -155,13 +155,16 @@ def memories(s, d):
         start.alias("valid_from"),
         F.when(i % 11 == 0, start + F.make_dt_interval(F.lit(7))).alias("valid_to"),
         F.lit("agent").alias("created_by"),
+        F.concat(F.lit("s"), (i % 7).cast("string")).alias("source_session_id"),
+        F.slice(F.array(F.lit("s1"), F.lit("s2")), F.lit(1), (i % 3).cast("int")).alias("source_ids"),
         "embedding",
     )
 
 
 MEM = """memories AS (SELECT vec_id AS id, vec_id % 5 AS user_id, CASE vec_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'episodic' ELSE 'procedural' END AS mem_type,
     'memory ' || vec_id || ' of ' || label AS content, (vec_id % 10 + 1) / 10.0::DOUBLE AS confidence, 1 AS revision, TIMESTAMP '2024-01-01' + to_days((vec_id % 150)::INT) AS valid_from,
-    CASE WHEN vec_id % 11 = 0 THEN TIMESTAMP '2024-01-01' + to_days((vec_id % 150 + 7)::INT) END AS valid_to, 'agent' AS created_by, embedding FROM embeddings)"""
+    CASE WHEN vec_id % 11 = 0 THEN TIMESTAMP '2024-01-01' + to_days((vec_id % 150 + 7)::INT) END AS valid_to, 'agent' AS created_by,
+    's' || vec_id % 7 AS source_session_id, vec_id % 3 AS n_sources, embedding FROM embeddings)"""
 AGE = "(epoch(TIMESTAMP '2024-06-01') - epoch(valid_from)) / 86400.0"
 
 
@@ -170,25 +173,25 @@ def memory_live(s, d):
     return memory.live(memories(s, d), "semantic").select("id", "valid_from")
 
 
-def rank_query(kind: str, half_life: float, k: int, weighted: bool):
-    extra = " * confidence" if weighted else ""
+def rank_query(kind: str, half_life: float | None, k: int, weighted: bool):
+    extra = (f" * pow(0.5, {AGE} / {half_life})" if half_life else "") + (" * confidence" if weighted else "")
 
     @query(
-        f"""WITH {MEM} SELECT id, round(score, 6) AS score FROM (SELECT id, {SIM} * pow(0.5, {AGE} / {half_life}){extra} AS score FROM memories
+        f"""WITH {MEM} SELECT id, round(score, 6) AS score FROM (SELECT id, {SIM}{extra} AS score FROM memories
         WHERE valid_to IS NULL AND user_id = 2 AND mem_type = '{kind}' ORDER BY score DESC, id LIMIT {k})""",
         name=f"memory_rank_{kind}",
     )
     def run(s, d):
-        return rounded(memory.ranked(memories(s, d), 2, kind, probe(s, d), F.lit(NOW), k, weighted=weighted).select("id", "score"), "score")
+        return rounded(memory.ranked(memories(s, d), 2, kind, probe(s, d), F.lit(NOW), k, half_life, weighted).select("id", "score"), "score")
 
 
 rank_query("semantic", 180.0, 20, True)
 rank_query("episodic", 30.0, 20, False)
-rank_query("procedural", 365.0, 5, False)
+rank_query("procedural", None, 5, False)
 
 CONF = f"confidence * pow(0.5, greatest({AGE}, 0) / 180.0)"
-LINE = f"""CASE mem_type WHEN 'semantic' THEN '- ' || content || ' (confidence ' || printf('%.2f', {CONF}) || ', ' || strftime(valid_from, '%Y-%m-%d') || ')'
-    WHEN 'episodic' THEN '- [' || strftime(valid_from, '%Y-%m-%d') || '] ' || content ELSE '- rule: ' || content END"""
+LINE = f"""'[' || CASE mem_type WHEN 'semantic' THEN 'semantic · conf ' || printf('%.1f', {CONF}) || CASE n_sources WHEN 0 THEN '' WHEN 1 THEN ' · from 1 session' ELSE ' · from ' || n_sources || ' sessions' END
+    WHEN 'episodic' THEN 'episodic · ' || strftime(valid_from, '%Y-%m-%d') || ' · ' || source_session_id ELSE 'procedural' END || '] ' || content"""
 
 
 @query(f"WITH {MEM} SELECT id, round({CONF}, 6) AS confidence FROM memories")
@@ -196,9 +199,9 @@ def effective_confidence(s, d):
     return memories(s, d).select("id", F.round(memory.effective_confidence(F.col("confidence"), F.col("valid_from"), F.lit(NOW)), 6).alias("confidence"))
 
 
-@query(f"WITH {MEM} SELECT id, {LINE} AS line FROM memories WHERE mem_type <> 'semantic'")
+@query(f"WITH {MEM} SELECT id, {LINE} AS line FROM memories")
 def render_memory(s, d):
-    return memories(s, d).where("mem_type <> 'semantic'").select("id", memory.rendered(F.lit(NOW)).alias("line"))
+    return memories(s, d).select("id", memory.rendered(F.lit(NOW)).alias("line"))
 
 
 @query(
@@ -210,26 +213,39 @@ def memory_pack(s, d):
     return memory.packed(rows, 60, ["user_id"], [F.desc("valid_from"), "id"]).select("user_id", "id")
 
 
-def part_sql(kind: str, half: float, k: int, share: float, place: int) -> str:
-    floor = f"WHERE {CONF} >= 0.3" if kind == "semantic" else ""
-    inner = f"SELECT *, {SIM} * pow(0.5, {AGE} / {half}) AS score FROM memories WHERE valid_to IS NULL AND user_id = 2 AND mem_type = '{kind}' ORDER BY score DESC, id LIMIT {k}"
+PROFILE = f"""profile AS (SELECT user_id, list(x ORDER BY place) AS mean FROM (SELECT user_id, place, avg(x) AS x FROM (SELECT user_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place
+    FROM memories WHERE valid_to IS NULL AND mem_type = 'semantic') GROUP BY 1, 2) GROUP BY 1)"""
+
+
+VECTOR = f"""mine AS (SELECT list_transform(range(1, 65), lambda i: (q[i] + mean[i] / sqrt(list_inner_product(mean, mean))) / 2) AS v FROM profile, (SELECT embedding AS q FROM embeddings WHERE vec_id = {PROBE}) WHERE user_id = 2)"""
+BUDGET = 400
+
+
+def part_sql(kind: str, half: float | None, k: int, share: float, place: int) -> str:
+    semantic = kind == "semantic"
+    floor = f"WHERE {CONF} >= 0.3" if semantic else ""
+    score = (COS.format(a="embedding", b="(SELECT v FROM mine)") if semantic else SIM) + (f" * pow(0.5, {AGE} / {half})" if half else "") + (" * confidence" if semantic else "")
+    inner = f"SELECT *, {score} AS score FROM memories WHERE valid_to IS NULL AND user_id = 2 AND mem_type = '{kind}' ORDER BY score DESC, id LIMIT {k}"
     lines = f"SELECT id, mem_type, {place} AS place, score, {LINE} AS line FROM ({inner}) {floor}"
-    return f"SELECT * FROM (SELECT *, sum(ceil(length(line) / 3.5::DOUBLE)) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS total FROM ({lines})) WHERE total <= {int(200 * share)}"
+    return f"SELECT * FROM (SELECT *, sum(ceil(length(line) / 3.5::DOUBLE)) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS total FROM ({lines})) WHERE total <= {int(BUDGET * share)}"
 
 
-BLOCK = " UNION ALL ".join(part_sql(*x) for x in (("semantic", 180.0, 20, 0.5, 0), ("episodic", 30.0, 20, 0.3, 1), ("procedural", 365.0, 5, 0.2, 2)))
+BLOCK = " UNION ALL ".join(part_sql(*x) for x in (("semantic", 180.0, 20, 0.5, 0), ("episodic", 30.0, 20, 0.3, 1), ("procedural", None, 5, 0.2, 2)))
+IN_BLOCK = f"""WITH {MEM}, {PROFILE}, {VECTOR}, parts AS ({BLOCK}), fitting AS (SELECT id, mem_type, place, score, line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY place, score DESC, id ROWS UNBOUNDED PRECEDING) AS size FROM parts)
+    WHERE ceil((size + {len(memory.PREAMBLE)} + 1) / 3.5::DOUBLE) <= {BUDGET})"""
 
 
-@query(
-    f"""WITH {MEM}, parts AS ({BLOCK}) SELECT id, mem_type, place, line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY place, score DESC, id ROWS UNBOUNDED PRECEDING) AS size FROM parts)
-    WHERE ceil((size + {len(memory.PREAMBLE)}) / 3.5::DOUBLE) <= 200"""
-)
+@query(f"{IN_BLOCK} SELECT id, mem_type, place, line FROM fitting")
 def memory_block(s, d):
-    return memory.block(memories(s, d), 2, probe(s, d), F.lit(NOW), 200)
+    return memory.block(memories(s, d), 2, probe(s, d), F.lit(NOW), BUDGET).select("id", "mem_type", "place", "line")
 
 
-PROFILE = f"""profile AS (SELECT user_id, list(x ORDER BY place) AS mean FROM (SELECT user_id, place, avg(x) AS x FROM (SELECT user_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place
-    FROM memories WHERE valid_to IS NULL AND mem_type = 'semantic') GROUP BY 1, 2) GROUP BY 1)"""
+TEXT = f"'{memory.PREAMBLE}' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place, score DESC, id)"
+
+
+@query(f"{IN_BLOCK} SELECT {TEXT} AS text, ceil(length({TEXT}) / 3.5::DOUBLE)::BIGINT AS tokens FROM fitting")
+def memory_block_text(s, d):
+    return memory.block_text(memory.block(memories(s, d), 2, probe(s, d), F.lit(NOW), BUDGET))
 
 
 @query(f"WITH {MEM}, {PROFILE} SELECT user_id, list_transform(mean, lambda x: round(x / sqrt(list_inner_product(mean, mean)), 6)) AS profile FROM profile")
@@ -247,8 +263,7 @@ def blended_query(s, d):
 
 
 @query(
-    f"""WITH {MEM} SELECT id, mem_type, round(score, 6) AS score FROM (SELECT id, mem_type, score, row_number() OVER (PARTITION BY mem_type ORDER BY score DESC, id) AS rank FROM (SELECT id, mem_type,
-    {SIM} * pow(0.5, {AGE} / CASE mem_type WHEN 'semantic' THEN 180.0 WHEN 'episodic' THEN 30.0 ELSE 365.0 END) AS score FROM memories WHERE valid_to IS NULL AND user_id = 2)) WHERE rank <= 4"""
+    f"""WITH {MEM} SELECT id, mem_type, round(score, 6) AS score FROM (SELECT id, mem_type, score, row_number() OVER (PARTITION BY mem_type ORDER BY score DESC, id) AS rank FROM (SELECT id, mem_type, {SIM} AS score FROM memories WHERE valid_to IS NULL AND user_id = 2)) WHERE rank <= 4"""
 )
 def memory_search_all(s, d):
     parts = [memory.ranked(memories(s, d), 2, kind, probe(s, d), F.lit(NOW), 4).select("id", "mem_type", "score") for kind in memory.HALF_LIFE]
@@ -265,23 +280,61 @@ def memory_revert(s, d):
 
 @query(f"WITH {MEM} SELECT id, revision::BIGINT AS revision, content FROM memories WHERE id = 5 UNION ALL SELECT id, 2, content FROM memories WHERE id = 5")
 def memory_history(s, d):
-    return memory.reverted(memories(s, d), 5, 1, NOW).where("id = 5").select("id", F.col("revision").cast("long").alias("revision"), "content").orderBy("revision")
+    return memory.history(memory.reverted(memories(s, d), 5, 1, NOW), 5).select("id", F.col("revision").cast("long").alias("revision"), "content")
+
 
+PAYLOAD = """'{"id":' || id || ',"revision":' || revision || ',"user_id":' || user_id || ',"mem_type":"' || mem_type || '","content":"' || content || '","confidence":' || confidence || ',"created_by":"' || created_by || '"}'"""
+WRITES = f"""writes AS (SELECT id + 1000000000 AS id, 1 AS revision, user_id, 'episodic' AS mem_type, 'again ' || content AS content, 0.8::DOUBLE AS confidence, 'agent' AS created_by,
+    CASE id % 4 WHEN 0 THEN id WHEN 1 THEN -id - 1 END AS supersedes FROM memories), good AS (SELECT w.*, m.id AS old, m.revision AS old_revision FROM writes w LEFT JOIN memories m ON m.id = w.supersedes AND m.valid_to IS NULL WHERE w.supersedes IS NULL OR m.id IS NOT NULL)"""
 
-@query(f"""WITH {MEM} SELECT id, '{{"id":' || id || ',"mem_type":"' || mem_type || '","content":"' || content || '"}}' AS payload FROM memories""")
+
+def writes(s, d):
+    """Every memory said again under a new id; a fourth supersede the memory, a fourth one that there isn't."""
+    i = F.col("id")
+    said = memories(s, d).select(
+        (i + 1_000_000_000).alias("id"), "user_id", F.lit("s9").alias("session_id"), F.concat(F.lit("again "), F.col("content")).alias("statement"), F.lit(None).cast("string").alias("mem_type"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<string>").alias("entities"), "embedding", F.when(i % 4 == 0, i).when(i % 4 == 1, -i - 1).alias("supersedes"), F.lit(NOW).alias("at"),
+    )
+    return memory.recorded(said)
+
+
+@query(
+    f"""WITH {MEM}, {WRITES} SELECT m.id, content, mem_type, confidence, CASE WHEN m.valid_to IS NULL AND g.id IS NOT NULL THEN TIMESTAMP '2024-06-01' ELSE m.valid_to END AS valid_to,
+    CASE WHEN m.valid_to IS NULL THEN g.id END AS superseded_by FROM memories m LEFT JOIN (SELECT old, id FROM good WHERE old IS NOT NULL) g ON g.old = m.id UNION ALL SELECT id, content, mem_type, confidence, NULL, NULL FROM good"""
+)
+def memory_write(s, d):
+    return memory.stored_after(memories(s, d), writes(s, d)).select("id", "content", "mem_type", "confidence", "valid_to", "superseded_by")
+
+
+@query(f"WITH {MEM}, {WRITES} SELECT id, 'no live memory ' || supersedes AS error FROM writes WHERE id NOT IN (SELECT id FROM good)")
+def memory_write_refused(s, d):
+    return memory.refused(memories(s, d), writes(s, d))
+
+
+AUDIT = f"""WITH {MEM}, {WRITES}, audit AS (SELECT id AS memory_id, revision, 'create' AS op, NULL AS before, {PAYLOAD} AS after FROM good
+    UNION ALL SELECT g.old, g.old_revision, 'supersede', m.payload, g.payload FROM (SELECT *, {PAYLOAD} AS payload FROM good) g JOIN (SELECT *, {PAYLOAD} AS payload FROM memories) m ON m.id = g.old)"""
+
+
+@query(f"{AUDIT} SELECT memory_id, revision::BIGINT AS revision, op, before, after FROM audit")
 def memory_audit(s, d):
-    return memories(s, d).select("id", F.to_json(F.struct("id", "mem_type", "content")).alias("payload"))
+    rows = memory.write_audit(memories(s, d), writes(s, d))
+    return rows.select("memory_id", F.col("revision").cast("long").alias("revision"), "op", "before", "after")
+
+
+@query(f"{AUDIT} SELECT op, after FROM audit WHERE memory_id = 8")
+def memory_audit_view(s, d):
+    return memory.audit_view(memory.write_audit(memories(s, d), writes(s, d)), 8).select("op", "after")
 
 
-@query(f"WITH {MEM} SELECT id, confidence, round({CONF}, 3) AS effective FROM memories WHERE valid_to IS NULL")
+@query(f"""WITH {MEM} SELECT id, '{{"id":' || id || ',"revision":1,"mem_type":"' || mem_type || '","content":"' || content || '","entities":["e' || split_part(content, ' ', 4) || '","all"],"confidence":' || confidence || ',"effective_confidence":' || round({CONF}, 3) || ',"created_by":"agent"}}' AS view FROM memories WHERE valid_to IS NULL""")
 def memory_json(s, d):
-    return memory.live(memories(s, d)).select("id", "confidence", F.round(memory.effective_confidence(F.col("confidence"), F.col("valid_from"), F.lit(NOW)), 3).alias("effective"))
+    return memory.live(memories(s, d)).select("id", memory.json_view(F.lit(NOW)).alias("view"))
 
 
 @query()
 def memory_clusters(s, d):
     """Average linkage has no SQL; tests hold it against known clusters."""
-    return memory.clusters(memories(s, d).withColumn("embedding", F.slice("embedding", 1, 3)))
+    return memory.clusters(memories(s, d))
 
 
 VALUE = "list_extract(['0.7', '1.5', '-2', 'x', '0.2'], (event_id % 5 + 1)::INT)"
@@ -302,15 +355,14 @@ def admissible(s, d):
     return read(s, d, "events").select("event_id", memory.admissible(statement, value()).alias("ok"))
 
 
-@query(f"SELECT count(*) AS considered, count(*) FILTER (coalesce(try_cast({VALUE} AS DOUBLE) BETWEEN 0.5 AND 1.0, false)) AS written FROM events")
+@query(f"SELECT count(*) AS considered, count(*) FILTER (ok) AS written, count(*) FILTER (NOT ok) AS discarded FROM (SELECT coalesce(try_cast({VALUE} AS DOUBLE) BETWEEN 0.5 AND 1.0, false) AS ok FROM events)")
 def extraction_report(s, d):
-    return read(s, d, "events").agg(F.count("*").alias("considered"), F.count_if(memory.admissible(F.col("event_type"), value())).alias("written"))
+    return memory.extraction_counts(read(s, d, "events").select(F.col("event_type").alias("statement"), value().alias("confidence")))
 
 
-@query("SELECT conv_id, max(turn) > 0 AND (max(turn) + 1) % 4 = 0 AS due FROM conversations GROUP BY conv_id")
+@query("SELECT user_id, event_id, turn > 0 AND (turn + 1) % 10 = 0 AS due FROM (SELECT *, event_id % 31 AS turn FROM events)")
 def should_extract(s, d):
-    last = F.max("turn")
-    return read(s, d, "conversations").groupBy("conv_id").agg(((last > 0) & ((last + 1) % 4 == 0)).alias("due"))
+    return read(s, d, "events").select("user_id", "event_id", memory.due_for_extraction(F.col("event_id") % 31).alias("due"))
 
 
 # --- index maintenance --------------------------------------------------------
@@ -333,9 +385,9 @@ def delta_sync(s, d):
     return sync.delta(*delta_sides(s, d))
 
 
-@query("SELECT source AS id, count(DISTINCT text) AS contents FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1")
+@query("SELECT source AS id FROM documents GROUP BY source HAVING count(DISTINCT sha256(text)) > 1")
 def delta_conflicts(s, d):
-    return sync.conflicts(read(s, d, "documents").select(F.col("source").alias("id"), F.col("text").alias("content")))
+    return sync.conflicts(read(s, d, "documents").select(F.col("source").alias("id"), F.sha2("text", 256).alias("content_sha")))
 
 
 @query(f"WITH {DELTA} SELECT 'action:' || action AS key, count(*) AS n FROM delta GROUP BY 1 UNION ALL SELECT 'source:' || source, count(*) FROM new GROUP BY 1")
@@ -449,7 +501,7 @@ def turn_cost(s, d):
 @query("SELECT DISTINCT user_id AS turn, 'pr:' || (event_id % 50) AS citation, false AS is_span FROM events WHERE event_type NOT IN ('error', 'signup')")
 def turn_results(s, d):
     raw = F.concat(F.lit("pr:"), (F.col("event_id") % 50).cast("string"))
-    tool = F.when(F.col("event_type") == "signup", "search_memory").otherwise(F.col("event_type"))
+    tool = F.when(F.col("event_type") == "signup", "memory_search").otherwise(F.col("event_type"))
     calls = read(s, d, "events").select(F.col("user_id").alias("turn"), tool.alias("tool"), (F.col("event_type") == "error").alias("is_error"), F.array(F.struct(raw.alias("raw"), F.lit("pr").alias("kind"))).alias("citations"))
     return turns.turn_results(calls)
 

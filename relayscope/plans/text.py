@@ -25,18 +25,18 @@ def query(oracle: str | None = None):
     return keep
 
 
-FORMS = "list_extract(['last ' || (event_id % 40 + 1) || ' days', 'last ' || (event_id % 9 + 1) || ' months', strftime(ts, '%Y-%m'), '2023-Q' || (event_id % 4 + 1), '2024-H1', 'since 2023-' || lpad((event_id % 12 + 1)::VARCHAR, 2, '0') || '-05', 'last ' || (event_id % 3 + 1) || ' years'], (event_id % 7 + 1)::INT)"
+FORMS = "list_extract(['last ' || (event_id % 40 + 1) || ' days', 'last ' || (event_id % 9 + 1) || ' months', strftime(ts, '%Y-%m'), '2023-Q' || (event_id % 4 + 1), '2024-H1', 'since 2023-' || lpad((event_id % 12 + 1)::VARCHAR, 2, '0') || '-05', 'last ' || (event_id % 3 + 1) || ' years', 'since 2023-02-3' || event_id % 2, '2023-02-30..2023-03-0' || (event_id % 9 + 1), 'last 9999999999' || event_id || ' days', 'last ' || (event_id + 4000000) || ' weeks', '2023-1' || (event_id % 7 + 3)], (event_id % 12 + 1)::INT)"
 
 
 @query(
-    f"""WITH e AS (SELECT event_id, ts, {FORMS} AS expression FROM events), m AS (SELECT *, event_id % 7 AS f, event_id AS i FROM e)
+    f"""WITH e AS (SELECT event_id, ts, {FORMS} AS expression FROM events), m AS (SELECT *, event_id % 12 AS f, event_id AS i FROM e)
     SELECT event_id, expression, CASE f WHEN 0 THEN ts - to_days((i % 40 + 1)::INT) WHEN 1 THEN ts - to_months((i % 9 + 1)::INT) WHEN 2 THEN date_trunc('month', ts)::TIMESTAMP
-        WHEN 3 THEN make_timestamp(2023, 3 * (i % 4) + 1, 1, 0, 0, 0) WHEN 4 THEN TIMESTAMP '2024-01-01' WHEN 5 THEN make_timestamp(2023, i % 12 + 1, 5, 0, 0, 0) ELSE ts - to_years((i % 3 + 1)::INT) END AS since,
+        WHEN 3 THEN make_timestamp(2023, 3 * (i % 4) + 1, 1, 0, 0, 0) WHEN 4 THEN TIMESTAMP '2024-01-01' WHEN 5 THEN make_timestamp(2023, i % 12 + 1, 5, 0, 0, 0) WHEN 6 THEN ts - to_years((i % 3 + 1)::INT) END AS since,
         CASE f WHEN 2 THEN least(ts, (date_trunc('month', ts) + INTERVAL 1 MONTH)::TIMESTAMP) WHEN 3 THEN least(ts, make_timestamp(2023, 3 * (i % 4) + 1, 1, 0, 0, 0) + INTERVAL 3 MONTH)
-        WHEN 4 THEN least(ts, TIMESTAMP '2024-07-01') ELSE ts END AS until FROM m"""
+        WHEN 4 THEN least(ts, TIMESTAMP '2024-07-01') WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 10 THEN NULL WHEN 11 THEN NULL ELSE ts END AS until FROM m"""
 )
 def window_resolve(s, d):
-    """A column of expressions, each with its own as-of instant."""
+    """A column of expressions, each with its own as-of instant; a good part of them are no windows."""
     e, i = read(s, d, "events"), F.col("event_id")
     n = lambda k: (i % k + 1).cast("string")
     forms = F.array(
@@ -47,8 +47,13 @@ def window_resolve(s, d):
         F.lit("2024-H1"),
         F.concat(F.lit("since 2023-"), F.lpad(n(12), 2, "0"), F.lit("-05")),
         F.concat(F.lit("last "), n(3), F.lit(" years")),
+        F.concat(F.lit("since 2023-02-3"), (i % 2).cast("string")),
+        F.concat(F.lit("2023-02-30..2023-03-0"), n(9)),
+        F.concat(F.lit("last 9999999999"), i.cast("string"), F.lit(" days")),
+        F.concat(F.lit("last "), (i + 4_000_000).cast("string"), F.lit(" weeks")),
+        F.concat(F.lit("2023-1"), (i % 7 + 3).cast("string")),
     )
-    rows = e.select("event_id", F.get(forms, (i % 7).cast("int")).alias("expression"), "ts").withColumn("w", windows.resolved(F.col("expression"), F.col("ts")))
+    rows = e.select("event_id", F.get(forms, (i % 12).cast("int")).alias("expression"), "ts").withColumn("w", windows.resolved(F.col("expression"), F.col("ts")))
     return rows.select("event_id", "expression", "w.since", "w.until")
 
 
@@ -60,16 +65,31 @@ def window_since_release(s, d):
     return p.where((F.col("merged_at") >= F.lit(since)) & (F.col("merged_at") < F.lit(until))).select("number")
 
 
-@query("SELECT event_id, ['get', event_type, 'k'||(event_id % 10 + 10), 'http', 'exception'] AS parts FROM events")
+# The same parts without look-ahead: a capital that begins a word is set apart first.
+PARTS = "list_transform(list_filter(regexp_extract_all(regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z][a-z][a-z0-9]*|[A-Z]+|[a-z0-9]+'), lambda w: len(w) >= 2), lambda w: lower(w))"
+NAMES = "list_extract(['get_' || event_type || '_HTTPException', 'getURLOf' || event_type, 'v' || event_id || 'Beta', 'toB' || event_id, event_type, 'parseV' || user_id || 'Router', 'HTTP'], (event_id % 7 + 1)::INT)"
+
+
+def event_name():
+    kind, i = F.col("event_type"), F.col("event_id").cast("string")
+    forms = [F.concat(F.lit("get_"), kind, F.lit("_HTTPException")), F.concat(F.lit("getURLOf"), kind), F.concat(F.lit("v"), i, F.lit("Beta")), F.concat(F.lit("toB"), i), kind, F.concat(F.lit("parseV"), F.col("user_id").cast("string"), F.lit("Router")), F.lit("HTTP")]
+    return F.get(F.array(*forms), (F.col("event_id") % 7).cast("int"))
+
+
+@query(f"SELECT event_id, CASE WHEN len(p) >= 2 THEN p ELSE [] END AS parts FROM (SELECT event_id, {PARTS.format(x=NAMES)} AS p FROM events)")
 def identifier_split(s, d):
-    name = F.concat(F.lit("get_"), F.col("event_type"), F.lit("_k"), (F.col("event_id") % 10 + 10).cast("string"), F.lit("_HTTPException"))
-    return read(s, d, "events").select("event_id", T.identifier_parts(name).alias("parts"))
+    return read(s, d, "events").select("event_id", T.identifier_parts(event_name()).alias("parts"))
 
 
-@query("SELECT event_id, list_sort(list_distinct(['api', 'router', 'apirouter', 'get', event_type, 'get_' || event_type])) AS parts FROM events")
+DECOMPOSED = f"""SELECT {{key}}, coalesce(list_sort(list_distinct(flatten(list({PARTS.format(x='w')} || [lower(w)]) FILTER (len({PARTS.format(x='w')}) >= 2)))), []) AS parts
+    FROM (SELECT {{key}}, unnest(CASE WHEN len(ws) = 0 THEN [''] ELSE ws END) AS w FROM (SELECT {{key}}, list_filter(regexp_split_to_array({{text}}, '[^\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]{{{{2,}}}}')) AS ws FROM {{table}})) GROUP BY 1"""
+
+
+@query(DECOMPOSED.format(key="doc_id", text="text || ' parseV' || n_chars || '_' || lang", table="documents").replace("{{", "{").replace("}}", "}"))
 def identifier_decompose(s, d):
-    prose = F.concat(F.lit("The APIRouter calls get_"), F.col("event_type"), F.lit(" of HTTP."))
-    return read(s, d, "events").select("event_id", T.decomposed(prose).alias("parts"))
+    """Whole texts, each with an identifier of its own."""
+    text = F.concat("text", F.lit(" parseV"), F.col("n_chars").cast("string"), F.lit("_"), "lang")
+    return read(s, d, "documents").select("doc_id", T.decomposed(text).alias("parts"))
 
 
 RAW = "list_extract(['issue:' || doc_id || '#comment-' || doc_id % 9, 'issue:' || doc_id || '#body', 'issue:' || doc_id, 'docs:' || source || '.md#' || lang, 'code:' || source || '.py:L' || doc_id || '-L' || doc_id, 'pr:' || doc_id, 'commit:' || left(sha256(doc_id::VARCHAR), 7), 'release:' || doc_id || '.0', 'pr:' || source], (doc_id % 9 + 1)::INT)"
@@ -113,21 +133,28 @@ def citation_scan(s, d):
     return read(s, d, "documents").select("doc_id", T.citations_in(prose).alias("found"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def slugify(s, d):
-    """ASCII texts, for which SQL has the same result; tests hold accents."""
-    return read(s, d, "documents").where(F.octet_length("text") == F.length("text")).select("doc_id", T.slugify("text").alias("slug"))
+    return read(s, d, "documents").select("doc_id", T.slugify("text").alias("slug"))
 
 
-@query("SELECT doc_id, 'docs:' || source || '#' || lang AS docs, 'issue:' || doc_id || '#comment-' || n_chars AS comment, 'commit:' || left(sha256(text), 7) AS commit FROM documents")
+@query(
+    """SELECT doc_id, ['docs:' || source || '.md#' || lang, 'code:' || source || '.py:L' || doc_id || '-L' || n_chars, 'issue:' || doc_id || '#comment-' || n_chars, 'issue:' || doc_id || '#body', 'issue:' || doc_id, 'pr:' || doc_id,
+    'commit:' || left(sha256(text), 7), 'release:' || source] AS citations FROM documents"""
+)
 def citation_build(s, d):
-    i = F.col("doc_id").cast("string")
-    return read(s, d, "documents").select(
-        "doc_id",
-        F.concat(F.lit("docs:"), F.col("source"), F.lit("#"), F.col("lang")).alias("docs"),
-        F.concat(F.lit("issue:"), i, F.lit("#comment-"), F.col("n_chars").cast("string")).alias("comment"),
-        F.concat(F.lit("commit:"), F.left(F.sha2("text", 256), F.lit(7))).alias("commit"),
-    )
+    i, n, source = F.col("doc_id"), F.col("n_chars"), F.col("source")
+    every = [
+        T.citation_of("docs", F.concat(source, F.lit(".md")), F.col("lang")),
+        T.citation_of("code", F.concat(source, F.lit(".py")), i, n),
+        T.citation_of("comment", i, n),
+        T.citation_of("body", i),
+        T.citation_of("issue", i),
+        T.citation_of("pr", i),
+        T.citation_of("commit", F.sha2("text", 256)),
+        T.citation_of("release", source),
+    ]
+    return read(s, d, "documents").select("doc_id", F.array(*every).alias("citations"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_sha FROM documents")
@@ -178,14 +205,24 @@ def message_text(s, d):
 
 
 @query(
-    """SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn, role) AS transcript FROM conversations
+    """SELECT conv_id, string_agg('[m' || conv_id || '-' || turn || '] ' || role || ': ' || text, chr(10) || chr(10) ORDER BY turn, role) AS transcript FROM conversations
     WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id"""
 )
 def render_transcript(s, d):
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), F.col("role"), F.lit(": "), F.col("text"))
-    rows = read(s, d, "conversations").where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
-    lines = F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line"))))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+    rows = read(s, d, "conversations").where(F.col("role").isin("user", "assistant"))
+    name = F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return T.rendered_transcript(rows.select("conv_id", name.alias("id"), "turn", "role", F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).alias("content")), "conv_id")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN [text] WHEN 1 THEN [text, role] END AS texts FROM conversations WHERE turn % 3 < 2")
+def replayable(s, d):
+    """Messages as a plain text, as blocks with a tool's among them, and as a tool's block alone, which goes."""
+    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    mixed = F.to_json(F.array(block("text", F.col("text")), block("tool_use", F.lit("x")), block("text", F.col("role"))))
+    alone = F.to_json(F.array(block("tool_use", F.lit("x"))))
+    content = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, mixed).otherwise(alone)
+    rows = read(s, d, "conversations").select("conv_id", "turn", T.replayable(content).alias("blocks")).where("blocks is not null")
+    return rows.select("conv_id", "turn", F.transform("blocks", lambda b: b["text"]).alias("texts"))
 
 
 @query()

@@ -10,41 +10,61 @@ def column(spark, values, expression):
 
 def test_identifiers(spark):
     cases = {
-        "get_current_user": ["get", "current", "user"],
-        "HTTPException": ["http", "exception"],
-        "getURL": ["get", "url"],
-        "APIRouter": ["api", "router"],
-        "parse_obj_as": ["parse", "obj", "as"],
-        "_private_helper": ["private", "helper"],
-        "router": [],
-        "HTTP": [],
-        "x": [],
+        "read_table": ["read", "table"],
+        "sparkSQLContext": ["spark", "sql", "context"],
+        "XMLFile": ["xml", "file"],
+        "rowID": ["row", "id"],
+        "__init_subclass__": ["init", "subclass"],
+        "toB64": ["to", "64"],
+        "getV2": [],
+        "x1Y2": [],
+        "a_b_c": [],
+        "utf8Bytes": ["utf8", "bytes"],
+        "HTML": [],
+        "table": [],
     }
     assert column(spark, cases, T.identifier_parts) == list(cases.values())
 
 
+def test_identifiers_in_texts(spark):
+    texts = ["The loadAll of rowID, load_all; é_loadAll and loadAllé don't count", "plain words", ""]
+    assert column(spark, texts, T.decomposed) == [["all", "id", "load", "load_all", "loadall", "row", "rowid"], [], []]
+
+
 def test_citations(spark):
     cases = {
-        "docs:advanced/events.md#lifespan": ("docs", True),
-        "code:app/routing.py:L280-L340": ("code", True),
-        "issue:1234#comment-5": ("comment", True),
-        "issue:1234#body": ("body", True),
-        "pr:11234": ("pr", False),
-        "commit:a3f1c9d": ("commit", False),
-        "issue:1234": ("issue", False),
-        "release:0.110.0": ("release", False),
+        "docs:guide/setup.md#install-it": ("docs", True),
+        "code:lib/io/reader.py:L5-L9": ("code", True),
+        "code:lib/io/reader.py:L5-L9#part-3": ("code", True),
+        "issue:8#comment-77": ("comment", True),
+        "issue:8#body-2": ("body", True),
+        "pr:5": ("pr", False),
+        "commit:0123abc": ("commit", False),
+        "issue:99999999999999999999": ("issue", False),
+        "release:v3-rc1": ("release", False),
     }
-    assert [(c["kind"], c["is_span"]) for c in column(spark, cases, T.citation)] == list(cases.values())
-    assert column(spark, ["", "nonsense", "pr:", "pr:abc", "code:x.py:L1", "commit:xyz", None], T.citation) == [None] * 7
+    got = column(spark, cases, T.citation)
+    assert [(c["kind"], c["is_span"]) for c in got] == list(cases.values())
+    assert got[7]["number"] is None and got[2]["index"] == 3
+    wrong = ["docs:guide/setup.md", "code:reader.py:5-9", "issue:x", "pr:5a", "commit:0123ab", "release:", "issues:1", " pr:5", None]
+    assert column(spark, wrong, T.citation) == [None] * len(wrong)
 
 
 def test_citations_in_prose(spark):
-    text = "See `pr:7`, issue:1234#comment-5 (twice: issue:1234#comment-5), note: no, and pr:8."
-    assert column(spark, [text, "", None], T.citations_in) == [["pr:7", "issue:1234#comment-5", "pr:8"], [], None]
+    text = "It came with pr:5 (see `docs:a b.md#c`, [issue:8]); pr:5, again, \"commit:0123abc\"! But xpr:6, pr: 7 and `no pr:9` are none."
+    assert column(spark, [text, "", None], T.citations_in) == [["pr:5", "docs:a b.md#c", "issue:8", "commit:0123abc"], [], None]
 
 
 def test_slugs(spark):
-    assert column(spark, ["What's `Depends()` for?", "Créer une application", "", None], T.slugify) == ["what-s-depends-for", "creer-une-application", "", None]
+    titles = ["  Über uns -- 2. Teil!", "naïve façade", "Ωmega ½", "???", None]
+    assert column(spark, titles, T.slugify) == ["uber-uns-2-teil", "naive-facade", "mega-12", "", None]
+
+
+def test_a_long_line_is_cut_by_tokens():
+    line = "a.b," * 3000
+    parts = list(chunking.units(line, 512))
+    assert all(chunking.words(p) <= 512 for p in parts) and parts[0] == line[: len(parts[0])] and parts[-1] == line[-len(parts[-1]) :]
+    assert sum(map(len, parts)) >= len(line)
 
 
 def test_token_windows(spark):
