@@ -127,10 +127,11 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     index, probing = keys(lines, edits, True), keys(lines, edits, False)
     other = lambda rows: rows.select(F.col("key").alias("k"), F.col("id").alias("other"))
     meets = (F.col("key") == F.col("k")) & (F.col("id") != F.col("other"))
-    met = index.join(other(probing), meets, "left_semi").withColumn("own", F.lit(True))
-    met = met.union(probing.join(other(index), meets, "left_semi").withColumn("own", F.lit(False)))
-    met = written(met, "met")
-    named = lines.join(met.select("id").distinct(), "id", "left_semi")
+    # Two steps, so that the probes' shuffle files are there once at a time.
+    own = written(index.join(other(probing), meets, "left_semi"), "own")
+    met = written(own.withColumn("own", F.lit(True)).union(probing.join(other(own), meets, "left_semi").withColumn("own", F.lit(False))), "met")
+    # How many lines meet has no bound, so they are not sent to all tasks.
+    named = lines.join(met.select("id").distinct().hint("merge"), "id", "left_semi")
     named = written(named.select("id", "line", "n", *(letter_counts(F.col("line"), x).alias(f"l{k}") for k, x in enumerate(LETTERS))), "named")
     sides = met.join(named.select("id", "n", "l0", "l1"), "id")
     a = sides.where("own").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "l0", "l1")))

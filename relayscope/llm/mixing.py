@@ -84,14 +84,14 @@ class Mixture:
         return F.array(*(1 / s for s in sums))
 
     def rate(self, p: Column) -> Column:
-        """Of the posteriors p."""
-        rate = F.lit(1.0)
-        for step in self.steps:
-            move = F.lit(0.0)
-            for i, s in enumerate(step):
-                move = move + p[i] * s
-            rate = F.greatest(F.lit(self.least_rate), rate - move)
-        return rate
+        """Of the posteriors p: all steps, one after the other; they are one constant, so that the plan is small however many there are."""
+        if not self.steps:
+            return F.lit(1.0)
+
+        def moved(rate: Column, step: Column) -> Column:
+            return F.greatest(F.lit(self.least_rate), rate - sum((p[i] * step[i] for i in range(len(self.steps[0]))), F.lit(0.0)))
+
+        return F.aggregate(F.array(*map(numbers, self.steps)), F.lit(1.0), moved)
 
     def applied(self, documents: DataFrame) -> DataFrame:
         """``documents`` with mix_tokens, mix_posteriors and mix_rate, from the texts alone."""
@@ -122,7 +122,7 @@ def fitted(
     label: str = "quality",
     total: float | None = None,
     least_rate: float = 0.0,
-    rounds: int = 15,
+    rounds: int = 200,
     tolerance: float = 1e-3,
 ) -> Mixture:
     """The mixture that gives each domain (a value of ``label``) its share of the tokens.
@@ -130,7 +130,10 @@ def fitted(
     Domains that ``shares`` doesn't name get none, and domains that no label has
     can't be reached; without any label all documents are one domain. total: all
     tokens of the mixture; if None, the least for which no domain shrinks. Rates
-    are at least ``least_rate``.
+    are at least ``least_rate``. The rounds end where all totals are within
+    ``tolerance`` of the mixture's tokens, or where no rate moves any more: then
+    the targets can't be met, and these are the least-squares rates. Rates that
+    do neither within ``rounds`` raise.
     """
     seen = written(with_features(documents.select("doc_id", "text")).select("doc_id", F.col("mix_tokens").alias("tokens"), F.col("mix_x").alias("x")), "features")
     mixture = replace(learned(seen, labels, label), least_rate=least_rate)
@@ -146,13 +149,16 @@ def fitted(
     if total is None:
         total = max((m / w for m, w in zip(masses, wanted, strict=True) if w > 0), default=sum(masses))
     steps: list[tuple[float, ...]] = []
+    last: list[float] | None = None
     for _ in range(rounds):
         errors = [t - w * total for t, w in zip(totals(mixture.rate(F.col("p"))), wanted, strict=True)]
-        if max(abs(e) for e in errors) <= tolerance * total:
-            break
+        still = last is not None and max(abs(e - f) for e, f in zip(errors, last, strict=True)) <= 1e-3 * tolerance * total
+        if still or max(abs(e) for e in errors) <= tolerance * total:
+            return mixture
+        last = errors
         steps.append(tuple(e / m if m > 0 else 0.0 for e, m in zip(errors, masses, strict=True)))
         mixture = replace(mixture, steps=tuple(steps))
-    return mixture
+    raise RuntimeError(f"after {rounds} rounds the domains' totals are still off by {errors} tokens")
 
 
 def mixed_rates(documents: DataFrame, labels: DataFrame, shares: dict[int, float], **how) -> DataFrame:
@@ -170,6 +176,7 @@ def mixed_rates(documents: DataFrame, labels: DataFrame, shares: dict[int, float
 def resampled(documents: DataFrame, mixture: Mixture) -> DataFrame:
     """``documents`` with each row as often as its rate says, the fraction rounded by a hash of text and doc_id."""
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    rows = mixture.applied(documents).withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int"))
-    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(1)))
-    return rows.where("mix_copies > 0").withColumn("mix_copy", times).select(*(documents[c] for c in documents.columns))
+    copies = mixture.applied(documents).withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int"))
+    # Written, so that a row's rate is worked out once, and not again for each use of the number of its copies.
+    rows = written(copies.select(*documents.columns, "mix_copies"), "copies")
+    return rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*documents.columns)

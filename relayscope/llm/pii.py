@@ -175,20 +175,18 @@ def written_as(kind: Column, value: Column, core: Column) -> Column:
     )
 
 
-def drawn_surrogates(entities: DataFrame, key: str, attempts: int = 30) -> DataFrame:
+def drawn_surrogates(entities: DataFrame, key: str, attempts: int = 200) -> DataFrame:
     """kind, canon, core for each of ``entities`` (kind, canon; distinct): all cores of a kind differ.
 
     Each round draws for those that are left. A core is taken if no entity and
     no earlier core is the same, and of several that agree the smallest canon
-    has it. What a crowded format leaves after ``attempts`` rounds gets its
-    attempt's digest appended.
+    has it. A format that is so full that ``attempts`` rounds leave entities
+    without one raises; no surrogate leaves its entity's format.
     """
     taken, left = None, entities.withColumn("attempt", F.lit(0))
     own = entities.select("kind", F.col("canon").alias("core"))
-    for attempt in range(attempts + 1):
+    for _ in range(attempts):
         core = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        if attempt == attempts:
-            core = F.concat(core, F.sha2(F.concat(F.lit(key), "canon"), 256))
         drawn_rows = left.withColumn("core", core)
         first = F.row_number().over(Window.partitionBy("kind", "core").orderBy("canon")) == 1
         fresh = drawn_rows.withColumn("first", first)
@@ -197,10 +195,11 @@ def drawn_surrogates(entities: DataFrame, key: str, attempts: int = 30) -> DataF
         good = fresh.where("first and used is null").select("kind", "canon", "core")
         taken = good if taken is None else taken.union(good)
         bad = fresh.where("not first or used").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        if attempt == attempts or bad.isEmpty():
+        if bad.isEmpty():
             return taken
         left = bad
-    return taken
+    kinds = [f"{r['n']} of kind {r['kind']}" for r in left.groupBy("kind").agg(F.count("*").alias("n")).collect()]
+    raise RuntimeError(f"no surrogates left in the formats of {', '.join(kinds)}")
 
 
 def with_surrogates(documents: DataFrame, key: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Tables that outlive a job: written once to the folder that all executors share.
 
 The folder is the one that the session names in ``spark.checkpoint.dir``; one of
-our own is set only where that is unset (tests, a laptop).
+our own is set only where that is unset and all runs on one machine (tests, a laptop).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="relayscope-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -43,9 +43,8 @@ def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not lists[i].is_valid or not np.isfinite(x).all():
                 continue
             x = np.floor(256 * x)
-            # A score has to fit into 64 bits.
             if len(x) and np.abs(x).max() > np.sqrt(2.0**62 / len(x)):
-                continue
+                raise OverflowError(f"vector {ids[i]} is so large that a score may not fit into 64 bits")
             x = x.astype("<i8")
             out.append((row, ids[i].as_py(), queries[i].as_py(), len(x), int(x @ x), x.tobytes()))
             row += 1
@@ -146,9 +145,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     vectors: vec_id and embedding; every row for which ``is_query`` holds is a
     query, against every row but itself. Components x count as floor(256 * x).
-    Ties go to the smaller vec_id. Vectors that are null, hold null or
-    non-finite components, or are so large that a score could pass 64 bits take
-    no part; vectors of unequal lengths don't meet. Repeated rows are rows of
+    Ties go to the smaller vec_id. Vectors that are null or hold null or
+    non-finite components take no part; one so large that a score could pass 64
+    bits raises. Vectors of unequal lengths don't meet. Repeated rows are rows of
     their own; a row with a null vec_id takes no part. Fewer than k candidates
     give fewer rows; an empty table gives an empty result.
 

@@ -29,8 +29,7 @@ class Settings:
     """Of FTRL-proximal, and of the sample that it learns from.
 
     max_rows: at most so many labelled rows are learned from, those with the
-    smallest hashes of their doc_id. shard_rows: a sample of more rows than this
-    is dealt to several models, trained side by side and averaged.
+    smallest hashes of their doc_id; one task learns from all of them.
     """
 
     alpha: float = 2.0
@@ -39,7 +38,6 @@ class Settings:
     l2: float = 0.1
     epochs: int = 4
     max_rows: int = 40_000
-    shard_rows: int = 20_000
 
 
 def hashed_features(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +75,21 @@ def trained(features: list[np.ndarray], labels: np.ndarray, how: Settings) -> tu
     return weights(slice(None)), bias
 
 
-def shard_trainer(how: Settings) -> Callable[[pa.Table], pa.Table]:
-    def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")])
-        features = []
-        for _, _, words, counts in word_hashes(table.column("text").combine_chunks(), NOT_ALPHANUMERIC):
-            found, sizes = hashed_features(words, counts)
-            features += np.split(found, np.cumsum(sizes)[:-1])
-        w, bias = trained(features, table.column("toxic").to_numpy().astype(float), how)
-        used = np.flatnonzero(w)
-        return pa.table({"feature": np.r_[used, -1].astype(np.int64), "weight": np.r_[w[used], bias], "rows": np.full(len(used) + 1, table.num_rows, np.int64)})
+def trainer(how: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The weights that aren't zero, by feature, and the bias, as that of -1; no row for no rows."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features: list[np.ndarray] = []
+        labels: list[np.ndarray] = []
+        for batch in batches:
+            labels.append(batch.column("toxic").to_numpy().astype(float))
+            for _, _, words, counts in word_hashes(batch.column("text"), NOT_ALPHANUMERIC):
+                found, sizes = hashed_features(words, counts)
+                features += np.split(found.astype(np.int32), np.cumsum(sizes)[:-1])
+        if features:
+            w, bias = trained(features, np.concatenate(labels), how)
+            used = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1].astype(np.int64)), pa.array(np.r_[w[used], bias])], names=["feature", "weight"])
 
     return train
 
@@ -131,15 +134,11 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, how: Settings | Non
         .limit(how.max_rows)
     )
     sample = written(sample, "sample")
-    shards = max(1, -(-sample.count() // how.shard_rows))
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
-    models = rows.groupBy("shard").applyInArrow(shard_trainer(how), "feature long, weight double, rows long")
+    ordered = rows.repartition(1).sortWithinPartitions("place", "doc_id", F.xxhash64("text")).select("text", "toxic")
     # At most 2 ** BITS + 1 rows, however large the corpus is.
-    model = models.groupBy("feature").agg(F.sum(F.col("weight") * F.col("rows")).alias("w"), F.sum("rows").alias("n")).toPandas()
+    model = ordered.mapInArrow(trainer(how), "feature long, weight double").toPandas()
     used, rest = model[model.feature >= 0], model[model.feature < 0]
-    learned = int(rest.n.sum())
-    bias = rest.w.sum() / learned if learned else -np.inf
-    sent = spark.sparkContext.broadcast((used.feature.to_numpy(), used.w.to_numpy() / max(learned, 1), bias))
+    sent = spark.sparkContext.broadcast((used.feature.to_numpy(), used.weight.to_numpy(), rest.weight.iloc[0] if len(rest) else -np.inf))
     scores = documents.select("doc_id", "text", *carried).mapInArrow(scorer(sent, carried), ", ".join(["doc_id long, score double", *(f"{c} string" for c in carried)]))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carried)
