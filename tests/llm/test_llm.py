@@ -299,6 +299,43 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.toxicity_scores(frame(spark, rows[:5]), table.limit(0)).collect()} == {0.0}
 
 
+def test_ftrl_follows_the_published_recurrences():
+    """Against plain Python, a coordinate at a time."""
+    import math
+
+    how = toxicity.Settings(alpha=0.7, beta=0.5, l1=0.3, l2=0.2, epochs=2)
+    here = random.Random(3)
+    rows = [sorted(here.sample(range(12), here.choice([0, 1, 3, 6]))) for _ in range(40)]
+    labels = [float(0 in r or 5 in r) for r in rows]
+    z, n, bias, bias_n = [0.0] * 12, [0.0] * 12, 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return -(z[i] - math.copysign(how.l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for r, y in zip(rows, labels, strict=True):
+            w = [weight(i) for i in r]
+            g = 1 / (1 + math.exp(-(sum(w) + bias))) - y
+            for i, wi in zip(r, w, strict=True):
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * wi
+                n[i] += g * g
+            bias_n += g * g
+            bias -= how.alpha / (how.beta + math.sqrt(bias_n)) * g
+    w, b = toxicity.trained([np.array(r, np.int32) for r in rows], np.array(labels), how)
+    assert np.allclose(w[:12], [weight(i) for i in range(12)]) and np.isclose(b, bias) and not w[12:].any() and (w[:12] == 0).any()
+
+
+def test_one_model_learns_from_all_sampled_rows(spark):
+    """The result doesn't depend on how the rows are dealt out."""
+    rows = [(i, prose(12) + (" toadface" if i % 4 == 0 else "")) for i in range(200)]
+    table = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    one, two = (by_id(toxicity.toxicity_scores(frame(spark, rows).repartition(k), table), "score") for k in (1, 7))
+    assert one == two
+
+
 SAID = r"\### Assistant: </turn> ok"
 
 
@@ -401,6 +438,12 @@ def lines_by_force(rows):
     return out, {x: top(x) for x in first}
 
 
+def test_a_full_format_raises(spark):
+    entities = spark.createDataFrame([("email", f"{a}@b.co") for a in "abcdefghijklmnopqrstuvwxyz" * 1] + [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "acdefghijklmnopqrstuvwxyz"], "kind string, canon string")
+    with pytest.raises(RuntimeError, match="email"):
+        pii.drawn_surrogates(entities, "key", attempts=2)
+
+
 def test_lines(spark, none):
     pool = []
     for _ in range(14):
@@ -471,6 +514,29 @@ def test_mixing(spark, none):
     assert {r["rate"] for r in mixing.mixed_rates(docs, labels.limit(0), {1: 1.0}).collect()} == {1.0}
 
 
+def test_rates_are_the_least_squares_ones(spark):
+    """Against projected gradients on plain numbers, where the targets can be met and where a least rate keeps them out of reach."""
+    rows = [(i, "a plain sentence of words. " * (3 + i % 4)) for i in range(40)] + [(100 + i, "x | y | z ||| # $ " * (2 + i % 3)) for i in range(40)] + [(200 + i, "half | a sentence. " * 4) for i in range(9)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(i, 0, 0) for i in range(100, 140, 2)], "doc_id long, quality int, toxic int")
+    for shares, how in (({0: 0.25, 1: 0.75}, {}), ({0: 0.25, 1: 0.75}, {"least_rate": 1.0, "total": 400.0})):
+        got = mixing.mixed_rates(frame(spark, rows), labels, shares, **how).toPandas()
+        p, t, rate = np.stack(got.posteriors), got.tokens.to_numpy(float), got.rate.to_numpy()
+        mass = (p * t[:, None]).sum(0)
+        total = how.get("total") or max(m / shares[k] for k, m in enumerate(mass))
+        goal = np.array([shares[0], shares[1]]) * total
+        loss = lambda r: float((((p * (t * r)[:, None]).sum(0) - goal) ** 2 / mass).sum())  # noqa: B023, E731
+        best, floor = np.ones(len(t)), how.get("least_rate", 0.0)
+        for _ in range(3000):
+            best = np.maximum(floor, best - p @ (((p * (t * best)[:, None]).sum(0) - goal) / mass))
+        assert (rate >= floor).all() and loss(rate) <= loss(best) + 1e-5 * total
+
+
+def test_a_large_vector_raises(spark):
+    table = spark.createDataFrame([(50, [1.0, 2.0]), (51, [3e15, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(table, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_k(spark):
     numbers = np.random.default_rng(2)
     rows = [(i, [float(x) for x in numbers.normal(0, 0.1, 8)]) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(40)]
