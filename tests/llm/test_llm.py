@@ -537,6 +537,24 @@ def test_a_large_vector_raises(spark):
         topk.exact_top_k(table, F.col("vec_id") % 50 == 0).collect()
 
 
+def test_top_k_reads_only_annuli_within_the_bound(spark, monkeypatch):
+    """Far clusters: exact, and most annuli are never looked into."""
+    monkeypatch.setattr(topk, "ANNULUS", 4)
+    numbers = np.random.default_rng(6)
+    v = np.concatenate([numbers.normal(0, 0.01, (60, 4)) + 2 * np.eye(4)[c] for c in range(4)])
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(500 + i, [2.0, 0.0, 0.0, 0.0]) for i in range(30)]
+    looked = []
+    keep = topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: keep(df, name) if name != "visits" else looked.append(keep(df, name)) or looked[-1])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_top_k(table, F.col("vec_id") % 20 == 0).collect())
+    whole = {i: np.floor(256 * np.array(x)) for i, x in rows}
+    want = [(q, n + 1, i, -s) for q in whole if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(whole[q] @ w), i) for i, w in whole.items() if i != q)[:5])]
+    assert got == sorted(want)
+    visits = sum(x.count() for x in looked)
+    assert len(looked) == 3 and visits < len({q for q, *_ in want}) * len(rows) / 4 / 2
+
+
 def test_top_k(spark):
     numbers = np.random.default_rng(2)
     rows = [(i, [float(x) for x in numbers.normal(0, 0.1, 8)]) for i in range(300)] + [(1000 + i, [0.5] * 8) for i in range(40)]
