@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.operators.lineage import checkpointed
+
 # What a message says when it closes an issue, and where a squashed commit names its pull request.
 CLOSING = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s+#(\d+)"
 SQUASHED = r"\(#(\d+)\)\s*$"
@@ -159,7 +161,18 @@ def areas_synced(stored: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.select(*stored.columns)
 
 
-def unique_ids(rows: DataFrame, base: str, order: Sequence[str]) -> Column:
-    """A base's first row has it as its id, the next ones with -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), n.cast("string")))
+def unique_ids(rows: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with id: a base's first row has the base, the next ones -2, -3 and so on behind it.
+
+    Rows are dealt to ranges of base and order; a row's number is its place in
+    its range, after those of its base in earlier ranges. So a base that very
+    many rows share is no task of its own.
+    """
+    dealt = checkpointed(rows.repartitionByRange(base, *order).withColumn("id_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(base).orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(base, "id_range").agg(F.count("*").alias("id_size"))
+    firsts = sizes.select(base, "id_range", F.coalesce(F.sum("id_size").over(earlier), F.lit(0)).alias("id_before"))
+    n = F.col("id_before") + F.row_number().over(Window.partitionBy(base, "id_range").orderBy(*order))
+    numbered = dealt.join(firsts, [base, "id_range"]).withColumn("id_n", n)
+    named = F.when(F.col("id_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("id_n").cast("string")))
+    return numbered.select(*rows.columns, named.alias("id"))

@@ -116,6 +116,10 @@ def prompt_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / F.lit(3.5).cast("double")).cast("long")
 
 
+#: Words of a list that is sent to all tasks.
+WORDS = 10_000
+
+
 def synthetic_tools(verbs: DataFrame, objects: DataFrame, n: int) -> DataFrame:
     """name, ordinal of n tools verb_object, all objects of the first verb first; smaller n are a prefix.
 
@@ -123,6 +127,8 @@ def synthetic_tools(verbs: DataFrame, objects: DataFrame, n: int) -> DataFrame:
     so no rows are numbered.
     """
     size = objects.count()
+    if size > WORDS:
+        raise ValueError(f"{size} objects; a list of words that is sent to all tasks has up to {WORDS}")
     rows = verbs.join(F.broadcast(objects.select(F.col("word").alias("object"), F.col("place").alias("second"))), F.lit(True))
     rows = rows.select(F.concat_ws("_", "word", "object").alias("name"), (F.col("place") * size + F.col("second")).cast("long").alias("ordinal"))
     rows = rows.groupBy("name").agg(F.min("ordinal").alias("ordinal"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relayscope.functions import text as T
@@ -476,11 +477,16 @@ def weakest(s, d):
     return metrics.weakest(scored(s, d)).select("qid")
 
 
-@query("SELECT 'm' || r_regionkey AS metric, CASE WHEN r_regionkey < 4 THEN r_regionkey % 2 = 1 END AS failed FROM region")
+@query(
+    """WITH m AS (SELECT l_suppkey AS k, round(avg(l_discount), 9) AS value, round(avg(l_tax), 9) AS base FROM lineitem GROUP BY 1), known AS (SELECT *, k % 7 > 0 AS has FROM m)
+    SELECT 'm' || k AS metric, CASE WHEN k % 3 < 2 THEN CASE WHEN has THEN value < base - (k % 10) / 1000.0::DOUBLE ELSE true END END AS failed FROM known"""
+)
 def baseline_gate(s, d):
-    r = read(s, d, "region").select(F.concat(F.lit("m"), F.col("r_regionkey").cast("string")).alias("metric"), "r_regionkey")
-    now = r.select("metric", F.when(F.col("r_regionkey") % 2 == 1, 0.5).otherwise(0.79).alias("value"))
-    return metrics.gate(now, r.select("metric", F.lit(0.8).alias("base")), r.where("r_regionkey < 4").select("metric", F.lit(0.02).alias("tolerance")))
+    """A metric for each supplier; some have no value any more, and a third are only reported."""
+    k = F.col("l_suppkey")
+    m = read(s, d, "lineitem").groupBy(k).agg(F.round(F.avg("l_discount"), 9).alias("value"), F.round(F.avg("l_tax"), 9).alias("base")).withColumn("metric", F.concat(F.lit("m"), k.cast("string")))
+    tolerances = m.where(k % 3 < 2).select("metric", (k % 10 / 1000.0).alias("tolerance"))
+    return metrics.gate(m.where(k % 7 > 0).select("metric", "value"), m.select("metric", "base"), tolerances)
 
 
 @query(
@@ -568,10 +574,16 @@ def prompt_tokens(s, d):
     return read(s, d, "documents").select("doc_id", metrics.prompt_tokens(F.col("text")).alias("tokens"))
 
 
-@query("SELECT r_name || '_' || n_name AS name, (r_regionkey * 25 + n_nationkey)::BIGINT AS ordinal FROM region, nation ORDER BY ordinal LIMIT 60")
+@query(
+    """WITH v AS (SELECT p_partkey // 50 AS place, min(split_part(p_name, ' ', 1)) || p_partkey // 50 AS word FROM part GROUP BY 1), o AS (SELECT row_number() OVER (ORDER BY w) - 1 AS place, w AS word FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part))
+    SELECT v.word || '_' || o.word AS name, (v.place * (SELECT count(*) FROM o) + o.place)::BIGINT AS ordinal FROM v, o ORDER BY ordinal LIMIT 200"""
+)
 def synthetic_tools(s, d):
-    verbs = read(s, d, "region").select(F.col("r_name").alias("word"), F.col("r_regionkey").alias("place"))
-    return metrics.synthetic_tools(verbs, read(s, d, "nation").select(F.col("n_name").alias("word"), F.col("n_nationkey").alias("place")), 60)
+    """Verbs and objects from the names of parts."""
+    part, batch = read(s, d, "part"), F.floor(F.col("p_partkey") / 50)
+    verbs = part.groupBy(batch.alias("place")).agg(F.min(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("w")).select(F.concat("w", F.col("place").cast("string")).alias("word"), "place")
+    words = part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).distinct()
+    return metrics.synthetic_tools(verbs, words.withColumn("place", F.row_number().over(Window.orderBy("word")) - 1), 200)
 
 
 @query(

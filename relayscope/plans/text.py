@@ -177,8 +177,8 @@ def token_windows(s, d):
     row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)"""
 )
 def unique_ids(s, d):
-    rows = read(s, d, "documents").withColumn("base", F.concat("source", F.lit("/"), "lang"))
-    return rows.select("doc_id", ingest.unique_ids(rows, "base", ["doc_id"]).alias("id"))
+    rows = read(s, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang").alias("base"))
+    return ingest.unique_ids(rows, "base", ["doc_id"]).select("doc_id", "id")
 
 
 @query(
