@@ -33,7 +33,17 @@ SYLLABLES = {
     "cyrillic": ("ба", "вер", "гор", "дем", "жар", "зор", "кал", "лев", "мир", "нов", "пал", "рад", "сол", "тар", "фед", "шор"),
     "greek": ("βα", "γερ", "δημ", "ζαρ", "θεο", "κων", "λαμ", "μαρ", "νικ", "παπ", "ραλ", "σπυ", "τσα", "φωτ", "χρι", "ψαλ"),
 }
-ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+ALPHABETS = {
+    "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "latin": "abcdefghijklmnopqrstuvwxyz",
+}
+#: Scripts of so many letters that a code point is drawn: its first one, and how many follow that are all letters.
+RANGES = {"han": (0x4E00, 20_000), "hangul": (0xAC00, 11_000)}
 # What each kind looks like, the first that fits at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLE = "|".join(t for ts in TITLES.values() for t in ts)
@@ -79,7 +89,11 @@ def gender(value: Column) -> Column:
 
 
 def script(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(text, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
+    """The first of the scripts that a letter of ``text`` is of; letters of none count as Latin."""
+    out = F.lit("latin")
+    for name in reversed([n for n in (*ALPHABETS, *RANGES) if n != "latin"]):
+        out = F.when(F.rlike(text, F.lit(rf"\p{{Is{name.capitalize()}}}")), name).otherwise(out)
+    return out
 
 
 def drawn(digest: Column, i: Column, n: int) -> Column:
@@ -88,11 +102,17 @@ def drawn(digest: Column, i: Column, n: int) -> Column:
 
 
 def lettered(digest: Column, i: Column, letter: Column) -> Column:
-    out = None
-    for name, alphabet in ALPHABETS.items():
-        pick = F.substr(F.lit(alphabet), (drawn(digest, i, len(alphabet)) + 1).cast("int"), F.lit(1))
-        out = F.when(script(letter) == name, pick) if out is None else out.when(script(letter) == name, pick)
-    return out
+    """A letter of the same script."""
+
+    def picked_letter(x: Column) -> Column:
+        out = F.lit("")
+        for name, alphabet in ALPHABETS.items():
+            out = F.when(x["script"] == name, F.substr(F.lit(alphabet), (drawn(digest, i, len(alphabet)) + 1).cast("int"), F.lit(1))).otherwise(out)
+        for name, (first, n) in RANGES.items():
+            out = F.when(x["script"] == name, F.decode(F.unhex(F.hex(first + drawn(digest, i, n))), "UTF-16BE")).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.struct(script(letter).alias("script"))), picked_letter), F.lit(0))
 
 
 def spelled(canon: Column, digest: Column, hexadecimal: Column, keep: Column) -> Column:
@@ -125,14 +145,18 @@ def picked(words: tuple[str, ...], digest: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (drawn(digest, F.lit(i), len(words)) + 1).cast("int"))
 
 
-def named(canon: Column, digest: Column) -> Column:
-    """A given name, if there was one, and a surname."""
+def surname(canon: Column, digest: Column) -> Column:
+    made = {kind: F.initcap(F.concat(*(picked(SYLLABLES[kind], digest, i) for i in (3, 4, 5, 6)))) for kind in SYLLABLES}
+    return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
+
+
+def given_name(canon: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the script and gender (the first word of ``canon``); after some attempts a double one."""
     out = F.lit(None).cast("string")
-    for (kind, sex), given in GIVEN.items():
-        parts = [picked(SYLLABLES[kind], digest, i) for i in (3, 4, 5, 6)]
-        surname = F.initcap(F.concat(*parts))
-        whole = F.when(F.rlike(canon, F.lit(r"^\S+ \S+ \S")), F.concat(picked(given, digest, 2), F.lit(" "), surname)).otherwise(surname)
-        out = F.when((script(canon) == kind) & F.startswith(canon, F.lit(sex)), whole).otherwise(out)
+    for (kind, sex), names in GIVEN.items():
+        fits = F.startswith(canon, F.lit(sex)) & ((script(canon) == kind) if kind != "latin" else ~script(canon).isin("cyrillic", "greek"))
+        one = picked(names, digest, 2)
+        out = F.when(fits, F.when(attempt < 8, one).otherwise(F.concat(one, F.lit("-"), picked(names, digest, 7)))).otherwise(out)
     return out
 
 
@@ -154,7 +178,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         F.when(kind == "email", email)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", F.when(luhn(canon) % 10 == 0, F.concat(body, check)).otherwise(card))
-        .when(kind == "name", named(canon, digest))
+        .when(kind == "surname", surname(canon, digest))
+        .when(kind == "given", given_name(canon, digest, attempt))
         .otherwise(spelled(canon, digest, F.rlike(canon, F.lit("^[0-9a-fA-F]+$")), stays))
     )
 
@@ -184,14 +209,14 @@ def drawn_surrogates(entities: DataFrame, key: str, attempts: int = 200) -> Data
     without one raises; no surrogate leaves its entity's format.
     """
     taken, left = None, entities.withColumn("attempt", F.lit(0))
-    own = entities.select("kind", F.col("canon").alias("core"))
+    own = entities.select("kind", F.lower(F.when(F.col("kind") == "given", F.substring_index("canon", " ", -1)).otherwise(F.col("canon"))).alias("low"))
     for _ in range(attempts):
         core = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        drawn_rows = left.withColumn("core", core)
-        first = F.row_number().over(Window.partitionBy("kind", "core").orderBy("canon")) == 1
+        drawn_rows = left.withColumn("core", core).withColumn("low", F.lower("core"))
+        first = F.row_number().over(Window.partitionBy("kind", "low").orderBy("canon")) == 1
         fresh = drawn_rows.withColumn("first", first)
-        used = own if taken is None else own.union(taken.select("kind", "core"))
-        fresh = written(fresh.join(used.withColumn("used", F.lit(True)).distinct(), ["kind", "core"], "left"), "surrogates")
+        used = own if taken is None else own.union(taken.select("kind", F.lower("core").alias("low")))
+        fresh = written(fresh.join(used.withColumn("used", F.lit(True)).distinct(), ["kind", "low"], "left"), "surrogates")
         good = fresh.where("first and used is null").select("kind", "canon", "core")
         taken = good if taken is None else taken.union(good)
         bad = fresh.where("not first or used").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
@@ -219,8 +244,16 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     )
     places = found.select("digest", F.posexplode("values").alias("place", "value")).distinct().withColumn("kind", kind_of(F.col("value")))
     places = written(places.withColumn("canon", canonical(F.col("kind"), F.col("value"))), "entities")
-    cores = drawn_surrogates(places.select("kind", "canon").distinct(), key)
-    replaced = places.join(cores, ["kind", "canon"]).withColumn("new", written_as(F.col("kind"), F.col("value"), F.col("core")))
+    # A name is its given name and its surname, so that a surname alone goes with the full name.
+    words = F.split("canon", " ")
+    names = places.where("kind = 'name'").withColumns({"surname": F.element_at(words, -1), "given": F.when(F.size(words) > 2, F.concat_ws(" ", words[0], words[1]))})
+    others = places.where("kind <> 'name'")
+    parts = names.select(F.explode(F.array(F.struct(F.lit("surname").alias("kind"), F.col("surname").alias("canon")), F.struct(F.lit("given").alias("kind"), F.col("given").alias("canon")))).alias("p")).select("p.*")
+    cores = drawn_surrogates(others.select("kind", "canon").union(parts.where("canon is not null")).distinct(), key)
+    of = lambda kind: cores.where(F.col("kind") == kind).select(F.col("canon").alias(kind), F.col("core").alias(f"{kind}_core"))
+    whole = names.join(of("surname"), "surname").join(of("given"), "given", "left").withColumn("core", F.concat_ws(" ", "given_core", "surname_core"))
+    columns = ("digest", "place", "value", "kind", "core")
+    replaced = others.join(cores, ["kind", "canon"]).select(*columns).union(whole.select(*columns)).withColumn("new", written_as(F.col("kind"), F.col("value"), F.col("core")))
     by_text = replaced.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("place", "new", "kind"))).alias("new"))
     # The pieces between the entities, each but the first after an entity.
     pieces = F.split("text", ANY, -1)

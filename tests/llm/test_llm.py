@@ -391,6 +391,24 @@ def test_surrogates(spark, none):
     assert pii.with_surrogates(none, "key").collect() == []
 
 
+def test_names_go_together_and_letters_keep_their_script(spark):
+    rows = [
+        (1, "Mr. John Smith wrote to Frau Smith and Mr. Smith; Mr. James Smith, Mr. John Miller and Mr. Peter Jones came."),
+        (2, "王小明@example.org שלום@example.org こんにちは@example.org 김철수@example.org"),
+        (3, "Mr. John Smith. Господин Иван Петров and Господин Петров"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(frame(spark, rows), "key").collect()}
+    m = re.fullmatch(r"Mr\. (\S+) (\w+) wrote to Frau (\w+) and Mr\. (\w+); Mr\. (\S+) (\w+), Mr\. (\S+) (\w+) and Mr\. (\S+) (\w+) came\.", got[1])
+    john, smith, frau, alone, james, smith2, john2, miller, peter, jones = m.groups()
+    assert smith == frau == alone == smith2 and john == john2 and len({smith, miller, jones, "Smith", "Miller", "Jones"}) == 6 and len({john, james, peter, "John", "James", "Peter"}) == 6
+    assert got[3].startswith(f"Mr. {john} {smith}. ")
+    assert re.fullmatch(r".*Господин [А-Я]\S+ ([А-Я][а-я]+) and Господин \1", got[3])
+    parts = [x.split("@")[0] for x in got[2].split()]
+    for word, kind in zip(parts, ("\u4e00-\u9fff", "\u05d0-\u05ea", "\u3040-\u309f", "\uac00-\ud7a3"), strict=True):
+        assert re.fullmatch(f"[{kind}]+", word)
+    assert [len(x) for x in parts] == [3, 4, 5, 3] and not set(parts) & {x.split("@")[0] for x in rows[1][1].split()}
+
+
 def test_collisions_are_drawn_again(spark):
     entities = spark.createDataFrame([("ip", f"{i}.{j}.1.1") for i in range(10) for j in range(10)], "kind string, canon string")
     rows = pii.drawn_surrogates(entities, "key").collect()
