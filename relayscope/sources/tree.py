@@ -37,7 +37,7 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
 def checkout(spark: SparkSession, folder: str) -> DataFrame:
     """path, content, kind of the files that are to be read."""
     rows = files_of(spark, folder).where(F.col("kind").isin("docs", "code"))
-    return rows.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), "kind")
+    return rows.select("path", F.decode("content", "UTF-8").alias("content"), "kind")
 
 
 def walk_counts(spark: SparkSession, folder: str) -> DataFrame:
