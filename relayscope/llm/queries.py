@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline, over the given tables as they are."""
+"""The queries op1_ to op13_, over the given tables as they are."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayscope.llm import chat, exact_dedup, lines, minhash, mixing, packing, pii, substrings, topk, toxicity
+from relayscope.llm import chat, exact_dedup, lines, merkle, minhash, mixing, packing, pii, runs, substrings, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,8 +91,38 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(runs.with_planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), tampered, merkle.lowered(F.col("text")))
+
+
+OPERATORS = (
+    op1_minhash,
+    op2_pii,
+    op3_toxicity,
+    op4_chat_formatting,
+    op5_line_dedup,
+    op6_exact_topk,
+    op7_exact_dedup,
+    op8_mixing,
+    op9_suffix_array_dedup,
+    op10_best_fit_packing,
+    op11_periodic_runs,
+    op12_token_counts,
+    op13_merkle_manifest,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_toxicity, op4_chat_formatting, op5_line_dedup, op6_exact_topk, op7_exact_dedup, op8_mixing, op9_suffix_array_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -125,4 +155,53 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op13_merkle_manifest": r"""
+            WITH RECURSIVE crc AS (
+                -- The 256 remainders of CRC-32, by eight steps each.
+                SELECT list(r ORDER BY b) AS t FROM (
+                    SELECT b, list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+                    FROM (SELECT unnest(range(256)) AS b))
+            ), rows AS (
+                SELECT doc_id, source, lang, n_chars, text,
+                       coalesce(xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                                lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0, false) AS tampered
+                FROM documents, crc
+            ), fields AS (
+                SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                          || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS others,
+                       CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown
+                FROM rows
+            ), leaves AS (
+                SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256(others || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                       sha256(others || coalesce(octet_length(encode(shown)) || ':' || shown, '-')) AS shown_leaf
+                FROM fields
+            ), placed AS (
+                SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            ), low AS (
+                SELECT tree, 0 AS level, place, n, leaf AS h FROM placed
+                UNION ALL
+                SELECT tree, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY ALL
+            ), subroots AS (
+                SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS top_place, count(*) OVER () AS n FROM low WHERE n = 1
+            ), high AS (
+                SELECT 0 AS level, top_place AS place, n, h FROM subroots
+                UNION ALL
+                SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY ALL
+            ), runs AS (
+                SELECT tree, level, place // 16 AS run, list(h ORDER BY place) AS members FROM low WHERE n > 1 GROUP BY ALL
+                UNION ALL SELECT NULL, level, place // 16, list(h ORDER BY place) FROM high WHERE n > 1 GROUP BY ALL
+            ), ways AS (
+                SELECT p.doc_id, p.leaf, p.tree, p.place, r.level, p.shown_leaf, 0 AS part, r.members, (p.place // (16 ** r.level)::BIGINT) % 16 AS slot
+                FROM placed p JOIN runs r ON r.tree = p.tree AND r.run = p.place // (16 ** (r.level + 1))::BIGINT
+                UNION ALL
+                SELECT p.doc_id, p.leaf, p.tree, p.place, r.level, p.shown_leaf, 1, r.members, (s.top_place // (16 ** r.level)::BIGINT) % 16
+                FROM placed p JOIN subroots s USING (tree) JOIN runs r ON r.tree IS NULL AND r.run = s.top_place // (16 ** (r.level + 1))::BIGINT
+            ), steps AS (
+                SELECT *, array_to_string(members[:slot], '') AS a, array_to_string(members[slot + 2:], '') AS b FROM ways
+            ), paths AS (
+                SELECT tree, place, sha256(string_agg(a || b, '' ORDER BY part, level)) AS proof, list([a, b] ORDER BY part, level) AS path FROM steps GROUP BY ALL
+            )
+            SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, coalesce(w.proof, sha256('')) AS proof_sha256,
+                   list_reduce([[p.shown_leaf]] || coalesce(w.path, []), lambda x, y: [sha256(y[1] || x[1] || y[2])])[1] AS folded_root, folded_root = t.h AS verified
+            FROM placed p JOIN subroots s USING (tree) LEFT JOIN paths w USING (tree, place), (SELECT h FROM high WHERE n = 1) t""",
     }
