@@ -1,15 +1,35 @@
-"""Cutting lineage in a way that lost executors don't undo."""
+"""Tables written once to the folder that all executors share: for cut lineage that lost executors don't undo, and for indexes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from files in the folder that spark.checkpoint.dir names; one of our own is set only where that is unset (tests, a laptop)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relayscope-"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="relayscope-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/relayscope-tables/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` from files of the shared folder, computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

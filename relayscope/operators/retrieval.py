@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.operators import lexical
+
 #: Defaults: candidates of an arm, the fusion's constant, and tools offered above a similarity.
 ARM, RRF, TOOLS, FLOOR = 50, 60, 5, 0.25
 
@@ -30,26 +32,6 @@ def dense_topk(chunks: DataFrame, query: Column, k: int = ARM, source: str | Non
     return rows.select("id", cosine(F.col("embedding"), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, n: how often each term is in each chunk."""
-    terms = F.explode(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda t: t != ""))
-    return chunks.select("id", terms.alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
-
-
-def sparse_match(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """id, score of all chunks with all of the terms, the score their occurrences; no terms match nothing."""
-    wanted = sorted(set(terms))
-    if not wanted:
-        return index.select("id", F.col("n").alias("score")).where(F.lit(False))
-    hits = index.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.countDistinct("term").alias("found"), F.sum("n").alias("score"))
-    return hits.where(F.col("found") == len(wanted)).select("id", "score")
-
-
-def sparse_topk(index: DataFrame, terms: Sequence[str], k: int = ARM) -> DataFrame:
-    """id, score of the k matching chunks with the most occurrences, by score and then id."""
-    return sparse_match(index, terms).orderBy(F.desc("score"), "id").limit(k)
-
-
 def ranks(arm: DataFrame) -> DataFrame:
     """id, rank of an arm; arms have at most ARM rows, so one window over all of them is small."""
     return arm.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
@@ -63,13 +45,12 @@ def fused(*arms: DataFrame, constant: int = RRF) -> DataFrame:
     return every.groupBy("id").agg(F.sum(F.lit(1.0) / (F.col("rank") + constant)).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, query: Column, terms: Sequence[str], k: int = 10, source: str | None = None, lexical: bool = True) -> DataFrame:
-    """id, score of the k best of both arms, or of the dense one alone."""
+def hybrid_search(chunks: DataFrame, query: Column, index: DataFrame | None = None, terms: Sequence[str] = (), k: int = 10, source: str | None = None) -> DataFrame:
+    """id, score of the k best of both arms, or of the dense one alone if no lexical index is given."""
     dense = dense_topk(chunks, query, ARM, source)
-    if not lexical:
+    if index is None:
         return dense.limit(k)
-    rows = chunks if source is None else chunks.where(F.col("source") == source)
-    return fused(dense, sparse_topk(postings(rows), terms)).orderBy(F.desc("score"), "id").limit(k)
+    return fused(dense, lexical.sparse_topk(index, terms, ARM, source)).orderBy(F.desc("score"), "id").limit(k)
 
 
 #: Queries that are sent to all tasks at once.

@@ -55,45 +55,7 @@ def dense_topk_source(s, d):
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({DENSE.format(where='')}) ORDER BY score DESC, id LIMIT 10", "chunks")
 def dense_only(s, d):
-    return rounded(retrieval.hybrid_search(chunks(s, d), probe(s, d), [], lexical=False), "score")
-
-
-TERMS = ("the", "thon", "and")
-POSTINGS = r"(SELECT id, term, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM chunks) GROUP BY id, term)"
-SPARSE = f"SELECT id, sum(n)::BIGINT AS score FROM {POSTINGS} WHERE term IN {TERMS} GROUP BY id HAVING count(*) = 3 ORDER BY score DESC, id LIMIT 50"
-
-
-@query(f"SELECT id FROM {POSTINGS} WHERE term IN {TERMS} GROUP BY id HAVING count(*) = 3", "chunks")
-def sparse_match(s, d):
-    return retrieval.sparse_match(retrieval.postings(chunks(s, d)), TERMS).select("id")
-
-
-@query(SPARSE, "chunks")
-def sparse_topk(s, d):
-    return retrieval.sparse_topk(retrieval.postings(chunks(s, d)), TERMS)
-
-
-FUSED = f"""ranks AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({DENSE.format(where='')})
-    UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM ({SPARSE})), fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM ranks GROUP BY id)"""
-
-
-@query(f"WITH {FUSED} SELECT id, round(score, 9) AS score FROM fused", "chunks")
-def rrf_fuse(s, d):
-    c = chunks(s, d)
-    both = retrieval.fused(retrieval.dense_topk(c, probe(s, d)), retrieval.sparse_topk(retrieval.postings(c), TERMS))
-    return both.withColumn("score", F.round("score", 9))
-
-
-@query(f"WITH {FUSED} SELECT id, round(score, 9) AS score FROM (SELECT * FROM fused ORDER BY score DESC, id LIMIT 10)", "chunks")
-def hybrid_search(s, d):
-    return retrieval.hybrid_search(chunks(s, d), probe(s, d), TERMS).withColumn("score", F.round("score", 9))
-
-
-@query(f"SELECT count(*) AS shared FROM ({DENSE.format(where='')}) JOIN ({SPARSE}) USING (id)", "chunks")
-def arm_overlap(s, d):
-    c = chunks(s, d)
-    sparse = retrieval.sparse_topk(retrieval.postings(c), TERMS).select("id")
-    return retrieval.dense_topk(c, probe(s, d)).select("id").join(sparse, "id").agg(F.count("*").alias("shared"))
+    return rounded(retrieval.hybrid_search(chunks(s, d), probe(s, d)), "score")
 
 
 def tools(s, d):
