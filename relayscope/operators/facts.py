@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,14 +74,15 @@ def stale_prs(prs: DataFrame, reviews: DataFrame, cutoff: datetime) -> DataFrame
     return rows.join(recent, F.col("number") == F.col("pr_number"), "left_anti").orderBy("created_at", "number")
 
 
-def commits_since(commits: DataFrame, since: datetime, globs: Sequence[str] | None = None) -> DataFrame:
+def commits_since(commits: DataFrame, since: datetime, globs: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Commits from an instant on, in an area by any of their files (sha, path): a row a commit, the latest first."""
     rows = commits.where(F.col("committed_at") >= F.lit(since))
-    return rows if globs is None else rows.where(in_area(F.col("path"), globs))
+    return touching(rows, "sha", commits.select("sha", "path") if files is None and globs is not None else files, "sha", globs).orderBy(F.desc("committed_at"), "sha")
 
 
-def commits_by_author(commits: DataFrame, since: datetime, globs: Sequence[str] | None = None) -> DataFrame:
+def commits_by_author(commits: DataFrame, since: datetime, globs: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
     """author, n: the most commits first, then by name."""
-    return commits_since(commits, since, globs).groupBy("author").agg(F.countDistinct("sha").alias("n")).orderBy(F.desc("n"), "author")
+    return commits_since(commits, since, globs, files).groupBy("author").agg(F.countDistinct("sha").alias("n")).orderBy(F.desc("n"), "author")
 
 
 def release_diff(prs: DataFrame, releases: DataFrame, a: str, b: str) -> DataFrame:
@@ -93,23 +95,54 @@ def release_diff(prs: DataFrame, releases: DataFrame, a: str, b: str) -> DataFra
 
 
 def entities(prs: DataFrame, issues: DataFrame, commits: DataFrame, releases: DataFrame) -> DataFrame:
-    """kind, ref, title, author, state, at, citation of everything that can be looked up."""
-    no = F.lit(None).cast("string")
+    """kind, key, ref, title, author, state, at, citation, url of everything that can be looked up, by key; a commit is shown by its first letters."""
     number = F.col("number").cast("string")
     first_line = F.split_part("message", F.lit("\n"), F.lit(1))
+
+    def shaped(rows: DataFrame, kind: str, key: Column, title: Column, author: Column, state: Column, at: Column, short: Column | None = None) -> DataFrame:
+        url = F.col("url") if "url" in rows.columns else F.concat(F.lit(f"/{kind}/"), key)
+        ref = key if short is None else short
+        citation = F.concat(F.lit(f"{kind}:"), ref)
+        return rows.select(F.lit(kind).alias("kind"), key.alias("key"), ref.alias("ref"), title.alias("title"), author.alias("author"), state.alias("state"), at.alias("at"), citation.alias("citation"), url.alias("url"))
+
+    title, author, state, nobody = F.col("title"), F.col("author"), F.col("state"), F.lit("")
     return (
-        prs.select(F.lit("pr").alias("kind"), number.alias("ref"), "title", "author", "state", F.coalesce("merged_at", "closed_at", "created_at").alias("at"), F.concat(F.lit("pr:"), number).alias("citation"))
-        .union(issues.select(F.lit("issue"), number, "title", "author", "state", F.coalesce("closed_at", "created_at"), F.concat(F.lit("issue:"), number)))
-        .union(commits.select(F.lit("commit"), "sha", first_line, "author", no, "committed_at", F.concat(F.lit("commit:"), F.left("sha", F.lit(7)))))
-        .union(releases.select(F.lit("release"), "tag", F.coalesce("name", "tag"), no, no, "published_at", F.concat(F.lit("release:"), F.col("tag"))))
+        shaped(prs, "pr", number, title, author, state, F.coalesce("merged_at", "closed_at", "created_at"))
+        .union(shaped(issues, "issue", number, title, author, state, F.coalesce("closed_at", "created_at")))
+        .union(shaped(commits, "commit", F.col("sha"), first_line, author, F.lit("merged"), F.col("committed_at"), F.left("sha", F.lit(7))))
+        .union(shaped(releases, "release", F.col("tag"), F.coalesce(F.nullif("name", F.lit("")), "tag"), nobody, F.lit("published"), F.col("published_at")))
+    )
+
+
+#: What the kinds of entities are called in a text.
+KINDS = {"pr": "pull request", "issue": "issue", "commit": "commit", "release": "release"}
+
+
+def rendered_entity() -> Column:
+    """A lookup (kind, ref, and an entity's columns, of which citation is null if there is none) as text: a miss is said, and closed isn't shipped.
+
+    Fixed values: the lines and their order.
+    """
+    called = reduce(lambda out, x: out.when(F.col("kind") == x[0], x[1]), list(KINDS.items())[1:], F.when(F.col("kind") == "pr", KINDS["pr"]))
+    name = F.concat(called, F.lit(" "), F.col("ref"))
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("**"), name, F.lit(": "), F.col("state"), F.lit("**\n")),
+        F.concat(F.lit("- `"), F.col("citation"), F.lit("` — "), F.col("title")),
+        F.concat(F.lit("- state: **"), F.col("state"), F.lit("**")),
+        F.concat(F.lit("- date: "), F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("—"))),
+        F.concat(F.lit("- author: @"), F.nullif("author", F.lit(""))),
+        F.concat(F.lit("- url: "), F.col("url")),
+        F.when((F.col("kind") == "pr") & (F.col("state") == "closed"), "\nThis pull request was **closed without being merged**. Its work did not ship."),
     )
+    return F.when(F.col("citation").isNull(), F.concat(F.lit("**No "), name, F.lit(" exists in the corpus.**"))).otherwise(lines)
 
 
 def entity(all_entities: DataFrame, kind: str, ref: str) -> DataFrame:
     """The entity of a kind by its reference, a commit by a prefix; no row if there is none."""
     if kind in ("pr", "issue") and not ref.isdigit():
         raise ValueError(f"{ref!r} is no number")
-    hit = F.col("ref").startswith(ref) if kind == "commit" else F.col("ref") == ref
+    hit = F.col("key").startswith(ref) if kind == "commit" else F.col("key") == ref
     return all_entities.where((F.col("kind") == kind) & hit)
 
 

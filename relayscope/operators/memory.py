@@ -218,7 +218,7 @@ def audit_view(audit: DataFrame, memory_id) -> DataFrame:
     return audit.where(F.col("memory_id") == memory_id).orderBy(F.desc("at"), F.desc("revision"), F.desc("op"))
 
 
-def recorded(statements: DataFrame) -> DataFrame:
+def recorded(statements: DataFrame, *more: str) -> DataFrame:
     """Writes from what an agent asks to remember (id, user_id, session_id, statement, at, embedding, and mem_type, confidence, entities or supersedes, which may be null): episodic and 0.8 if not told otherwise."""
     return statements.select(
         "id",
@@ -233,6 +233,7 @@ def recorded(statements: DataFrame) -> DataFrame:
         "embedding",
         "supersedes",
         "at",
+        *more,
     )
 
 

@@ -42,27 +42,44 @@ def definitions(spark: SparkSession, with_memory: bool = True) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string, parameters map<string,string>, required array<string>")
 
 
-def coerced(arguments: Column, parameters: Column) -> Column:
-    """values (map), error: arguments (JSON) in the types that ``parameters`` (map of names to types) declares.
+def coerced(arguments: Column, parameters: Column, tool: Column | None = None) -> Column:
+    """values (map of text), error: arguments (JSON) in the types that ``parameters`` (map of names to types) declares.
 
     Numbers may come as text for an integer, truth values may not; for a string
-    anything is written out. Null and unknown arguments stay as they are, absent
-    ones absent. error says which argument is wrong, the first by name.
+    anything is written out, truth values as True and False. Null and unknown
+    arguments stay as they are, absent ones absent; of a key that comes twice the
+    last counts. error says which argument is wrong, the first by name, or that
+    the text is no JSON object; null counts as no arguments.
     """
-    given = F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))
+    given = F.map_entries(F.from_json(F.coalesce(arguments, F.lit("{}")), "map<string,variant>"))
+
+    def typed(e: Column, i: Column) -> Column:
+        return F.struct(e["key"].alias("key"), (-i).alias("later"), F.schema_of_variant(e["value"]).alias("type"), e["value"].cast("string").alias("value"))
+
+    def lasts(rows: Column) -> Column:
+        """Entries by key, of a key the last one."""
+        ordered = F.array_sort(F.transform(rows, typed))
+        return F.filter(ordered, lambda e, i: (i == 0) | ~e["key"].eqNullSafe(F.get(ordered, i - 1)["key"]))
 
     def checked(e: Column) -> Column:
-        kind = F.try_element_at(parameters, e["key"])
-        number = F.when(F.rlike(e["value"], F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(e["value"]).try_cast("long").cast("string"))
-        bad = (kind == "integer") & e["value"].isNotNull() & number.isNull()
-        return F.struct(e["key"].alias("key"), F.when((kind == "integer") & ~bad, number).otherwise(e["value"]).alias("value"), F.coalesce(bad, F.lit(False)).alias("bad"))
+        kind, text = F.try_element_at(parameters, e["key"]), e["value"]
+        truth = e["type"] == "BOOLEAN"
+        number = F.when(~truth & F.rlike(text, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(text).try_cast("long").cast("string"))
+        bad = (kind == "integer") & text.isNotNull() & number.isNull()
+        written = F.when((kind == "integer") & ~bad, number).when((kind == "string") & truth, F.initcap(text)).otherwise(text)
+        shown = F.when(truth, F.initcap(text)).when(e["type"] == "STRING", F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
+        return F.struct(e["key"].alias("key"), written.alias("value"), F.coalesce(bad, F.lit(False)).alias("bad"), shown.alias("shown"))
+
+    said = F.lit("") if tool is None else F.concat(tool, F.lit(": "))
 
     def parts(rows: Column) -> Column:
         wrong = F.get(F.filter(rows, lambda e: e["bad"]), F.lit(0))
-        error = F.when(wrong.isNotNull(), F.concat(wrong["key"], F.lit(" must be a whole number, not "), wrong["value"]))
+        error = F.when(wrong.isNotNull(), F.concat(said, wrong["key"], F.lit(" must be a whole number, not "), wrong["shown"]))
         return F.struct(F.map_from_entries(F.transform(rows, lambda e: F.struct(e["key"], e["value"]))).alias("values"), error.alias("error"))
 
-    return F.get(F.transform(F.array(F.transform(given, checked)), parts), F.lit(0))
+    nothing = F.struct(F.lit(None).cast("map<string,string>").alias("values"), F.concat(said, F.lit("the arguments are no JSON object")).alias("error"))
+    once = F.transform(F.array(given), lambda rows: F.when(rows.isNull(), nothing).otherwise(F.get(F.transform(F.array(F.transform(lasts(rows), checked)), parts), F.lit(0))))
+    return F.get(once, F.lit(0))
 
 
 def coerced_value(name: str, key: str, value: Any) -> Any:
@@ -96,6 +113,10 @@ class Tables:
     embed: Callable[[str], Column]
     terms: Callable[[str], Sequence[str]]
     memories: DataFrame | None = None
+    #: sha, path of commits; without it a commit's own path counts.
+    commit_files: DataFrame | None = None
+    #: The stored index of the lexical arm; without it searches are dense.
+    index: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -138,7 +159,7 @@ def called(name: str, a: dict[str, Any], t: Tables, as_of: datetime, turn: Turn
     if name == "merged_prs":
         return cited("pr", facts.merged_prs(t.prs, t.files, *window(a["window"]), globs()), "number")
     if name == "commits_by_author":
-        rows = facts.commits_since(t.commits, window(a["window"])[0], globs())
+        rows = facts.commits_since(t.commits, window(a["window"])[0], globs(), t.commit_files)
         return cited("commit", rows.select(F.left("sha", F.lit(7)).alias("sha")), "sha")
     if name == "open_issues":
         days = a.get("older_than_days")
@@ -152,7 +173,7 @@ def called(name: str, a: dict[str, Any], t: Tables, as_of: datetime, turn: Turn
         every = facts.entities(t.prs, t.issues, t.commits, t.releases)
         return facts.entity(every, kind, str(a[key])).select("citation", F.lit(None).cast("double").alias("score"))
     chunks = t.chunks.where(F.col("source") == SOURCES[name])
-    return retrieval.hybrid_search(chunks, t.embed(a["query"]), t.terms(a["query"]), k=k).select(F.col("id").alias("citation"), "score")
+    return retrieval.hybrid_search(chunks, t.embed(a["query"]), t.index, t.terms(a["query"]), k=k, source=SOURCES[name]).select(F.col("id").alias("citation"), "score")
 
 
 def dispatched(spark: SparkSession, name: str, arguments: Mapping[str, Any], tables: Tables, as_of: datetime, turn: Turn | None = None, k: int = 10) -> DataFrame:

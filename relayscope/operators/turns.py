@@ -54,9 +54,3 @@ def scenario_turns(records: DataFrame, expected: DataFrame, most: int = 3) -> Da
     rows = expected.join(records, "scenario", "left")
     hit = F.array_contains("tools", F.col("want_tool")) & (F.col("want_area").isNull() | F.array_contains("areas", F.col("want_area"))) & (F.col("turn") <= most)
     return rows.groupBy("scenario").agg(F.min(F.when(hit, F.col("turn"))).alias("turns"))
-
-
-def rendered_entity() -> Column:
-    """A looked-up entity as text: closed doesn't mean shipped, and a miss is said."""
-    notice = F.when((F.col("kind") == "pr") & (F.col("state") == "closed"), " (closed without a merge: not shipped)").otherwise("")
-    return F.when(F.col("title").isNull(), F.concat(F.lit("nothing found for "), "ref")).otherwise(F.concat("title", F.lit(" ["), F.coalesce("state", F.lit("-")), F.lit("]"), notice))

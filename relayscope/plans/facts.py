@@ -95,15 +95,15 @@ def commits_by_author(s, d):
     return facts.commits_by_author(model.commits(s, d), EVENTS_SINCE)
 
 
-@query("SELECT author, count(DISTINCT sha) AS n FROM commits WHERE committed_at >= TIMESTAMP '2024-01-10' AND path LIKE 'click/%' GROUP BY author", "commits")
+@query("SELECT author, count(DISTINCT sha) AS n FROM commits WHERE committed_at >= TIMESTAMP '2024-01-10' AND EXISTS (SELECT 1 FROM commit_paths f WHERE f.sha = commits.sha AND f.path LIKE 'click/%') GROUP BY author", "commits", "commit_paths")
 def commits_by_author_area(s, d):
-    return facts.commits_by_author(model.commits(s, d), EVENTS_SINCE, facts.area_globs(AREAS, "clicks"))
+    return facts.commits_by_author(model.commits(s, d), EVENTS_SINCE, facts.area_globs(AREAS, "clicks"), model.commit_paths(s, d))
 
 
-ENTITIES = """SELECT 'pr' AS kind, number::VARCHAR AS ref, title, author, state, coalesce(merged_at, closed_at, created_at) AS "at", 'pr:' || number AS citation FROM pull_requests
-    UNION ALL SELECT 'issue', number::VARCHAR, title, author, state, coalesce(closed_at, created_at), 'issue:' || number FROM issues
-    UNION ALL SELECT 'commit', sha, split_part(message, chr(10), 1), author, NULL, committed_at, 'commit:' || left(sha, 7) FROM commits
-    UNION ALL SELECT 'release', tag, coalesce(name, tag), NULL, NULL, published_at, 'release:' || tag FROM releases"""
+ENTITIES = """SELECT 'pr' AS kind, number::VARCHAR AS key, number::VARCHAR AS ref, title, author, state, coalesce(merged_at, closed_at, created_at) AS "at", 'pr:' || number AS citation, '/pr/' || number AS url FROM pull_requests
+    UNION ALL SELECT 'issue', number::VARCHAR, number::VARCHAR, title, author, state, coalesce(closed_at, created_at), 'issue:' || number, '/issue/' || number FROM issues
+    UNION ALL SELECT 'commit', sha, left(sha, 7), split_part(message, chr(10), 1), author, 'merged', committed_at, 'commit:' || left(sha, 7), '/commit/' || sha FROM commits
+    UNION ALL SELECT 'release', tag, tag, coalesce(name, tag), '', 'published', published_at, 'release:' || tag, '/release/' || tag FROM releases"""
 ALL = ("pull_requests", "issues", "commits", "releases")
 
 
@@ -122,10 +122,10 @@ def lookup(name: str, kind: str, ref: str, where: str):
         return facts.entity(entities(s, d), kind, ref)
 
 
-lookup("entity_pr", "pr", "7", "ref = '7'")
-lookup("entity_issue", "issue", "33", "ref = '33'")
-lookup("entity_commit_prefix", "commit", "5f", "ref LIKE '5f%'")
-lookup("entity_release", "release", "v1997.2", "ref = 'v1997.2'")
+lookup("entity_pr", "pr", "7", "key = '7'")
+lookup("entity_issue", "issue", "33", "key = '33'")
+lookup("entity_commit_prefix", "commit", "5f", "key LIKE '5f%'")
+lookup("entity_release", "release", "v1997.2", "key = 'v1997.2'")
 
 
 @query(

@@ -79,6 +79,15 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a commit: its own path, and for every fourth another one; a file may come twice."""
+    e = read(spark, sf_dir, "events")
+    sha, k = F.sha2(F.col("event_id").cast("string"), 256).alias("sha"), F.get_json_object("props", "$.k")
+    own = F.concat("event_type", F.lit("/"), k, F.lit(".py"))
+    other = F.concat(F.get(F.array(F.lit("click"), F.lit("view"), F.lit("cold")), (F.col("event_id") % 3).cast("int")), F.lit("/shared.py"))
+    return e.select(sha, F.explode(F.when(F.col("event_id") % 4 == 0, F.array(own, other, own)).otherwise(F.array(own))).alias("path"))
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One for each quarter with orders, published on its first day."""
     q = read(spark, sf_dir, "orders").select(F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz").alias("published_at")).distinct()
@@ -111,6 +120,8 @@ MODEL_SQL = {
         UNION ALL SELECT o_orderkey, lower(c_mktsegment) FROM orders JOIN customer ON o_custkey = c_custkey) WHERE label IS NOT NULL""",
     "commits": """SELECT sha256(event_id::VARCHAR) AS sha, 'user' || user_id AS author, event_type || ' (#' || json_extract_string(props, '$.k') || ')' || chr(10) || 'body (#999)' AS message,
         ts AS committed_at, event_type || '/' || json_extract_string(props, '$.k') || '.py' AS path FROM events""",
+    "commit_paths": """SELECT sha256(event_id::VARCHAR) AS sha, event_type || '/' || json_extract_string(props, '$.k') || '.py' AS path FROM events
+        UNION ALL SELECT sha256(event_id::VARCHAR), ['click', 'view', 'cold'][event_id % 3 + 1] || '/shared.py' FROM events WHERE event_id % 4 = 0""",
     "releases": """SELECT DISTINCT 'v' || year(o_orderdate) || '.' || quarter(o_orderdate) AS tag, NULL::VARCHAR AS name, date_trunc('quarter', o_orderdate)::TIMESTAMP AS published_at FROM orders""",
     "chunks": """SELECT 'docs:' || source || '#' || doc_id AS id, lang AS source, text AS content, embedding, doc_id FROM documents JOIN embeddings ON doc_id = vec_id""",
 }

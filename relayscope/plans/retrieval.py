@@ -558,8 +558,3 @@ def separation(s, d):
     pairs = e.where(F.col("vec_id") != PROBE).select((F.col("label") == label).alias("is_gold"), retrieval.cosine(F.col("embedding"), probe(s, d)).alias("score"))
     return rounded(metrics.separation(pairs), "gold", "other", "separation", "overlap")
 
-
-@query("SELECT o_orderkey::VARCHAR AS ref, 'PR ' || o_orderkey || CASE o_orderstatus WHEN 'F' THEN ' [merged]' WHEN 'O' THEN ' [open]' ELSE ' [closed] (closed without a merge: not shipped)' END AS text FROM orders")
-def render_entity(s, d):
-    rows = model.pull_requests(s, d).select(F.lit("pr").alias("kind"), F.col("number").cast("string").alias("ref"), "title", "state")
-    return rows.select("ref", turns.rendered_entity().alias("text"))

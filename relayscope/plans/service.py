@@ -40,18 +40,19 @@ def tool_catalog(s, d):
     return with_memory.union(without).select("event_id", "name", F.array_join("required", ",").alias("needs"))
 
 
-ARGUMENT = """list_extract(['{"threshold_days":' || event_id || '}', '{"threshold_days":" ' || event_id || ' "}', '{"threshold_days":true}', '{"threshold_days":"soon"}', '{"threshold_days":null}', '{"other":' || event_id || '}', '{"threshold_days":2.5}', '{"area":7}'], (event_id % 8 + 1)::INT)"""
+FORMS = ('{"threshold_days":#}', '{"threshold_days":" # "}', '{"threshold_days":true}', '{"threshold_days":"soon"}', '{"threshold_days":null}', '{"other":#}', '{"threshold_days":2.5}', '{"area":7}', '{"area":true}', '{"area":1,"area":"#"}', "threshold_days=#", "[#]")
 
 
 @query(
-    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN 'true' WHEN 3 THEN 'soon' WHEN 6 THEN '2.5' END AS days, CASE event_id % 8 WHEN 7 THEN '7' END AS area,
-    CASE event_id % 8 WHEN 2 THEN 'threshold_days must be a whole number, not true' WHEN 3 THEN 'threshold_days must be a whole number, not soon' WHEN 6 THEN 'threshold_days must be a whole number, not 2.5' END AS error FROM events"""
+    """SELECT event_id, CASE event_id % 12 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN 'true' WHEN 3 THEN 'soon' WHEN 6 THEN '2.5' END AS days, CASE event_id % 12 WHEN 7 THEN '7' WHEN 8 THEN 'True' WHEN 9 THEN event_id::VARCHAR END AS area,
+    CASE event_id % 12 WHEN 2 THEN 'threshold_days must be a whole number, not True' WHEN 3 THEN 'threshold_days must be a whole number, not ''soon''' WHEN 6 THEN 'threshold_days must be a whole number, not 2.5'
+    WHEN 10 THEN 'the arguments are no JSON object' WHEN 11 THEN 'the arguments are no JSON object' END AS error FROM events"""
 )
 def tool_coerce(s, d):
-    i = F.col("event_id").cast("string")
-    forms = [F.concat(F.lit('{"threshold_days":'), i, F.lit("}")), F.concat(F.lit('{"threshold_days":" '), i, F.lit(' "}')), F.lit('{"threshold_days":true}'), F.lit('{"threshold_days":"soon"}'), F.lit('{"threshold_days":null}'), F.concat(F.lit('{"other":'), i, F.lit("}")), F.lit('{"threshold_days":2.5}'), F.lit('{"area":7}')]
+    """Arguments right and wrong: a key that comes twice, and text that is no JSON object, too."""
+    form = F.replace(F.get(F.array(*map(F.lit, FORMS)), (F.col("event_id") % len(FORMS)).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
     declared = F.create_map(F.lit("threshold_days"), F.lit("integer"), F.lit("area"), F.lit("string"))
-    rows = read(s, d, "events").select("event_id", tools.coerced(F.get(F.array(*forms), (F.col("event_id") % 8).cast("int")), declared).alias("c"))
+    rows = read(s, d, "events").select("event_id", tools.coerced(form, declared).alias("c"))
     return rows.select("event_id", F.try_element_at("c.values", F.lit("threshold_days")).alias("days"), F.try_element_at("c.values", F.lit("area")).alias("area"), "c.error")
 
 
