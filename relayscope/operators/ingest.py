@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -161,18 +162,55 @@ def areas_synced(stored: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.select(*stored.columns)
 
 
-def unique_ids(rows: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
-    """``rows`` with id: a base's first row has the base, the next ones -2, -3 and so on behind it.
+def unique_ids(rows: DataFrame, base: str, order: Sequence[str], scope: Sequence[str] = (), mark: str = "-") -> DataFrame:
+    """``rows`` with id: in a scope and by ``order`` (no two rows alike), the base if it is free, else with the mark and the least free number from 2.
 
-    Rows are dealt to ranges of base and order; a row's number is its place in
-    its range, after those of its base in earlier ranges. So a base that very
-    many rows share is no task of its own.
+    What is free is what no earlier row has, whether as its base or by a number:
+    a row may have the base "a-2". Rows are dealt to ranges of base and order,
+    and a row's number is its place in its range, after those of its base in
+    earlier ranges; so a base that very many rows share is no task of its own.
+    Then only bases that look like another one's numbered id are looked at: each
+    keeps its number from the other one's rows if it came first, and has lost
+    its own name if it came later. That depends on smaller numbers and on longer
+    chains of such bases, so it is repeated until nothing changes.
     """
-    dealt = checkpointed(rows.repartitionByRange(base, *order).withColumn("id_range", F.spark_partition_id()))
-    earlier = Window.partitionBy(base).orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy(base, "id_range").agg(F.count("*").alias("id_size"))
-    firsts = sizes.select(base, "id_range", F.coalesce(F.sum("id_size").over(earlier), F.lit(0)).alias("id_before"))
-    n = F.col("id_before") + F.row_number().over(Window.partitionBy(base, "id_range").orderBy(*order))
-    numbered = dealt.join(firsts, [base, "id_range"]).withColumn("id_n", n)
-    named = F.when(F.col("id_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("id_n").cast("string")))
+    by = [*scope, base]
+    dealt = checkpointed(rows.repartitionByRange(*by, *order).withColumn("id_range", F.spark_partition_id()), "dealt")
+    earlier = Window.partitionBy(*by).orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "id_range").agg(F.count("*").alias("id_size"))
+    firsts = sizes.select(*by, "id_range", F.coalesce(F.sum("id_size").over(earlier), F.lit(0)).alias("id_before"))
+    n = F.col("id_before") + F.row_number().over(Window.partitionBy(*by, "id_range").orderBy(*order))
+    numbered = checkpointed(dealt.join(firsts, [*by, "id_range"]).withColumn("id_n", n), "numbered")
+    moved, lost = renumbered(numbered, base, order, scope, mark)
+    numbered = numbered.join(moved, by, "left").join(lost, by, "left")
+    after = F.col("id_n") - 1 + F.coalesce(F.col("id_lost").cast("int"), F.lit(0))
+    skipped = F.coalesce(F.size(F.filter("id_moved", lambda at: at <= after)), F.lit(0))
+    named = F.when(after == 0, F.col(base)).otherwise(F.concat(base, F.lit(mark), (after + 1 + skipped).cast("string")))
     return numbered.select(*rows.columns, named.alias("id"))
+
+
+def renumbered(numbered: DataFrame, base: str, order: Sequence[str], scope: Sequence[str], mark: str) -> tuple[DataFrame, DataFrame]:
+    """By scope and base: id_moved, the numbered rows (from 1) from which on numbers are one higher; and id_lost, whether its own name is another row's."""
+    when = F.struct(*order)
+    by = [*scope, base]
+    form = f"^(.+){re.escape(mark)}([2-9]|[1-9][0-9]+)$"
+    names = numbered.where("id_n = 1").select(*scope, F.col(base).alias("id_name"), when.alias("id_first"))
+    likely = names.select(*names.columns, F.regexp_extract("id_name", form, 1).alias(base), F.regexp_extract("id_name", form, 2).try_cast("long").alias("id_number")).where("id_number is not null")
+    other = names.select(*scope, F.col("id_name").alias(base))
+    state = checkpointed(likely.join(other, by, "left_semi").withColumns({"id_skips": F.lit(0).cast("long"), "id_taken": F.lit(False), "id_kept": F.lit(False)}), "numbers")
+    times = numbered.select(*by, F.col("id_n").alias("id_at"), when.alias("id_time"))
+    smaller = Window.partitionBy(*by).orderBy("id_number").rowsBetween(Window.unboundedPreceding, -1)
+    changed = not state.isEmpty()
+    while changed:
+        parents = state.select(*scope, F.col("id_name").alias(base), F.col("id_taken").alias("id_parent_taken"))
+        # The row of the other base that would have the number, had nothing held it.
+        at = F.col("id_number") - F.col("id_skips") - F.coalesce(F.col("id_parent_taken").cast("int"), F.lit(0))
+        there = state.join(parents, by, "left").withColumn("id_at", at).join(times, [*by, "id_at"], "left")
+        kept, taken = F.coalesce(F.col("id_first") < F.col("id_time"), F.lit(False)), F.coalesce(F.col("id_time") < F.col("id_first"), F.lit(False))
+        rows = there.select(*by, "id_name", "id_first", "id_number", F.col("id_skips").alias("id_old"), (taken != F.col("id_taken")).alias("id_turned"), taken.alias("id_taken"), kept.alias("id_kept"))
+        skips = F.coalesce(F.sum(F.col("id_kept").cast("long")).over(smaller), F.lit(0))
+        after = checkpointed(rows.withColumn("id_skips", skips), "numbers")
+        changed = not after.where("id_turned or id_skips <> id_old").isEmpty()
+        state = after.select(*state.columns)
+    moved = state.where("id_kept").groupBy(*by).agg(F.collect_list(F.col("id_number") - 1 - F.col("id_skips")).alias("id_moved"))
+    return moved, state.where("id_taken").select(*scope, F.col("id_name").alias(base), F.lit(True).alias("id_lost"))

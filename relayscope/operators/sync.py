@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relayscope.operators.lineage import checkpointed
+
 
 def conflicts(candidates: DataFrame) -> DataFrame:
     """id of the candidates with different contents, told by their hashes alone."""
@@ -45,3 +49,44 @@ def drift(catalog: DataFrame, stored: DataFrame) -> DataFrame:
     both = catalog.select("name", F.col("embedding_text").alias("new")).join(stored.select("name", F.col("embedding_text").alias("old")), "name", "full_outer")
     kind = F.when(F.col("old").isNull(), "missing").when(F.col("new").isNull(), "orphaned").when(F.col("old") != F.col("new"), "changed")
     return both.select("name", kind.alias("drift")).where("drift is not null")
+
+
+#: Parts of a stored index; a change rewrites the parts that it falls into.
+PARTS = 64
+
+
+def part_of(id: Column, parts: int) -> Column:
+    return F.pmod(F.conv(F.left(F.md5(id.cast("string")), F.lit(7)), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
+def applied(path: str, candidates: DataFrame, embed: Callable[[DataFrame], DataFrame], parts: int = PARTS, prune: bool = True) -> DataFrame:
+    """Brings the index stored at ``path`` to the candidates (id, content_sha and more), and returns part, inserted, updated, deleted of what was rewritten.
+
+    The index lies in folders by hash of id. Only what is new or changed is
+    embedded (``embed`` adds its columns), and only folders with a change are
+    written again, with their other rows; the rest isn't touched, nor read beyond
+    its hashes. New folders are complete before old ones go. A delta that was
+    applied changes nothing when it is applied again. ``parts`` belongs to the
+    index: it has to be the same every time.
+    """
+    spark = candidates.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    once = candidates.dropDuplicates(["id"])
+    stored = spark.read.parquet(path) if files.exists(place) else None
+    known = candidates.select("id", "content_sha").limit(0) if stored is None else stored.select("id", "content_sha")
+    deltas = checkpointed(delta(candidates, known, prune).where("action <> 'skip'").withColumn("part", part_of(F.col("id"), parts)), "delta")
+    touched = sorted(r["part"] for r in deltas.select("part").distinct().collect())  # at most ``parts``
+    fresh = embed(once.join(deltas.where("action <> 'delete'").select("id", "part"), "id"))
+    if stored is not None:
+        kept = stored.where(F.col("part").isin(touched)).join(deltas.select("id"), "id", "left_anti")
+        fresh = kept.unionByName(fresh.select(*kept.columns))
+    # What is read from the index has to be elsewhere before its folders are replaced.
+    staged = checkpointed(fresh, "parts")
+    if touched:
+        staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        left = {r["part"] for r in staged.select("part").distinct().collect()}
+        for part in set(touched) - left:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}"), True)
+    of = lambda action: F.count_if(F.col("action") == action)
+    return deltas.groupBy("part").agg(of("insert").alias("inserted"), of("update").alias("updated"), of("delete").alias("deleted"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relayscope.functions import text as T
 from relayscope.operators import memory, metrics, retrieval, sync, turns
+from relayscope.operators.lineage import new_path
 from relayscope.plans import model
 from relayscope.plans.model import chunks, read, sql
 
@@ -348,6 +349,44 @@ def delta_sync(s, d):
     return sync.delta(*delta_sides(s, d))
 
 
+def stored_sides(s, d):
+    """A new index with the old side, and the candidates of a first and of a second, small delta."""
+    new, old = delta_sides(s, d)
+    path = new_path(s, "index")
+    sync.applied(path, old, embedded)
+    late = new.where("id % 200 <> 7").withColumn("content", F.when(F.col("id") % 200 == 9, F.lit("again")).otherwise(F.col("content")))
+    return path, new, late.withColumn("content_sha", F.sha2("content", 256))
+
+
+def embedded(rows):
+    """Stands for a model: the length of a text is its vector."""
+    return rows.withColumn("embedding", F.array(F.length("content").cast("double")))
+
+
+LATE = "late AS (SELECT id, CASE WHEN id % 200 = 9 THEN 'again' ELSE content END AS content FROM new WHERE id % 200 <> 7)"
+NEW_SIDE = "new AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS content FROM documents WHERE doc_id % 10 <> 0)"
+
+
+@query(f"WITH {NEW_SIDE}, {LATE} SELECT id, sha256(content) AS content_sha, length(content)::DOUBLE AS vector FROM late")
+def delta_applied(s, d):
+    """What is stored after two deltas, of which the second is applied twice."""
+    path, new, late = stored_sides(s, d)
+    for side in (new, late, late):
+        sync.applied(path, side, embedded)
+    return s.read.parquet(path).select("id", "content_sha", F.get("embedding", F.lit(0)).alias("vector"))
+
+
+@query(
+    f"""WITH {NEW_SIDE}, {LATE}, d AS (SELECT new.id, late.id IS NULL AS gone FROM new LEFT JOIN late USING (id) WHERE late.id IS NULL OR late.content <> new.content)
+    SELECT (('0x' || left(md5(id::VARCHAR), 7))::BIGINT % 64)::INT AS part, 0 AS inserted, count(*) FILTER (NOT gone) AS updated, count(*) FILTER (gone) AS deleted FROM d GROUP BY 1"""
+)
+def delta_rewritten(s, d):
+    """The parts that a small delta writes again: those with a change, and no other."""
+    path, new, late = stored_sides(s, d)
+    sync.applied(path, new, embedded)
+    return sync.applied(path, late, embedded)
+
+
 @query("SELECT source AS id FROM documents GROUP BY source HAVING count(DISTINCT sha256(text)) > 1")
 def delta_conflicts(s, d):
     return sync.conflicts(read(s, d, "documents").select(F.col("source").alias("id"), F.sha2("text", 256).alias("content_sha")))

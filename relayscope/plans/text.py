@@ -181,6 +181,23 @@ def unique_ids(s, d):
     return ingest.unique_ids(rows, "base", ["doc_id"]).select("doc_id", "id")
 
 
+@query(
+    """WITH RECURSIVE b AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, lang || CASE WHEN doc_id % 5 = 1 THEN '-' || doc_id % 7 + 2 WHEN doc_id % 11 = 3 THEN '-2-' || doc_id % 3 + 1 ELSE '' END AS base FROM documents),
+    step AS (
+        SELECT b.doc_id, b.source, b.i, b.base AS id, [b.base] AS used FROM b WHERE i = 1
+        UNION ALL
+        SELECT b.doc_id, b.source, b.i, x.id, list_append(s.used, x.id) FROM step s JOIN b ON b.source = s.source AND b.i = s.i + 1,
+            LATERAL (SELECT CASE WHEN NOT list_contains(s.used, b.base) THEN b.base ELSE b.base || '-' || list_filter(range(2, b.i + 3), lambda n: NOT list_contains(s.used, b.base || '-' || n))[1] END AS id) x
+    ) SELECT doc_id, id FROM step"""
+)
+def unique_ids_nested(s, d):
+    """Bases of which some look like others' numbered ids, within each source."""
+    i = F.col("doc_id")
+    end = F.when(i % 5 == 1, F.concat(F.lit("-"), (i % 7 + 2).cast("string"))).when(i % 11 == 3, F.concat(F.lit("-2-"), (i % 3 + 1).cast("string"))).otherwise("")
+    rows = read(s, d, "documents").select("doc_id", "source", F.concat("lang", end).alias("base"))
+    return ingest.unique_ids(rows, "base", ["doc_id"], ["source"]).select("doc_id", "id")
+
+
 @query(
     """WITH human AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations WHERE role <> 'system')
     SELECT conv_id, (rn - 1) // 5 AS run, count(*) AS comments, string_agg(text, chr(10) ORDER BY rn) AS content FROM human GROUP BY 1, 2"""
