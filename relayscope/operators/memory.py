@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import math
 from datetime import datetime
 
 import numpy as np
@@ -167,34 +167,66 @@ def superseded(memories: DataFrame, old_id, now: datetime, by=None) -> DataFrame
 
 
 def stored_after(memories: DataFrame, writes: DataFrame) -> DataFrame:
-    """All rows after ``writes`` (the columns of a memory, at, and supersedes: an id or null).
-
-    Each write is a new memory at revision 1, live from ``at``; the live
-    memory that it supersedes is closed then, and named its successor. A write
-    whose supersedes isn't live does nothing; see ``refused``.
+    """All rows after ``writes``: an ordered batch of events, by at, then seq if there is one, then id.
+
+    A write (the columns of a memory, at, and supersedes: an id or null) is a new
+    memory at revision 1, live from ``at``; the live memory that it supersedes,
+    stored or written before in the batch, is closed then, and named its
+    successor. An event with op "supersede" closes a live memory in favour of
+    ``id``, which is there already. An event whose supersedes isn't live does
+    nothing; see ``refused``. Writes that are stored already do nothing either,
+    so that a batch may come again.
     """
     good, _ = judged(memories, writes)
-    fresh = good.withColumns({"revision": F.lit(1).cast(memories.schema["revision"].dataType), "valid_from": F.col("at"), "valid_to": F.lit(None).cast(memories.schema["valid_to"].dataType), "superseded_by": F.lit(None).cast(memories.schema["id"].dataType)})
-    closing = good.where("supersedes is not null").groupBy(F.col("supersedes").alias("id")).agg(F.min(F.struct("at", F.col("id").alias("by"))).alias("close"))
-    live_row = F.col("valid_to").isNull() & F.col("close").isNotNull()
-    kept = memories.join(closing, "id", "left").withColumns(
-        {"superseded_by": F.when(live_row, F.col("close.by")).cast(memories.schema["id"].dataType), "valid_to": F.when(live_row, F.col("close.at")).otherwise(F.col("valid_to"))}
-    )
+    closing = good.where("supersedes is not null").select(F.col("supersedes").alias("closed_id"), F.struct("at", F.col("id").alias("by")).alias("close"))
     columns = [*memories.columns, *(["superseded_by"] if "superseded_by" not in memories.columns else [])]
-    return kept.select(*columns).unionByName(fresh.select(*columns))
+    before = memories if "superseded_by" in memories.columns else memories.withColumn("superseded_by", F.lit(None).cast(memories.schema["id"].dataType))
+    rows = before.select(*columns).unionByName(written_rows(memories, good).select(*columns)).join(closing, F.col("id") == F.col("closed_id"), "left")
+    live_row = F.col("valid_to").isNull() & F.col("close").isNotNull()
+    changed = {"superseded_by": F.when(live_row, F.col("close.by")).otherwise(F.col("superseded_by")), "valid_to": F.when(live_row, F.col("close.at")).otherwise(F.col("valid_to"))}
+    return rows.withColumns(changed).select(*columns)
+
+
+def written_rows(memories: DataFrame, good: DataFrame) -> DataFrame:
+    """The new memories of judged events, before any of them is closed."""
+    kinds = memories.schema
+    fresh = {"revision": F.lit(1).cast(kinds["revision"].dataType), "valid_from": F.col("at"), "valid_to": F.lit(None).cast(kinds["valid_to"].dataType), "superseded_by": F.lit(None).cast(kinds["id"].dataType)}
+    return good.where("op = 'write'").withColumns(fresh)
 
 
 def judged(memories: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The writes that can be done, and those that supersede what isn't live (or what an earlier write supersedes)."""
+    """The events that can be done, and those that can't, both with op and turn (their order).
+
+    An event needs its memory to be live: stored so, or written before in the
+    batch by an event that can be done; and of the events for one memory the
+    first has it. Whether that holds up a chain of events is found by pointer
+    doubling, in as many rounds as the length of the longest chain has digits.
+    """
+    events = writes if "op" in writes.columns else writes.withColumn("op", F.lit("write"))
+    turn = F.struct("at", *(["seq"] if "seq" in writes.columns else []), "id")
+    stored = memories.select(F.col("id").alias("stored_id")).distinct()
+    events = checkpointed(events.join(stored, (F.col("op") == "write") & (F.col("id") == F.col("stored_id")), "left_anti").withColumn("turn", turn), "events")
+    closers = events.where("supersedes is not null").select("id", "op", "turn", "supersedes")
     alive = memories.where("valid_to is null").select(F.col("id").alias("live_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("supersedes").orderBy("at", "id")) == 1
-    marked = writes.withColumn("first", F.col("supersedes").isNull() | first).join(alive, F.col("supersedes") == F.col("live_id"), "left")
-    ok = F.col("supersedes").isNull() | (F.col("live_id").isNotNull() & F.col("first"))
-    return marked.where(ok).drop("first", "live_id"), marked.where(~ok).drop("first", "live_id")
+    made = events.where("op = 'write'").select(F.col("id").alias("up"), F.col("turn").alias("made_turn"))
+    known = closers.join(alive, F.col("supersedes") == F.col("live_id"), "left").join(made, (F.col("supersedes") == F.col("up")) & (F.col("made_turn") < F.col("turn")), "left")
+    fits = F.col("live_id").isNotNull() | F.col("up").isNotNull()
+    first = known.where(fits).groupBy(F.col("supersedes").alias("for")).agg(F.min("turn").alias("first"))
+    marked = known.join(first, F.col("supersedes") == F.col("for"), "left").select("id", "op", "turn", "supersedes", "up", F.coalesce(fits & (F.col("turn") == F.col("first")), F.lit(False)).alias("good"))
+    marked = checkpointed(marked, "marked")
+    state = marked.where("op = 'write'").select("id", "up", "good")
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("good").alias("above"))
+        state = checkpointed(state.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("good") & F.coalesce("above", F.lit(True))).alias("good")), "chains")
+    makers = state.select(F.col("id").alias("up"), F.col("good").alias("made"))
+    verdicts = marked.join(makers, "up", "left").select(F.col("turn").alias("its_turn"), F.col("supersedes").alias("its_target"), (F.col("good") & F.coalesce("made", F.lit(True))).alias("done"))
+    told = events.join(verdicts, (F.col("turn") == F.col("its_turn")) & (F.col("supersedes") == F.col("its_target")), "left").withColumn("done", F.coalesce("done", F.lit(True)))
+    told = checkpointed(told.drop("its_turn", "its_target"), "told")
+    return told.where("done").drop("done"), told.where("not done").drop("done")
 
 
 def refused(memories: DataFrame, writes: DataFrame) -> DataFrame:
-    """id, error of the writes that ``stored_after`` doesn't do."""
+    """id, error of the events that ``stored_after`` doesn't do."""
     return judged(memories, writes)[1].select("id", F.concat(F.lit("no live memory "), F.col("supersedes").cast("string")).alias("error"))
 
 
@@ -204,13 +236,21 @@ def payload() -> Column:
 
 
 def write_audit(memories: DataFrame, writes: DataFrame) -> DataFrame:
-    """memory_id, revision, op, before, after, actor, at: a row for each memory that the writes create, and one for each that they supersede."""
+    """memory_id, revision, op, before, after, actor, at: a row for each memory that the events create, and one for each that they close.
+
+    What a write closes shows its successor as after, what another memory closes itself.
+    """
     good, _ = judged(memories, writes)
-    good = good.withColumn("revision", F.lit(1).cast(memories.schema["revision"].dataType))
-    made = good.select(F.col("id").alias("memory_id"), "revision", F.lit(CREATE).alias("op"), F.lit(None).cast("string").alias("before"), payload().alias("after"), F.col("created_by").alias("actor"), "at")
-    old = memories.where("valid_to is null").select(F.col("id").alias("old_id"), F.col("revision").alias("old_revision"), payload().alias("before"))
-    closed = good.withColumn("after", payload()).join(old, F.col("supersedes") == F.col("old_id")).select("old_id", "old_revision", F.lit(SUPERSEDE), "before", "after", "created_by", "at")
-    return made.union(closed)
+    fresh = written_rows(memories, good)
+    made = fresh.select(F.col("id").alias("memory_id"), "revision", F.lit(CREATE).alias("op"), F.lit(None).cast("string").alias("before"), payload().alias("after"), F.col("created_by").alias("actor"), "at")
+    old = F.col("id").alias("old_id"), F.col("revision").alias("old_revision"), payload().alias("before")
+    olds = memories.where("valid_to is null").select(*old).union(fresh.select(*old))
+    successors = fresh.select(F.col("id").alias("new_id"), payload().alias("successor"), F.col("created_by").alias("maker"))
+    closed = good.where("supersedes is not null").select("id", "op", "supersedes", "at").join(olds, F.col("supersedes") == F.col("old_id"))
+    closed = closed.join(successors, (F.col("op") == "write") & (F.col("id") == F.col("new_id")), "left")
+    by_write = F.col("op") == "write"
+    rows = closed.select("old_id", "old_revision", F.lit(SUPERSEDE), "before", F.when(by_write, F.col("successor")).otherwise(F.col("before")), F.when(by_write, F.col("maker")).otherwise(F.lit("consolidation")), "at")
+    return made.union(rows)
 
 
 def audit_view(audit: DataFrame, memory_id) -> DataFrame:
@@ -318,11 +358,56 @@ def clusters(memories: DataFrame) -> DataFrame:
     return rows.join(parts, ["user_id", "id"]).groupBy("user_id", "part").applyInPandas(grouped, schema)
 
 
+#: Vectors that others are measured from, and rows of a block; parameters.
+PIVOTS, BLOCK = 32, 512
+
+
+def near_pairs(rows: DataFrame, far: float = LINKAGE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """user_id, a, b of the ``rows`` (user_id, id, embedding) of one user that are nearer than ``far``, a < b; exact.
+
+    A vector belongs to the cell of the pivot with the least angle to it, and a
+    user's cell is cut into blocks. Angles obey the triangle inequality: two
+    blocks can only have a pair if their pivots' angle is at most their largest
+    angles and that of ``far`` together. Rows meet by pair of such blocks, never
+    by user; and before vectors are multiplied, their angles to both pivots have
+    to differ by that of ``far`` at most. Pivots are the rows with the least
+    hashes. Vectors without a direction are near nothing.
+    """
+    limit = math.acos(1 - far) + 1e-6
+    sized = rows.withColumn("size", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).where("size > 0")
+    sample = sized.select("id", F.transform("embedding", lambda x: x / F.col("size")).alias("v")).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    centres = [[float(x) for x in r["v"]] for r in sample]
+    if not centres:
+        return rows.select("user_id", F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
+    angle = lambda cosines: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosines)))
+    known = sized.withColumn("angles", F.transform(table, lambda c: angle(dot(F.col("embedding"), c) / F.col("size"))))
+    cell = F.array_position("angles", F.array_min("angles")).cast("int") - 1
+    celled = checkpointed(known.select("user_id", "id", "embedding", "size", "angles", cell.alias("cell"), F.array_min("angles").alias("own")), "cells")
+    counts = celled.groupBy("user_id", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocked = checkpointed(celled.join(counts, ["user_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"), "blocks")
+    blocks = blocked.groupBy("user_id", "cell", "block").agg(F.max("own").alias("reach"))
+    between = np.arccos(np.clip(np.array(centres) @ np.array(centres).T, -1, 1))
+    apart = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in between))
+    one = blocks.select("user_id", F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("reach").alias("reach_a"))
+    two = blocks.select(F.col("user_id").alias("user_b"), F.col("cell").alias("cell_b"), F.col("block").alias("block_b"), F.col("reach").alias("reach_b"))
+    # Blocks, not rows, are paired here: BLOCK * BLOCK times fewer.
+    ordered = F.struct("cell_a", "block_a") <= F.struct("cell_b", "block_b")
+    meet = F.get(F.get(apart, F.col("cell_a")), F.col("cell_b")) <= F.col("reach_a") + F.col("reach_b") + limit + 1e-6
+    meetings = one.join(two, F.col("user_id") == F.col("user_b")).where(ordered & meet).select("user_id", "cell_a", "block_a", "cell_b", "block_b")
+    a = blocked.select("user_id", F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("size").alias("x_size"), F.col("angles").alias("x_angles"))
+    b = blocked.select("user_id", F.col("cell").alias("cell_b"), F.col("block").alias("block_b"), F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("size").alias("y_size"), F.col("angles").alias("y_angles"))
+    meeting = ["user_id", "cell_a", "block_a", "cell_b", "block_b"]
+    both = meetings.join(a, ["user_id", "cell_a", "block_a"]).join(meetings.join(b, ["user_id", "cell_b", "block_b"]), meeting)
+    close = lambda cell: F.abs(F.get("x_angles", F.col(cell)) - F.get("y_angles", F.col(cell))) <= limit
+    same = (F.col("cell_a") == F.col("cell_b")) & (F.col("block_a") == F.col("block_b"))
+    near = both.where((~same | (F.col("a") < F.col("b"))) & close("cell_a") & close("cell_b")).where(1 - dot(F.col("x"), F.col("y")) / (F.col("x_size") * F.col("y_size")) < far)
+    return near.select("user_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_parts(rows: DataFrame) -> DataFrame:
     """user_id, id, part (smallest id that it reaches) of the rows that are nearer than LINKAGE to another of their user."""
-    a = rows.select("user_id", F.col("id").alias("a"), F.col("embedding").alias("x"))
-    b = rows.select("user_id", F.col("id").alias("b"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "user_id").where((F.col("a") < F.col("b")) & (1 - cosine(F.col("x"), F.col("y")) < LINKAGE)).select("user_id", "a", "b")
+    pairs = near_pairs(rows)
     both = checkpointed(pairs.union(pairs.select("user_id", F.col("b"), F.col("a"))).toDF("user_id", "id", "near"))
     labels = checkpointed(both.groupBy("user_id", "id").agg(F.min("near").alias("near")).select("user_id", "id", F.least("near", "id").alias("part")))
     while True:

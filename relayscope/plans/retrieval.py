@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from relayscope.functions import text as T
 from relayscope.operators import memory, metrics, retrieval, sync, turns
-from relayscope.operators.lineage import new_path
+from relayscope.operators.lineage import checkpointed, new_path
 from relayscope.plans import model
 from relayscope.plans.model import chunks, read, sql
 
@@ -275,6 +275,61 @@ def memory_write_refused(s, d):
     return memory.refused(memories(s, d), writes(s, d))
 
 
+CHAINS = f"""WITH {MEM}, chains AS (SELECT id AS root, id % 5 + 1 AS n, id % 4 AS kind, id % 4 > 1 OR (id % 4 = 0 AND valid_to IS NULL) AS ok FROM memories), links AS (SELECT *, unnest(range(1, n + 1)) AS k FROM chains),
+    stored AS (SELECT m.id, CASE WHEN m.valid_to IS NULL AND c.kind = 0 THEN TIMESTAMP '2024-06-01 00:01:00' ELSE m.valid_to END AS valid_to, CASE WHEN m.valid_to IS NULL AND c.kind = 0 THEN 1000000001 + m.id * 10 END AS superseded_by FROM memories m JOIN chains c ON c.root = m.id
+        UNION ALL SELECT 1000000000 + root * 10 + k, CASE WHEN k < n THEN TIMESTAMP '2024-06-01' + to_minutes(k + 1) END, CASE WHEN k < n THEN 1000000001 + root * 10 + k END FROM links WHERE ok)"""
+
+
+def chains(s, d):
+    """One batch in which each memory is followed by one to five writes that supersede one another, the first of them the memory, one that there isn't, or none."""
+    root, k = F.col("root"), F.col("k")
+    m = memories(s, d).select(F.col("id").alias("root"), "user_id", "content", "embedding", F.explode(F.sequence(F.lit(1), (F.col("id") % 5 + 1).cast("int"))).alias("k"))
+    before = F.when(k > 1, 999_999_999 + root * 10 + k).when(root % 4 == 0, root).when(root % 4 == 1, -root - 1)
+    said = m.select(
+        (1_000_000_000 + root * 10 + k).alias("id"), "user_id", F.lit("s9").alias("session_id"), F.col("content").alias("statement"), F.lit(None).cast("string").alias("mem_type"), F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("array<string>").alias("entities"), "embedding", before.alias("supersedes"), (F.lit(NOW) + F.make_dt_interval(F.lit(0), F.lit(0), k)).alias("at"),
+    )
+    return memory.recorded(said)
+
+
+@query(f"{CHAINS} SELECT id, valid_to, superseded_by FROM stored")
+def memory_chains(s, d):
+    return memory.stored_after(memories(s, d), chains(s, d)).select("id", "valid_to", "superseded_by")
+
+
+@query(f"{CHAINS} SELECT id, valid_to, superseded_by FROM stored")
+def memory_replayed(s, d):
+    """The same batch twice."""
+    once = checkpointed(memory.stored_after(memories(s, d), chains(s, d)))
+    return memory.stored_after(once, chains(s, d)).select("id", "valid_to", "superseded_by")
+
+
+@query(f"{CHAINS} SELECT 1000000000 + root * 10 + k AS id, 'no live memory ' || CASE WHEN k > 1 THEN 999999999 + root * 10 + k WHEN kind = 0 THEN root ELSE -root - 1 END AS error FROM links WHERE NOT ok")
+def memory_chains_refused(s, d):
+    return memory.refused(memories(s, d), chains(s, d))
+
+
+@query(f"{CHAINS} SELECT op, count(*) AS n, count(DISTINCT memory_id) AS memories FROM (SELECT 'create' AS op, root * 10 + k AS memory_id FROM links WHERE ok UNION ALL SELECT 'supersede', CASE WHEN k = 1 THEN -root ELSE root * 10 + k END FROM links WHERE ok AND (k > 1 OR kind = 0)) GROUP BY op")
+def memory_chains_audit(s, d):
+    return memory.write_audit(memories(s, d), chains(s, d)).groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("memory_id").alias("memories"))
+
+
+@query(f"""WITH {MEM}, pairs AS (SELECT id, lead(id) OVER (PARTITION BY user_id ORDER BY id) AS heir, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM memories WHERE valid_to IS NULL), closed AS (SELECT id, heir FROM pairs WHERE n % 2 = 1 AND heir IS NOT NULL)
+    SELECT m.id, CASE WHEN c.id IS NULL THEN m.valid_to ELSE TIMESTAMP '2024-06-01' END AS valid_to, c.heir AS superseded_by FROM memories m LEFT JOIN closed c USING (id)""")
+def memory_superseded(s, d):
+    """Of each two live memories of a user the later one closes the earlier one; closing it again, or what isn't there, is refused."""
+    m = memories(s, d)
+    mine = Window.partitionBy("user_id").orderBy("id")
+    live = m.where("valid_to is null").select("id", "user_id", F.lead("id").over(mine).alias("by"), F.row_number().over(mine).alias("n"))
+    odd = live.where("n % 2 = 1 and by is not null")
+    rows = odd.select(F.col("by").alias("id"), F.col("id").alias("supersedes"), F.lit(0).alias("seq"))
+    again = odd.select(F.col("by").alias("id"), F.col("id").alias("supersedes"), F.lit(1).alias("seq")).union(odd.select("by", -F.col("id") - 1, F.lit(2)))
+    kinds = {f.name: f.dataType for f in m.schema}
+    nothing = [F.lit(None).cast(kinds[c]).alias(c) for c in ("user_id", "mem_type", "content", "entities", "confidence", "created_by", "source_session_id", "source_ids", "embedding")]
+    events = rows.union(again).select("id", *nothing, "supersedes", F.lit(NOW).alias("at"), "seq", F.lit("supersede").alias("op"))
+    return memory.stored_after(m, events).select("id", "valid_to", "superseded_by")
+
+
 AUDIT = f"""WITH {MEM}, {WRITES}, audit AS (SELECT id AS memory_id, revision, 'create' AS op, NULL AS before, {PAYLOAD} AS after FROM good
     UNION ALL SELECT g.old, g.old_revision, 'supersede', m.payload, g.payload FROM (SELECT *, {PAYLOAD} AS payload FROM good) g JOIN (SELECT *, {PAYLOAD} AS payload FROM memories) m ON m.id = g.old)"""
 
@@ -295,10 +350,21 @@ def memory_json(s, d):
     return memory.live(memories(s, d)).select("id", memory.json_view(F.lit(NOW)).alias("view"))
 
 
-@query()
+def copied(s, d):
+    """The memories, and three near copies of each episodic one: bent a little, by one component each."""
+    m = memories(s, d)
+    k = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")
+    bent = F.transform("embedding", lambda x, i: x + F.when(i == F.col("k"), 0.02).otherwise(0.0).cast("float"))
+    near = m.where("mem_type = 'episodic'").select("*", k).withColumns({"embedding": bent, "id": F.col("id") + F.col("k").cast("long") * 1_000_000_000})
+    return m.unionByName(near.drop("k"))
+
+
+@query(
+    f"""WITH {MEM} SELECT user_id, id AS cluster, [id, id + 1000000000, id + 2000000000, id + 3000000000] AS members, ['all', 'e' || split_part(content, ' ', 4)] AS entities FROM memories
+    WHERE valid_to IS NULL AND mem_type = 'episodic'"""
+)
 def memory_clusters(s, d):
-    """Average linkage has no SQL; tests hold it against known clusters."""
-    return memory.clusters(memories(s, d))
+    return memory.clusters(copied(s, d))
 
 
 VALUE = "list_extract(['0.7', '1.5', '-2', 'x', '0.2'], (event_id % 5 + 1)::INT)"

@@ -185,6 +185,19 @@ def test_clusters_are_those_of_one_linkage_over_all(spark):
     assert sorted(r["members"] for r in memory.clusters(memories(spark, rows)).collect()) == want and want
 
 
+def test_near_pairs_are_all_of_them(spark):
+    import numpy as np
+
+    numbers = np.random.default_rng(3)
+    vectors = {("u" if i % 3 else "w", f"m{i:03d}"): numbers.normal(0, 1, 4) for i in range(150)}
+    rows = spark.createDataFrame([(u, i, [float(x) for x in v]) for (u, i), v in vectors.items()] + [("u", "zero", [0.0] * 4)], "user_id string, id string, embedding array<double>")
+    close = lambda x, y: 1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y) < memory.LINKAGE
+    want = sorted((u, i, j) for (u, i), x in vectors.items() for (w, j), y in vectors.items() if u == w and i < j and close(x, y))
+    got = memory.near_pairs(rows, pivots=6, block=10)
+    assert values(got) == want and len(want) > 100
+    assert memory.near_pairs(rows.limit(0)).count() == 0
+
+
 def test_writes_supersede_once(spark):
     m = memories(spark, [("a", "episodic", [], 1.0, 3, [1.0]), ("b", "semantic", [], 1.0, 3, [1.0])])
     said = [("n1", "a", 1), ("n2", "a", 2), ("n3", None, 1), ("n4", "gone", 1)]
