@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayscope.operators import metrics, retrieval
@@ -16,14 +17,46 @@ CLASSES = range(1, 7)
 EXACT = 4
 
 
-def gold_errors(questions: DataFrame, known: DataFrame, pin: Column) -> DataFrame:
-    """qid, error for each rule that a question breaks; questions: qid, class, as_of, gold (ids of chunks)."""
-    repeated = questions.groupBy("qid").count().where("count > 1").select("qid", F.lit("repeated id").alias("error"))
-    wrong = questions.where(~F.col("class").isin(*CLASSES)).select("qid", F.lit("unknown class"))
-    late = questions.where(F.col("as_of") > pin).select("qid", F.lit("as of after the pin"))
-    empty = questions.where((F.size("gold") == 0) & (F.col("class") >= 5)).select("qid", F.lit("no gold"))
-    chunks = questions.select("qid", F.explode("gold").alias("id")).join(known, "id", "left_anti").select("qid", F.concat(F.lit("no chunk "), F.col("id").cast("string")))
-    return reduce(DataFrame.union, (repeated, wrong, late, empty, chunks))
+def gold_errors(questions: DataFrame, known: DataFrame, pin: Column, floor: Column, methods: Mapping[str, Sequence[str]]) -> DataFrame:
+    """qid, error for each rule that a question of a set breaks.
+
+    questions: place (in the set), qid, class, question, gold_tools, as_of,
+    method and args (a map of names to text) of its query, gold (ids of chunks)
+    and points (of its answer). ``methods`` names the arguments that each method
+    takes. Every one needs an id of its own, a class, a text, tools, and a time
+    between the facts' floor, if it is exact, and the pin. Exact classes need a
+    query, the others chunks that there are, and points. After an unknown class,
+    a missing time, query or method nothing more is said of a question.
+    """
+    missing = lambda text: F.coalesce(F.trim(text), F.lit("")) == ""
+    none = lambda items: F.coalesce(F.size(items), F.lit(0)) <= 0
+    day = lambda at: F.date_format(at, "yyyy-MM-dd")
+    exact = F.col("class") <= EXACT
+    table = F.create_map(*(x for m, names in methods.items() for x in (F.lit(m), F.array(*map(F.lit, names)).cast("array<string>"))))
+    unknown = F.array_sort(F.array_except(F.map_keys("args"), F.try_element_at(table, F.col("method"))))
+    bad_class = F.col("class").isNull() | ~F.col("class").isin(*CLASSES)
+    timed = ~bad_class & F.col("as_of").isNotNull()
+    asked = timed & exact & F.col("method").isin(*methods)
+    bound = lambda key: F.try_element_at("args", F.lit(key)).try_cast("timestamp_ntz")
+    rules = [
+        F.when(bad_class, F.concat(F.lit("class must be 1-6, not "), F.coalesce(F.col("class").cast("string"), F.lit("none")))),
+        F.when(~bad_class & missing(F.col("question")), "empty question"),
+        F.when(~bad_class & none("gold_tools"), "no gold tools"),
+        F.when(~bad_class & F.col("as_of").isNull(), "no as_of"),
+        F.when(timed & (F.col("as_of") > pin), F.concat(F.lit("as_of "), day("as_of"), F.lit(" is after the pin"))),
+        F.when(timed & exact & F.col("method").isNull(), "no query"),
+        F.when(timed & exact & ~F.col("method").isin(*methods), F.concat(F.lit("unknown method "), "method")),
+        F.when(asked & (F.size(unknown) > 0), F.concat("method", F.lit(" takes no "), F.array_join(unknown, ", "))),
+        F.when(asked & (F.col("as_of") < floor), F.concat(F.lit("as_of "), day("as_of"), F.lit(" is before the floor"))),
+        *(F.when(asked & (bound(k) < floor), F.concat(F.lit(f"{k} "), day(bound(k)), F.lit(" is before the floor"))) for k in ("since", "until")),
+        F.when(timed & ~exact & none("gold"), "no gold"),
+        F.when(timed & ~exact & none("points"), "no points"),
+    ]
+    qid = F.coalesce(F.col("qid").cast("string"), F.lit("<no id>")).alias("qid")
+    broken = questions.select(qid, F.explode(F.array_compact(F.array(*rules))).alias("error"))
+    repeated = questions.groupBy(qid).agg(F.count("*").alias("n")).where("n > 1").select("qid", F.lit("repeated id"))
+    chunks = questions.where(timed & ~exact).select(qid, F.explode("gold").alias("id")).join(known, "id", "left_anti").select("qid", F.concat(F.lit("no chunk "), F.col("id").cast("string")))
+    return reduce(DataFrame.union, (broken, repeated, chunks))
 
 
 def sweep_point(tools: DataFrame, questions: DataFrame, gold: DataFrame, k: int = retrieval.TOOLS, floor: float = retrieval.FLOOR) -> DataFrame:
@@ -80,7 +113,11 @@ def turn_scores(events: DataFrame, questions: DataFrame, always: tuple[str, ...]
         F.avg(F.when(of("citation"), good.cast("int"))).alias("citation_resolution"),
         F.max(of("error")).alias("failed"),
     )
-    rows = questions.join(turns, "qid")
+    # A question without any event is scored too: nothing was selected and nothing found.
+    rows = questions.join(turns, "qid", "left")
+    for name in ("selected", "union", "asked", "passages"):
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(turns.schema[name].dataType)))
+    rows = rows.withColumn("failed", F.coalesce("failed", F.lit(False)))
     scored = F.array_except("selected", F.array(*map(F.lit, always)))
     exact = F.col("class") <= EXACT
     return rows.select(
@@ -121,19 +158,32 @@ def baseline(current: DataFrame, results: DataFrame) -> DataFrame:
     return current
 
 
-def suite_errors(sessions: DataFrame, tools: list[str], areas: list[str], each: int = 3) -> DataFrame:
-    """scenario, error for each rule that a suite breaks; sessions: scenario, session, prompt, tool, area (expected, or null).
+def suite_errors(sessions: DataFrame, each: int = 3) -> DataFrame:
+    """scenario, error for each rule that a suite breaks.
 
-    A scenario has so many sessions, each with a prompt and a known tool and
-    area; and the sessions after the first don't name the area, or memory would
-    have nothing to show.
+    sessions: place (of the scenario in the suite), scenario (its id), session
+    (from 0), prompt, tool, area and since that it expects, clarification. Every
+    scenario has an id of its own and so many sessions, each with a prompt. The
+    last one expects a tool, has a clarification for those who remember nothing,
+    and doesn't name its area or time itself: it has to lean on the earlier ones.
     """
-    size = sessions.groupBy("scenario").agg(F.count("*").alias("n")).where(F.col("n") != each).select("scenario", F.concat(F.lit("sessions: "), F.col("n").cast("string")).alias("error"))
-    blank = sessions.where(F.coalesce(F.trim("prompt"), F.lit("")) == "").select("scenario", F.lit("no prompt"))
-    tool = sessions.where(~F.col("tool").isin(*tools)).select("scenario", F.concat(F.lit("no tool "), "tool"))
-    area = sessions.where(~F.col("area").isin(*areas)).select("scenario", F.concat(F.lit("no area "), "area"))
-    told = sessions.where((F.col("session") > 0) & F.contains(F.lower("prompt"), F.lower("area"))).select("scenario", F.concat(F.lit("names its area in session "), F.col("session").cast("string")))
-    return reduce(DataFrame.union, (size, blank, tool, area, told))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    name = F.coalesce(F.nullif("scenario", F.lit("")), F.lit("<no id>")).alias("scenario")
+    rows = sessions.select("*", F.count("*").over(Window.partitionBy("place")).alias("n"), (F.row_number().over(Window.partitionBy("place").orderBy(F.desc("session"))) == 1).alias("last"))
+    last = F.col("last")
+    names = lambda c: last & ~empty(c) & F.contains(F.lower("prompt"), F.lower(c))
+    rules = [
+        F.when(last & empty("scenario"), "no id"),
+        F.when(last & (F.col("n") != each), F.concat(F.lit("sessions: "), F.col("n").cast("string"))),
+        F.when(empty("prompt"), F.concat(F.lit("no prompt in session "), (F.col("session") + 1).cast("string"))),
+        F.when(last & empty("tool"), "the last session expects no tool"),
+        F.when(last & empty("clarification"), "the last session has no clarification"),
+        F.when(names("area"), "the last session names its area"),
+        F.when(names("since"), "the last session names its time"),
+    ]
+    broken = rows.select(name, F.explode(F.array_compact(F.array(*rules))).alias("error"))
+    repeated = sessions.where(~empty("scenario")).groupBy("scenario").agg(F.countDistinct("place").alias("n")).where("n > 1").select("scenario", F.lit("repeated id"))
+    return broken.union(repeated)
 
 
 def prefixed(texts: Column, model: Column, prefixes: dict[str, tuple[str, str]], is_query: bool) -> Column:

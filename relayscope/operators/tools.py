@@ -225,10 +225,15 @@ def rendered_memories(calls: DataFrame, found: DataFrame, now: Column) -> DataFr
 
 
 def retrieval_events(outcomes: DataFrame) -> DataFrame:
-    """call, payload (JSON) of what calls (call, tool, kind, query, area, citations, scores) found; memory is neither kind and tells nothing."""
-    rows = outcomes.where(~F.col("tool").isin(*MEMORY_TOOLS) & F.col("citations").isNotNull())
-    passages = F.transform(F.arrays_zip("citations", "scores"), lambda x: F.struct(x["citations"].alias("citation"), F.round(x["scores"], 6).alias("score")))
-    things = F.transform("citations", lambda c: F.struct(c.alias("citation"), F.split_part(c, F.lit(":"), F.lit(1)).alias("kind"), F.split_part(c, F.lit(":"), F.lit(2)).alias("ref")))
-    semantic = F.to_json(F.struct("kind", "tool", "query", passages.alias("chunks")))
-    structured = F.to_json(F.struct("kind", "tool", "area", F.size("citations").alias("count"), things.alias("entities")))
-    return rows.select("call", F.when(F.col("kind") == "semantic", semantic).otherwise(structured).alias("payload"))
+    """call, payload (JSON) of what calls found; memory is neither kind and tells nothing, nor does an error.
+
+    outcomes: call, tool, query, chunks (citation, source, path, score; null for
+    complete sets), entities (citation, kind, ref, title, author, state, at, url;
+    null for passages), n, area, window. n counts all, a looked-up thing as one.
+    """
+    rows = outcomes.where(~F.col("tool").isin(*MEMORY_TOOLS) & (F.col("chunks").isNotNull() | F.col("entities").isNotNull()))
+    whole = {"ignoreNullFields": "false"}
+    passages = F.transform("chunks", lambda c: F.struct(c["citation"].alias("citation"), c["source"].alias("source"), c["path"].alias("path"), F.round(c["score"], 6).alias("score")))
+    semantic = F.to_json(F.struct(F.lit("semantic").alias("kind"), "tool", F.coalesce("query", F.lit("")).alias("query"), passages.alias("chunks")), whole)
+    structured = F.to_json(F.struct(F.lit("structured").alias("kind"), "tool", "window", "area", F.coalesce("n", F.lit(1)).alias("count"), "entities"), whole)
+    return rows.select("call", F.when(F.col("chunks").isNotNull(), semantic).otherwise(structured).alias("payload"))

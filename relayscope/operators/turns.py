@@ -39,13 +39,27 @@ def gold_tool_entities(calls: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def turn_record(events: DataFrame) -> DataFrame:
-    """turn, tools that worked, areas, cost and memories of each turn's events."""
-    at = lambda event, value: F.when(F.col("event") == event, value)
+    """turn, session_id, tools, areas, windows, memories, writes, cost, latency_ms, error of each turn's events.
+
+    events: turn, seq, event, status, tool, kind, area, window, n, cost,
+    latency_ms, session_id. Tools are those of calls that went well, areas and
+    windows those of complete sets that have some, all in order and as often as
+    they came; what is told once is taken from the last event that tells it.
+    """
+    at = lambda event: F.col("event") == event
+    structured = at("retrieval") & (F.col("kind") == "structured")
+    listed = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when & F.col(value).isNotNull(), F.struct("seq", value)))), lambda x: x[value])
+    last = lambda event, value: F.max_by(value, F.when(at(event), F.col("seq")))
     return events.groupBy("turn").agg(
-        F.array_sort(F.collect_set(at("tool_result", F.when(~F.col("is_error"), F.col("tool"))))).alias("tools"),
-        F.array_sort(F.collect_set(at("tool_result", F.col("area")))).alias("areas"),
-        F.round(F.coalesce(F.max(at("done", F.col("cost"))), F.lit(0.0)), 6).alias("cost"),
-        F.coalesce(F.max(at("memory", F.col("n"))), F.lit(0)).cast("long").alias("memories"),
+        last("session", "session_id").alias("session_id"),
+        listed(at("tool_call") & (F.col("status") == "ok"), "tool").alias("tools"),
+        listed(structured, "area").alias("areas"),
+        listed(structured, "window").alias("windows"),
+        F.coalesce(last("memory_loaded", "n"), F.lit(0)).cast("long").alias("memories"),
+        F.count_if(at("memory_write")).alias("writes"),
+        F.round(F.coalesce(last("done", "cost"), F.lit(0.0)), 6).alias("cost"),
+        F.coalesce(last("done", "latency_ms"), F.lit(0)).cast("long").alias("latency_ms"),
+        F.coalesce(F.bool_or(at("error")), F.lit(False)).alias("error"),
     )
 
 

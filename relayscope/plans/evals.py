@@ -29,14 +29,32 @@ def area_prefixes(s, d):
 
 
 @query(
-    """SELECT doc_id AS qid, 'unknown class' AS error FROM documents WHERE doc_id % 8 NOT BETWEEN 1 AND 6 UNION ALL SELECT doc_id, 'as of after the pin' FROM documents WHERE doc_id % 40 = 0
-    UNION ALL SELECT doc_id, 'no chunk ' || doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
+    """WITH q AS (SELECT doc_id, CASE WHEN doc_id % 50 = 49 THEN doc_id - 1 ELSE doc_id END::VARCHAR AS qid, doc_id % 8 AS class, doc_id % 9 AS k, doc_id % 11 AS a, doc_id % 13 AS m FROM documents),
+    t AS (SELECT *, class BETWEEN 1 AND 6 AND a <> 3 AS timed, CASE a WHEN 1 THEN '2024-01-02' WHEN 2 THEN '2022-12-31' ELSE '2023-06-01' END AS as_of, class <= 4 AS exact FROM q)
+    SELECT qid, 'class must be 1-6, not ' || class AS error FROM t WHERE class NOT BETWEEN 1 AND 6 UNION ALL SELECT qid, 'empty question' FROM t WHERE class BETWEEN 1 AND 6 AND k = 0 UNION ALL SELECT qid, 'no gold tools' FROM t WHERE class BETWEEN 1 AND 6 AND k IN (1, 2)
+    UNION ALL SELECT qid, 'no as_of' FROM t WHERE class BETWEEN 1 AND 6 AND a = 3 UNION ALL SELECT qid, 'as_of 2024-01-02 is after the pin' FROM t WHERE timed AND a = 1
+    UNION ALL SELECT qid, 'no query' FROM t WHERE timed AND exact AND m = 0 UNION ALL SELECT qid, 'unknown method launch' FROM t WHERE timed AND exact AND m = 1 UNION ALL SELECT qid, 'merged_prs takes no since_when, who' FROM t WHERE timed AND exact AND m = 2
+    UNION ALL SELECT qid, 'as_of 2022-12-31 is before the floor' FROM t WHERE timed AND exact AND m > 1 AND a = 2 UNION ALL SELECT qid, 'since 2022-01-01 is before the floor' FROM t WHERE timed AND exact AND m = 3 UNION ALL SELECT qid, 'until 2022-02-01 is before the floor' FROM t WHERE timed AND exact AND m = 3
+    UNION ALL SELECT qid, 'no gold' FROM t WHERE timed AND NOT exact AND k = 3 UNION ALL SELECT qid, 'no points' FROM t WHERE timed AND NOT exact AND k IN (4, 5) UNION ALL SELECT qid, 'no chunk ' || doc_id FROM t WHERE timed AND NOT exact AND k <> 3 AND doc_id NOT IN (SELECT vec_id FROM embeddings)
+    UNION ALL SELECT qid, 'repeated id' FROM q GROUP BY qid HAVING count(*) > 1"""
 )
 def gold_validate(s, d):
-    pin = datetime(2024, 1, 1)
-    as_of = F.when(F.col("doc_id") % 40 == 0, F.lit(datetime(2024, 1, 2))).otherwise(F.lit(pin))
-    questions = read(s, d, "documents").select(F.col("doc_id").alias("qid"), (F.col("doc_id") % 8).alias("class"), as_of.alias("as_of"), F.array("doc_id").alias("gold"))
-    return evals.gold_errors(questions, read(s, d, "embeddings").select(F.col("vec_id").alias("id")), F.lit(pin))
+    """Each document as a question; every rule is broken by some."""
+    i = F.col("doc_id")
+    k, a, m = i % 9, i % 11, i % 13
+    at = lambda day: F.lit(datetime.fromisoformat(day))
+    args = (
+        F.when(m == 2, F.create_map(F.lit("who"), F.lit("x"), F.lit("since_when"), F.lit("y"), F.lit("since"), F.lit("2023-05-01")))
+        .when(m == 3, F.create_map(F.lit("since"), F.lit("2022-01-01"), F.lit("until"), F.lit("2022-02-01")))
+        .otherwise(F.create_map(F.lit("since"), F.lit("2023-05-01")))
+    )
+    questions = read(s, d, "documents").select(
+        i.alias("place"), F.when(i % 50 == 49, i - 1).otherwise(i).cast("string").alias("qid"), (i % 8).alias("class"), F.when(k == 0, " ").otherwise("what?").alias("question"), F.when(k == 1, F.array().cast("array<string>")).when(k != 2, F.array(F.lit("t"))).alias("gold_tools"),
+        F.when(a == 1, at("2024-01-02")).when(a == 2, at("2022-12-31")).when(a != 3, at("2023-06-01")).alias("as_of"), F.when(m == 1, "launch").when(m > 1, "merged_prs").alias("method"), args.alias("args"),
+        F.when(k == 3, F.array().cast("array<long>")).otherwise(F.array(i)).alias("gold"), F.when(k == 4, F.array().cast("array<string>")).when(k != 5, F.array(F.lit("p"))).alias("points"),
+    )
+    known = read(s, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return evals.gold_errors(questions, known, at("2024-01-01"), at("2023-01-01"), {"merged_prs": ("since", "until", "area"), "open_issues": ("label",)})
 
 
 @query(

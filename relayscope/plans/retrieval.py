@@ -609,14 +609,22 @@ def gold_tool_entities(s, d):
 
 
 @query(
-    """SELECT user_id AS turn, coalesce(list_sort(list(DISTINCT event_type) FILTER (event_type NOT IN ('error', 'signup', 'purchase'))), []) AS tools, round(coalesce(max(value) FILTER (event_type = 'purchase'), 0), 6) AS cost,
-    coalesce(max(event_id % 9) FILTER (event_type = 'signup'), 0)::BIGINT AS memories FROM events GROUP BY 1"""
+    """WITH e AS (SELECT user_id AS turn, event_id AS seq, event_type AS tool, event_id % 7 AS k, event_id % 3 AS m, event_id % 9 AS n, value FROM events)
+    SELECT turn, max_by('s' || m, seq) FILTER (k = 0) AS session_id, coalesce(list(tool ORDER BY seq) FILTER (k = 1 AND tool <> 'error'), []) AS tools, coalesce(list('area' || n ORDER BY seq) FILTER (k = 2 AND m = 1 AND n > 3), []) AS areas,
+    coalesce(list(['a', 'b' || n] ORDER BY seq) FILTER (k = 2 AND m = 1 AND n < 7), []) AS windows, coalesce(max_by(n, seq) FILTER (k = 3), 0)::BIGINT AS memories, count(*) FILTER (k = 4) AS writes,
+    round(coalesce(max_by(value, seq) FILTER (k = 5), 0), 6) AS cost, coalesce(max_by(n * 100, seq) FILTER (k = 5), 0)::BIGINT AS latency_ms, coalesce(bool_or(k = 6), false) AS error FROM e GROUP BY turn"""
 )
 def turn_record(s, d):
-    t = F.col("event_type")
-    event = F.when(t == "purchase", "done").when(t == "signup", "memory").otherwise("tool_result")
-    rows = read(s, d, "events").select(F.col("user_id").alias("turn"), event.alias("event"), t.alias("tool"), (t == "error").alias("is_error"), F.lit(None).cast("string").alias("area"), F.col("value").alias("cost"), (F.col("event_id") % 9).alias("n"))
-    return turns.turn_record(rows).drop("areas")
+    """Each user's events as those of a turn, of all kinds."""
+    i, t = F.col("event_id"), F.col("event_type")
+    kinds = ("session", "tool_call", "retrieval", "memory_loaded", "memory_write", "done", "error")
+    n = i % 9
+    rows = read(s, d, "events").select(
+        F.col("user_id").alias("turn"), i.alias("seq"), F.get(F.array(*map(F.lit, kinds)), (i % 7).cast("int")).alias("event"), F.when(t == "error", "failed").otherwise("ok").alias("status"), t.alias("tool"),
+        F.when(i % 3 == 1, "structured").otherwise("semantic").alias("kind"), F.when(n > 3, F.concat(F.lit("area"), n.cast("string"))).alias("area"), F.when(n < 7, F.array(F.lit("a"), F.concat(F.lit("b"), n.cast("string")))).alias("window"),
+        n.alias("n"), F.col("value").alias("cost"), (n * 100).alias("latency_ms"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("session_id"),
+    )
+    return turns.turn_record(rows)
 
 
 @query("SELECT user_id AS scenario, min(event_id % 5) FILTER (event_type = 'view' AND event_id % 5 <= 3) AS turns FROM events GROUP BY 1")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from relayscope.operators import evals, ingest, memory, retrieval, sync, tools
+from relayscope.operators import evals, ingest, memory, sessions, sync, tools
 from relayscope.plans import model
 from relayscope.plans.model import AREAS, read, sql
 from relayscope.plans.retrieval import MEM, NOW, delta_sides, memories, probe
@@ -122,20 +123,24 @@ def render_chunks(s, d):
 
 
 @query(
-    """SELECT event_id AS call, CASE WHEN event_id % 2 = 0 THEN '{"kind":"semantic","tool":"search_docs","query":"' || event_type || '","chunks":[{"citation":"docs:a#' || event_id || '","score":0.5}]}'
-    ELSE '{"kind":"structured","tool":"merged_prs","area":"' || event_type || '","count":2,"entities":[{"citation":"pr:' || event_id || '","kind":"pr","ref":"' || event_id || '"},{"citation":"pr:1","kind":"pr","ref":"1"}]}' END AS payload FROM events WHERE event_type <> 'signup'"""
+    """SELECT event_id AS call, CASE WHEN event_id % 3 = 0 THEN '{"kind":"semantic","tool":"search_docs","query":"' || coalesce(nullif(event_type, 'error'), '') || '","chunks":[{"citation":"docs:a#' || event_id || '","source":"docs","path":"a","score":0.5}]}'
+    ELSE '{"kind":"structured","tool":"merged_prs","window":' || CASE WHEN event_id % 3 = 1 THEN '["2024-01-01","2024-02-01"]' ELSE 'null' END || ',"area":' || CASE event_type WHEN 'error' THEN 'null' ELSE '"' || event_type || '"' END || ',"count":' || CASE WHEN event_id % 3 = 1 THEN event_id ELSE 1 END
+        || ',"entities":[{"citation":"pr:' || event_id || '","kind":"pr","ref":"' || event_id || '","title":"PR","author":"a","state":"open","at":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '"2024-01-05"' END || ',"url":"/pr/' || event_id || '"}]}' END AS payload
+    FROM events WHERE event_type <> 'signup' AND event_id % 5 <> 0"""
 )
 def retrieval_events(s, d):
-    semantic, i = F.col("event_id") % 2 == 0, F.col("event_id").cast("string")
-    rows = read(s, d, "events").select(
-        F.col("event_id").alias("call"),
-        F.when(F.col("event_type") == "signup", "memory_search").when(semantic, "search_docs").otherwise("merged_prs").alias("tool"),
-        F.when(semantic, "semantic").otherwise("structured").alias("kind"),
-        F.col("event_type").alias("query"),
-        F.col("event_type").alias("area"),
-        F.when(semantic, F.array(F.concat(F.lit("docs:a#"), i))).otherwise(F.array(F.concat(F.lit("pr:"), i), F.lit("pr:1"))).alias("citations"),
-        F.array(F.lit(0.5000000001)).alias("scores"),
+    """Events as calls: passages, complete sets with a window, and things looked up; every fifth was an error."""
+    i, t = F.col("event_id"), F.col("event_type")
+    name, good = i.cast("string"), i % 5 != 0
+    kind = F.when(t != "error", t)
+    chunk = F.struct(F.concat(F.lit("docs:a#"), name).alias("citation"), F.lit("docs").alias("source"), F.lit("a").alias("path"), F.lit(0.5000000001).alias("score"))
+    thing = F.struct(
+        F.concat(F.lit("pr:"), name).alias("citation"), F.lit("pr").alias("kind"), name.alias("ref"), F.lit("PR").alias("title"), F.lit("a").alias("author"), F.lit("open").alias("state"), F.when(i % 2 == 1, "2024-01-05").alias("at"), F.concat(F.lit("/pr/"), name).alias("url")
     )
+    rows = read(s, d, "events").select(
+        i.alias("call"), F.when(t == "signup", "memory_search").when(i % 3 == 0, "search_docs").otherwise("merged_prs").alias("tool"), kind.alias("query"), kind.alias("area"), F.when(good & (i % 3 == 0), F.array(chunk)).alias("chunks"),
+        F.when(good & (i % 3 > 0), F.array(thing)).alias("entities"), F.when(i % 3 == 1, i).alias("n"), F.when(i % 3 == 1, F.array(F.lit("2024-01-01"), F.lit("2024-02-01"))).alias("window"),
+    )
     return tools.retrieval_events(rows)
 
 
@@ -226,13 +231,14 @@ def agent_events(s, d):
 
 def agent_questions(s, d):
     users = read(s, d, "events").select(F.col("user_id").alias("qid")).distinct()
+    users = users.union(users.select(F.col("qid") + 1_000_000))  # and as many of which no event tells
     return users.select("qid", (F.col("qid") % 6 + 1).alias("class"), F.array(F.lit("view")).alias("gold_tools"), F.array(F.lit("c1"), F.concat(F.lit("c"), (F.col("qid") % 9).cast("string"))).alias("gold"))
 
 
 @query(
     """WITH e AS (SELECT user_id AS qid, event_id AS i, event_type AS tool, ['c' || event_id % 9, 'c' || user_id % 9] AS c, CASE WHEN event_id % 7 = 0 THEN 'sel' WHEN event_id % 7 = 1 THEN 'cite' WHEN event_id % 2 = 0 THEN 'struct' ELSE 'sem' END AS k FROM events),
     t AS (SELECT qid, coalesce(list_distinct(list(tool) FILTER (k = 'sel')), []) AS sel, avg((i % 3 > 0 AND i % 5 > 0)::INT) FILTER (k = 'cite') AS citation_resolution,
-        coalesce(list_distinct(flatten(list(c) FILTER (k = 'struct'))), []) AS u, coalesce(list_distinct(flatten(list(c) FILTER (k = 'struct' AND tool = 'view'))), []) AS a, coalesce(flatten(list(c ORDER BY i) FILTER (k = 'sem')), []) AS sem FROM e GROUP BY 1),
+        coalesce(list_distinct(flatten(list(c) FILTER (k = 'struct'))), []) AS u, coalesce(list_distinct(flatten(list(c) FILTER (k = 'struct' AND tool = 'view'))), []) AS a, coalesce(flatten(list(c ORDER BY i) FILTER (k = 'sem')), []) AS sem FROM e GROUP BY 1 UNION ALL SELECT DISTINCT qid + 1000000, [], NULL, [], [], [] FROM e),
     p AS (SELECT *, qid % 6 + 1 AS class, list_distinct(['c1', 'c' || qid % 9]) AS g, list_filter(sem, lambda x, j: list_position(sem, x) = j) AS ps FROM t)
     SELECT qid, class, round(CASE WHEN list_contains(sel, 'view') THEN 1.0 / len(sel) ELSE 0 END, 6)::DOUBLE AS tool_jaccard, (sel = ['view'])::INT::DOUBLE AS tool_exact, round(citation_resolution, 6) AS citation_resolution,
     CASE WHEN class <= 4 THEN round(2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g)), 6) END AS set_f1, CASE WHEN class <= 4 THEN round(2.0::DOUBLE * len(list_intersect(u, g)) / (len(u) + len(g)), 6) END AS set_f1_union,
@@ -244,22 +250,66 @@ def turn_scores(s, d):
     return scores.select("qid", F.col("class").cast("long").alias("class"), *(F.round(c, 6).alias(c) for c in scores.columns[2:]))
 
 
-@query("SELECT DISTINCT user_id AS qid FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0 AND event_type = 'view')")
+@query("SELECT DISTINCT user_id AS qid FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0 AND event_type = 'view') UNION ALL SELECT DISTINCT user_id + 1000000 FROM events")
 def resumed_run(s, d):
     cache = read(s, d, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % 2).cast("int").alias("cache_format"), F.when(F.col("event_type") != "view", "failed").alias("error"))
     return evals.left_to_run(agent_questions(s, d), cache, 0).select("qid")
 
 
 @query(
-    """WITH s AS (SELECT conv_id, turn, text, ['a', 'b', NULL][conv_id % 3 + 1] AS tool, ['x', 'y', NULL, 'routing'][(conv_id % 4 + 1)::INT] AS area FROM conversations WHERE turn < 3)
-    SELECT conv_id AS scenario, 'sessions: ' || count(*) AS error FROM s GROUP BY 1 HAVING count(*) <> 3 UNION ALL SELECT conv_id, 'no prompt' FROM s WHERE trim(text) = ''
-    UNION ALL SELECT conv_id, 'no tool b' FROM s WHERE tool = 'b' UNION ALL SELECT conv_id, 'no area y' FROM s WHERE area = 'y' UNION ALL SELECT conv_id, 'names its area in session ' || turn FROM s WHERE turn > 0 AND contains(lower(text), area)"""
+    """WITH s AS (SELECT conv_id AS place, CASE WHEN conv_id % 10 = 7 THEN NULL WHEN conv_id % 10 = 9 THEN conv_id - 1 ELSE conv_id END::VARCHAR AS id, turn, role, CASE WHEN conv_id % 6 = 2 AND turn = 1 THEN '' ELSE text END AS text, conv_id % 4 AS tool, ['e', NULL, ''][conv_id % 3 + 1] AS area, CASE WHEN conv_id % 5 = 1 THEN 'A' END AS since, conv_id % 7 AS hint FROM conversations),
+    n AS (SELECT *, coalesce(id, '<no id>') AS scenario, row_number() OVER (PARTITION BY place ORDER BY turn, role, text) - 1 AS session, count(*) OVER (PARTITION BY place) AS n FROM s), l AS (SELECT * FROM n WHERE session = n - 1)
+    SELECT scenario, 'no id' AS error FROM l WHERE id IS NULL UNION ALL SELECT scenario, 'sessions: ' || n FROM l WHERE n <> 3 UNION ALL SELECT scenario, 'no prompt in session ' || session + 1 FROM n WHERE coalesce(text, '') = '' UNION ALL SELECT scenario, 'the last session expects no tool' FROM l WHERE tool < 2
+    UNION ALL SELECT scenario, 'the last session has no clarification' FROM l WHERE hint < 2 UNION ALL SELECT scenario, 'the last session names its area' FROM l WHERE area <> '' AND contains(lower(text), area) UNION ALL SELECT scenario, 'the last session names its time' FROM l WHERE since IS NOT NULL AND contains(lower(text), 'a')
+    UNION ALL SELECT id, 'repeated id' FROM s WHERE id IS NOT NULL GROUP BY id HAVING count(DISTINCT place) > 1"""
 )
 def suite_validate(s, d):
-    tool = F.get(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("conv_id") % 3).cast("int"))
-    area = F.get(F.array(F.lit("x"), F.lit("y"), F.lit(None), F.lit("routing")), (F.col("conv_id") % 4).cast("int"))
-    rows = read(s, d, "conversations").where("turn < 3").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("session"), F.col("text").alias("prompt"), tool.alias("tool"), area.alias("area"))
-    return evals.suite_errors(rows, ["a"], ["x", "routing"])
+    """Each conversation as a scenario, its turns as sessions; ids are missing or repeated, too."""
+    i = F.col("conv_id")
+    of = lambda n, values: F.get(F.array(*map(F.lit, values)), (i % n).cast("int"))
+    text = F.when((i % 6 == 2) & (F.col("turn") == 1), "").otherwise(F.col("text"))
+    rows = read(s, d, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    session = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    name = F.when(i % 10 != 7, F.when(i % 10 == 9, i - 1).otherwise(i)).cast("string")
+    expected = (of(4, (None, "", "a", "b")).alias("tool"), of(3, ("e", None, "")).alias("area"), F.when(i % 5 == 1, "A").alias("since"), of(7, (None, "", "x", "x", "x", "x", "x")).alias("clarification"))
+    return evals.suite_errors(rows.select(i.alias("place"), name.alias("scenario"), session.alias("session"), F.col("text").alias("prompt"), *expected))
+
+
+def session_log(s, d):
+    """Every tenth event is a session of its user that there is; the others ask for one: theirs, one that there isn't, or a new one."""
+    e = read(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts")
+    name = F.concat(F.lit("sess_"), F.col("event_id").cast("string"))
+    there = e.where("event_id % 10 = 0").select(name.alias("id"), "user_id", F.col("ts").alias("started_at"), F.when(F.col("event_id") % 20 == 0, F.col("ts")).alias("ended_at"))
+    other = F.concat(F.lit("sess_"), (F.col("event_id") - F.col("event_id") % 10).cast("string"))
+    asked = F.when(F.col("event_id") % 10 < 4, other).when(F.col("event_id") % 10 == 4, F.concat(F.lit("lost_"), F.col("user_id"))).when(F.col("event_id") % 10 == 5, "")
+    return there, e.where("event_id % 10 <> 0").select(F.col("event_id").alias("request"), "user_id", asked.alias("session_id"), F.col("ts").alias("at"))
+
+
+NEW_SESSION = F.concat(F.lit("sess_"), F.col("request").cast("string"))
+
+
+@query(
+    """SELECT event_id AS request, CASE WHEN event_id % 10 < 4 THEN 'sess_' || event_id // 10 * 10 WHEN event_id % 10 > 4 THEN 'sess_' || event_id END AS session_id, event_id % 10 > 4 AS created,
+    CASE WHEN event_id % 10 = 4 THEN 'no session lost_' || user_id END AS error FROM events WHERE event_id % 10 <> 0"""
+)
+def session_resolve(s, d):
+    there, requests = session_log(s, d)
+    return sessions.resolved(there, requests, NEW_SESSION)[1]
+
+
+@query(
+    """WITH s AS (SELECT event_id, ts, CASE WHEN event_id % 20 = 0 THEN ts END AS ended FROM events WHERE event_id % 10 IN (0, 5, 6, 7, 8, 9))
+    SELECT 'sess_' || event_id AS id, coalesce(ended, CASE WHEN event_id % 4 = 2 THEN ts + INTERVAL 1 HOUR END) AS ended_at FROM s"""
+)
+def session_end(s, d):
+    """The batch of requests and its endings, both twice: sessions are made once and end by their first ending."""
+    there, requests = session_log(s, d)
+    every, _ = sessions.resolved(there, requests, NEW_SESSION)
+    every, _ = sessions.resolved(every, requests, NEW_SESSION)
+    number = F.split_part("id", F.lit("_"), F.lit(2)).cast("long")
+    ends = lambda hours: every.where(number % 4 == 2).select(F.col("id").alias("session_id"), (F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("at"))
+    once, _ = sessions.ended(every, ends(2).union(ends(1)).union(ends(1).withColumn("session_id", F.lit("lost"))))
+    return sessions.ended(once, ends(3))[0].select("id", "ended_at")
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'query: ' WHEN 'de' THEN 'Represent: ' ELSE '' END || text AS asked, CASE lang WHEN 'en' THEN 'passage: ' ELSE '' END || text AS stored FROM documents")
