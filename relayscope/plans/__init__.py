@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("facts", "text", "retrieval", "lexical", "evals", "service", "dispatch", "issues")
+MODULES = ("facts", "text", "retrieval", "lexical", "evals", "service", "dispatch", "issues", "landed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,7 +15,7 @@ def test_later_versions_replace_and_replays_change_nothing(spark, tmp_path):
         rows.write.mode("overwrite").parquet(f"{out}/{number}")
         state["n"] = number
 
-    run = lambda: ingest.upserts(ingest.landed(spark, str(landing), "number long, v long, title string"), ["number"], "v", read, write, str(tmp_path / "c")).awaitTermination()
+    run = lambda: ingest.upserts(ingest.landed(spark, str(landing), "number long, v long, title string"), ["number"], "v", read, write, str(tmp_path / "c"), str(tmp_path / "q")).awaitTermination()
     run()
     assert sorted(map(tuple, read().collect())) == [(1, 2, "new"), (2, 1, "b")]
     (landing / "2.json").write_text(json.dumps({"number": 2, "v": 3, "title": "c"}) + "\n" + json.dumps({"number": 1, "v": 1, "title": "stale"}) + "\n")
@@ -23,3 +23,5 @@ def test_later_versions_replace_and_replays_change_nothing(spark, tmp_path):
     assert sorted(map(tuple, read().collect())) == [(1, 2, "new"), (2, 3, "c")]
     run()
     assert sorted(map(tuple, read().collect())) == [(1, 2, "new"), (2, 3, "c")]
+    kept = [tuple(r) for r in spark.read.parquet(str(tmp_path / "q")).select("text", "reason").collect()]
+    assert kept == [("not json", "no JSON")]
