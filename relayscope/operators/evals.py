@@ -77,6 +77,42 @@ def sweep_point(tools: DataFrame, questions: DataFrame, gold: DataFrame, k: int
     return rows.agg(F.avg(recall).alias("recall"), F.avg(metrics.jaccard(F.col("f"), F.col("g"))).alias("jaccard"), F.avg(F.size("f")).alias("offered"), crowd.alias("crowd_out"))
 
 
+def sweep_curve(tools: DataFrame, questions: DataFrame, gold: DataFrame, sizes: Sequence[int], k: int = retrieval.TOOLS, floor: float = retrieval.FLOOR, search: int = 40) -> DataFrame:
+    """size, real, questions, recall, jaccard, crowd_out, offered, and the tokens semantic, full, native of each of the nested catalogs.
+
+    tools: n (place, the real ones first), id, embedding, synthetic, chars of its
+    definition. questions: query, q; those without gold (query, id) don't count.
+    A synthetic tool that is chosen loses its place; crowd_out is the share of
+    places so lost. Tokens: of k definitions by id, of the whole catalog at the
+    mean of the real ones, and of a quarter of that with the search tool's chars.
+    """
+    asked = questions.join(gold.select("query").distinct(), "query", "left_semi")
+    table = F.array(*map(F.lit, sorted(sizes)))
+    chosen = retrieval.nested_topk(tools, asked, sizes, k, floor).join(tools.select("id", "synthetic"), "id")
+    found = chosen.groupBy("query", "size").agg(F.collect_set(F.when(~F.col("synthetic"), F.col("id"))).alias("f"), F.count("*").alias("places"), F.count_if("synthetic").alias("lost"))
+    wanted = gold.groupBy("query").agg(F.collect_set("id").alias("g"))
+    rows = asked.select("query", F.explode(table).alias("size")).join(found, ["query", "size"], "left").join(wanted, "query")
+    rows = rows.withColumn("f", F.coalesce("f", F.array().cast(found.schema["f"].dataType)))
+    points = rows.groupBy("size").agg(
+        F.count("*").alias("questions"),
+        F.avg(F.size(F.array_intersect("f", "g")) / F.size("g")).alias("recall"),
+        F.avg(metrics.jaccard(F.col("f"), F.col("g"))).alias("jaccard"),
+        F.coalesce(F.sum("lost") / F.sum("places"), F.lit(0.0)).alias("crowd_out"),
+        F.avg(F.size("f")).alias("offered"),
+    )
+    listed = lambda total, n: F.floor((total + F.greatest(n - 1, F.lit(0)) + 2) / F.lit(3.5).cast("double"))  # noqa: E731  (a JSON list: brackets and commas)
+    real = tools.where("not synthetic")
+    each = real.agg((listed(F.sum("chars"), F.count("*")) / F.count("*")).alias("per_tool"))
+    first = real.orderBy("id").limit(k).agg(listed(F.sum("chars"), F.count("*")).alias("semantic"))
+    counted = tools.agg(*(F.count_if((F.col("n") < s) & ~F.col("synthetic")).alias(f"r{s}") for s in sizes), *(F.count_if(F.col("n") < s).alias(f"c{s}") for s in sizes))
+    # One row each: the means, the first tools, and the counts of every size.
+    whole = points.crossJoin(F.broadcast(each)).crossJoin(F.broadcast(first)).crossJoin(F.broadcast(counted))
+    of = lambda name: reduce(lambda out, s: out.when(F.col("size") == s, F.col(f"{name}{s}")), sizes[1:], F.when(F.col("size") == sizes[0], F.col(f"{name}{sizes[0]}")))
+    full = F.floor(F.col("per_tool") * of("c")).alias("full")
+    native = F.floor(F.col("per_tool") * 0.25 * of("c") + search / 3.5).alias("native")
+    return whole.select("size", of("r").alias("real"), "questions", "recall", "jaccard", "crowd_out", "offered", "semantic", full, native)
+
+
 def tool_text(properties: Column) -> Column:
     """What a tool is embedded by: name, description, and its parameters by name."""
     entries = F.transform(F.array_sort(F.map_entries(properties)), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))

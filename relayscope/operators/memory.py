@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,39 @@ def profile_vector(memories: DataFrame) -> DataFrame:
     return whole.select("user_id", unit(F.col("mean")).alias("profile"))
 
 
+def vector_sums(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """user_id, place, total, n: what ``rows`` (user_id, embedding) add to their users' sums, or take from them."""
+    each = rows.select("user_id", F.posexplode("embedding").alias("place", "x"))
+    return each.groupBy("user_id", "place").agg((sign * F.sum(F.col("x").cast("double"))).alias("total"), (sign * F.count("x")).alias("n"))
+
+
+def profile_sums(memories: DataFrame) -> DataFrame:
+    """The sums of all live semantic vectors; kept as a table, they take later events without another pass over the memories."""
+    return vector_sums(memories.where("valid_to is null and mem_type = 'semantic'"))
+
+
+def profile_changes(memories: DataFrame, writes: DataFrame) -> DataFrame:
+    """What a batch of events does to the sums: vectors that it writes and leaves live come in, those of memories that it closes go. ``memories`` are those before it."""
+    good, _ = judged(memories, writes)
+    closed = good.where("supersedes is not null").select(F.col("supersedes").alias("closed_id"))
+    fresh = written_rows(memories, good).where("mem_type = 'semantic'")
+    stay = fresh.join(closed, F.col("id") == F.col("closed_id"), "left_anti")
+    gone = memories.where("valid_to is null and mem_type = 'semantic'").join(closed, F.col("id") == F.col("closed_id"), "left_semi")
+    return vector_sums(stay).unionByName(vector_sums(gone, -1))
+
+
+def merged_sums(*sums: DataFrame) -> DataFrame:
+    """Sums of the same users and places together; a user without vectors has none."""
+    every = reduce(DataFrame.unionByName, sums)
+    return every.groupBy("user_id", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
+
+
+def profiles(sums: DataFrame) -> DataFrame:
+    """user_id, profile from the sums: the mean, of length 1."""
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("place", (F.col("total") / F.col("n")).alias("x")))), lambda e: e["x"])
+    return sums.groupBy("user_id").agg(mean.alias("mean")).select("user_id", unit(F.col("mean")).alias("profile"))
+
+
 def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)))
 
@@ -429,6 +463,26 @@ def rendered_cluster(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
+def consolidating(facts: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The events that facts (id, cluster, content, confidence, supersedes, embedding) about the clusters found (user_id, cluster, members, entities) come to.
+
+    Each fact of a known cluster with a text is written as a semantic memory from
+    its members, with their common entities and a clamped confidence; then each
+    memory that it supersedes is closed in its favour, if it is a member. Of
+    several facts for one memory the first has it.
+    """
+    rows = facts.where(F.coalesce(F.trim("content"), F.lit("")) != "").join(found, "cluster")
+    write = rows.select(
+        "id", "user_id", F.lit("semantic").alias("mem_type"), "content", "entities", clamped(F.col("confidence").cast("string")).alias("confidence"), F.lit("consolidation").alias("created_by"),
+        F.lit(None).cast("string").alias("source_session_id"), F.transform("members", lambda m: m.cast("string")).alias("source_ids"), "embedding", F.lit(None).cast(facts.schema["id"].dataType).alias("supersedes"),
+        now.alias("at"), F.lit(0).alias("seq"), F.lit("write").alias("op"),
+    )
+    closing = rows.select("id", F.explode(F.array_intersect(F.array_distinct("supersedes"), "members")).alias("old"))
+    new = {"id": F.col("id"), "supersedes": F.col("old"), "at": now, "seq": F.lit(1), "op": F.lit("supersede")}
+    close = closing.select(*(new.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in write.schema))
+    return write.unionByName(close)
+
+
 def dry_run(memories: DataFrame, found: DataFrame) -> DataFrame:
     """user_id, live, clusters, clustered, unclustered: what a consolidation of the clusters found would read."""
     alive = memories.where("valid_to is null and mem_type = 'episodic'").groupBy("user_id").agg(F.count("*").alias("live"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,46 @@ def batch_topk(candidates: DataFrame, queries: DataFrame, k: int, floor: float |
     return out
 
 
+def nested_topk(candidates: DataFrame, queries: DataFrame, sizes: Sequence[int], k: int, floor: float | None = None) -> DataFrame:
+    """query, size, id, score, rank: the k nearest of each query in each of the nested catalogs, of which one of a size has the candidates with n (from 0) below it.
+
+    One pass for all sizes: a score is computed once and counts in every catalog
+    that has the candidate. Of each task's rows for a query and size only the k
+    best leave it, as the rank is a filter that Spark applies before the shuffle.
+    """
+    blocks, out = max(1, -(-queries.count() // BLOCK)), []
+    for number in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number) if blocks > 1 else queries
+        pairs = candidates.where(F.col("n") < max(sizes)).join(F.broadcast(block), F.lit(True)).select("query", "id", "n", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        if floor is not None:
+            pairs = pairs.where(F.col("score") >= floor)
+        each = pairs.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda size: size > F.col("n")))).drop("n")
+        order = Window.partitionBy("query", "size").orderBy(F.desc("score"), "id")
+        out.append(each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.union, out)
+
+
+#: Kinds of selection, and the tool that is never deferred.
+MODES, LOADED = ("semantic", "full", "native"), "search_docs"
+
+
+def selected(tools: DataFrame, mode: str, query: Column | None = None, k: int = TOOLS, floor: float = FLOOR, always: Sequence[str] = ()) -> DataFrame:
+    """name, deferred of the tools that a prompt gets, by kind of selection; an unknown one raises.
+
+    semantic: those that ``select_tools`` chooses; full: every tool; native: every
+    tool, all but LOADED and those that are always offered deferred to the
+    provider's own search.
+    """
+    if mode == "semantic":
+        if query is None:
+            raise ValueError("semantic selection needs a query")
+        return select_tools(tools, query, k, floor, always).select("name", F.lit(False).alias("deferred")).orderBy("name")
+    if mode not in MODES:
+        raise ValueError(f"no selection {mode!r}; there are {', '.join(MODES)}")
+    late = ~F.col("name").isin(LOADED, *always) if mode == "native" else F.lit(False)
+    return tools.select("name", late.alias("deferred")).orderBy("name")
+
+
 def select_tools(tools: DataFrame, query: Column, k: int = TOOLS, floor: float = FLOOR, always: Sequence[str] = ()) -> DataFrame:
     """name, score: the k tools above the floor, then without those that can't be called, then with those always offered.
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from relayscope.operators import evals, metrics
+from relayscope.operators import evals, metrics, retrieval
 from relayscope.plans.model import read
 from relayscope.plans.retrieval import COS
 
@@ -76,6 +76,38 @@ def sweep_point(s, d):
     return point.select(*(F.round(c, 6).alias(c) for c in point.columns))
 
 
+SIZES = (13, 50, 200, 500)
+
+
+@query(
+    f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 9), t AS (SELECT *, vec_id >= 13 AS synthetic, 40 + vec_id % 7 AS chars FROM embeddings WHERE vec_id % 10 <> 9), g AS (SELECT q.vec_id AS query, list(t.vec_id) AS g FROM q JOIN t ON NOT synthetic AND t.label = q.label GROUP BY 1),
+    asked AS (SELECT query, g, embedding FROM g JOIN q ON vec_id = query), z AS (SELECT unnest({list(SIZES)}) AS size),
+    chosen AS (SELECT * FROM (SELECT query, size, t.vec_id AS id, synthetic, row_number() OVER (PARTITION BY query, size ORDER BY {COS.format(a='t.embedding', b='a.embedding')} DESC, t.vec_id) AS rank FROM t, asked a, z WHERE t.vec_id < size AND {COS.format(a='t.embedding', b='a.embedding')} >= 0.1) WHERE rank <= 5),
+    rows AS (SELECT a.query, z.size, g, coalesce(list(id) FILTER (NOT synthetic), []) AS f, count(id) AS places, count(*) FILTER (synthetic) AS lost FROM asked a CROSS JOIN z LEFT JOIN chosen c ON c.query = a.query AND c.size = z.size GROUP BY 1, 2, 3),
+    p AS (SELECT floor((sum(chars) + count(*) + 1) / 3.5::DOUBLE) / count(*) AS per_tool FROM t WHERE NOT synthetic), f AS (SELECT floor((sum(chars) + count(*) + 1) / 3.5::DOUBLE)::BIGINT AS semantic FROM (SELECT * FROM t WHERE NOT synthetic ORDER BY vec_id LIMIT 5))
+    SELECT size, (SELECT count(*) FROM t WHERE NOT synthetic) AS real, count(*) AS questions, round(avg(len(list_intersect(f, g)) / len(g)::DOUBLE), 6) AS recall, round(avg(len(list_intersect(f, g)) / len(list_distinct(list_concat(f, g)))::DOUBLE), 6) AS jaccard,
+        round(coalesce(sum(lost) / sum(places)::DOUBLE, 0), 6) AS crowd_out, round(avg(len(f)), 6) AS offered, (SELECT semantic FROM f) AS semantic,
+        (SELECT floor(per_tool * (SELECT count(*) FROM t WHERE vec_id < size)) FROM p)::BIGINT AS full, (SELECT floor(per_tool * 0.25 * (SELECT count(*) FROM t WHERE vec_id < size) + 40 / 3.5::DOUBLE) FROM p)::BIGINT AS native FROM rows GROUP BY size"""
+)
+def sweep_curve(s, d):
+    """Every tenth row is a question; of the others the first thirteen ids are real tools, and a catalog of a size has the ids below it."""
+    e = read(s, d, "embeddings")
+    i = F.col("vec_id")
+    q = e.where("vec_id % 10 = 9").select(i.alias("query"), F.col("embedding").alias("q"), "label")
+    tools = e.where("vec_id % 10 <> 9").select(i.alias("n"), i.alias("id"), "embedding", (i >= 13).alias("synthetic"), (40 + i % 7).alias("chars"), "label")
+    gold = tools.where("not synthetic").select("id", "label").join(q.select("query", "label"), "label").select("query", "id")
+    out = evals.sweep_curve(tools, q.select("query", "q"), gold, SIZES, floor=0.1)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if c != "size" else F.col(c) for c, t in out.dtypes))
+
+
+@query("SELECT mode, 'tool' || vec_id AS name, mode = 'native' AND vec_id NOT IN (3, 5) AS deferred FROM embeddings, (VALUES ('full'), ('native')) m(mode)")
+def tool_modes(s, d):
+    """Every tool in the two kinds of selection that send all; two are always offered."""
+    rows = read(s, d, "embeddings").select(F.concat(F.lit("tool"), F.col("vec_id").cast("string")).alias("name"))
+    both = [retrieval.selected(rows, mode, always=("tool3", "tool5")).select(F.lit(mode).alias("mode"), "name", "deferred") for mode in ("full", "native")]
+    return both[0].union(both[1])
+
+
 @query("SELECT vec_id, 'tool' || vec_id || chr(10) || 'about ' || label || chr(10) || 'a: ' || label || chr(10) || 'b: ' || vec_id AS text FROM embeddings")
 def tool_text(s, d):
     i, label = F.col("vec_id").cast("string"), F.col("label").cast("string")

@@ -275,6 +275,42 @@ def memory_write_refused(s, d):
     return memory.refused(memories(s, d), writes(s, d))
 
 
+FOLDED = f"""WITH {MEM}, w AS (SELECT id, user_id, id % 3 = 0 AS semantic, CASE id % 4 WHEN 0 THEN id END AS supersedes, list_reverse(embedding) AS embedding FROM memories WHERE id % 4 <> 1), good AS (SELECT w.* FROM w LEFT JOIN memories m ON m.id = w.supersedes AND m.valid_to IS NULL WHERE w.supersedes IS NULL OR m.id IS NOT NULL),
+    every AS (SELECT user_id, embedding FROM memories WHERE valid_to IS NULL AND mem_type = 'semantic' AND id NOT IN (SELECT supersedes FROM good WHERE supersedes IS NOT NULL) UNION ALL SELECT user_id, embedding FROM good WHERE semantic),
+    means AS (SELECT user_id, list(x ORDER BY place) AS mean FROM (SELECT user_id, place, avg(x) AS x FROM (SELECT user_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS place FROM every) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"{FOLDED} SELECT user_id, list_transform(mean, lambda x: round(x / sqrt(list_inner_product(mean, mean)), 6)) AS profile FROM means")
+def profile_folded(s, d):
+    """Profiles from stored sums and what a batch of writes changes; the memories after it are not read."""
+    m = memories(s, d)
+    said = writes(s, d).withColumns({"mem_type": F.when(F.col("id") % 3 == 1, "semantic").otherwise("episodic"), "embedding": F.reverse("embedding")})
+    stored = checkpointed(memory.profile_sums(m))
+    out = memory.profiles(memory.merged_sums(stored, memory.profile_changes(m, said)))
+    return out.select("user_id", F.transform("profile", lambda x: F.round(x, 6)).alias("profile"))
+
+
+@query(
+    f"""WITH {MEM}, live AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM memories WHERE valid_to IS NULL AND mem_type = 'episodic'), threes AS (SELECT user_id, (n - 1) // 3 AS c, list(id ORDER BY id) AS members FROM live GROUP BY 1, 2 HAVING count(*) = 3),
+    facts AS (SELECT user_id, members[1] AS cluster, members FROM threes), closed AS (SELECT unnest(members[1:2]) AS id, cluster + 1000000000 AS heir FROM facts)
+    SELECT m.id, m.mem_type, CASE WHEN c.id IS NULL THEN m.valid_to ELSE TIMESTAMP '2024-06-01' END AS valid_to, c.heir AS superseded_by, m.confidence FROM memories m LEFT JOIN closed c USING (id)
+    UNION ALL SELECT cluster + 1000000000, 'semantic', NULL, NULL, CASE WHEN cluster % 2 = 0 THEN 1.0 ELSE 0.5 END FROM facts"""
+)
+def memory_consolidated(s, d):
+    """Three live episodic memories at a time are a cluster; its fact replaces two of them, and others that aren't members, which stay."""
+    m = memories(s, d)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("id"))
+    live = m.where("valid_to is null and mem_type = 'episodic'").select("user_id", "id", F.floor((n - 1) / 3).alias("c"))
+    found = live.groupBy("user_id", "c").agg(F.array_sort(F.collect_list("id")).alias("members")).where("size(members) = 3")
+    found = found.select("user_id", F.get("members", F.lit(0)).alias("cluster"), "members", F.array(F.lit("all")).alias("entities"))
+    sure = F.when(F.col("cluster") % 2 == 0, "7").otherwise("no number")
+    strays = F.array_append(F.concat(F.slice("members", 1, 2), F.slice("members", 1, 1)), F.get("members", F.lit(2)) + 1)
+    facts = found.select((F.col("cluster") + 1_000_000_000).alias("id"), "cluster", F.lit("learned").alias("content"), sure.alias("confidence"), strays.alias("supersedes"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    blank = facts.withColumns({"id": F.col("id") + 1, "content": F.lit(" ")})
+    after = memory.stored_after(m, memory.consolidating(facts.union(blank), found, F.lit(NOW)))
+    return after.select("id", "mem_type", "valid_to", "superseded_by", "confidence")
+
+
 CHAINS = f"""WITH {MEM}, chains AS (SELECT id AS root, id % 5 + 1 AS n, id % 4 AS kind, id % 4 > 1 OR (id % 4 = 0 AND valid_to IS NULL) AS ok FROM memories), links AS (SELECT *, unnest(range(1, n + 1)) AS k FROM chains),
     stored AS (SELECT m.id, CASE WHEN m.valid_to IS NULL AND c.kind = 0 THEN TIMESTAMP '2024-06-01 00:01:00' ELSE m.valid_to END AS valid_to, CASE WHEN m.valid_to IS NULL AND c.kind = 0 THEN 1000000001 + m.id * 10 END AS superseded_by FROM memories m JOIN chains c ON c.root = m.id
         UNION ALL SELECT 1000000000 + root * 10 + k, CASE WHEN k < n THEN TIMESTAMP '2024-06-01' + to_minutes(k + 1) END, CASE WHEN k < n THEN 1000000001 + root * 10 + k END FROM links WHERE ok)"""
