@@ -9,12 +9,16 @@ belong to several texts, and what is decided of one of them holds for no other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.llm import exact_dedup, minhash, mixing, packing, toxicity
 from relayscope.llm.shared import row_key, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: Of the mixture's tokens, by the labels' quality.
 SHARES = {0: 0.1, 1: 0.9}
 
@@ -76,11 +80,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
+def apart(stage: Stage) -> Stage:
+    """``stage`` on doc_id, text and one column with all others, so that no name of theirs can clash with those inside."""
+
+    def whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        held = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("pipeline_rest")] if others else []
+        out = stage(spark, docs.select("doc_id", "text", *held), sf_dir)
+        return out.select(*(F.col("pipeline_rest").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return whole
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("exact_dedup", without_copies),
-    ("near_dedup", without_near_copies),
-    ("mixing", mixed),
+    ("toxicity", apart(without_toxic)),
+    ("exact_dedup", apart(without_copies)),
+    ("near_dedup", apart(without_near_copies)),
+    ("mixing", apart(mixed)),
     ("packing", packed),
 ]
 
