@@ -69,3 +69,24 @@ def test_rows_that_share_a_doc_id_or_have_none_are_decided_apart(spark, tmp_path
     assert seen[1] == sorted(once, key=str)
     # Null is the smallest doc_id: its near copies go, the other text of 4001 stays.
     assert seen[2] == sorted((x for x in once if x[1] not in (base, base + " end")), key=str)
+
+
+NAMES = ("pipeline_id", "pipeline_digest", "pipeline_key", "pipeline_rest", "pipeline_text_sha256", "text_sha256", "doc", "text_key", "mix_text", "mix_tokens", "mix_rate", "mix_copies", "copies", "score", "kept", "row", "a.b")
+
+
+def test_columns_that_clash_and_tables_without_rows(spark, tmp_path):
+    rows = [(i, prose(30), *(f"{c}{i}" for c in NAMES)) for i in range(40)]
+    rows += [(100, rows[3][1], *NAMES), (None, None, *NAMES)]
+    schema = ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in NAMES)])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given, left in ((rows, 41), ([], 0)):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == ["doc_id", "text", *NAMES]
+        assert docs.dropDuplicates(["doc_id"]).count() == left
+        assert all(r["a.b"] == f"a.b{r['doc_id']}" and r["doc"] == f"doc{r['doc_id']}" for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] < 100)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == left
+    plain = spark.createDataFrame([(1, "only these"), (2, "only these")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, plain, str(tmp_path)).collect()] == [2]
