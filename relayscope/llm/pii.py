@@ -4,15 +4,20 @@ Detected entities get replacements that a secret key determines: of the same
 kind and format (separators, case, lengths, card check digits), names of the
 same gender and script. An entity has one replacement wherever it occurs,
 however it is written (coreference), and no two entities of a kind share one,
-nor is one an entity of the corpus itself (distinctness); what collides is drawn
-again with the next attempt until nothing does.
+nor is one an entity of the corpus itself (distinctness). Names are spelled from
+syllables, as many as their number needs: their ranks go through a keyed
+permutation of all such spellings, so that names never run out. Of other kinds,
+whose format is their own, what collides is drawn again with the next attempt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.llm.merkle import placed
 from relayscope.llm.shared import written
 
 # Titles by gender, and name parts by script and gender.
@@ -20,19 +25,19 @@ TITLES = {
     "male": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"),
     "female": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"),
 }
-GIVEN = {
-    ("latin", "male"): ("Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marc", "Noel", "Oscar", "Paul", "Simon", "Victor"),
-    ("latin", "female"): ("Alma", "Bella", "Clara", "Diana", "Elena", "Flora", "Helen", "Irene", "Julia", "Laura", "Maria", "Nina", "Olga", "Paula", "Sonia", "Vera"),
-    ("cyrillic", "male"): ("Антон", "Борис", "Виктор", "Денис", "Егор", "Иван", "Кирилл", "Олег"),
-    ("cyrillic", "female"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
-    ("greek", "male"): ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
-    ("greek", "female"): ("Άννα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία"),
-}
 SYLLABLES = {
     "latin": ("ba", "cor", "del", "fen", "gar", "hol", "kin", "lam", "mer", "nor", "pal", "rin", "sol", "tam", "ven", "wal"),
     "cyrillic": ("ба", "вер", "гор", "дем", "жар", "зор", "кал", "лев", "мир", "нов", "пал", "рад", "сол", "тар", "фед", "шор"),
     "greek": ("βα", "γερ", "δημ", "ζαρ", "θεο", "κων", "λαμ", "μαρ", "νικ", "παπ", "ραλ", "σπυ", "τσα", "φωτ", "χρι", "ψαλ"),
 }
+#: How names end that are spelled by syllables, by script: surnames, and given names by gender.
+ENDINGS = {
+    "latin": {"surname": "", "male": "o", "female": "a"},
+    "cyrillic": {"surname": "", "male": "ий", "female": "ия"},
+    "greek": {"surname": "", "male": "ος", "female": "η"},
+}
+#: Syllables of a surname and of a given name at least.
+LEAST_SYLLABLES = {"surname": 3, "given": 2}
 ALPHABETS = {
     "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
@@ -141,23 +146,68 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def picked(words: tuple[str, ...], digest: Column, i: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), (drawn(digest, F.lit(i), len(words)) + 1).cast("int"))
+def name_script(canon: Column) -> Column:
+    """The script that a name is spelled in: one that SYLLABLES has, Latin for others."""
+    return F.when(script(canon) == "cyrillic", "cyrillic").when(script(canon) == "greek", "greek").otherwise("latin")
 
 
-def surname(canon: Column, digest: Column) -> Column:
-    made = {kind: F.initcap(F.concat(*(picked(SYLLABLES[kind], digest, i) for i in (3, 4, 5, 6)))) for kind in SYLLABLES}
-    return F.when(script(canon) == "cyrillic", made["cyrillic"]).when(script(canon) == "greek", made["greek"]).otherwise(made["latin"])
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def given_name(canon: Column, digest: Column, attempt: Column) -> Column:
-    """A given name of the script and gender (the first word of ``canon``); after some attempts a double one."""
-    out = F.lit(None).cast("string")
-    for (kind, sex), names in GIVEN.items():
-        fits = F.startswith(canon, F.lit(sex)) & ((script(canon) == kind) if kind != "latin" else ~script(canon).isin("cyrillic", "greek"))
-        one = picked(names, digest, 2)
-        out = F.when(fits, F.when(attempt < 8, one).otherwise(F.concat(one, F.lit("-"), picked(names, digest, 7)))).otherwise(out)
-    return out
+def permuted(number: Column, key: str, tag: Column, bits: Column) -> Column:
+    """A keyed permutation of the numbers below 2 ** ``bits`` (at most 60): odd multiples, sums and shifts, three times."""
+    half = (1 << 30) - 1
+
+    def turned(x: Column, digest: Column) -> Column:
+        factor = F.conv(F.substr(digest, F.lit(1), F.lit(7)), 16, 10).cast("long").bitwiseOR(F.lit(1).cast("long"))
+        added = F.conv(F.substr(digest, F.lit(9), F.lit(7)), 16, 10).cast("long")
+        # A product by halves, so that none overflows.
+        product = x.bitwiseAND(F.lit(half)) * factor + F.shiftleft((F.shiftright(x, 30) * factor).bitwiseAND(F.lit(half)), 30)
+        kept = (product + added).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+        return bound(kept, lambda y: y.bitwiseXOR(F.call_function("shiftright", y, F.greatest(F.floor(bits / 2).cast("int"), F.lit(1)))))
+
+    digests = F.transform(F.array(*map(F.lit, "012")), lambda turn: F.sha2(F.concat_ws("|", F.lit(key), tag, turn), 256))
+    return F.aggregate(digests, number.cast("long"), turned)
+
+
+def syllabled(number: Column, syllables: Column, of: Column, ending: Column) -> Column:
+    """The name of a number: a syllable for each of its hexadecimal digits, and an ending.
+
+    No two syllables of a script begin alike, so that no two numbers have the same name.
+    """
+    digits = F.transform(F.sequence(F.lit(0), syllables - 1), lambda i: F.call_function("shiftright", number, (i * 4).cast("int")).bitwiseAND(F.lit(15).cast("long")).cast("int"))
+    table = F.create_map(*(x for name, parts in SYLLABLES.items() for x in (F.lit(name), F.array(*map(F.lit, parts)))))
+    spelled_out = bound(F.struct(F.try_element_at(table, of).alias("words"), digits.alias("digits")), lambda x: F.transform(x["digits"], lambda d: F.get(x["words"], d)))
+    return F.initcap(F.concat(F.array_join(spelled_out, ""), ending))
+
+
+def spelled_names(names: DataFrame, key: str) -> DataFrame:
+    """kind, canon, core for each of ``names`` (kind: surname or given, canon; distinct), whatever their number.
+
+    A format is a kind, a script and a gender. Its n names are ranked by keyed
+    digests and spelled with so many syllables that there are four times as many
+    spellings at least. Each rank offers two numbers to the permutation; what is
+    a name of the corpus itself goes, which leaves n at least, and the rest is
+    dealt out by rank. Formats end differently, so their names differ too.
+    """
+    own = F.lower(F.substring_index("canon", " ", -1))
+    sex = F.when(F.col("kind") == "surname", "surname").otherwise(F.substring_index("canon", " ", 1))
+    rows = names.select("kind", "canon", own.alias("low"), F.concat_ws("|", "kind", name_script(F.col("canon")), sex).alias("format"))
+    rows = written(rows.withColumn("order", F.sha2(F.concat_ws("|", F.lit(key), "format", "canon"), 256)), "names")
+    ranked = written(placed(rows, "format", "order", "canon"), "ranked")
+    of, ending = F.split_part("format", F.lit("|"), F.lit(2)), F.lit("")
+    for name, ends in ENDINGS.items():
+        for gender_, end in ends.items():
+            ending = F.when((of == name) & (F.split_part("format", F.lit("|"), F.lit(3)) == gender_), end).otherwise(ending)
+    least = F.when(F.startswith("format", F.lit("surname")), LEAST_SYLLABLES["surname"]).otherwise(LEAST_SYLLABLES["given"])
+    syllables = F.greatest(least, F.ceil(F.log(4.0 * (F.col("n") + 1)) / F.log(F.lit(16.0)))).cast("int")
+    offered = ranked.select("format", "n", F.explode(F.array(F.col("place") * 2, F.col("place") * 2 + 1)).alias("number")).withColumn("syllables", syllables)
+    core = bound(permuted(F.col("number"), key, F.col("format"), F.col("syllables") * 4), lambda p: syllabled(p, F.col("syllables"), of, ending))
+    free = offered.select("format", "number", core.alias("core")).join(rows.select(F.col("low").alias("known")).distinct(), F.lower("core") == F.col("known"), "left_anti")
+    dealt = placed(written(free, "free"), "format", "number").select(F.col("format").alias("its_format"), F.col("place").alias("its_place"), "core")
+    return ranked.join(dealt, (F.col("format") == F.col("its_format")) & (F.col("place") == F.col("its_place"))).select("kind", "canon", "core")
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -178,8 +228,6 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         F.when(kind == "email", email)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", F.when(luhn(canon) % 10 == 0, F.concat(body, check)).otherwise(card))
-        .when(kind == "surname", surname(canon, digest))
-        .when(kind == "given", given_name(canon, digest, attempt))
         .otherwise(spelled(canon, digest, F.rlike(canon, F.lit("^[0-9a-fA-F]+$")), stays))
     )
 
@@ -209,7 +257,7 @@ def drawn_surrogates(entities: DataFrame, key: str, attempts: int = 200) -> Data
     without one raises; no surrogate leaves its entity's format.
     """
     taken, left = None, entities.withColumn("attempt", F.lit(0))
-    own = entities.select("kind", F.lower(F.when(F.col("kind") == "given", F.substring_index("canon", " ", -1)).otherwise(F.col("canon"))).alias("low"))
+    own = entities.select("kind", F.lower("canon").alias("low"))
     for _ in range(attempts):
         core = surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
         drawn_rows = left.withColumn("core", core).withColumn("low", F.lower("core"))
@@ -249,7 +297,7 @@ def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     names = places.where("kind = 'name'").withColumns({"surname": F.element_at(words, -1), "given": F.when(F.size(words) > 2, F.concat_ws(" ", words[0], words[1]))})
     others = places.where("kind <> 'name'")
     parts = names.select(F.explode(F.array(F.struct(F.lit("surname").alias("kind"), F.col("surname").alias("canon")), F.struct(F.lit("given").alias("kind"), F.col("given").alias("canon")))).alias("p")).select("p.*")
-    cores = drawn_surrogates(others.select("kind", "canon").union(parts.where("canon is not null")).distinct(), key)
+    cores = drawn_surrogates(others.select("kind", "canon").distinct(), key).union(spelled_names(parts.where("canon is not null").distinct(), key))
     of = lambda kind: cores.where(F.col("kind") == kind).select(F.col("canon").alias(kind), F.col("core").alias(f"{kind}_core"))
     whole = names.join(of("surname"), "surname").join(of("given"), "given", "left").withColumn("core", F.concat_ws(" ", "given_core", "surname_core"))
     columns = ("digest", "place", "value", "kind", "core")
