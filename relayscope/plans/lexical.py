@@ -23,13 +23,14 @@ def stored_index(s, d, kind="text"):
     if key not in WRITTEN:
         rows = chunks(s, d)
         if kind == "code":
-            rows = rows.withColumn("content", F.concat("content", F.lit("\n"), CALL))
+            rows = rows.withColumn("content", F.concat("content", F.lit("\n"), line_of_code()))
         WRITTEN[key] = lexical.write_index(rows)
     return lexical.read_index(s, WRITTEN[key])
 
 
-#: A line of code behind every text; its identifier has the text's language in it.
-CALL = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("load_text("), "source", F.lit(")"))).otherwise(F.concat(F.lit("loadText"), F.initcap("source"), F.lit("(x)")))
+def line_of_code():
+    """What stands behind every text; its identifier has the text's language in it."""
+    return F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("load_text("), "source", F.lit(")"))).otherwise(F.concat(F.lit("loadText"), F.initcap("source"), F.lit("(x)")))
 
 
 def listed(words) -> str:

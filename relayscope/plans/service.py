@@ -285,7 +285,8 @@ def session_log(s, d):
     return there, e.where("event_id % 10 <> 0").select(F.col("event_id").alias("request"), "user_id", asked.alias("session_id"), F.col("ts").alias("at"))
 
 
-NEW_SESSION = F.concat(F.lit("sess_"), F.col("request").cast("string"))
+def new_session():
+    return F.concat(F.lit("sess_"), F.col("request").cast("string"))
 
 
 @query(
@@ -294,7 +295,7 @@ NEW_SESSION = F.concat(F.lit("sess_"), F.col("request").cast("string"))
 )
 def session_resolve(s, d):
     there, requests = session_log(s, d)
-    return sessions.resolved(there, requests, NEW_SESSION)[1]
+    return sessions.resolved(there, requests, new_session())[1]
 
 
 @query(
@@ -304,8 +305,8 @@ def session_resolve(s, d):
 def session_end(s, d):
     """The batch of requests and its endings, both twice: sessions are made once and end by their first ending."""
     there, requests = session_log(s, d)
-    every, _ = sessions.resolved(there, requests, NEW_SESSION)
-    every, _ = sessions.resolved(every, requests, NEW_SESSION)
+    every, _ = sessions.resolved(there, requests, new_session())
+    every, _ = sessions.resolved(every, requests, new_session())
     number = F.split_part("id", F.lit("_"), F.lit(2)).cast("long")
     ends = lambda hours: every.where(number % 4 == 2).select(F.col("id").alias("session_id"), (F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("at"))
     once, _ = sessions.ended(every, ends(2).union(ends(1)).union(ends(1).withColumn("session_id", F.lit("lost"))))
