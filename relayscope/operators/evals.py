@@ -194,6 +194,12 @@ def baseline(current: DataFrame, results: DataFrame) -> DataFrame:
     return current
 
 
+def write_baseline(current: DataFrame, results: DataFrame, path: str, config: dict) -> None:
+    """Writes the metrics of a run as JSON, with the hash of its settings, over an older baseline; a run that makes none raises before."""
+    rows = baseline(current, results).withColumn("config", F.lit(config_hash(config)))
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
 def suite_errors(sessions: DataFrame, each: int = 3) -> DataFrame:
     """scenario, error for each rule that a suite breaks.
 

@@ -146,8 +146,8 @@ def entity(all_entities: DataFrame, kind: str, ref: str) -> DataFrame:
     return all_entities.where((F.col("kind") == kind) & hit)
 
 
-def rendered(found: DataFrame, heading: str, order: Sequence[Column | str], area: str | None = None, globs: Sequence[str] = ()) -> DataFrame:
-    """n, rendered: heading and exact count, the area's globs, and the first RENDER_LIMIT entities (citation, at, author, title) in ``order``.
+def rendered(found: DataFrame, heading: str, order: Sequence[Column | str], area: str | None = None, globs: Sequence[str] = (), by_author: bool = False) -> DataFrame:
+    """n, rendered: heading and exact count, the area's globs, if asked for the authors by what they made, and the first RENDER_LIMIT entities (citation, at, author, title) in ``order``.
 
     Only those reach the list; the count comes from a separate aggregate.
     """
@@ -161,8 +161,14 @@ def rendered(found: DataFrame, heading: str, order: Sequence[Column | str], area
     if area is not None:
         head = F.concat(head, F.lit(f"_area `{area}` resolved to: {', '.join(globs)}_\n"))
     more = F.when(n > RENDER_LIMIT, F.concat(F.lit("\n- …and "), (n - RENDER_LIMIT).cast("string"), F.lit(" more (not listed)"))).otherwise("")
+    tally = F.lit("")
+    people = found.groupBy("author").agg(F.count("*").alias("m")) if by_author else None
+    if people is not None:
+        line = F.concat(F.lit("- @"), F.col("author"), F.lit(": "), F.col("m").cast("string"))
+        listed = listed.crossJoin(people.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("less"), "author", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("tally")))
+        tally = F.concat(F.lit("\nBy author:\n"), F.col("tally"))
     body = F.when(n == 0, F.lit("\n(none)")).otherwise(F.concat(F.lit("\n"), F.col("lines"), more))
-    return found.agg(F.count("*").alias("n")).crossJoin(listed).select("n", F.concat(head, body).alias("rendered"))
+    return found.agg(F.count("*").alias("n")).crossJoin(listed).select("n", F.concat(head, tally, body).alias("rendered"))
 
 
 def corpus_as_of(prs: DataFrame) -> DataFrame:

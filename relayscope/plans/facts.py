@@ -154,6 +154,20 @@ def render_aggregate(s, d):
     return facts.rendered(rows, "Merged pull requests", [F.desc("at"), F.desc("number")], "cold", globs)
 
 
+@query(
+    """WITH f AS (SELECT sha, author, committed_at, split_part(message, chr(10), 1) AS title FROM commits WHERE committed_at >= TIMESTAMP '2024-01-10'), t AS (SELECT author, count(*) AS m FROM f GROUP BY 1)
+    SELECT (SELECT count(*) FROM f) AS n, '**Commits since 2024-01-10: ' || (SELECT count(*) FROM f) || '**' || chr(10) || chr(10) || 'By author:' || chr(10) || (SELECT string_agg('- @' || author || ': ' || m || chr(10), '' ORDER BY m DESC, author) FROM t)
+    || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY committed_at DESC, sha) FROM (SELECT *, '- `commit:' || left(sha, 7) || '` ' || strftime(committed_at, '%Y-%m-%d') || ' — @' || author || ' — ' || title AS line FROM f ORDER BY committed_at DESC, sha LIMIT 50))
+    || chr(10) || '- …and ' || (SELECT count(*) FROM f) - 50 || ' more (not listed)' AS rendered""",
+    "commits",
+)
+def render_commits(s, d):
+    """The tally by author stands before the list."""
+    rows = facts.commits_since(model.commits(s, d), EVENTS_SINCE)
+    found = rows.select(F.concat(F.lit("commit:"), F.left("sha", F.lit(7))).alias("citation"), F.col("committed_at").alias("at"), "author", F.split_part("message", F.lit("\n"), F.lit(1)).alias("title"), "sha")
+    return facts.rendered(found, "Commits since 2024-01-10", [F.desc("at"), "sha"], by_author=True)
+
+
 @query("SELECT max(greatest(merged_at, closed_at, created_at)) AS as_of FROM pull_requests", "pull_requests")
 def corpus_as_of(s, d):
     return facts.corpus_as_of(prs(s, d))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relayscope.operators import ingest
 from relayscope.operators.lineage import new_path
 from relayscope.plans.model import read
 from relayscope.sources import landed
@@ -31,8 +32,10 @@ def landing(s, d):
         return WRITTEN[key]
     o, c = read(s, d, "orders"), read(s, d, "conversations")
     k = F.col("o_orderkey")
-    issue = lambda hour, title: F.struct(F.when(k % 9 != 1, k).alias("number"), title.alias("title"), F.struct(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("login")).alias("user"), F.when(k % 9 != 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(f"T{hour}:00:00Z"))).alias("updated_at"))
-    pages = o.groupBy((k - k % 8).alias("page")).agg(F.collect_list(issue("08", F.lit("old"))).alias("old"), F.collect_list(issue("09", F.lit("new"))).alias("new"))
+    label = F.struct(F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string")).alias("name"))
+    labels = {"old": F.array(label, label, F.struct(F.lit("x").alias("name"))), "new": F.when(F.col("o_custkey") % 3 > 0, F.array(F.struct(F.lit("y").alias("name"))))}
+    issue = lambda hour, title: F.struct(labels[title].alias("labels"), F.lit("closed").alias("state"), F.when(k % 9 != 1, k).alias("number"), F.lit(title).alias("title"), F.struct(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("login")).alias("user"), F.when(k % 9 != 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(f"T{hour}:00:00Z"))).alias("updated_at"))
+    pages = o.groupBy((k - k % 8).alias("page")).agg(F.collect_list(issue("08", "old")).alias("old"), F.collect_list(issue("09", "new")).alias("new"))
     line = lambda kind, ref, page: F.to_json(F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), page.alias("page")))
     none = F.lit(None).cast("string")
     parts = [
@@ -77,3 +80,24 @@ def landed_comments(s, d):
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS tag, date_trunc('month', o_orderdate)::TIMESTAMP AS published_at FROM orders")
 def landed_releases(s, d):
     return landed.releases(landed.payloads(s, landing(s, d))).select("tag", "published_at")
+
+
+@query(
+    f"""WITH {ISSUES}, good AS (SELECT DISTINCT k, v, o_custkey % 3 AS p FROM there WHERE k % 9 NOT IN (1, 2)), last AS (SELECT k, min(v) AS v, any_value(p) AS p FROM good GROUP BY k)
+    SELECT k AS issue_number, unnest(CASE WHEN v = 'old' THEN ['p' || p, 'x'] WHEN p > 0 THEN ['y'] ELSE [] END) AS label FROM last"""
+)
+def ingest_labels(s, d):
+    """Two runs over what landed, the old versions and then the new ones: a refreshed issue has its new labels, even none, and no old ones."""
+    rows = landed.payloads(s, landing(s, d))
+    of = lambda title: landed.tables(rows.where((F.col("kind") != "issue") | F.contains("text", F.lit(f'"title":"{title}"'))))
+    return landed.stored_after(of("old"), of("new"))["issue_labels"]
+
+
+@query(
+    f"""WITH {ISSUES}, good AS (SELECT DISTINCT k, v, o_custkey % 3 AS p FROM there WHERE k % 9 NOT IN (1, 2)), last AS (SELECT k, min(v) AS v, any_value(p) AS p FROM good GROUP BY k)
+    SELECT 'issues' AS kind, count(*) AS n FROM last UNION ALL SELECT 'issue_labels', sum(CASE WHEN v = 'old' THEN 2 WHEN p > 0 THEN 1 ELSE 0 END)::BIGINT FROM last
+    UNION ALL SELECT 'releases', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM k UNION ALL SELECT unnest(['pull_requests', 'commits', 'commit_files']), 0"""
+)
+def ingest_run(s, d):
+    """All tables of what landed, counted by kind; of pull requests and commits nothing landed here."""
+    return ingest.counts(landed.tables(landed.payloads(s, landing(s, d))))

@@ -70,6 +70,39 @@ def releases(rows: DataFrame) -> DataFrame:
     return made.select(F.col("tag_name").alias("tag"), "name", F.coalesce("published_at", "created_at").alias("published_at"), F.col("html_url").alias("url"))
 
 
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The facts layer's tables of what landed: pull_requests, issues without those that are pull requests, issue_labels, commits, commit_files, releases."""
+    at = lambda name: ingest.instant(F.col(name)).alias(name)
+    common = ("number", "title", ingest.login(F.col("user")).alias("author"))
+    ended = (at("created_at"), at("closed_at"), ingest.milestone(F.col("milestone")).alias("milestone"), F.col("html_url").alias("url"))
+    pulls, issues, commits = records(rows, "pull"), ingest.only_issues(records(rows, "issue")), records(rows, "commit")
+    prs = pulls.select(*common, ingest.pr_state(ingest.instant(F.col("merged_at")), F.col("state")).alias("state"), F.coalesce("draft", F.lit(False)).alias("is_draft"), at("merged_at"), *ended)
+    labels = issues.select(F.col("number").alias("issue_number"), F.explode(F.array_distinct("labels.name")).alias("label")).where("label is not null")
+    return {
+        "pull_requests": prs,
+        "issues": issues.select(*common, F.when(F.col("state") == "closed", "closed").otherwise("open").alias("state"), *ended),
+        "issue_labels": labels,
+        "commits": ingest.commit_rows(commits, prs),
+        "commit_files": ingest.commit_files(commits),
+        "releases": releases(rows),
+    }
+
+
+#: Each table's key, and of a child table its parent.
+KEYS = {"pull_requests": ("number", None), "issues": ("number", None), "issue_labels": ("issue_number", "issues"), "commits": ("sha", None), "commit_files": ("sha", "commits"), "releases": ("tag", None)}
+
+
+def stored_after(stored: dict[str, DataFrame], fresh: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The stored tables after those of a run: rows are replaced by key, children of what the run has as a whole, even by none."""
+    out = {}
+    for name, (key, parent) in KEYS.items():
+        if parent is None:
+            out[name] = ingest.upserted(stored[name], fresh[name], [key])
+        else:
+            out[name] = ingest.with_children(stored[name], fresh[name], fresh[parent].select(F.col(KEYS[parent][0]).alias(key)), key)
+    return out
+
+
 def pinned(rows: DataFrame, ref: str) -> DataFrame:
     """sha, committed_at of the commit that a symbolic reference, the reference of its page, stands for; raises if none landed."""
     found = records(rows.where(F.col("ref") == ref), "commit").select("sha", ingest.instant(F.col("commit.committer.date")).alias("committed_at"))

@@ -49,3 +49,31 @@ def test_records(spark, folder):
     assert [tuple(r) for r in landed.pinned(rows, "main").collect()] == [("abc", datetime(2024, 3, 1))]
     with pytest.raises(LookupError):
         landed.pinned(rows, "dev")
+
+
+def test_tables_of_two_runs(spark, tmp_path):
+    def run(name, items):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "page.json").write_text("\n".join(json.dumps({"kind": k, "ref": None, "page": p}) for k, p in items))
+        return landed.tables(landed.payloads(spark, str(tmp_path / name)))
+
+    issue = lambda n, labels, **more: {"number": n, "title": "t", "state": "open", "updated_at": "2024-01-01T00:00:00Z", "labels": [{"name": x} for x in labels]} | more
+    commit = lambda sha, files: {"sha": sha, "author": None, "commit": {"message": "m (#7)", "author": {"name": "Ann", "date": "2024-01-02T00:00:00Z"}}, "files": [{"filename": f} for f in files]}
+    first = run("a", [("issue", [issue(1, ["x", "x", "y"]), issue(2, ["z"]), issue(3, ["p"], pull_request={"url": "u"})]), ("commit", [commit("s1", ["f", "g", "f"])])])
+    second = run("b", [("issue", [issue(1, [])]), ("commit", [commit("s2", ["h"])]), ("pull", [{"number": 7, "title": "p", "state": "closed", "updated_at": "2024-01-03T00:00:00Z", "merged_at": "2024-01-03T00:00:00Z"}])])
+    every = landed.stored_after(first, second)
+    found = {name: sorted(map(tuple, every[name].select(*columns).collect())) for name, columns in {"issues": ["number"], "issue_labels": ["issue_number", "label"], "commits": ["sha", "author"], "commit_files": ["sha", "path"], "pull_requests": ["number", "state", "author"]}.items()}
+    assert found == {"issues": [(1,), (2,)], "issue_labels": [(2, "z")], "commits": [("s1", "Ann"), ("s2", "Ann")], "commit_files": [("s1", "f"), ("s1", "g"), ("s2", "h")], "pull_requests": [(7, "merged", "ghost")]}
+
+
+def test_baselines_are_written_or_refused(spark, tmp_path):
+    from relayscope.operators import evals
+
+    results = spark.createDataFrame([("q1", None), ("q2", None)], "qid string, error string")
+    current = spark.createDataFrame([("recall", 0.5)], "metric string, value double")
+    for _ in range(2):
+        evals.write_baseline(current, results, str(tmp_path / "b"), {"k": 5})
+    (row,) = spark.read.json(str(tmp_path / "b")).collect()
+    assert (row["metric"], row["value"], row["config"]) == ("recall", 0.5, evals.config_hash({"k": 5}))
+    with pytest.raises(ValueError, match="no baseline"):
+        evals.write_baseline(current, results.limit(1), str(tmp_path / "c"), {})
