@@ -116,22 +116,22 @@ def prompt_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / F.lit(3.5).cast("double")).cast("long")
 
 
-#: Words of a list that is sent to all tasks.
-WORDS = 10_000
-
-
 def synthetic_tools(verbs: DataFrame, objects: DataFrame, n: int) -> DataFrame:
     """name, ordinal of n tools verb_object, all objects of the first verb first; smaller n are a prefix.
 
-    verbs, objects: word, place; lists of a fixed size. The ordinal is arithmetic,
-    so no rows are numbered.
+    verbs, objects: word, place (from 0). An ordinal tells the places of its verb
+    and its object, so ordinals are a range that joins both lists; of a name that
+    comes twice the first counts. The range is n long, and doubled for as long as
+    names that come twice leave too few. Lists that have too few raise.
     """
-    size = objects.count()
-    if size > WORDS:
-        raise ValueError(f"{size} objects; a list of words that is sent to all tasks has up to {WORDS}")
-    rows = verbs.join(F.broadcast(objects.select(F.col("word").alias("object"), F.col("place").alias("second"))), F.lit(True))
-    rows = rows.select(F.concat_ws("_", "word", "object").alias("name"), (F.col("place") * size + F.col("second")).cast("long").alias("ordinal"))
-    rows = rows.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
-    if (have := rows.count()) < n:
-        raise ValueError(f"{n} tools of {have}")
-    return rows.orderBy("ordinal").limit(n)
+    of, wide = verbs.count(), objects.count()
+    every, m = of * wide, n
+    while True:
+        numbers = verbs.sparkSession.range(min(m, every)).select(F.col("id").alias("ordinal"), F.floor(F.col("id") / max(wide, 1)).alias("verb_at"), (F.col("id") % max(wide, 1)).alias("object_at"))
+        rows = numbers.join(verbs.select(F.col("place").cast("long").alias("verb_at"), "word"), "verb_at").join(objects.select(F.col("place").cast("long").alias("object_at"), F.col("word").alias("object")), "object_at")
+        named = rows.groupBy(F.concat_ws("_", "word", "object").alias("name")).agg(F.min("ordinal").alias("ordinal"))
+        if (have := named.count()) >= n:
+            return named.orderBy("ordinal").limit(n)
+        if m >= every:
+            raise ValueError(f"{n} tools of {have}")
+        m *= 2
