@@ -2,10 +2,12 @@
 
 Of two lines, the shorter one's length says how many edits they may be apart:
 one for each CHARS_AN_EDIT characters, up to EDITS. A line that may have e edits
-is cut into e + 1 segments. A line within e edits of it has one of the segments
-unchanged, at one of a few places that the lengths of both lines allow; so the
-index holds each line's segments with the line's length, and each line probes it
-with substrings of its own for the lengths from its own down to e less.
+has e + 1 segments, which are of one size for a class of 2 * (e + 1) lengths. A
+line within e edits of it has one of the segments unchanged, at one of a few
+places that the lengths of both lines allow; so the index holds each line's
+segments with the class of its length, and each line probes it with substrings of
+its own for the lengths from its own down to e less, which are of two classes at
+most as long as e is small.
 
 Most keys have one line and are dropped in semi-joins of keys and ids, before
 anything else of a line moves. Lines that meet get counts of their letters, of
@@ -24,8 +26,10 @@ from relayscope.llm.shared import dropped, row_keys, written
 EDITS, CHARS_AN_EDIT = 2, 10
 # Frequent letters, whose numbers tell most lines apart before they are compared.
 LETTERS = ("eaintrso", "hldcumpg")
-#: White space around a line; one that has nothing else is blank.
-BLANKS = " \t\r\f\v"
+#: A line that has nothing but such white space is blank.
+SAYS = r"[^ \t\r\f\x0B]"
+#: Steps in which equal beginnings and ends of two lines are left out; together they reach over 2^17 characters.
+STEPS = tuple(1 << k for k in range(16, 2, -1))
 
 
 def allowed(length: Column, edits: int) -> Column:
@@ -33,14 +37,27 @@ def allowed(length: Column, edits: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / CHARS_AN_EDIT)).cast("int")
 
 
-def probes(edits: int) -> list[tuple[int, int, int, int]]:
-    """(e, less, i, shift): substrings that a line has at segment i, moved by shift, of a line that is ``less`` shorter and may have e edits."""
+def probes(edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(e, less, i, shift, before): substrings that a line has at segment i, moved by shift, of a line that is ``less`` shorter and may have e edits.
+
+    before: the next smaller ``less`` with a substring at the same place, which is the same one if both lengths are of a class; -1 if there is none.
+    """
     out = []
     for e in range(edits + 1):
+        places: dict[tuple[int, int], int] = {}
         for less in range(e + 1):
             for i in range(e + 1):
                 # At most i edits before the segment, and at most e - i after it.
-                out += [(e, less, i, shift) for shift in range(max(-i, less - (e - i)), min(i, less + (e - i)) + 1)]
+                lowest, highest = max(-i, less - (e - i)), min(i, less + (e - i))
+                if less == 0 and e <= 2:
+                    # Lines of one length look for each other. If they share no first or last segment, one character goes
+                    # in before the middle and one out behind it: each has the other's middle, and one of them moved up.
+                    lowest = 0
+                for shift in range(lowest, highest + 1):
+                    # The last segment lies at a place from the end.
+                    place = (i, shift - less if i == e else shift)
+                    out.append((e, less, i, shift, places.get(place, -1)))
+                    places[place] = less
     return out
 
 
@@ -49,19 +66,23 @@ def keys(lines: DataFrame, edits: int, segments_only: bool) -> DataFrame:
     every = [p for p in probes(edits) if not segments_only or p[1] == p[3] == 0]
     longest = [p for p in every if p[0] == edits]
 
-    def constant(some: list[tuple[int, int, int, int]]) -> Column:
-        return F.array(*(F.struct(*(F.lit(x).alias(name) for name, x in zip(("e", "less", "i", "shift"), p, strict=True))) for p in some))
+    def constant(some: list[tuple[int, int, int, int, int]]) -> Column:
+        return F.array(*(F.struct(*(F.lit(x).alias(name) for name, x in zip(("e", "less", "i", "shift", "before"), p, strict=True))) for p in some))
 
-    n, shorter, parts = F.col("n"), F.col("n") - F.col("less"), F.col("e") + 1
+    e, n, shorter, parts = F.col("e"), F.col("n"), F.col("n") - F.col("less"), F.col("e") + 1
     which = F.when(n >= edits * CHARS_AN_EDIT + edits, constant(longest)).otherwise(constant(every))
     rows = lines.select("id", "line", "n", F.explode(which).alias("p")).select("id", "line", "n", "p.*")
-    # The last segments are longer by one where they must.
-    base = F.floor(shorter / parts).cast("int")
-    short = parts - (shorter - base * parts)
-    start = base * F.col("i") + F.greatest(F.col("i") - short, F.lit(0)) + 1 + F.col("shift")
-    size = base + F.when(F.col("i") >= short, 1).otherwise(0)
-    rows = rows.where((F.col("e") == allowed(shorter, edits)) & (start >= 1) & (start + size - 1 <= n))
-    return rows.select(F.xxhash64("i", shorter, F.substr("line", start, size)).alias("key"), "id")
+    # The least length of a class; the segments have their size from it, and longer lines have a gap before the last one.
+    least = lambda length: length - (length - e * CHARS_AN_EDIT) % (2 * parts)
+    size = F.floor(least(shorter) / parts).cast("int")
+    start = F.when(F.col("i") == e, shorter - size).otherwise(size * F.col("i")) + F.col("shift") + 1
+    earlier = n - F.col("before")
+    new = (F.col("before") < 0) | (allowed(earlier, edits) != e) | (least(earlier) != least(shorter))
+    # Lines that may have no edit are linked with nothing, as no two lines are equal.
+    rows = rows.where((e > 0) & (allowed(shorter, edits) == e) & new & (start >= 1) & (start + size - 1 <= n))
+    # Where each character is a byte, it is found without counting those before it.
+    segment = F.when(F.octet_length("line") == n, F.substr(F.col("line").cast("binary"), start, size)).otherwise(F.substr("line", start, size).cast("binary"))
+    return rows.select(F.xxhash64("i", least(shorter), segment).alias("key"), "id")
 
 
 def letter_counts(line: Column, letters: str) -> Column:
@@ -79,6 +100,20 @@ def letters_apart(a: Column, b: Column) -> Column:
     return sum((F.abs(byte(a, k) - byte(b, k)) for k in range(8)), F.lit(0))
 
 
+def without_common_ends(a: Column, b: Column, edits: int) -> Column:
+    """a and b without most of what they begin and end with alike, which keeps their distance; more than ``edits`` characters stay of each."""
+
+    def shorter(s: Column, h: Column, end: bool) -> Column:
+        a, b = s["a"], s["b"]
+        cut = F.right if end else F.left
+        rest = lambda x: F.left(x, F.length(x) - h) if end else F.substr(x, h + 1)
+        return F.when((F.least(F.length(a), F.length(b)) > h + edits) & (cut(a, h) == cut(b, h)), F.struct(rest(a).alias("a"), rest(b).alias("b"))).otherwise(s)
+
+    steps = F.array(*map(F.lit, STEPS))
+    begun = F.aggregate(steps, F.struct(a.alias("a"), b.alias("b")), lambda s, h: shorter(s, h, False))
+    return F.aggregate(steps, begun, lambda s, h: shorter(s, h, True))
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """The edit distance of a and b if it is up to ``edits``; otherwise a larger number.
 
@@ -127,23 +162,26 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     index, probing = keys(lines, edits, True), keys(lines, edits, False)
     other = lambda rows: rows.select(F.col("key").alias("k"), F.col("id").alias("other"))
     meets = (F.col("key") == F.col("k")) & (F.col("id") != F.col("other"))
-    # Two steps, so that the probes' shuffle files are there once at a time.
-    own = written(index.join(other(probing), meets, "left_semi"), "own")
-    met = written(own.withColumn("own", F.lit(True)).union(probing.join(other(own), meets, "left_semi").withColumn("own", F.lit(False))), "met")
+    # The probes, which are the most, move once.
+    hits = written(probing.join(other(index), meets, "left_semi"), "hits")
+    met = written(hits.withColumn("own", F.lit(False)).union(index.join(other(hits), meets, "left_semi").withColumn("own", F.lit(True))), "met")
     # How many lines meet has no bound, so they are not sent to all tasks.
     named = lines.join(met.select("id").distinct().hint("merge"), "id", "left_semi")
     named = written(named.select("id", "line", "n", *(letter_counts(F.col("line"), x).alias(f"l{k}") for k, x in enumerate(LETTERS))), "named")
     sides = met.join(named.select("id", "n", "l0", "l1"), "id")
-    a = sides.where("own").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "l0", "l1")))
-    b = sides.where("not own").select("key", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "l0", "l1")))
+    # A class has several lengths: here each line meets only those that are as long or as much shorter as they may be.
+    a = sides.where("own").select("key", F.col("n").alias("shorter"), *(F.col(c).alias(f"a_{c}") for c in ("id", "l0", "l1")))
+    b = sides.where("not own").withColumn("less", F.explode(F.array(*map(F.lit, range(edits + 1))))).withColumn("shorter", F.col("n") - F.col("less"))
+    b = b.where(F.col("less") <= allowed(F.col("shorter"), edits)).select("key", "shorter", *(F.col(c).alias(f"b_{c}") for c in ("id", "l0", "l1")))
     far = letters_apart(F.col("a_l0"), F.col("b_l0")) + letters_apart(F.col("a_l1"), F.col("b_l1"))
-    # Lines of one length find each other from both sides.
-    once = (F.col("a_n") != F.col("b_n")) | (F.col("a_id") < F.col("b_id"))
-    near = (F.col("a_id") != F.col("b_id")) & once & (far <= 2 * allowed(F.least("a_n", "b_n"), edits))
-    pairs = a.join(b, "key").where(near).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    near = (F.col("a_id") != F.col("b_id")) & (far <= 2 * allowed(F.col("shorter"), edits))
+    pairs = a.join(b, ["key", "shorter"]).where(near).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     whole = pairs.join(named.select(F.col("id").alias("a"), F.col("line").alias("one"), F.col("n").alias("an")), "a")
     whole = whole.join(named.select(F.col("id").alias("b"), F.col("line").alias("two"), F.col("n").alias("bn")), "b")
-    return whole.where(banded_distance(F.col("one"), F.col("two"), edits) <= allowed(F.least("an", "bn"), edits)).select("a", "b")
+    # Within the lambda the ends are values, as the characters are in banded_distance.
+    ends = F.array(without_common_ends(F.col("one"), F.col("two"), edits))
+    distance = F.get(F.transform(ends, lambda t: banded_distance(t["a"], t["b"], edits)), F.lit(0))
+    return whole.where(distance <= allowed(F.least("an", "bn"), edits)).select("a", "b")
 
 
 def near_duplicate_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -164,7 +202,7 @@ def near_duplicate_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     row, name = ["doc", "text_key"], ["h1", "h2"]
     texts = row_keys(documents)
-    each = texts.select(*row, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    each = texts.select(*row, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.col("line").rlike(SAYS))
     # 128 bits stand for a line where only equality matters.
     each = each.select(*row, "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     lines = each.groupBy(*name).agg(F.min(F.struct(*row, "place")).alias("first"), F.first("line").alias("line"), F.count("*").alias("times"))
@@ -186,7 +224,7 @@ def near_duplicate_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     gone = F.transform(F.filter("its", lambda x: x["gone"]), lambda x: x["place"])
     marked = texts.join(by_row, row, "left").withColumns({"lines": all_lines, "its": F.coalesce("its", F.array().cast("array<struct<place:int,class:bigint,links:bigint,gone:boolean>>"))})
     marked = marked.withColumns({"gone": gone, "of_place": F.map_from_entries(F.transform("its", lambda x: F.struct(x["place"], x["class"])))})
-    number = lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", F.coalesce(F.element_at("of_place", i), F.xxhash64(x)))
+    number = lambda x, i: F.when(x.rlike(SAYS), F.coalesce(F.element_at("of_place", i), F.xxhash64(x)))
     return marked.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from relayscope.llm import merkle, queries, runs, token_counts
+from relayscope.llm import lines, merkle, queries, runs, token_counts
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, place long, digest string, tree string, n long, path string, words string"
 rng = random.Random(11)
@@ -233,3 +233,45 @@ def test_manifest_of_odd_rows(spark):
 
 def test_queries_are_registered():
     assert {"op11_periodic_runs", "op12_token_counts", "op13_merkle_manifest"} <= set(queries.queries())
+
+
+def test_lines_have_few_keys(spark):
+    """About twelve keys a line, computed and moved twice, took 465 CPU seconds a GB."""
+    rows = [(n, "".join(rng.choice("abcdefgh é") for _ in range(n)), n) for n in range(1, 120)]
+    frame = spark.createDataFrame(rows, "id long, line string, n int")
+    probes = dict(lines.keys(frame, 2, False).groupBy("id").count().collect())
+    own = dict(lines.keys(frame, 2, True).groupBy("id").count().collect())
+    assert own == {n: 2 if n < 20 else 3 for n in range(10, 120)}
+    assert max(probes.values()) <= 8 and sum(probes[n] for n in range(22, 118)) <= 5.5 * 96
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_line_links_at_the_borders_of_classes(spark, edits):
+    pool = set()
+    for n in [*range(8, 15), *range(18, 34), 38, 39, 40, 41]:
+        seed = [rng.choice("abcdeé ") for _ in range(n)]
+        for _ in range(24):
+            s = list(seed)
+            for _ in range(rng.choice([0, 1, 2, 2, 3])):
+                k = rng.choice([0, len(s) - 1, rng.randrange(len(s))])
+                s[k : k + rng.choice([0, 1])] = rng.choice(["", "x", s[k]])
+            # One character goes in near the beginning and another goes out near the end, or the other way round.
+            for one, other in ((rng.randrange(n // 3 + 1), -1 - rng.randrange(n // 3)), (-1 - rng.randrange(n // 3), rng.randrange(n // 3 + 1))):
+                t = list(seed)
+                t.insert(one, "y")
+                del t[other]
+                pool.add("".join(t))
+            pool.add("".join(s))
+    rows = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(sorted(pool))], "id long, line string, n int")
+    got = [tuple(r) for r in lines.line_links(rows, edits).collect()]
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.id") < F.col("y.id")) & (F.abs(F.col("x.n") - F.col("y.n")) <= edits))
+    pairs = pairs.where(F.expr(f"levenshtein(x.line, y.line) <= least({edits}, least(x.n, y.n) div 10)"))
+    assert sorted(got) == sorted(tuple(r) for r in pairs.select("x.id", "y.id").collect()) and bool(got) == (edits > 0)
+
+
+def test_common_ends_of_lines_are_left_out(spark):
+    base = "".join(rng.choice("abcdefgh é") for _ in range(3000))
+    rows = [(base, base[:1500] + "x" + base[1502:]), (base, base[1:]), (base, base[:-2]), (base, base + "é"), ("ab" * 400, "ab" * 401), ("a" * 10, "a" * 12), ("abc", "abd"), ("é" * 40, "é" * 20 + "x" + "é" * 20)]
+    got = spark.createDataFrame(rows, "a string, b string").withColumn("t", lines.without_common_ends(F.col("a"), F.col("b"), 2))
+    got = got.select("*", F.levenshtein("a", "b").alias("whole"), F.levenshtein("t.a", "t.b").alias("rest"), lines.banded_distance(F.col("t.a"), F.col("t.b"), 2).alias("banded"), F.length("t.a").alias("n"), F.length("t.b").alias("m")).collect()
+    assert all(r["whole"] == r["rest"] == r["banded"] and min(r["n"], r["m"]) > 2 for r in got) and max(r["n"] for r in got) < 30
