@@ -64,17 +64,27 @@ def sweep_point(tools: DataFrame, questions: DataFrame, gold: DataFrame, k: int
 
     tools: id, embedding, synthetic; those lose their place after the choice.
     crowd_out: the share of places that they took. questions: query, q (vector),
-    a benchmark's; gold: query, id. Without gold, recall is 1.
+    a benchmark's; gold: query, id, or topic, id, which all questions of a topic
+    have in common and which isn't written out for each. Without gold, recall is
+    1. Sets are compared by their sizes; only what is chosen looks up whether it
+    is gold.
     """
+    by = "topic" if "topic" in gold.columns else "query"
+    asked = questions.select("query", *(["topic"] if by == "topic" else []))
+    wanted = gold.where(F.col("id").isNotNull()).select(by, "id").distinct()
     chosen = retrieval.batch_topk(tools, questions, k, floor).join(tools.select("id", "synthetic"), "id")
-    found = chosen.groupBy("query").agg(F.collect_set(F.when(~F.col("synthetic"), F.col("id"))).alias("found"), F.count("*").alias("places"), F.count_if("synthetic").alias("lost"))
-    wanted = gold.groupBy("query").agg(F.collect_set("id").alias("gold"))
-    none = F.array().cast(found.schema["found"].dataType)
-    rows = questions.select("query").join(found, "query", "left").join(wanted, "query", "left")
-    rows = rows.select(F.coalesce("found", none).alias("f"), F.coalesce("gold", none).alias("g"), "places", "lost")
-    recall = F.when(F.size("g") == 0, 1.0).otherwise(F.size(F.array_intersect("f", "g")) / F.size("g"))
+    if by == "topic":
+        chosen = chosen.join(asked.distinct(), "query")
+    told = chosen.join(wanted.withColumn("wanted", F.lit(True)), [by, "id"], "left")
+    own = F.when(~F.col("synthetic"), F.col("id"))
+    found = told.groupBy("query").agg(F.size(F.collect_set(own)).alias("f"), F.size(F.collect_set(F.when(F.col("wanted"), own))).alias("both"), F.count("*").alias("places"), F.count_if("synthetic").alias("lost"))
+    rows = asked.join(found, "query", "left").join(wanted.groupBy(by).agg(F.count("*").alias("g")), by, "left")
+    rows = rows.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("f", "both", "g")), "places", "lost")
+    recall = F.when(F.col("g") == 0, 1.0).otherwise(F.col("both") / F.nullif("g", F.lit(0)))
+    union = F.col("f") + F.col("g") - F.col("both")
+    jaccard = F.when(union == 0, 1.0).otherwise(F.col("both") / F.nullif(union, F.lit(0)))
     crowd = F.coalesce(F.sum("lost") / F.sum("places"), F.lit(0.0))
-    return rows.agg(F.avg(recall).alias("recall"), F.avg(metrics.jaccard(F.col("f"), F.col("g"))).alias("jaccard"), F.avg(F.size("f")).alias("offered"), crowd.alias("crowd_out"))
+    return rows.agg(F.avg(recall).alias("recall"), F.avg(jaccard).alias("jaccard"), F.avg("f").alias("offered"), crowd.alias("crowd_out"))
 
 
 def sweep_curve(tools: DataFrame, questions: DataFrame, gold: DataFrame, sizes: Sequence[int], k: int = retrieval.TOOLS, floor: float = retrieval.FLOOR, search: int = 40) -> DataFrame:

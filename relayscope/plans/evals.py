@@ -69,10 +69,10 @@ def gold_validate(s, d):
 def sweep_point(s, d):
     """Questions are the rows whose id is divisible by 100, against all the others; every fourth tool is synthetic."""
     e = read(s, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("topic"))
     tools = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 4 == 3).alias("synthetic"), "label")
-    gold = tools.where("not synthetic").select("id", "label").join(q.select("query", "label"), "label").select("query", "id")
-    point = evals.sweep_point(tools, q.select("query", "q"), gold)
+    gold = tools.where("not synthetic").select(F.col("label").alias("topic"), "id")
+    point = evals.sweep_point(tools, q, gold)
     return point.select(*(F.round(c, 6).alias(c) for c in point.columns))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from relayscope.operators import retrieval
+from relayscope.operators import evals, retrieval
 
 NAN, INF = float("nan"), float("inf")
 ODD = [None, [], [1.0], [0.0] * 4, [0.0, -0.0, 0.0, 0.0], [NAN, 1.0, 0.0, 0.0], [INF, 1.0, 0.0, 0.0], [1e-170] * 4, [1e170] * 4, [1e-120, 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0], [2.0, 1.0]]
@@ -47,3 +48,26 @@ def test_nearest_are_those_of_all_pairs_with_their_ties(spark, monkeypatch):
     best = retrieval.batch_topk(candidates, queries, 5)
     assert told(best.collect()) == want[5, None] and "NestedLoop" not in best._jdf.queryExecution().toString()
     assert retrieval.batch_topk(candidates, queries.limit(0), 5).collect() == [] and retrieval.batch_topk(candidates.limit(0), queries, 5).collect() == []
+
+
+def test_gold_of_a_topic_is_not_written_out_for_each_question(spark):
+    """The same figures from gold by topic and by question, and those of sets written out; questions without gold, and a topic that nobody asks about."""
+    r = random.Random(3)
+    tools = [(i, [r.gauss(0, 1) for _ in range(3)], i % 4 == 3, f"t{i % 5}" if i % 7 else None) for i in range(80)]
+    asked = [(i, [r.gauss(0, 1) for _ in range(3)], f"t{i % 7}" if i % 5 else None) for i in range(30)]
+    df = spark.createDataFrame(tools, "id int, embedding array<double>, synthetic boolean, label string")
+    questions = spark.createDataFrame(asked, "query int, q array<double>, topic string")
+    gold = df.where("not synthetic and label is not null").select(F.col("label").alias("topic"), "id")
+    (by_topic,) = evals.sweep_point(df, questions, gold.union(gold)).collect()
+    (by_question,) = evals.sweep_point(df, questions, questions.select("query", "topic").join(gold, "topic").select("query", "id")).collect()
+    chosen = {}
+    for row in pair_by_pair(df, questions, retrieval.TOOLS, retrieval.FLOOR).collect():
+        chosen.setdefault(row["query"], []).append(row["id"])
+    sets = [({i for i in chosen.get(n, []) if i % 4 != 3}, {i for i, _, synthetic, label in tools if not synthetic and label and label == topic}) for n, _, topic in asked]
+    want = {
+        "recall": sum(len(f & g) / len(g) if g else 1.0 for f, g in sets) / 30, "jaccard": sum(len(f & g) / len(f | g) if f | g else 1.0 for f, g in sets) / 30,
+        "offered": sum(len(f) for f, _ in sets) / 30, "crowd_out": sum(i % 4 == 3 for ids in chosen.values() for i in ids) / sum(map(len, chosen.values())),
+    }
+    assert by_topic.asDict() == pytest.approx(want) and by_question.asDict() == pytest.approx(want)
+    (nothing,) = evals.sweep_point(df.limit(0), questions, gold.limit(0)).collect()
+    assert nothing.asDict() == {"recall": 1.0, "jaccard": 1.0, "offered": 0.0, "crowd_out": 0.0}
